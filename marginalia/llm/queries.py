@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding, urls
+from . import bpe, chat, sharding, urls
 from .common import table
 
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_hilbert_sharding": lambda spark, d: sharding.op1_hilbert_sharding(table(spark, d, "documents")),
+    "op2_bpe_trie": lambda spark, d: bpe.op2_bpe(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json")),
     "op4_chat_formatting": lambda spark, d: chat.op4_chat_formatting(table(spark, d, "conversations")),
     "op9_url_filter": lambda spark, d: urls.op9_url_filter(table(spark, d, "pages")),
 }
