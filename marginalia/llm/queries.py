@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, sharding, urls
+from . import bpe, chat, sharding, toxicity, urls
 from .common import table
 
 def vocabulary_path(name: str) -> str:
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_trie": lambda spark, d: bpe.op2_bpe(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json")),
     "op4_chat_formatting": lambda spark, d: chat.op4_chat_formatting(table(spark, d, "conversations")),
     "op9_url_filter": lambda spark, d: urls.op9_url_filter(table(spark, d, "pages")),
+    "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 
