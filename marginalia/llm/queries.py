@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, sharding, toxicity, urls
+from . import bpe, chat, decontaminate, sharding, toxicity, urls
 from .common import table
 
 def vocabulary_path(name: str) -> str:
@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_hilbert_sharding": lambda spark, d: sharding.op1_hilbert_sharding(table(spark, d, "documents")),
     "op2_bpe_trie": lambda spark, d: bpe.op2_bpe(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json")),
+    "op3_decontamination": lambda spark, d: decontaminate.op3_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_chat_formatting": lambda spark, d: chat.op4_chat_formatting(table(spark, d, "conversations")),
     "op9_url_filter": lambda spark, d: urls.op9_url_filter(table(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
