@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html_text, sharding, toxicity, urls
+from . import bpe, chat, decontaminate, html_text, jaccard, sharding, toxicity, urls
 from .common import table
 
 def vocabulary_path(name: str) -> str:
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_trie": lambda spark, d: bpe.op2_bpe(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json")),
     "op3_decontamination": lambda spark, d: decontaminate.op3_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_chat_formatting": lambda spark, d: chat.op4_chat_formatting(table(spark, d, "conversations")),
+    "op6_jaccard_tiles": lambda spark, d: jaccard.op6_jaccard(table(spark, d, "documents")),
     "op8_html_templates": lambda spark, d: html_text.op8_html_text(table(spark, d, "pages")),
     "op9_url_filter": lambda spark, d: urls.op9_url_filter(table(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -29,4 +30,4 @@ QUERIES: dict[str, Query] = {
 
 
 def sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.OP4_SQL, "op9_url_filter": urls.op9_sql()}
+    return {"op4_chat_formatting": chat.OP4_SQL, "op6_jaccard_tiles": jaccard.OP6_SQL, "op9_url_filter": urls.op9_sql()}
