@@ -7,7 +7,7 @@
 3. A task builds the graph of its block: candidates (nearest ones, some at random) are robust-pruned to
    DEGREE neighbours, reversed edges are added to the adjacency lists, and what the medoids do not reach is tied in.
 4. Each vector of the task searches greedily from the medoids with a beam, then expands from all it has found
-   within the range (and SLACK around it) until nothing new turns up.
+   within the range (and SLACK around it), its own adjacency list included, until nothing new turns up.
 5. What is found is verified in double precision. A pair counts in the first shard that both share, so
    adjacency lists of all shards are united without sending pairs: a task returns each vector's number of links and its
    root in the task's spanning forest.
@@ -125,8 +125,11 @@ def robust_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return graph, np.array(medoids)
 
 
-def range_search(graph: np.ndarray, medoids: np.ndarray, x: np.ndarray, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vertex) with a similarity of about `least` or more, to be verified."""
+def range_search(graph: np.ndarray, medoids: np.ndarray, x: np.ndarray, queries: np.ndarray, least: float, beam: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vertex) with a similarity of about `least` or more, to be verified.
+
+    own: the queries are the graph's vertices, so each one's adjacency list starts its range beside what the medoids lead to.
+    """
     x32, q32 = x.astype(np.float32), queries.astype(np.float32)
     nq, n = len(q32), len(x32)
     seen, hit, grown = np.zeros((nq, n), bool), np.zeros((nq, n), bool), np.zeros((nq, n), bool)
@@ -139,6 +142,13 @@ def range_search(graph: np.ndarray, medoids: np.ndarray, x: np.ndarray, queries:
     seen[:, medoids] = True
     hit[:, medoids] = first >= reach
     done = ids < 0
+    if own:
+        q = np.repeat(np.arange(nq), graph.shape[1])
+        v = graph.ravel()
+        q, v = q[v >= 0], v[v >= 0]
+        seen[q, v] = True
+        near = np.concatenate([np.einsum("id,id->i", q32[q[k : k + 100_000]], x32[v[k : k + 100_000]]) >= reach for k in range(0, len(q), 100_000)])
+        hit[q[near], v[near]] = True
     active = np.arange(nq)
     while len(active):
         best = np.argmax(np.where(done[active], np.float32(-3), sims[active]), axis=1)
@@ -208,7 +218,7 @@ def _links_in_shard(pdf: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
     if not len(base) or not len(asks) or len(pdf) < 2:
         return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
     graph, medoids = robust_graph(x[base])
-    q, v = range_search(graph, medoids, x[base], x[asks], least, beam)
+    q, v = range_search(graph, medoids, x[base], x[asks], least, beam, own=i == j)
     a, b = asks[q], base[v]
     a, b = np.minimum(a, b), np.maximum(a, b)
     key = np.unique((a * len(pdf) + b)[a != b])
@@ -274,7 +284,7 @@ def brute_force_links(classes: DataFrame, queries: int, dim: int, least: float)
     return classes.select("id", "copies", "v").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", least: float = 0.9, overlap: int = 3, beam: int = BEAM, audit: int = 100, target: float = 0.97) -> DataFrame:
+def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", least: float = 0.9, overlap: int = 3, beam: int = BEAM, audit: int = 100, target: float = 0.98) -> DataFrame:
     """id_col, n_links (other rows linked directly), component_id (smallest id reachable, itself included), kept.
 
     Rows link at a cosine of `least` or more in double precision. A vector that is null, empty, zero or holds a null or
