@@ -54,8 +54,8 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def robust_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(adjacency lists padded with -1, medoids) over unit vectors x."""
+def robust_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(adjacency lists padded with -1, medoids, the lists with all reversed edges as (starts, vertices)) over unit vectors x."""
     n = len(x)
     rng = np.random.default_rng(seed)
     x32 = x.astype(np.float32)
@@ -122,10 +122,14 @@ def robust_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             more[u, used[u]] = v
             used[u] += 1
         graph = np.concatenate([graph, more], axis=1)
-    return graph, np.array(medoids)
+    u, v = np.repeat(np.arange(n), graph.shape[1]), graph.ravel()
+    u, v = u[v >= 0], v[v >= 0]
+    key = np.unique(np.concatenate([u * n + v, v * n + u]))
+    starts = np.searchsorted(key, np.arange(n + 1) * n)
+    return graph, np.array(medoids), (starts, key % n)
 
 
-def range_search(graph: np.ndarray, medoids: np.ndarray, x: np.ndarray, queries: np.ndarray, least: float, beam: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def range_search(graph: np.ndarray, medoids: np.ndarray, full: tuple[np.ndarray, np.ndarray], x: np.ndarray, queries: np.ndarray, least: float, beam: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, vertex) with a similarity of about `least` or more, to be verified.
 
     own: the queries are the graph's vertices, so each one's adjacency list starts its range beside what the medoids lead to.
@@ -143,9 +147,7 @@ def range_search(graph: np.ndarray, medoids: np.ndarray, x: np.ndarray, queries:
     hit[:, medoids] = first >= reach
     done = ids < 0
     if own:
-        q = np.repeat(np.arange(nq), graph.shape[1])
-        v = graph.ravel()
-        q, v = q[v >= 0], v[v >= 0]
+        q, v = np.repeat(np.arange(nq), np.diff(full[0])), full[1]
         seen[q, v] = True
         near = np.concatenate([np.einsum("id,id->i", q32[q[k : k + 100_000]], x32[v[k : k + 100_000]]) >= reach for k in range(0, len(q), 100_000)])
         hit[q[near], v[near]] = True
@@ -179,12 +181,12 @@ def range_search(graph: np.ndarray, medoids: np.ndarray, x: np.ndarray, queries:
         if not len(q):
             break
         grown[q, v] = True
-        for lo in range(0, len(q), 50_000):
-            part = graph[v[lo : lo + 50_000]]
-            who = np.repeat(q[lo : lo + 50_000], part.shape[1])
-            part = part.ravel()
-            ok = part >= 0
-            who, part = who[ok], part[ok]
+        starts, vertices = full
+        for lo in range(0, len(q), 20_000):
+            at = v[lo : lo + 20_000]
+            n_of = starts[at + 1] - starts[at]
+            who = np.repeat(q[lo : lo + 20_000], n_of)
+            part = vertices[np.arange(int(n_of.sum())) - np.repeat(np.cumsum(n_of) - n_of, n_of) + np.repeat(starts[at], n_of)]
             ok = ~seen[who, part]
             key = np.unique(who[ok] * n + part[ok])
             who, part = key // n, key % n
@@ -217,8 +219,8 @@ def _links_in_shard(pdf: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
     asks = np.nonzero(pdf["block"].to_numpy() == i)[0]
     if not len(base) or not len(asks) or len(pdf) < 2:
         return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
-    graph, medoids = robust_graph(x[base])
-    q, v = range_search(graph, medoids, x[base], x[asks], least, beam, own=i == j)
+    graph, medoids, full = robust_graph(x[base])
+    q, v = range_search(graph, medoids, full, x[base], x[asks], least, beam, own=i == j)
     a, b = asks[q], base[v]
     a, b = np.minimum(a, b), np.maximum(a, b)
     key = np.unique((a * len(pdf) + b)[a != b])
