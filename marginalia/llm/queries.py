@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, graph_dedup, html_text, jaccard, sharding, toxicity, urls
+from . import bpe, chat, decontaminate, graph_dedup, html_text, jaccard, lm_score, sharding, toxicity, urls
 from .common import table
 
 def vocabulary_path(name: str) -> str:
@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat_formatting": lambda spark, d: chat.op4_chat_formatting(table(spark, d, "conversations")),
     "op5_graph_dedup": lambda spark, d: graph_dedup.op5_graph_dedup(table(spark, d, "embeddings")),
     "op6_jaccard_tiles": lambda spark, d: jaccard.op6_jaccard(table(spark, d, "documents")),
+    "op7_lm_score": lambda spark, d: lm_score.op7_lm_score(table(spark, d, "documents")),
     "op8_html_templates": lambda spark, d: html_text.op8_html_text(table(spark, d, "pages")),
     "op9_url_filter": lambda spark, d: urls.op9_url_filter(table(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -31,4 +32,4 @@ QUERIES: dict[str, Query] = {
 
 
 def sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.OP4_SQL, "op5_graph_dedup": graph_dedup.OP5_SQL, "op6_jaccard_tiles": jaccard.OP6_SQL, "op9_url_filter": urls.op9_sql()}
+    return {"op4_chat_formatting": chat.OP4_SQL, "op5_graph_dedup": graph_dedup.OP5_SQL, "op6_jaccard_tiles": jaccard.OP6_SQL, "op7_lm_score": lm_score.OP7_SQL, "op9_url_filter": urls.op9_sql()}
