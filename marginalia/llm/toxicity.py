@@ -224,3 +224,16 @@ def op10_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     # only the score comes back from Python beside the id: texts are not sent twice
     scored = score_toxicity(documents.select("doc_id", "text"), model, keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(documents: DataFrame, model: ToxicityModel, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows that score below `least`, with all their columns."""
+    at = documents.columns.index(text)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(m.features(words_of(t))) < least for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
