@@ -15,29 +15,30 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else " ".join(s.split()).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded_title_key(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else re.sub("[^a-z0-9]+", " ", s.casefold()).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def entity_title(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", s).casefold())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else html.unescape(s))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio with a before b (it is not symmetric); null if either is null."""
     known: dict[tuple[str, str], float] = {}
@@ -77,7 +78,7 @@ def similar_to_any(titles: Sequence[str], threshold: float = 0.8):
         x = x.lower()
         return any(2 * min(len(x), len(t)) > threshold * (len(x) + len(t)) and SequenceMatcher(None, x, t).ratio() > threshold for t in lowered)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def compare(x: pd.Series) -> pd.Series:
         return x.map(near)
 
@@ -97,13 +98,13 @@ def _last_object(text: str, wanted) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def last_action(x: pd.Series) -> pd.Series:
     """The last JSON object in a text that has an action with a name."""
     return x.map(lambda s: None if s is None else _last_object(s, lambda v: isinstance(v, dict) and isinstance(v.get("action"), dict) and "name" in v["action"]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def last_json_block(x: pd.Series) -> pd.Series:
     """The last balanced {...} of a text, by counting braces from its end."""
 
