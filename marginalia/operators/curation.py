@@ -75,7 +75,7 @@ def without_leakage(df: DataFrame, other: DataFrame, keys: Sequence[str] = KEYS)
     return out.select(*df.columns)
 
 
-def leakage_reason(flags: DataFrame, keys: Sequence[str] = KEYS) -> Column:
+def leakage_reason(keys: Sequence[str] = KEYS) -> Column:
     return first_reason([(f"{k.removesuffix('_key')}_leakage", F.col(f"in_{k}")) for k in keys])
 
 

@@ -30,7 +30,7 @@ def replay(actions: DataFrame, targets: DataFrame, max_actions: int = MAX_ACTION
     all papers; read and find need a latest id, select any known id. Reward 1 for a selected target, else 0.
     """
     turn = F.struct("turn", "name", "query", "paper_id", "results")
-    logs = actions.groupBy("trajectory_id").agg(F.sort_array(F.collect_list(turn)).alias("log")).join(targets, "trajectory_id", "left")
+    logs = actions.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(turn), lambda a, b: F.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).otherwise(0)).alias("log")).join(targets, "trajectory_id", "left")
     none = F.array().cast("array<string>")
     start = F.struct(
         F.lit(0).alias("actions"), F.lit(0).alias("refused"), F.lit(0).alias("invalid"), none.alias("latest"), F.array().cast(f"array<{PAPER}>").alias("papers"), F.lit(None).cast(PAPER).alias("selected")

@@ -1,3 +1,601 @@
-"""Registered queries and their SQL."""
-QUERIES = {}
-SQL = {}
+"""Registered queries over the driver's tables and the SQL that checks them.
+
+The tables hold no citations, so queries that need markers build them from each row's own columns, in the
+same way in Spark and SQL. Every query reads its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import citations, identifiers, similarity, text
+from ..operators import audit, curation, evaluation, listings, release, retrieval, sampling
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+SEED = 20_260_816
+
+SPACES = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+TITLE = r"trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+#: The documents as candidates: excerpt, source and target titles, venue, split by hash.
+CANDIDATES_SQL = rf"""
+candidates AS (
+  SELECT doc_id, lang AS venue, source, text, lower({SPACES.format("text")}) AS excerpt_key, {TITLE.format("substr(text, 1, 40)")} AS source_key, {TITLE.format("substr(text, 41, 40)")} AS target_key,
+    sha256('{SEED}' || chr(31) || lang || chr(31) || source || chr(31) || doc_id::varchar) AS score,
+    CASE WHEN substr(sha256(doc_id::varchar), 1, 1) < '8' THEN 'train' ELSE 'test' END AS split FROM documents)"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql is not None:
+            SQL[name] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select(
+        "doc_id", F.col("lang").alias("venue"), "source", "text", text.text_key(F.col("text")).alias("excerpt_key"), text.title_key(F.substring("text", 1, 40)).alias("source_key"), text.title_key(F.substring("text", 41, 40)).alias("target_key"),
+        text.stable_score(SEED, F.col("lang"), F.col("source"), F.col("doc_id")).alias("score"), F.when(F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(1)) < "8", "train").otherwise("test").alias("split"),
+    )
+
+
+@query(
+    "flagship_balanced_sample",
+    rf"""
+WITH {CANDIDATES_SQL},
+items AS (SELECT DISTINCT lower({SPACES.format("text")}) AS k FROM benchmark),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY excerpt_key ORDER BY doc_id) AS rn FROM candidates) WHERE rn = 1 AND excerpt_key NOT IN (SELECT k FROM items)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY score, doc_id) AS q FROM kept) WHERE q <= 20)
+SELECT doc_id, venue, score, (row_number() OVER (ORDER BY score, doc_id) - 1 + 1000000)::bigint AS id FROM top""",
+)
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Deduplicate, exclude the benchmark, take 20 of each venue in hash order, number the sample."""
+    items = table(spark, d, "benchmark").select(text.text_key(F.col("text")).alias("excerpt_key"))
+    kept = curation.without_leakage(curation.first_wins(candidates(spark, d), ["excerpt_key"], ["doc_id"]), items, ["excerpt_key"])
+    top = curation.balanced_top(kept, "venue", ["score", "doc_id"], 20)
+    return curation.numbered(top.select("doc_id", "venue", "score"), ["score", "doc_id"], 1_000_000)
+
+
+@query("normalize_text_keys", rf"SELECT doc_id, lower({SPACES.format('text')}) AS text_key, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS compare_key FROM documents")
+def normalize_text_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.text_key(F.col("text")).alias("text_key"), text.compare_text(F.col("text")).alias("compare_key"))
+
+
+@query("title_key_ascii", f"SELECT doc_id, {TITLE.format('text')} AS title_key FROM documents")
+def title_key_ascii(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.title_key(F.col("text")).alias("title_key"))
+
+
+@query("folded_keys")
+def folded_keys(spark, d):
+    """Case folding and NFKC, which SQL lacks; tests compare with str.casefold and unicodedata."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", similarity.casefold("text").alias("folded"), similarity.entity_title("text").alias("entity"))
+
+
+@query("passage_fingerprint", f"SELECT doc_id, sha256({SPACES.format('text')}) AS passage_sha256 FROM documents")
+def passage_fingerprint(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("passage_sha256"))
+
+
+@query("release_ids", "SELECT page_id, url, substr(sha256(url || '|' || page_id::varchar), 1, 20) AS release_id FROM pages")
+def release_ids(spark, d):
+    return table(spark, d, "pages").select("page_id", "url", text.release_id(F.col("url"), F.col("page_id")).alias("release_id"))
+
+
+@query("exact_dedup_first_wins", f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lower({SPACES.format('text')}) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def exact_dedup(spark, d):
+    return curation.first_wins(table(spark, d, "documents").withColumn("k", text.text_key(F.col("text"))), ["k"], ["doc_id"]).select("doc_id", "source")
+
+
+@query("duplicate_report", f"SELECT count(*) AS n_rows, count(DISTINCT lower({SPACES.format('text')})) AS n_distinct, count(*) - count(DISTINCT lower({SPACES.format('text')})) AS n_removed FROM documents")
+def duplicate_report(spark, d):
+    return curation.duplicate_counts(table(spark, d, "documents").select(F.sha2(text.text_key(F.col("text")), 256).alias("k")), ["k"])
+
+
+FLAGS_SQL = f"""
+WITH {CANDIDATES_SQL},
+train AS (SELECT * FROM candidates WHERE split = 'train'),
+flags AS (
+  SELECT c.*, excerpt_key <> '' AND excerpt_key IN (SELECT excerpt_key FROM train) AS e, source_key <> '' AND source_key IN (SELECT source_key FROM train) AS s, target_key <> '' AND target_key IN (SELECT target_key FROM train) AS t
+  FROM candidates c WHERE split = 'test')"""
+
+
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = candidates(spark, d)
+    return curation.leakage_flags(rows.filter("split = 'test'"), rows.filter("split = 'train'"))
+
+
+@query("leakage_exclusion_reasons", FLAGS_SQL + " SELECT doc_id, CASE WHEN e THEN 'excerpt_leakage' WHEN s THEN 'source_leakage' WHEN t THEN 'target_leakage' END AS reason FROM flags")
+def leakage_reasons(spark, d):
+    return _flags(spark, d).select("doc_id", curation.leakage_reason().alias("reason"))
+
+
+@query("leakage_counts", FLAGS_SQL + " SELECT count(*) FILTER (e) AS n_excerpt_key, count(*) FILTER (s) AS n_source_key, count(*) FILTER (t) AS n_target_key, count(*) FILTER (e OR s OR t) AS n_any FROM flags")
+def leakage_counts(spark, d):
+    return curation.leakage_counts(_flags(spark, d))
+
+
+@query("leakage_free_test", FLAGS_SQL + " SELECT doc_id FROM flags WHERE NOT (e OR s OR t)")
+def leakage_free(spark, d):
+    rows = candidates(spark, d)
+    return curation.without_leakage(rows.filter("split = 'test'"), rows.filter("split = 'train'")).select("doc_id")
+
+
+@query("rejected_by_venue_and_reason", FLAGS_SQL + " SELECT venue, CASE WHEN e THEN 'excerpt_leakage' WHEN s THEN 'source_leakage' WHEN t THEN 'target_leakage' END AS reason, count(*) AS n FROM flags WHERE e OR s OR t GROUP BY ALL")
+def rejected_by_venue(spark, d):
+    return curation.reason_counts(_flags(spark, d).withColumn("reason", curation.leakage_reason()), "venue")
+
+
+SENTENCES_SQL = r"""list_filter(list_transform(string_split(regexp_replace(replace({}, 'et al.', 'et al<prd>'), '([.!?])\s+([A-Z0-9"''(\[])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda s: trim(regexp_replace(replace(s, '<prd>', '.'), '\s+', ' ', 'g'))), lambda s: s <> '')"""
+BODY_SQL = r"trim(regexp_replace(replace(replace({}, '-' || chr(10), ''), chr(10), ' '), '\s+', ' ', 'g'))"
+
+
+@query("sentence_split_index", f"WITH s AS (SELECT doc_id, {SENTENCES_SQL.format(BODY_SQL.format('text'))} AS l FROM documents) SELECT doc_id, unnest(range(len(l)))::int AS sentence_index, unnest(l) AS sentence FROM s")
+def sentence_split_index(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(text.body_text(F.col("text")))).alias("sentence_index", "sentence"))
+
+
+@query(
+    "benchmark_shared_sentences",
+    f"""
+WITH a AS (SELECT DISTINCT doc_id, lower(unnest({SENTENCES_SQL.format(BODY_SQL.format('text'))})) AS k FROM documents),
+b AS (SELECT DISTINCT item_id, lower(unnest({SENTENCES_SQL.format(BODY_SQL.format('text'))})) AS k FROM benchmark)
+SELECT doc_id, item_id, count(*) AS n_shared FROM a JOIN b USING (k) GROUP BY ALL""",
+)
+def shared_sentences(spark, d):
+    keys = lambda name, i: table(spark, d, name).select(i, F.explode(F.array_distinct(F.transform(text.sentences(text.body_text(F.col("text"))), F.lower))).alias("k"))
+    return keys("documents", "doc_id").join(keys("benchmark", "item_id"), "k").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+
+
+@query("stable_hash_order_ids", f"WITH {CANDIDATES_SQL} SELECT doc_id, split, score, (row_number() OVER (ORDER BY score, doc_id) - 1 + 2000000)::bigint AS id FROM candidates")
+def stable_ids(spark, d):
+    return curation.numbered(candidates(spark, d).select("doc_id", "split", "score"), ["score", "doc_id"], 2_000_000)
+
+
+@query(
+    "waterfill_quota",
+    """
+WITH c AS (SELECT lang AS venue, (row_number() OVER (ORDER BY lang) - 1)::int AS idx, (count(*) // 50)::int AS initial, count(*)::int AS capacity FROM documents GROUP BY lang),
+slots AS (SELECT venue, idx, unnest(range(initial, capacity)) AS level FROM c),
+taken AS (SELECT venue, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY level, idx) AS rn FROM slots) WHERE rn <= 400 - (SELECT sum(initial) FROM c) GROUP BY venue)
+SELECT venue, (initial + coalesce(n, 0))::bigint AS target FROM c LEFT JOIN taken USING (venue)""",
+)
+def waterfill(spark, d):
+    counts = table(spark, d, "documents").groupBy(F.col("lang").alias("venue")).agg(F.count("*").cast("int").alias("capacity"))
+    capacity = counts.select("venue", (F.row_number().over(Window.orderBy("venue")) - 1).alias("venue_idx"), F.expr("int(capacity div 50)").alias("initial"), "capacity")
+    return sampling.waterfill(capacity, 400)
+
+
+@query(
+    "split_summary",
+    f"""
+WITH {CANDIDATES_SQL},
+s AS (SELECT split, max(n) AS m FROM (SELECT split, source_key, count(*) AS n FROM candidates GROUP BY ALL) GROUP BY split),
+t AS (SELECT split, max(n) AS m FROM (SELECT split, target_key, count(*) AS n FROM candidates GROUP BY ALL) GROUP BY split)
+SELECT c.split, count(*) AS n_rows, count(DISTINCT excerpt_key) AS distinct_excerpt, count(DISTINCT source_key) AS distinct_source, count(DISTINCT target_key) AS distinct_target, any_value(s.m) AS max_per_source, any_value(t.m) AS max_per_target
+FROM candidates c JOIN s USING (split) JOIN t USING (split) GROUP BY c.split""",
+)
+def split_summary(spark, d):
+    return curation.split_summary(candidates(spark, d), "split")
+
+
+@query(
+    "split_overlap_matrix",
+    f"WITH {CANDIDATES_SQL} "
+    + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n FROM (SELECT {k}_key FROM candidates WHERE split = 'train' INTERSECT SELECT {k}_key FROM candidates WHERE split = 'test')" for k in ("excerpt", "source", "target")),
+)
+def split_overlap(spark, d):
+    rows = candidates(spark, d)
+    return curation.overlap_counts(rows.filter("split = 'train'"), rows.filter("split = 'test'"))
+
+
+GATE_SQL = """
+WITH rows AS (
+  SELECT doc_id, CASE WHEN n_chars % 17 = 0 THEN '' ELSE (n_chars % 211)::varchar END AS id, CASE WHEN n_chars % 13 = 0 THEN '20x5' ELSE (2024 + n_chars % 2)::varchar END AS year,
+    substr(text, 1, 60) || CASE WHEN n_chars % 5 = 0 THEN '' ELSE ' [CITATION]' END AS excerpt FROM documents),
+marked AS (SELECT *, trim(id) = '' OR trim(excerpt) = '' AS missing FROM rows),
+gated AS (
+  SELECT doc_id, CASE WHEN missing THEN 'missing_required_value' WHEN row_number() OVER (PARTITION BY missing, id ORDER BY doc_id) > 1 THEN 'duplicate_id' WHEN try_cast(year AS int) IS NULL THEN 'invalid_year'
+    WHEN try_cast(year AS int) <> 2024 THEN 'wrong_year' WHEN len(string_split(excerpt, '[CITATION]')) - 1 <> 1 THEN 'citation_marker_count' END AS reason FROM marked)"""
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.when(n % 17 == 0, "").otherwise((n % 211).cast("string")).alias("id"), F.when(n % 13 == 0, "20x5").otherwise((2024 + n % 2).cast("string")).alias("year"),
+        F.concat(F.substring("text", 1, 60), F.when(n % 5 == 0, "").otherwise(" [CITATION]")).alias("excerpt"),
+    )
+    return curation.candidate_gate(rows, ["id", "excerpt"], "year", 2024, "excerpt", "id", "doc_id")
+
+
+@query("quality_gate_first_reason", GATE_SQL + " SELECT doc_id, reason FROM gated")
+def quality_gate(spark, d):
+    return _gated(spark, d).select("doc_id", "reason")
+
+
+@query("quality_gate_counts", GATE_SQL + " SELECT reason, count(*) AS n FROM gated WHERE reason IS NOT NULL GROUP BY reason")
+def quality_gate_counts(spark, d):
+    return curation.reason_counts(_gated(spark, d))
+
+
+MARKED_SQL = "'[' || (doc_id % 7 + 1) || ', ' || (doc_id % 5 + 8) || '-' || (doc_id % 5 + 10) || ']'"
+
+
+@query(
+    "numeric_citation_expand",
+    rf"""
+WITH m AS (SELECT doc_id, {MARKED_SQL} AS marker, substr({SPACES.format('text')}, 1, 80) || ' ' || {MARKED_SQL} || ' follows.' AS sentence, [(doc_id % 7 + 1)::varchar, (doc_id % 5 + 8)::varchar, (doc_id % 5 + 9)::varchar, (doc_id % 5 + 10)::varchar] AS keys FROM documents),
+e AS (SELECT *, unnest(keys) AS reference_key FROM m)
+SELECT doc_id, marker, reference_key, replace(sentence, marker, '[' || array_to_string(list_transform(keys, lambda k: CASE WHEN k = reference_key THEN 'CITATION' ELSE k END), ', ') || ']') AS excerpt FROM e""",
+)
+def numeric_expand(spark, d):
+    i = F.col("doc_id")
+    marker = F.concat(F.lit("["), (i % 7 + 1).cast("string"), F.lit(", "), (i % 5 + 8).cast("string"), F.lit("-"), (i % 5 + 10).cast("string"), F.lit("]"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.substring(text.spaces(F.col("text")), 1, 80), F.lit(" "), marker, F.lit(" follows.")).alias("sentence"))
+    groups = rows.select("doc_id", "sentence", F.explode(citations.numeric_groups(F.col("sentence"))).alias("g"))
+    each = groups.select("doc_id", "sentence", "g", F.explode("g.keys").alias("reference_key"))
+    return each.select("doc_id", F.col("g.marker").alias("marker"), "reference_key", citations.excerpt(F.col("sentence"), F.col("g.marker"), citations.numeric_rendering(F.col("g.keys"), F.col("reference_key"))).alias("excerpt"))
+
+
+@query(
+    "reference_entries_islands",
+    rf"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(len(ls)))::int AS i, unnest(ls) AS raw FROM l),
+y AS (SELECT doc_id, i, {SPACES.format('raw')} AS chunk, i % 3 = 1 AS opens, (i // 3 % 4 + 1)::varchar AS number FROM x),
+z AS (SELECT *, sum(opens::int) OVER (PARTITION BY doc_id ORDER BY i) AS entry FROM y WHERE chunk <> '' OR opens),
+e AS (SELECT doc_id, entry, max(number) FILTER (opens) AS reference_key, {SPACES.format("string_agg(chunk, ' ' ORDER BY i)")} AS reference_text FROM z WHERE entry > 0 GROUP BY doc_id, entry)
+SELECT doc_id, reference_key, arg_max(reference_text, entry) AS reference_text FROM e WHERE reference_text <> '' GROUP BY doc_id, reference_key""",
+)
+def reference_islands(spark, d):
+    """Every third line of a document opens a numbered entry; numbers repeat."""
+    mark = lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("["), (F.floor(i / 3) % 4 + 1).cast("string"), F.lit("] "), x)).otherwise(x)
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("refs"))
+    return citations.numeric_reference_map(docs, "doc_id", "refs")
+
+
+@query(
+    "author_year_ambiguity",
+    r"""
+WITH e AS (SELECT lang, regexp_extract(text, '[A-Za-z]+') AS name, (1990 + n_chars % 30)::varchar AS year, left(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 20) AS rest FROM documents),
+k AS (SELECT lang, lower(name) || '-' || year AS reference_key, name || ', A. and Other, B. ' || year || '. ' || rest || '.' AS reference_text FROM e WHERE name <> '' AND lower(name) NOT IN ('et', 'al'))
+SELECT lang, reference_key, max(reference_text) AS reference_text FROM k GROUP BY ALL HAVING count(DISTINCT reference_text) = 1""",
+)
+def author_year_ambiguity(spark, d):
+    name = F.regexp_extract("text", "[A-Za-z]+", 0)
+    rest = F.left(F.regexp_replace("text", "[^A-Za-z]+", " "), F.lit(20))
+    entry = F.concat(name, F.lit(", A. and Other, B. "), (1990 + F.col("n_chars") % 30).cast("string"), F.lit(". "), rest, F.lit("."))
+    rows = table(spark, d, "documents").select("lang", entry.alias("reference_text")).withColumn("reference_key", citations.author_year_key(F.col("reference_text"))).filter("reference_key IS NOT NULL")
+    return rows.groupBy("lang", "reference_key").agg(F.count_distinct("reference_text").alias("n"), F.max("reference_text").alias("reference_text")).filter("n = 1").drop("n")
+
+
+@query("citing_sentences_author_year")
+def citing_author_year(spark, d):
+    """Narrative and parenthetical markers built into each document; spans are kept by a Python function, see its test."""
+    i = F.col("doc_id")
+    body = F.concat(F.lit("As Smith et al. (2019) have shown, words of a long passage stand here. Others disagree with it in most of what they write (Jones, 2020; Miller and Lee, 2018). "), F.substring("text", 1, 200))
+    docs = table(spark, d, "documents").select(i.alias("paper_key"), body.alias("body"))
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f"Entry of {k}").alias("t")) for k in ("smith-2019", "jones-2020", "miller-2018")]))
+    refs = docs.select("paper_key", keys.alias("r")).select("paper_key", F.col("r.k").alias("reference_key"), F.col("r.t").alias("reference_text"))
+    return citations.citing_sentences(docs, refs, "paper_key", "body", "author_year", "any")
+
+
+@query(
+    "body_reference_split",
+    r"""
+WITH t AS (SELECT doc_id, text || chr(10) || 'References' || chr(10) || '[1] An entry.' || chr(10) || 'more of it' AS t FROM documents)
+SELECT doc_id, length(t) - length(chr(10) || 'References' || chr(10) || '[1] An entry.' || chr(10) || 'more of it') AS n_body, '[1] An entry.' || chr(10) || 'more of it' AS refs
+FROM t WHERE NOT regexp_matches(lower(t), '\n\s*(\d+(\.\d+)*)?\s*(references|bibliography)\s*\n(.|\n)*\n\s*(\d+(\.\d+)*)?\s*(references|bibliography)\s*\n')""",
+)
+def body_split(spark, d):
+    tail = "\nReferences\n[1] An entry.\nmore of it"
+    rows = table(spark, d, "documents").select("doc_id", citations.body_and_references(F.concat(F.col("text"), F.lit(tail))).alias("s"), F.rtrim(F.col("text"), F.lit(" \n")).alias("head"))
+    return rows.select("doc_id", F.char_length("s.body").cast("long").alias("n_body"), "s.refs")
+
+
+@query(
+    "discoverability_queries",
+    rf"""
+WITH s AS (SELECT doc_id, substr({SPACES.format('text')}, 1, 120) AS a, substr({SPACES.format('text')}, 121, 120) AS b FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(lower(a || '   ' || b), '[a-z0-9]+') AS w, regexp_extract_all(lower(a), '[a-z0-9]+') AS wa, regexp_extract_all(lower(b), '[a-z0-9]+') AS wb FROM s),
+c AS (SELECT *, list_filter(w, lambda x: x NOT IN ({{stop}})) AS cw, list_filter(wa, lambda x: x NOT IN ({{stop}})) AS ca, list_filter(wb, lambda x: x NOT IN ({{stop}})) AS cb FROM t),
+q AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN array_to_string(w[1:14], ' ') END AS q1, CASE WHEN len(cw) >= 3 THEN array_to_string(cw[1:8], ' ') END AS q2,
+  CASE WHEN least(len(ca), 6) + least(len(cb), 6) >= 3 THEN array_to_string(list_concat(ca[greatest(len(ca) - 5, 1):len(ca)], cb[1:6]), ' ') END AS q3 FROM c)
+SELECT doc_id, q1 AS first, CASE WHEN q2 IS DISTINCT FROM q1 THEN q2 END AS second, CASE WHEN q3 IS DISTINCT FROM q1 AND q3 IS DISTINCT FROM q2 THEN q3 END AS third FROM q""".replace(
+        "{stop}", ", ".join(f"'{w}'" for w in text.STOPWORDS)
+    ),
+)
+def discoverability(spark, d):
+    flat = text.spaces(F.col("text"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.substring(flat, 1, 120), F.lit(" [CITATION] "), F.substring(flat, 121, 120)).alias("excerpt"))
+    bare = F.replace(F.col("excerpt"), F.lit(text.MARKER), F.lit(" "))
+    tokens = text.query_tokens(bare)
+    content = text.content_tokens(tokens)
+    # each query by its rule, null where the rule gives none or an earlier one
+    q1, q2, q3 = F.when(F.size(tokens) >= 4, F.array_join(F.slice(tokens, 1, 14), " ")), F.when(F.size(content) >= 3, F.array_join(F.slice(content, 1, 8), " ")), text.window_query(F.col("excerpt"))
+    has = lambda q: F.array_contains(text.discoverability_queries(F.col("excerpt")), q)
+    return rows.select("doc_id", F.when(has(q1), q1).alias("first"), F.when(has(q2) & ~q2.eqNullSafe(q1), q2).alias("second"), F.when(has(q3) & ~q3.eqNullSafe(q1) & ~q3.eqNullSafe(q2), q3).alias("third"))
+
+
+@query(
+    "paper_search_topk",
+    rf"""
+WITH papers AS (SELECT item_id::varchar AS paper_id, text AS title FROM benchmark),
+asked AS (SELECT doc_id AS query_id, substr({SPACES.format('text')}, 1, 100) AS query FROM documents),
+qt AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda x: x NOT IN ({{stop}}))) AS w FROM asked),
+pt AS (SELECT paper_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: x NOT IN ({{stop}})))) AS token FROM papers),
+hits AS (SELECT query_id, paper_id, any_value(len(w)) AS n, count(*) AS shared FROM (SELECT query_id, w, unnest(w) AS token FROM qt) JOIN pt USING (token) GROUP BY query_id, paper_id)
+SELECT * FROM (SELECT query_id, paper_id, shared / n AS score, row_number() OVER (PARTITION BY query_id ORDER BY shared / n DESC, paper_id)::int AS rank FROM hits) WHERE rank <= 3""".replace(
+        "{stop}", ", ".join(f"'{w}'" for w in text.STOPWORDS)
+    ),
+)
+def paper_search(spark, d):
+    papers = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("paperId"), F.col("text").alias("title"), F.lit("").alias("abstract"))
+    asked = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring(text.spaces(F.col("text")), 1, 100).alias("query"))
+    return retrieval.search(asked, papers, 3)
+
+
+@query("reference_resolution")
+def reference_resolution(spark, d):
+    """Benchmark items as references, documents' openings as papers; the ratio is Python's, see its test."""
+    papers = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paperId"), F.substring(text.spaces(F.col("text")), 1, 80).alias("title"), F.lit(None).cast("string").alias("abstract"), (2000 + F.col("n_chars") % 25).cast("int").alias("year"))
+    refs = table(spark, d, "benchmark").select(F.col("item_id").alias("reference_id"), F.col("text").alias("reference_text"), text.resolution_queries(F.col("text")).alias("queries"))
+    return retrieval.resolve(refs, papers, least=0.0)
+
+
+@query("title_ratio")
+def title_ratio(spark, d):
+    """difflib's ratio of each document's two openings."""
+    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 41, 40).alias("b"))
+    return docs.select("doc_id", similarity.sequence_ratio("a", "b").alias("ratio"), similarity.is_similar(F.col("a"), F.col("b"), 0.5).alias("similar"))
+
+
+def audit_rows(spark: SparkSession, d: str) -> DataFrame:
+    i, n = F.col("doc_id"), F.col("n_chars")
+    flat = text.spaces(F.col("text"))
+    return table(spark, d, "documents").select(
+        i, i.cast("string").alias("id"), F.concat(F.col("lang"), F.lit(".csv")).alias("source_file"), F.substring(flat, 1, 30).alias("source_paper_title"), F.concat(F.lit("https://papers.example.org/paper/2024/"), i.cast("string")).alias("source_paper_url"),
+        F.when(n % 11 == 0, "[4]").otherwise("[3]").alias("citation_marker"), F.when(n % 6 == 0, F.concat(F.lit("smith-"), (1995 + n % 30).cast("string"))).alias("reference_key"), F.concat(F.substring(flat, 1, 90), F.lit(" [3]"), F.when(n % 3 == 0, "").otherwise(".")).alias("raw_sentence"),
+        F.concat(F.lit("A. Author. "), F.substring(flat, 101, 40), F.lit(". doi url "), F.when(n % 9 == 0, "doi arxiv").otherwise("")).alias("raw_reference"), F.concat(F.lit("ARXIV:"), i.cast("string")).alias("resolved_paper_id"),
+        F.when(n % 4 == 0, F.substring(flat, 101, 40)).when(n % 4 == 1, F.substring(flat, 1, 30)).otherwise(F.substring(flat, 141, 40)).alias("resolved_title"), (2000 + n % 25).cast("int").alias("resolved_year"), F.lit(None).cast("string").alias("resolution_query"),
+        ((n % 100) / 100.0).alias("resolution_score"), F.when(n % 10 == 0, 2).otherwise(1).alias("sentence_citation_count"),
+    )
+
+
+AUDIT_SQL = rf"""
+WITH f AS (SELECT doc_id, lang, n_chars AS n, {SPACES.format('text')} AS t FROM documents),
+a AS (SELECT doc_id, n, lang || '.csv' AS source_file, substr(t, 1, 30) AS src, CASE WHEN n % 11 = 0 THEN '[4]' ELSE '[3]' END AS marker, CASE WHEN n % 6 = 0 THEN 1995 + n % 30 END AS ky,
+  {SPACES.format("substr(t, 1, 90) || ' [3]' || CASE WHEN n % 3 = 0 THEN '' ELSE '.' END")} AS sentence, 'A. Author. ' || substr(t, 101, 40) || '. doi url ' || CASE WHEN n % 9 = 0 THEN 'doi arxiv' ELSE '' END AS reference,
+  CASE n % 4 WHEN 0 THEN substr(t, 101, 40) WHEN 1 THEN substr(t, 1, 30) ELSE substr(t, 141, 40) END AS title, 2000 + n % 25 AS y, (n % 100) / 100.0 AS score, n % 10 = 0 AS multi FROM f),
+k AS (SELECT *, {TITLE.format('src')} AS sk, {TITLE.format('title')} AS tk, len(regexp_extract_all(lower(reference), '\b(doi|url|arxiv)\b')) >= 4 AS spill, {TITLE.format('substr(reference, 1, 900)')} AS prefix FROM a),
+g AS (SELECT *, list_filter([CASE WHEN {SPACES.format('src')} = '' THEN 'missing_source_paper_title' END, CASE WHEN {SPACES.format('title')} = '' THEN 'missing_resolved_title' END, CASE WHEN NOT contains(sentence, marker) THEN 'citation_marker_absent_from_raw_sentence' END, CASE WHEN multi THEN 'not_single_citation_context' END], lambda x: x IS NOT NULL) AS failures,
+  list_filter([CASE WHEN spill THEN 'bibliography_span_spillover' END, CASE WHEN abs(ky - y) > 1 THEN 'citation_year_disagreement' END, CASE WHEN score < 0.65 THEN 'low_resolution_score' END, CASE WHEN sentence[-1] NOT IN ('.', '!', '?', ')', ']', '}}', '”', '’', '"', '''') THEN 'possibly_truncated_passage' END,
+    CASE WHEN sk <> '' AND sk = tk THEN 'resolved_to_source_paper' END, CASE WHEN spill AND score < 0.80 THEN 'spillover_with_weak_match' END, CASE WHEN length(sentence) < 40 THEN 'very_short_passage' END], lambda x: x IS NOT NULL) AS flags,
+  tk <> '' AND tk <> sk AND contains(prefix, tk) AND coalesce(abs(ky - y) <= 1, true) AS evidence FROM k)"""
+
+
+@query(
+    "audit_decisions",
+    AUDIT_SQL
+    + """ SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'reject' WHEN len(failures) > 0 THEN 'reject' WHEN len(flags) > 0 AND evidence AND NOT list_has_any(flags, ['resolved_to_source_paper', 'citation_year_disagreement']) THEN 'accept' WHEN len(flags) > 0 THEN 'review' ELSE 'accept' END AS action,
+CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'confirmed_invalid_context' WHEN len(failures) > 0 THEN array_to_string(failures, ',') WHEN len(flags) > 0 AND evidence AND NOT list_has_any(flags, ['resolved_to_source_paper', 'citation_year_disagreement']) THEN 'exact_resolved_title_in_reference_prefix,citation_year_consistent'
+WHEN len(flags) > 0 THEN array_to_string(list_sort(flags), ',') ELSE '' END AS reasons FROM g""",
+)
+def audit_decisions(spark, d):
+    return _decided(spark, d).select("doc_id", "decision.action", F.array_join("decision.reasons", ",").alias("reasons"))
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    rows = audit_rows(spark, d)
+    exclusions = table(spark, d, "labels").filter("quality = 0").select("doc_id").join(rows.select("doc_id", "source_file", "id"), "doc_id").select("source_file", "id")
+    none = rows.limit(0)
+    adjudications = none.select("source_file", "id", F.lit("").alias("action"), F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("map<string,string>").alias("revision"), F.lit("").alias("authority"))
+    corrections = none.select("source_file", "id", F.lit("").alias("reason"), F.lit("").alias("paper_id"), F.lit("").alias("title"), F.lit(0).alias("year"))
+    return audit.decide(rows, adjudications, exclusions, corrections)
+
+
+@query(
+    "review_flag_counts",
+    AUDIT_SQL + """ SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter(flags, lambda x: x NOT IN ('very_short_passage', 'possibly_truncated_passage'))) AS flag FROM g) GROUP BY flag""",
+)
+def review_flag_counts(spark, d):
+    return audit.flag_counts(audit_rows(spark, d))
+
+
+@query("href_extract", r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]+)"[^>]*>.*?</a>', 1) AS h FROM pages) SELECT page_id, unnest(range(len(h)))::int AS place, unnest(h) AS href FROM l""")
+def href_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(listings.extract_anchors("html", "url")).alias("place", "a")).select("page_id", "place", F.col("a.raw_href").alias("href"))
+
+
+@query("link_targets", r"SELECT page_id, regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(.*)$', 1), '/+$', '')), '\.pdf$', '') AS target FROM pages")
+def link_targets(spark, d):
+    return table(spark, d, "pages").select("page_id", identifiers.link_target(F.col("url")).alias("target"))
+
+
+@query(
+    "conversation_role_tokens",
+    r"""WITH n AS (SELECT conv_id, role, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM conversations)
+SELECT conv_id, coalesce(sum(n) FILTER (role IS DISTINCT FROM 'assistant'), 0)::bigint AS input_tokens, coalesce(sum(n) FILTER (role = 'assistant'), 0)::bigint AS output_tokens FROM n GROUP BY conv_id""",
+)
+def role_tokens(spark, d):
+    return evaluation.tokens_by_role(table(spark, d, "conversations"))
+
+
+@query("last_turn_state", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1")
+def last_turn_state(spark, d):
+    return evaluation.last_turn(table(spark, d, "conversations"))
+
+
+RUNS_SQL = """
+WITH r AS (SELECT (conv_id % 4) / 10.0 AS temperature, turn AS run, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE role = 'assistant' END AS is_correct, CASE WHEN length(text) % 4 > 0 THEN text END AS selected, CASE WHEN length(text) % 7 = 0 THEN 'error' ELSE 'ok' END AS status FROM conversations),
+m AS (SELECT temperature, run, count(*) AS examples, count(*) FILTER (is_correct) AS correct, count(selected) AS selected, count(*) FILTER (status = 'error') AS errors FROM r GROUP BY ALL),
+s AS (SELECT *, correct / examples AS accuracy, selected / examples AS selection_rate FROM m)"""
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    n = F.char_length("text")
+    rows = table(spark, d, "conversations").select(
+        ((F.col("conv_id") % 4) / 10.0).alias("temperature"), F.col("turn").alias("run"), F.when(n % 3 != 0, F.col("role") == "assistant").alias("is_correct"), F.when(n % 4 > 0, F.col("text")).alias("selected"), F.when(n % 7 == 0, "error").otherwise("ok").alias("status")
+    )
+    return evaluation.run_metrics(rows, "temperature", "run")
+
+
+@query("run_metrics", RUNS_SQL + " SELECT temperature, run, examples, correct, selected, errors, round(accuracy, 9) AS accuracy, round(selection_rate, 9) AS selection_rate FROM s")
+def run_metrics(spark, d):
+    return _runs(spark, d).withColumns({c: F.round(c, 9) for c in ("accuracy", "selection_rate")})
+
+
+@query(
+    "sweep_summary",
+    RUNS_SQL
+    + " SELECT temperature, count(*) AS runs, round(avg(accuracy), 9) AS mean_accuracy, round(coalesce(stddev_samp(accuracy), 0), 9) AS stdev_accuracy, round(min(accuracy), 9) AS min_accuracy, round(max(accuracy), 9) AS max_accuracy, round(avg(selection_rate), 9) AS mean_selection_rate, sum(errors)::bigint AS errors FROM s GROUP BY temperature",
+)
+def sweep_summary(spark, d):
+    out = evaluation.sweep_summary(_runs(spark, d))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_accuracy", "stdev_accuracy", "min_accuracy", "max_accuracy", "mean_selection_rate")})
+
+
+@query(
+    "citation_count_topk",
+    """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey)
+SELECT p_partkey AS paper_id, p_name AS title, n AS citations FROM part LEFT JOIN c ON l_partkey = p_partkey ORDER BY n DESC NULLS LAST, p_partkey LIMIT 25""",
+)
+def citation_topk(spark, d):
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("citationCount"))
+    found = table(spark, d, "part").join(counts, "p_partkey", "left").select("p_partkey", F.col("p_name").alias("title"), "citationCount", F.col("p_partkey").alias("rank"))
+    return retrieval.citation_count_topk(found, None, 25, fetch=2_147_483_647).select(F.col("p_partkey").alias("paper_id"), "title", F.col("citationCount").alias("citations"))
+
+
+@query(
+    "public_release_projection",
+    rf"""
+WITH f AS (SELECT doc_id, n_chars AS n, {SPACES.format('text')} AS t FROM documents)
+SELECT doc_id::varchar AS id, substr(sha256('https://papers.example.org/paper/2024/' || doc_id || '|' || doc_id), 1, 20) AS release_id, 2024 AS year, sha256({SPACES.format("substr(t, 1, 90) || ' [3]' || CASE WHEN n % 3 = 0 THEN '' ELSE '.' END")}) AS passage_sha256, 'passage_sha256' AS locator_type,
+  CASE WHEN n % 11 = 0 THEN '[4]' ELSE '[3]' END AS citation_marker FROM f""",
+)
+def release_projection(spark, d):
+    return _released(spark, d).select("id", "release_id", "year", "passage_sha256", "locator_type", "citation_marker")
+
+
+def _released(spark: SparkSession, d: str) -> DataFrame:
+    rows = audit_rows(spark, d).withColumns({"manual_exclusion": F.lit(None).cast("string"), "domain": F.lit("Computer Science"), "body_sentence_index": F.lit(None).cast("int")})
+    manifest = rows.select("source_paper_url", "source_paper_title", F.lit(None).cast("string").alias("pdf_url"), F.lit(None).cast("int").alias("year")).limit(0)
+    members = rows.select("source_file", F.col("id").alias("original_id"), F.lit("train").alias("split")).limit(0)
+    return release.release_records(rows, manifest, members)
+
+
+@query("release_report", "SELECT count(*) AS n_records, 0::bigint AS n_duplicate_ids, 0::bigint AS n_missing_url, count(*) AS n_fingerprint_locators, 0::bigint AS n_index_locators, 0::bigint AS n_in_splits, 0 AS n_forbidden_fields FROM documents")
+def release_report(spark, d):
+    return release.release_report(_released(spark, d))
+
+
+@query(
+    "reconstruct_verify",
+    f"""
+WITH s AS (SELECT doc_id, {SENTENCES_SQL.format(BODY_SQL.format('text'))} AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(len(l)))::int AS i, unnest(l) AS sentence FROM s),
+n AS (SELECT doc_id, sentence, count(*) AS c FROM x GROUP BY ALL)
+SELECT doc_id || '/' || i AS id, CASE WHEN i % 2 = 0 OR c = 1 THEN 'ok' ELSE 'error' END AS status, CASE WHEN i % 2 = 0 OR c = 1 THEN '[CITATION]' || substr(sentence, 2) END AS excerpt,
+  CASE WHEN i % 2 = 1 AND c <> 1 THEN 'expected one matching sentence, found ' || c END AS error FROM x JOIN n USING (doc_id, sentence)""",
+)
+def reconstruct_verify(spark, d):
+    """Each sentence is a record, by index if that is even, else by fingerprint; its marker is its first character."""
+    each = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_paper_url"), F.posexplode(text.sentences(text.body_text(F.col("text")))).alias("body_sentence_index", "sentence"))
+    records = each.select(
+        F.concat_ws("/", "source_paper_url", F.col("body_sentence_index").cast("string")).alias("id"), "source_paper_url", F.when(F.col("body_sentence_index") % 2 == 0, F.col("body_sentence_index")).alias("locator_index"), text.fingerprint(F.col("sentence")).alias("passage_sha256"), F.left("sentence", F.lit(1)).alias("citation_marker")
+    )
+    return release.reconstruct(records, each)
+
+
+@query(
+    "training_record_nested",
+    f"""WITH {CANDIDATES_SQL} SELECT doc_id AS row_id, venue, substr(text, 1, 100) AS excerpt, sha256(target_key) AS ground_truth FROM candidates""",
+)
+def training_records(spark, d):
+    rows = candidates(spark, d).select(F.col("doc_id").alias("id"), "venue", F.substring("text", 1, 100).alias("excerpt"), F.lit(2024).alias("year"), F.substring("text", 1, 40).alias("source_paper_title"), F.substring("text", 41, 40).alias("target_paper_title"), F.col("source_key").alias("title_key"), "target_key")
+    targets = rows.select("id", "title_key", F.sha2("target_key", 256).alias("target_id"))
+    out = evaluation.training_records(rows, targets, "Find the cited paper.")
+    return out.select("extra_info.row_id", "extra_info.venue", F.col("prompt")[1]["content"].alias("excerpt"), F.col("reward_model.ground_truth").alias("ground_truth"))
+
+
+@query(
+    "paper_urls_and_pdfs",
+    r"""
+WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ARXIV:' WHEN 1 THEN 'DOI:' WHEN 2 THEN 'URL:' ELSE '' END || page_id AS pid,
+  CASE page_id % 3 WHEN 0 THEN 'https://openaccess.thecvf.com/content/C2024/html/' || page_id || '.html' WHEN 1 THEN 'https://papers.nips.cc/paper_files/paper/2023/hash/' || page_id || '-Abstract-Main.html' ELSE url END AS u FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://arxiv.org/abs/' || page_id WHEN 1 THEN 'https://doi.org/' || page_id WHEN 2 THEN page_id::varchar ELSE 'https://www.semanticscholar.org/paper/' || page_id END AS paper_url,
+  CASE page_id % 3 WHEN 0 THEN 'https://openaccess.thecvf.com/content/C2024/papers/' || page_id || '.pdf' WHEN 1 THEN 'https://papers.nips.cc/paper_files/paper/2023/hash/' || page_id || '-Paper-Main.pdf' END AS pdf_url,
+  CASE page_id % 3 WHEN 0 THEN 'https://openaccess.thecvf.com/content/C2024/papers/' || page_id || '.pdf' WHEN 1 THEN 'https://papers.nips.cc/paper_files/paper/2023/file/' || page_id || '-Paper-Main.pdf' END AS derived_url,
+  coalesce(nullif(regexp_extract(u, '(?:19|20)\d{2}'), '')::int) AS year FROM u""",
+)
+def paper_urls(spark, d):
+    i = F.col("page_id").cast("string")
+    rows = table(spark, d, "pages").select(
+        "page_id",
+        F.concat(F.element_at(F.array(*[F.lit(p) for p in ("ARXIV:", "DOI:", "URL:", "")]), (F.col("page_id") % 4 + 1).cast("int")), i).alias("pid"),
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://openaccess.thecvf.com/content/C2024/html/"), i, F.lit(".html"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://papers.nips.cc/paper_files/paper/2023/hash/"), i, F.lit("-Abstract-Main.html"))).otherwise(F.col("url")).alias("u"),
+    )
+    return rows.select("page_id", identifiers.paper_url(F.col("pid")).alias("paper_url"), identifiers.infer_pdf_url(F.col("u"), F.lit(None).cast("string")).alias("pdf_url"), identifiers.derived_pdf_url(F.col("u")).alias("derived_url"), identifiers.infer_year(F.col("u"), F.lit(None).cast("int")).alias("year"))
+
+
+@query("identifier_match", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS matches FROM customer")
+def identifier_match(spark, d):
+    k, s = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    target = F.when(k == 0, F.concat(F.lit("P"), s)).when(k == 1, F.concat(F.lit("DOI:10.1/"), s)).when(k == 2, F.concat(F.lit("URL:https://x.example/"), s, F.lit("/"))).otherwise(F.lit("CorpusId:none"))
+    return table(spark, d, "customer").select("c_custkey", identifiers.identifier_matches(F.concat(F.lit("p"), s), F.create_map(F.lit("DOI"), F.concat(F.lit("10.1/"), s)), F.concat(F.lit("https://X.example/"), s), target).alias("matches"))
+
+
+@query("next_id_report", "SELECT coalesce(max(o_orderkey), 99999) + 1 AS next_id FROM orders")
+def next_id_report(spark, d):
+    return curation.next_id(table(spark, d, "orders"), "o_orderkey")
+
+
+@query("diverse_sample_greedy")
+def diverse_sample(spark, d):
+    """A quota of 50 from each venue; sequential, so compared with a plain loop in the tests."""
+    rows = curation.first_wins(candidates(spark, d), ["excerpt_key"], ["doc_id"])
+    return sampling.diverse_sample(rows.withColumn("source_key", F.col("source")), "venue", 50, "doc_id")
+
+
+@query("holdout_disjoint")
+def holdout_disjoint(spark, d):
+    """12 rows of each venue held out; sequential, see diverse_sample_greedy."""
+    return sampling.hold_out(candidates(spark, d).withColumn("source_key", F.col("source")), "venue", 12, "doc_id")
+
+
+@query(
+    "trajectory_replay",
+    """
+WITH a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, role FROM conversations),
+s AS (SELECT conv_id, min(i) FILTER (role = 'assistant' AND i <= 5) AS chosen, count(*) AS n, min(i) FILTER (role = 'user') AS searched FROM a GROUP BY conv_id)
+SELECT conv_id AS trajectory_id, n::int AS n_actions, coalesce(first_pick IS NOT NULL, false) AS correct FROM s LEFT JOIN (
+  SELECT a.conv_id, min(a.i) AS first_pick FROM a JOIN s USING (conv_id) WHERE a.role = 'assistant' AND a.i <= 5 AND searched < a.i GROUP BY a.conv_id) USING (conv_id)""",
+)
+def trajectory_replay(spark, d):
+    """User turns search and find one paper, assistant turns select it; system turns ask."""
+    i = F.col("conv_id").cast("string")
+    paper = F.struct(i.alias("paperId"), F.lit("t").alias("title"), F.create_map().cast("map<string,string>").alias("externalIds"), F.lit("u").alias("url"))
+    name = F.when(F.col("role") == "user", "search_relevance").when(F.col("role") == "assistant", "select").otherwise("ask_for_more_context")
+    log = table(spark, d, "conversations").select(F.col("conv_id").alias("trajectory_id"), "turn", name.alias("name"), F.lit("q").alias("query"), i.alias("paper_id"), F.when(F.col("role") == "user", F.array(paper)).alias("results"))
+    targets = log.select("trajectory_id", F.col("paper_id").alias("target_id")).distinct()
+    return evaluation.replay(log, targets).select("trajectory_id", "n_actions", "correct")
+
+
+@query("snippet_search", f"WITH s AS (SELECT item_id, {SENTENCES_SQL.format('text')} AS l FROM benchmark), x AS (SELECT item_id, unnest(range(len(l)))::int AS sentence_index, unnest(l) AS snippet FROM s) SELECT item_id::varchar AS \"paperId\", sentence_index, snippet FROM x WHERE contains(lower(snippet), 'en')")
+def snippet_search(spark, d):
+    papers = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("paperId"), F.col("text").alias("abstract"))
+    return retrieval.snippets(papers, "EN")
+
