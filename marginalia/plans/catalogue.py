@@ -565,15 +565,15 @@ def next_id_report(spark, d):
 
 @query("diverse_sample_greedy")
 def diverse_sample(spark, d):
-    """A quota of 50 from each venue; sequential, so compared with a plain loop in the tests."""
+    """A quota of 10 from each venue; sequential, so compared with a plain loop in the tests."""
     rows = curation.first_wins(candidates(spark, d), ["excerpt_key"], ["doc_id"])
-    return sampling.diverse_sample(rows.withColumn("source_key", F.col("source")), "venue", 50, "doc_id")
+    return sampling.diverse_sample(rows.withColumn("source_key", F.col("source")), "venue", 10, "doc_id")
 
 
 @query("holdout_disjoint")
 def holdout_disjoint(spark, d):
-    """12 rows of each venue held out; sequential, see diverse_sample_greedy."""
-    return sampling.hold_out(candidates(spark, d).withColumn("source_key", F.col("source")), "venue", 12, "doc_id")
+    """6 rows of each venue held out; sequential, see diverse_sample_greedy."""
+    return sampling.hold_out(candidates(spark, d).withColumn("source_key", F.col("source")), "venue", 6, "doc_id")
 
 
 @query(
