@@ -60,6 +60,10 @@ def curve_column(cells: Sequence[Column], bits: int) -> Column:
     return curve(F.struct(*[c.cast("long").alias(f"c{i}") for i, c in enumerate(cells)]))
 
 
+def _below(edges: Column, value: Column) -> Column:
+    return F.filter(edges, lambda e: e < value)
+
+
 def quantised(df: DataFrame, dims: Sequence[Dimension], bits: int) -> list[Column]:
     """One cell column per dimension. Nulls: cell 0. Numeric cut points are quantiles over all rows."""
     n = 1 << bits
@@ -73,7 +77,7 @@ def quantised(df: DataFrame, dims: Sequence[Dimension], bits: int) -> list[Colum
         if d.numeric:
             value = F.col(d.column).cast("double")
             edges = F.array(*[F.lit(float(e)) for e in cuts[d.column]]) if cuts[d.column] else F.array().cast("array<double>")
-            out.append(F.coalesce(F.size(F.filter(edges, lambda e, v=value: e < v)), F.lit(0)).cast("int"))
+            out.append(F.coalesce(F.size(_below(edges, value)), F.lit(0)).cast("int"))
         else:
             out.append(F.coalesce(F.pmod(F.crc32(F.col(d.column).cast("string").cast("binary")), F.lit(n)), F.lit(0)).cast("int"))
     return out
