@@ -133,3 +133,19 @@ def missing_rows(expected: DataFrame, found: DataFrame, keys: Sequence[str]) ->
 
 def next_id(df: DataFrame, row_id: str = "id", default: int = 99_999) -> DataFrame:
     return df.agg((F.coalesce(F.max(F.col(row_id).cast("long")), F.lit(default)) + 1).alias("next_id"))
+
+
+def leakage_table(overlaps: DataFrame) -> DataFrame:
+    """kind, n, verdict: PASS where two splits share nothing."""
+    return overlaps.withColumn("verdict", F.when(F.col("n") == 0, "PASS").otherwise("FAIL"))
+
+
+def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """Rows offset + 1 to offset + limit by order."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def batch_numbers(df: DataFrame, order: Sequence[str], by: str, size: int = 200) -> DataFrame:
+    """df with batch: the number of its run of `size` rows within each group by order, as a batched service is asked."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))

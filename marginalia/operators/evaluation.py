@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import identifier_matches
-from ..functions.similarity import is_similar
+from ..functions.similarity import entity_title, is_similar
 from ..functions.text import word_count
 
 #: Fixed values.
@@ -111,3 +111,9 @@ def training_records(rows: DataFrame, targets: DataFrame, system_prompt: str, da
         F.lit("citation").alias("ability"), F.struct(F.lit("rule").alias("style"), F.col("target_id").alias("ground_truth")).alias("reward_model"),
         F.struct(F.col("id").alias("row_id"), F.col("venue").alias("venue"), F.lit(True).alias("need_tools_kwargs"), F.struct(args.alias("create_kwargs")).alias("tools_kwargs")).alias("extra_info"),
     )
+
+
+def target_ids(metadata: DataFrame, order: str = "_ord") -> DataFrame:
+    """id, title_key, target_id of the last record for each (id, title); records without a target id are skipped."""
+    rows = metadata.filter(F.trim(F.coalesce("resolved_paper_id", F.lit(""))) != "").withColumn("title_key", entity_title("source_paper_title"))
+    return rows.groupBy("id", "title_key").agg(F.max_by("resolved_paper_id", order).alias("target_id"))

@@ -599,3 +599,25 @@ def snippet_search(spark, d):
     papers = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("paperId"), F.col("text").alias("abstract"))
     return retrieval.snippets(papers, "EN")
 
+
+
+@query(
+    "leakage_verdicts",
+    f"WITH {CANDIDATES_SQL}, o AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n FROM (SELECT {k}_key FROM candidates WHERE split = 'train' INTERSECT SELECT {k}_key FROM candidates WHERE split = 'test')" for k in ("excerpt", "source", "target"))
+    + ") SELECT kind, n, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM o",
+)
+def leakage_verdicts(spark, d):
+    rows = candidates(spark, d)
+    return curation.leakage_table(curation.overlap_counts(rows.filter("split = 'train'"), rows.filter("split = 'test'")))
+
+
+@query("offset_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def offset_page(spark, d):
+    """A page of results is the feature: rows 41 to 60."""
+    return curation.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("k")), ["k", "o_orderkey"], 40, 20).drop("k")
+
+
+@query("service_batches", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 200 AS batch FROM orders")
+def service_batches(spark, d):
+    return curation.batch_numbers(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], "o_orderstatus").select("o_orderkey", "batch")

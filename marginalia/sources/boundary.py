@@ -80,3 +80,20 @@ def cursor_pages(fetch: Callable[[str], tuple[list[dict], str | None]], most: in
 def batches(ids: list[str], size: int = 200) -> Iterator[list[str]]:
     for i in range(0, len(ids), size):
         yield ids[i : i + size]
+
+
+def without_lone_surrogates(value):
+    """Strings, lists and dictionaries as they came from outside, with `?` for what UTF-8 cannot hold: Spark's strings are UTF-8."""
+    if isinstance(value, str):
+        return "".join("?" if 0xD800 <= ord(c) <= 0xDFFF else c for c in value)
+    if isinstance(value, dict):
+        return {without_lone_surrogates(k): without_lone_surrogates(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [without_lone_surrogates(v) for v in value]
+    return value
+
+
+def term_query(terms: list[str], year: int, open_access: bool = True) -> str:
+    """A search expression: any of the terms, in a year, open access if asked for."""
+    any_of = " OR ".join(f'"{t}"' for t in terms)
+    return f"({any_of}) AND {year}[pdat]" + (" AND open access[filter]" if open_access else "")

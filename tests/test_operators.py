@@ -190,6 +190,17 @@ def test_boundary():
     assert [r["n"] for r in boundary.cursor_pages(pages.__getitem__, 1)] == [1]
 
 
+def test_text_from_outside():
+    assert boundary.without_lone_surrogates({"a": ["x\ud800y", 1]}) == {"a": ["x?y", 1]}
+    assert boundary.term_query(["a b", "c"], 2024) == '("a b" OR "c") AND 2024[pdat] AND open access[filter]'
+
+
+def test_target_ids_keep_the_last(spark):
+    rows = [("1", "A Title", "p1", 0), ("1", "a  TITLE", "p2", 1), ("1", "A title", "", 2), ("2", "B", None, 3)]
+    got = evaluation.target_ids(spark.createDataFrame(rows, "id string, source_paper_title string, resolved_paper_id string, _ord int")).collect()
+    assert [(r["id"], r["title_key"], r["target_id"]) for r in got] == [("1", "a title", "p2")]
+
+
 def test_resume_commits_each_file_once(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     curate = lambda df: df.filter("x > 0")
