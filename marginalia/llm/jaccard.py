@@ -7,8 +7,8 @@
    equal in both. A tile is a band and an equal part. A passage that many texts share fills no tile by itself, as
    its shingles fall into different parts, beside each text's own.
 3. In each tile the first member is compared with all others, and then all pairs that the links so far leave in
-   different components. A bitmap of BITS hashed bits for each set gives an upper bound of the overlap from bit counts;
-   pairs that pass it are decided by intersecting the sorted arrays.
+   different components. A bitmap of DENSITY or more hashed bits for each element of a set gives an upper bound of the
+   overlap from bit counts; pairs that pass it are decided by intersecting the sorted arrays.
 4. Components of the links, with a class as one vertex.
 
 Nothing is capped or sampled: the pigeonhole in 2 and the bound in 3 lose no pair.
@@ -20,15 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 from .components import connected_components
 from .tokens import buffers, inner_windows, mixed, window_hashes, word_hashes
 
-BITS, BAND, SLACK = 512, 1.6, 1.15
-WORDS = BITS // 64
+DENSITY, BAND, SLACK = 4, 1.6, 1.15
 #: Candidates' ids that go to all executors at most; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Sets that a task remembers in order to emit the keys of equal sets once.
@@ -110,13 +109,29 @@ def fingerprints(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of WORDS 64-bit words for each set."""
-    out = np.zeros((len(offsets) - 1, WORDS), np.uint64)
-    h = mixed(flat + np.uint64(0xA0761D6478BD642F)) % np.uint64(BITS)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    np.bitwise_or.at(out, (owner, (h >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
-    return out
+def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words of all bitmaps one after another, where each begins). Lengths are powers of two, so a longer one folds onto a shorter."""
+    n = np.diff(offsets)
+    words = 1 << np.maximum(np.ceil(np.log2(np.maximum(n * DENSITY / 64, 1))).astype(np.int64), 2)
+    starts = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(words, out=starts[1:])
+    owner = np.repeat(np.arange(len(n)), n)
+    h = mixed(flat + np.uint64(0xA0761D6478BD642F)) & (words[owner].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    out = np.zeros(int(starts[-1]), np.uint64)
+    np.bitwise_or.at(out, starts[owner] + (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out, starts
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(x: np.ndarray, nx: int, ys: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bit counts allow the links of one bitmap with each of several: an element whose bit the other lacks is in one set only."""
+    over = np.minimum(nx - np.bitwise_count(x & ~ys).sum(1).astype(np.int64), ny - np.bitwise_count(ys & ~x).sum(1).astype(np.int64))
+    return over * (100 + percent) >= (nx + ny) * percent
 
 
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
@@ -178,14 +193,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield group([ids])
 
 
-def _bound(percent: int, left: str, right: str) -> Column:
-    """Whether bit counts allow the link: an element whose bit the other lacks is in one set only."""
+def _possible(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that bit counts allow."""
 
-    def only(a: str, b: str) -> Column:
-        return sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[i]))) for i in range(WORDS)), F.lit(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(4))
+            keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            xs, ys = batch.column(3), batch.column(5)
+            for i in np.nonzero(keep)[0].tolist():
+                x, y = np.asarray(xs[i].values).view(np.uint64), np.asarray(ys[i].values).view(np.uint64)
+                w = min(len(x), len(y))
+                keep[i] = may_link(folded(x, w), na[i], folded(y, w)[None, :], nb[i : i + 1], percent)[0]
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    overlap = F.least(F.col(f"{left}.n") - only(left, right), F.col(f"{right}.n") - only(right, left))
-    return overlap * (100 + percent) >= (F.col(f"{left}.n") + F.col(f"{right}.n")) * percent
+    left, right = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,16 +236,14 @@ def _tile_pairs(percent: int):
                 sides = []
                 for block in (p, q):
                     s = block.values
-                    sides.append((np.asarray(s.field("id")), np.asarray(s.field("label")), np.asarray(s.field("n")), np.asarray(s.field("bits").flatten()).view(np.uint64).reshape(-1, WORDS)))
-                (ia, la, na, ba), (ib, lb, nb, bb) = sides
+                    sides.append((np.asarray(s.field("id")), np.asarray(s.field("label")), np.asarray(s.field("n")), [np.asarray(b.values).view(np.uint64) for b in s.field("bits")]))
+                least = min(len(b) for side in sides for b in side[3])
+                (ia, la, na, ba), (ib, lb, nb, bb) = ((i, l, n, np.stack([folded(b, least) for b in bits])) for i, l, n, bits in sides)
                 for i in range(len(ia)):
-                    js = np.nonzero(lb != la[i])[0]
+                    js = np.nonzero((lb != la[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])))[0]
                     if same.as_py():
                         js = js[js > i]
-                    if not len(js):
-                        continue
-                    over = np.minimum(na[i] - np.bitwise_count(ba[i] & ~bb[js]).sum(1).astype(np.int64), nb[js] - np.bitwise_count(bb[js] & ~ba[i]).sum(1).astype(np.int64))
-                    js = js[over * (100 + percent) >= (na[i] + nb[js]) * percent]
+                    js = js[may_link(ba[i], na[i], bb[js], nb[js], percent)] if len(js) else js
                     if len(js):
                         other = ib[js]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ia[i])), pa.array(np.maximum(other, ia[i]))], names=["a", "b"])
@@ -256,17 +277,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text: str =
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = shingle_sets(batch.column(1), size)
-            bits = bitmaps(flat, offsets)
-            starts = np.arange(batch.num_rows + 1) * WORDS
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), _lists(bits.ravel(), starts), _lists(flat, offsets)], names=["id", "n", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), _lists(*bitmaps(flat, offsets)), _lists(flat, offsets)], names=["id", "n", "bits", "shingles"])
 
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
     sets = staged(texts.mapInArrow(as_sets, "id long, n long, bits array<long>, shingles array<long>"), "jaccard-sets")
     small = sets.select("id", "n", "bits")
 
     stars = tiles.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, 1 << 30)).alias("b")).distinct()
-    possible = stars.join(small.alias("x"), F.col("a") == F.col("x.id")).join(small.alias("y"), F.col("b") == F.col("y.id")).filter(_bound(percent, "x", "y")).select("a", "b")
-    links = staged(_verified(possible, sets, percent).distinct(), "jaccard-links")
+    links = staged(_verified(_possible(stars, small, percent), sets, percent).distinct(), "jaccard-links")
     found = staged(connected_components(links), "jaccard-found")
 
     # what is left of each tile without its first member, where links have not joined it
