@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of texts' word n-grams.
 
-1. One pass over the texts: each text's set of shingles (64-bit hashes), a 128-bit fingerprint of the set, and its
-   tile keys. Texts with equal sets are one class from here on.
+1. Each text becomes a set of shingles (64-bit hashes) with a 128-bit fingerprint and tile keys; the sets are never stored.
+   Texts with equal sets are one class from here on.
 2. Tiles: sizes are dealt into bands, and a pair belongs to the band of its smaller set. Two sets that are
    similar enough differ in at most d elements (d: the band's bound), so of d + 1 parts or more, dealt by hash, that are not empty one is
    equal in both. A tile is a band and an equal part. A passage that many texts share fills no tile by itself, as
@@ -138,30 +138,40 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64), pa.int64()))
 
 
-def _sketches(documents: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
-    """id, n, f0, f1 of each row, and its tile keys unless the task has seen the set before."""
+def _sketches(documents: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    """id, n and the set's fingerprint f0, f1 of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
         for batch in batches:
             flat, offsets = shingle_sets(batch.column(1), size)
-            n = np.diff(offsets)
             f0, f1 = fingerprints(flat, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(f0), pa.array(f1)], names=["id", "n", "f0", "f1"])
+
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, f0 long, f1 long")
+
+
+def _keyed(documents: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
+    """key, id: the tile keys of each row with an id, unless the task has seen an equal set before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(percent), set()
+        for batch in batches:
+            flat, offsets = shingle_sets(batch.column(1), size)
+            n, ids = np.diff(offsets), np.asarray(batch.column(0))
             fresh = np.zeros(len(n), bool)
-            for i, key in enumerate(zip(f0.tolist(), f1.tolist(), strict=True)):
+            for i, key in enumerate(zip(*(f.tolist() for f in fingerprints(flat, offsets)), strict=True)):
                 if key not in seen:
                     fresh[i] = True
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(key)
-            if batch.column(0).null_count:
-                fresh &= ~np.array(batch.column(0).is_null())
             own = np.maximum(bands.of(n), 0)
             below = np.maximum(bands.smaller_partner(n), 0)
-            a, b = tile_keys(flat, offsets, own, fresh, bands), tile_keys(flat, offsets, below, fresh & (below < own), bands)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f0), pa.array(f1), _lists(*a), _lists(*b)], names=["id", "n", "f0", "f1", "own", "below"])
+            for keys, starts in (tile_keys(flat, offsets, own, fresh, bands), tile_keys(flat, offsets, below, fresh & (below < own), bands)):
+                whose = np.repeat(ids, np.diff(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whose)], names=["key", "id"])
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, f0 long, f1 long, own array<long>, below array<long>")
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL").mapInArrow(run, "key long, id long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +269,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text: str =
     link. Rows that share an id are one vertex, each with its own count. An empty table gives an empty table. Texts are read whole.
     """
     spark = documents.sparkSession
-    sketch = staged(_sketches(documents, id_col, text, size, percent), "jaccard-sketch")
+    sketch = staged(_sketches(documents, id_col, text, size), "jaccard-sketch")
     classes = sketch.filter("n > 0 AND id IS NOT NULL").groupBy("f0", "f1", "n").agg(F.min("id").alias("rep"))
     vertices = staged(sketch.filter("n > 0 AND id IS NOT NULL").select("id", "n", "f0", "f1").join(classes, ["f0", "f1", "n"]).select("id", "rep"), "jaccard-classes")
 
-    keyed = sketch.select("id", F.explode(F.concat("own", "below")).alias("key")).select("key", "id")
+    keyed = _keyed(documents, id_col, text, size, percent)
     groups = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_runs, "members array<long>").distinct()
     groups = staged(groups.withColumn("tile", F.monotonically_increasing_id()), "jaccard-groups")
     # ids become their classes' representatives; tiles with one class or with the same classes as another go
