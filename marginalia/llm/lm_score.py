@@ -7,11 +7,11 @@
 All counts c and N (words) are those of the other documents, so an n-gram that only the document itself has
 backs off. The relational plan, with n-grams as 64-bit hashes:
 
-1. Documents are dealt into chunks by hash; a chunk explodes its n-grams into a sorted list of distinct
-   hashes with counts, cut by ranges of the hash: the parts of the count table.
+1. Documents are dealt into chunks by hash and travel there once, compressed. A chunk explodes its n-grams of one order
+   into a sorted list of distinct hashes with counts, cut by ranges of the hash: the parts of the count table.
 2. Each part adds up the counts of equal hashes over all chunks and joins the sums back to the chunks' lists. As hashes and
    lists are sorted, the sums come back as bare numbers in the list's order.
-3. Trigrams are exploded only where both bigrams stand in other documents; nowhere else can they.
+3. The next order is exploded only where both n-grams that an n-gram holds stand in other documents; nowhere else can it.
 4. A chunk looks its words' counts up and sums the logarithms for each document.
 
 Rows of the shuffles are packed lists, of six bytes for each n-gram of a chunk and about one for each sum. No n-gram is hot:
@@ -20,6 +20,8 @@ a chunk sends each of its n-grams once. Chunks and parts grow in number with the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,9 +95,10 @@ class Chunk:
             out[last] = sums[place] - times[own]
         return out
 
-    def open_trigrams(self, bigrams: np.ndarray) -> np.ndarray:
-        """Positions whose bigram, and that of the word before, stand in other documents."""
-        return (bigrams > 0) & (np.concatenate([[0], bigrams[:-1]]) > 0) if len(bigrams) else np.zeros(0, bool)
+
+def open_places(counts: np.ndarray) -> np.ndarray:
+    """Positions whose n-gram, and that of the word before, stand in other documents: only there can the next order."""
+    return (counts > 0) & (np.concatenate([[0], counts[:-1]]) > 0) if len(counts) else np.zeros(0, bool)
 
 
 LISTS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -134,6 +137,33 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, SUMS)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of a batch: ids and one compressed string of the texts with their lengths."""
+    for batch in batches:
+        chunk = np.asarray(batch.column(0))
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.nonzero(np.diff(chunk[order], prepend=-1, append=-1))[0]
+        rows: dict[str, list] = {"chunk": [], "ids": [], "lengths": [], "size": [], "texts": []}
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = batch.take(pa.array(order[a:b]))
+            data, offsets = buffers(part.column(2))
+            raw = data[offsets[0] : offsets[-1]].tobytes()
+            for name, value in (("chunk", int(chunk[order[a]])), ("ids", part.column(1)), ("lengths", np.diff(offsets).astype(np.int64).tobytes()), ("size", len(raw)), ("texts", pa.compress(raw, "zstd", asbytes=True))):
+                rows[name].append(value)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in rows["ids"]])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(rows["ids"]) if rows["ids"] else batch.column(1).slice(0, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["chunk"], pa.int64()), ids, pa.array(rows["lengths"], pa.binary()), pa.array(rows["size"], pa.int64()), pa.array(rows["texts"], pa.binary())], names=list(rows))
+
+
+def _chunk(table: pa.Table) -> tuple[int, pa.Array, Chunk]:
+    """(number, ids, words) of a chunk from its packed rows."""
+    ids = table["ids"].combine_chunks().flatten()
+    lengths = np.concatenate([np.frombuffer(x, np.int64) for x in table["lengths"].to_pylist()])
+    raw = b"".join(pa.decompress(t, n, "zstd", asbytes=True) if n else b"" for n, t in zip(table["size"].to_pylist(), table["texts"].to_pylist(), strict=True))
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return table["chunk"][0].as_py(), ids, Chunk(pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(raw)))
+
+
 def stupid_backoff(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_words long, log_score (sum of natural logarithms) of every row by all rows' n-grams up to order 3.
 
@@ -144,24 +174,32 @@ def stupid_backoff(documents: DataFrame, id_col: str = "doc_id", text: str = "te
     size = documents.agg(F.sum(F.octet_length(F.coalesce(text, F.lit(""))))).first()[0] or 0
     chunks = int(size // CHUNK_BYTES) + 1
     parts = chunks
+    id_type = documents.schema[id_col].dataType.simpleString()
     dealt = documents.select(F.pmod(F.xxhash64(id_col, text), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    texts = dealt.groupBy("chunk")
+    texts = dealt.mapInArrow(_packed, f"chunk long, ids array<{id_type}>, lengths binary, size long, texts binary").groupBy("chunk")
 
     def first(table: pa.Table) -> pa.Table:
-        chunk, c = table["chunk"][0].as_py(), Chunk(table["text"].combine_chunks())
-        return pa.Table.from_pylist([r for kind in (1, 2) for r in _lists(chunk, kind, *c.grams(kind)[:2], parts)], LISTS)
-
-    def second(table: pa.Table, sums: pa.Table) -> pa.Table:
-        chunk, c = table["chunk"][0].as_py(), Chunk(table["text"].combine_chunks())
-        one, two = _sums_of(sums, 1), _sums_of(sums, 2)
-        rows = _lists(chunk, 3, *c.grams(3, c.open_trigrams(c.others(2, two)))[:2], parts)
-        rows += [{"part": chunk % parts, "chunk": chunk, "kind": k, "hashes": None, "counts": pack_counts(s)} for k, s in ((1, one), (2, two))]
-        return pa.Table.from_pylist(rows, LISTS)
+        chunk, _, c = _chunk(table)
+        return pa.Table.from_pylist(_lists(chunk, 1, *c.grams(1)[:2], parts), LISTS)
+
+    def following(order: int):
+        def explode(table: pa.Table, sums: pa.Table) -> pa.Table:
+            chunk, _, c = _chunk(table)
+            have = {k: _sums_of(sums, k) for k in range(1, order)}
+            counts = c.others(1, have[1])
+            for k in range(2, order):
+                counts = c.others(k, have[k], open_places(counts))
+            rows = _lists(chunk, order, *c.grams(order, open_places(counts))[:2], parts)
+            rows += [{"part": chunk % parts, "chunk": chunk, "kind": k, "hashes": None, "counts": pack_counts(s)} for k, s in have.items()]
+            return pa.Table.from_pylist(rows, LISTS)
+
+        return explode
 
     def third(table: pa.Table, sums: pa.Table) -> pa.Table:
-        c = Chunk(table["text"].combine_chunks())
-        one, two = c.others(1, _sums_of(sums, 1)), c.others(2, _sums_of(sums, 2))
-        three = c.others(3, _sums_of(sums, 3), c.open_trigrams(two))
+        _, ids, c = _chunk(table)
+        one = c.others(1, _sums_of(sums, 1))
+        two = c.others(2, _sums_of(sums, 2), open_places(one))
+        three = c.others(3, _sums_of(sums, 3), open_places(two))
         one_before, two_before = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (one, two))
         by_three, by_two = three > 0, (three == 0) & (two > 0)
         by_one = ~by_three & ~by_two
@@ -172,13 +210,13 @@ def stupid_backoff(documents: DataFrame, id_col: str = "doc_id", text: str = "te
         logs = logs + steps * np.log(BACKOFF)
         n = len(c.bounds) - 1
         add = lambda x: np.bincount(c.text_of, weights=x, minlength=n)
-        return pa.table({"id": table["id"], "n_words": pa.array(np.diff(c.bounds), pa.int64()), "logs": pa.array(add(logs), pa.float64()), "by_one": pa.array(add(by_one).astype(np.int64))})
+        return pa.table({"id": ids, "n_words": pa.array(np.diff(c.bounds), pa.int64()), "logs": pa.array(add(logs), pa.float64()), "by_one": pa.array(add(by_one).astype(np.int64))})
 
     lists = texts.applyInArrow(first, LISTS_DDL)
-    sums = lists.groupBy("part").applyInArrow(_add_up, SUMS_DDL)
-    more = texts.cogroup(sums.groupBy("chunk")).applyInArrow(second, LISTS_DDL)
-    all_sums = more.groupBy("part").applyInArrow(_add_up, SUMS_DDL)
-    id_type = documents.schema[id_col].dataType.simpleString()
+    for order in (2, 3):
+        sums = lists.groupBy("part").applyInArrow(_add_up, SUMS_DDL)
+        lists = texts.cogroup(sums.groupBy("chunk")).applyInArrow(following(order), LISTS_DDL)
+    all_sums = lists.groupBy("part").applyInArrow(_add_up, SUMS_DDL)
     scored = staged(texts.cogroup(all_sums.groupBy("chunk")).applyInArrow(third, f"id {id_type}, n_words long, logs double, by_one long"), "lm-scores")
     total = scored.agg(F.sum("n_words")).first()[0] or 0
     rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1))
