@@ -2,9 +2,10 @@
 
 1. Equal vectors become one class with a count of copies.
 2. Centroids come from spherical k-means on a bounded sample (SAMPLE_PER_CENTROID times their number, at most
-   MAX_CENTROIDS centroids); every class goes to the shards of its `overlap` nearest centroids. A shard beyond SHARD_ROWS is
-   dealt into blocks, and each pair of its blocks is a task, so no task holds more than two blocks.
-3. A task builds the graph of its block: candidates (nearest ones, some at random) are robust-pruned to
+   MAX_CENTROIDS centroids, one for each SHARD_ROWS rows of the shards); every class goes to the shards of its `overlap`
+   nearest centroids. A shard beyond BLOCK_ROWS is dealt into blocks, and each pair of its blocks is a task, so no task holds
+   more than two blocks.
+3. A task builds the graph of its rows: candidates (nearest ones, some at random) are robust-pruned to
    DEGREE neighbours, reversed edges are added to the adjacency lists, and what the medoids do not reach is tied in.
 4. Each vector of the task searches greedily from the medoids with a beam, then expands from all it has found
    within the range (and SLACK around it), its own adjacency list included, until nothing new turns up.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .components import connected_components
 
-SHARD_ROWS, MAX_CENTROIDS, SAMPLE_PER_CENTROID = 2500, 4096, 20
+SHARD_ROWS, BLOCK_ROWS, MAX_CENTROIDS, SAMPLE_PER_CENTROID = 1200, 3000, 4096, 20
 CANDIDATES, RANDOM, DEGREE, ALPHA, MEDOIDS, BEAM, SLACK = 32, 16, 20, 1.2, 16, 32, 0.05
 
 
@@ -215,16 +216,16 @@ def _links_in_shard(pdf: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
     i, j, shard = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["shard"].iloc[0])
     pdf = pdf.sort_values("id", ignore_index=True)
     x = unit(np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1))
-    base = np.nonzero(pdf["block"].to_numpy() == j)[0]
-    asks = np.nonzero(pdf["block"].to_numpy() == i)[0]
-    if not len(base) or not len(asks) or len(pdf) < 2:
+    if len(pdf) < 2:
         return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
-    graph, medoids, full = robust_graph(x[base])
-    q, v = range_search(graph, medoids, full, x[base], x[asks], least, beam, own=i == j)
-    a, b = asks[q], base[v]
+    graph, medoids, full = robust_graph(x)
+    a, b = range_search(graph, medoids, full, x, x, least, beam, own=True)
     a, b = np.minimum(a, b), np.maximum(a, b)
     key = np.unique((a * len(pdf) + b)[a != b])
     a, b = key // len(pdf), key % len(pdf)
+    if i != j:  # pairs within a block are counted in the task of that block alone
+        block = pdf["block"].to_numpy()
+        a, b = a[block[a] != block[b]], b[block[a] != block[b]]
     keep = np.concatenate([np.einsum("id,id->i", x[a[k : k + 200_000]], x[b[k : k + 200_000]]) >= least for k in range(0, len(a), 200_000)]) if len(a) else np.zeros(0, bool)
     a, b = a[keep], b[keep]
     homes = np.array(pdf["homes"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
@@ -258,7 +259,7 @@ def _search(classes: DataFrame, centroids: np.ndarray, dim: int, least: float, o
 
     placed = classes.select("id", "copies", "v").mapInArrow(homes, "id long, copies long, v array<double>, homes array<int>")
     rows = staged(placed.select("id", "copies", "v", "homes", F.explode("homes").alias("shard")), "graph-shards")
-    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("blocks"))  # at most MAX_CENTROIDS rows
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # at most MAX_CENTROIDS rows
     rows = rows.join(F.broadcast(sizes), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     return dealt.groupBy("shard", "i", "j").applyInPandas(lambda pdf: _links_in_shard(pdf, least, beam), "id long, links long, root long")

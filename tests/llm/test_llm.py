@@ -211,6 +211,7 @@ def test_graph_equals_brute_force(spark):
 def test_recall_across_shards_and_blocks(spark, monkeypatch):
     """Recall against brute force with many overlapping shards, each split into blocks."""
     monkeypatch.setattr(graph_dedup, "SHARD_ROWS", 60)
+    monkeypatch.setattr(graph_dedup, "BLOCK_ROWS", 25)
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
