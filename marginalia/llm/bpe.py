@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and the white space of Unicode.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO, SLICE_CHARS = 1_000_000, 4_000_000
+MEMO, SLICE_CHARS = 300_000, 2_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -109,7 +109,7 @@ class TrieBPE:
         last: list[int] = [-1]  # last[i]: last token of the encoding of the path's first i bytes
         before = ""
         pairs, follows, ends, width = self.pairs, self.follows, self.ends.iter, self.width.tolist()
-        if len(pairs) > 4 * MEMO:
+        if len(pairs) > 2 * MEMO:
             pairs.clear()
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
@@ -212,6 +212,7 @@ def encode_decode(df: DataFrame, vocab_path: str, text: str = "text", ids: str =
                 np.cumsum([len(c) for c in coded], out=offsets[1:])
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded) if coded else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, flat, pa.array([bpe.decode(c) for c in coded], pa.string())], names=[*kept, ids, decoded])
+        bpe.chunks.clear()  # the worker may go on to other stages
 
     return src.mapInArrow(run, out_schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 ORDER, DISCOUNT, UNIFORM = 6, 0.75, 1 / 256
 WORD = re.compile(r"[^\W_]+")
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -210,6 +210,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", scor
         for batch in batches:
             scores = [m.score(m.features(words_of(t))) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(scores, pa.float64())], names=[*(kept[i] for i in out), score])
+        m.memo.clear()  # the worker may go on to other stages
 
     return src.mapInArrow(run, src.select(*(kept[i] for i in out), F.lit(0.0).alias(score)).schema)
 
@@ -235,5 +236,6 @@ def without_toxic(documents: DataFrame, model: ToxicityModel, text: str = "text"
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([m.score(m.features(words_of(t))) < least for t in batch.column(at).to_pylist()], pa.bool_()))
+        m.memo.clear()  # the worker may go on to other stages
 
     return documents.mapInArrow(run, documents.schema)
