@@ -14,7 +14,7 @@ backs off. The relational plan, with n-grams as 64-bit hashes:
 3. The next order is exploded only where both n-grams that an n-gram holds stand in other documents; nowhere else can it.
 4. A chunk looks its words' counts up and sums the logarithms for each document.
 
-Rows of the shuffles are packed lists, of six bytes for each n-gram of a chunk and about one for each sum. No n-gram is hot:
+Rows of the shuffles are packed lists, of some six bytes for each n-gram of a chunk and less than one for each sum. No n-gram is hot:
 a chunk sends each of its n-grams once. Chunks and parts grow in number with the corpus, not in size.
 """
 
@@ -35,33 +35,48 @@ BACKOFF = 0.4
 CHUNK_BYTES = 8_000_000
 
 
+ZSTD = pa.Codec("zstd", compression_level=6)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return np.int64([len(raw)]).tobytes() + ZSTD.compress(raw, asbytes=True)
+
+
+def _restored(blob: bytes) -> bytes:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    return ZSTD.decompress(blob[8:], n, asbytes=True) if n else b""
+
+
 def pack_hashes(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted distinct hashes as differences of six bytes; larger differences follow in full."""
+    """Sorted distinct hashes as differences of six bytes, of which the highest, mostly small, is compressed; larger differences follow in full."""
     d = np.diff(sorted_hashes, prepend=np.uint64(0))
     large = np.nonzero(d >= np.uint64(1 << 48))[0]
-    six = np.ascontiguousarray(d).view(np.uint8).reshape(-1, 8)[:, :6]
-    return b"".join([np.int64([len(d), len(large)]).tobytes(), six.tobytes(), large.astype(np.int64).tobytes(), d[large].tobytes()])
+    octets = np.ascontiguousarray(d).view(np.uint8).reshape(-1, 8)
+    top = _squeezed(octets[:, 5].tobytes())
+    return b"".join([np.int64([len(d), len(large), len(top)]).tobytes(), octets[:, :5].tobytes(), large.astype(np.int64).tobytes(), d[large].tobytes(), top])
 
 
 def unpack_hashes(blob: bytes) -> np.ndarray:
-    n, m = np.frombuffer(blob, np.int64, 2).tolist()
+    n, m, _ = np.frombuffer(blob, np.int64, 3).tolist()
     d = np.zeros((n, 8), np.uint8)
-    d[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 16).reshape(n, 6)
+    d[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 24).reshape(n, 5)
+    d[:, 5] = np.frombuffer(_restored(blob[24 + 5 * n + 16 * m :]), np.uint8)
     d = d.view(np.uint64).ravel()
-    d[np.frombuffer(blob, np.int64, m, 16 + 6 * n)] = np.frombuffer(blob, np.uint64, m, 16 + 6 * n + 8 * m)
+    d[np.frombuffer(blob, np.int64, m, 24 + 5 * n)] = np.frombuffer(blob, np.uint64, m, 24 + 5 * n + 8 * m)
     return np.cumsum(d, dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as single bytes; 255 stands for a larger one, which follows in full."""
+    """Counts as single bytes; 255 stands for a larger one, which follows in full; compressed."""
     large = counts >= 255
-    return b"".join([np.int64([len(counts)]).tobytes(), np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype(np.int64).tobytes()])
+    return np.int64([len(counts)]).tobytes() + _squeezed(np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes())
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    out = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] = np.frombuffer(blob[8 + n :], np.int64)
+    raw = _restored(blob[8:])
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[n:], np.int64)
     return out
 
 
@@ -148,7 +163,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.take(pa.array(order[a:b]))
             data, offsets = buffers(part.column(2))
             raw = data[offsets[0] : offsets[-1]].tobytes()
-            for name, value in (("chunk", int(chunk[order[a]])), ("ids", part.column(1)), ("lengths", np.diff(offsets).astype(np.int64).tobytes()), ("size", len(raw)), ("texts", pa.compress(raw, "zstd", asbytes=True))):
+            for name, value in (("chunk", int(chunk[order[a]])), ("ids", part.column(1)), ("lengths", np.diff(offsets).astype(np.int64).tobytes()), ("size", len(raw)), ("texts", ZSTD.compress(raw, asbytes=True))):
                 rows[name].append(value)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in rows["ids"]])]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(rows["ids"]) if rows["ids"] else batch.column(1).slice(0, 0))
@@ -159,7 +174,7 @@ def _chunk(table: pa.Table) -> tuple[int, pa.Array, Chunk]:
     """(number, ids, words) of a chunk from its packed rows."""
     ids = table["ids"].combine_chunks().flatten()
     lengths = np.concatenate([np.frombuffer(x, np.int64) for x in table["lengths"].to_pylist()])
-    raw = b"".join(pa.decompress(t, n, "zstd", asbytes=True) if n else b"" for n, t in zip(table["size"].to_pylist(), table["texts"].to_pylist(), strict=True))
+    raw = b"".join(ZSTD.decompress(t, n, asbytes=True) if n else b"" for n, t in zip(table["size"].to_pylist(), table["texts"].to_pylist(), strict=True))
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     return table["chunk"][0].as_py(), ids, Chunk(pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(raw)))
 
