@@ -141,20 +141,19 @@ class TrieBPE:
             before = word
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Fills self.chunks for distinct chunks: white space and the word after it. Ids are kept as four bytes each."""
-        if len(self.chunks) + len(chunks) > MEMO:
-            self.chunks.clear()
-        split = {}
-        for content, i in self.added.items():
-            self.chunks[content] = np.int32(i).tobytes()
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids, four bytes each, of distinct chunks: white space and the word after it. They go into self.chunks too."""
+        split, coded = {}, {content: np.int32(i).tobytes() for content, i in self.added.items()}
         for c in chunks.difference(self.added):
             one = c[1:] if c[0] == " " else c  # letters only, with a space or without: one pre-token
             split[c] = [w.encode().decode("latin-1") for w in ([c] if one.isascii() and one.isalpha() else self.pre_token.findall(c))]
-        coded = self.encode_words({w for ws in split.values() for w in ws})
-        packed = {w: np.array(ids, dtype=np.int32).tobytes() for w, ids in coded.items()}
+        packed = {w: np.array(ids, dtype=np.int32).tobytes() for w, ids in self.encode_words({w for ws in split.values() for w in ws}).items()}
         for c, ws in split.items():
-            self.chunks[c] = packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])
+            coded[c] = packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])
+        if len(self.chunks) + len(coded) > MEMO:
+            self.chunks.clear()
+        self.chunks.update(coded)
+        return coded
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; all new words of the batch go into one trie."""
@@ -167,10 +166,9 @@ class TrieBPE:
                 at = m.end()
             cuts.append([*own, cut(text, at)])
         found = [[list(map(self.chunks.get, part)) for part in own] for own in cuts]
-        for _ in range(2):  # once more if the memo was emptied meanwhile
-            if new := {c for own, gots in zip(cuts, found, strict=True) for part, got in zip(own, gots, strict=True) if None in got for c, g in zip(part, got, strict=True) if g is None}:
-                self.learn(new)
-                found = [[list(map(self.chunks.get, part)) if None in got else got for part, got in zip(own, gots, strict=True)] for own, gots in zip(cuts, found, strict=True)]
+        if new := {c for own, gots in zip(cuts, found, strict=True) for part, got in zip(own, gots, strict=True) if None in got for c, g in zip(part, got, strict=True) if g is None}:
+            coded = self.learn(new)  # these and what was found stay whole when the memo is emptied
+            found = [[[coded[c] if g is None else g for c, g in zip(part, got, strict=True)] if None in got else got for part, got in zip(own, gots, strict=True)] for own, gots in zip(cuts, found, strict=True)]
         return [np.frombuffer(b"".join([b"".join(got) for got in gots]), dtype=np.int32) for gots in found]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -116,6 +116,13 @@ def test_memo_may_be_emptied(monkeypatch):
     assert coder.decode(np.array([447], np.int32)) == b"\xe2\x80".decode("utf-8", "replace")
 
 
+def test_memo_emptied_between_batches_that_share_a_word(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    coder = bpe.TrieBPE(VOCAB)
+    for texts in (["one two"], ["one three four five six seven", "two"], ["seven one two", "eight"]):
+        assert [coder.decode(i) for i in coder.encode_batch(texts)] == texts
+
+
 # decontamination
 
 
