@@ -9,9 +9,10 @@
    DEGREE neighbours, reversed edges are added to the adjacency lists, and what the medoids do not reach is tied in.
 4. Each vector of the task searches greedily from the medoids with a beam, then expands from all it has found
    within the range (and SLACK around it), its own adjacency list included, until nothing new turns up.
-5. What is found is verified in double precision. A pair counts in the first shard that both share, so
-   adjacency lists of all shards are united without sending pairs: a task returns each vector's number of links and its
-   root in the task's spanning forest.
+5. What the search missed in the task is added from exact blocks of its rows, so no shard lacks a pair that another one
+   holds; all is verified in double precision. Adjacency lists of all shards are thus united without sending pairs: each
+   pair counts in the first shard that both share, and a task returns each vector's number of these links and its
+   root in the spanning forest of all pairs of the task.
 6. Recall is audited against brute force for `audit` queries; below `target` the search is run again, wider.
 """
 
@@ -30,6 +31,8 @@ from .components import connected_components
 
 SHARD_ROWS, BLOCK_ROWS, MAX_CENTROIDS, SAMPLE_PER_CENTROID = 1200, 3000, 4096, 20
 CANDIDATES, RANDOM, DEGREE, ALPHA, MEDOIDS, BEAM, SLACK = 32, 16, 20, 1.2, 16, 32, 0.05
+#: More than single precision loses in a product of unit vectors.
+ROUNDING = 1e-4
 
 
 def usable(v: Column) -> Column:
@@ -219,15 +222,19 @@ def _links_in_shard(pdf: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
     if len(pdf) < 2:
         return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
     graph, medoids, full = robust_graph(x)
-    a, b = range_search(graph, medoids, full, x, x, least, beam, own=True)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    key = np.unique((a * len(pdf) + b)[a != b])
-    a, b = key // len(pdf), key % len(pdf)
+    hit = np.zeros((len(pdf), len(pdf)), bool)
+    hit[range_search(graph, medoids, full, x, x, least, beam, own=True)] = True
+    x32 = x.astype(np.float32)
+    for k in range(0, len(pdf), 512):  # what the search missed, so that this shard's list lacks no pair of another's
+        hit[k : k + 512] |= x32[k : k + 512] @ x32.T >= least - ROUNDING
+    a, b = np.nonzero(np.triu(hit, 1))
     if i != j:  # pairs within a block are counted in the task of that block alone
         block = pdf["block"].to_numpy()
         a, b = a[block[a] != block[b]], b[block[a] != block[b]]
     keep = np.concatenate([np.einsum("id,id->i", x[a[k : k + 200_000]], x[b[k : k + 200_000]]) >= least for k in range(0, len(a), 200_000)]) if len(a) else np.zeros(0, bool)
     a, b = a[keep], b[keep]
+    roots = _roots(len(pdf), a, b)  # of all verified pairs; only the counts need one home for each pair
+    linked = np.unique(np.concatenate([a, b]))
     homes = np.array(pdf["homes"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
     low = np.full(len(a), np.iinfo(np.int64).max)
     for s in range(homes.shape[1]):
@@ -239,8 +246,7 @@ def _links_in_shard(pdf: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
     np.add.at(links, a, copies[b])
     np.add.at(links, b, copies[a])
     ids = pdf["id"].to_numpy()
-    some = np.nonzero(links)[0]
-    return pd.DataFrame({"id": ids[some], "links": links[some], "root": ids[_roots(len(pdf), a, b)[some]]})
+    return pd.DataFrame({"id": ids[linked], "links": links[linked], "root": ids[roots[linked]]})
 
 
 def _search(classes: DataFrame, centroids: np.ndarray, dim: int, least: float, overlap: int, beam: int) -> DataFrame:

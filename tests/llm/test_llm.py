@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,25 @@ def test_recall_across_shards_and_blocks(spark, monkeypatch):
     assert 0.9 * true <= found <= true
 
 
+def test_links_that_one_shard_misses(spark, monkeypatch):
+    """The search loses what it finds in the shard that counts a pair; other shards of the pair hold it too."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 8))
+    x = np.concatenate([base, base + rng.normal(size=(60, 8)) * 0.02])
+    pdf = pd.DataFrame({"id": np.arange(120), "copies": 1, "v": list(x), "homes": [[0, 1]] * 120, "block": 0, "i": 0, "j": 0})
+    nothing = np.empty(0, np.int64)
+    search = graph_dedup.range_search
+    monkeypatch.setattr(graph_dedup, "range_search", lambda *a, **b: (nothing, nothing))
+    low = graph_dedup._links_in_shard(pdf.assign(shard=0), 0.9, 32)
+    monkeypatch.setattr(graph_dedup, "range_search", search)
+    high = graph_dedup._links_in_shard(pdf.assign(shard=1), 0.9, 32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    assert low["links"].sum() + high["links"].sum() == near.sum() - 120 > 0
+    assert set(high["id"]) == set(low["id"]) == set(np.nonzero(near.sum(1) > 1)[0])
+    assert (high["root"] != high["id"]).any()
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict((r["vertex"], r["component"]) for r in components.connected_components(spark.createDataFrame(path, "a long, b long").repartition(5)).collect())
