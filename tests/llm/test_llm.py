@@ -247,6 +247,27 @@ def test_links_that_one_shard_misses(spark, monkeypatch):
     assert (high["root"] != high["id"]).any()
 
 
+def test_audit_sees_sparse_pairs_beside_a_hot_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(100, 16))
+    x = np.concatenate([rng.normal(size=(1, 16)) * 4 + rng.normal(size=(120, 16)) * 0.02, base, base + rng.normal(size=(100, 16)) * 0.02])
+    search = graph_dedup._search
+
+    def without_sparse(classes, centroids, *rest):
+        found = search(classes, centroids, *rest)
+        return found if len(centroids) == 1 else found.filter("links > 50")
+
+    monkeypatch.setattr(graph_dedup, "SHARD_ROWS", 60)
+    monkeypatch.setattr(graph_dedup, "_search", without_sparse)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = ((unit @ unit.T >= 0.9).sum(1) - 1).tolist()
+    assert [r["n_links"] for r in graph_dedup.near_duplicate_vectors(df).orderBy("vec_id").collect()] == true
+    monkeypatch.setattr(graph_dedup, "_search", lambda *a: search(*a).filter("links > 50"))
+    with pytest.raises(RuntimeError, match="recall"):
+        graph_dedup.near_duplicate_vectors(df)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict((r["vertex"], r["component"]) for r in components.connected_components(spark.createDataFrame(path, "a long, b long").repartition(5)).collect())
