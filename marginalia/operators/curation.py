@@ -75,6 +75,19 @@ def without_leakage(df: DataFrame, other: DataFrame, keys: Sequence[str] = KEYS)
     return out.select(*df.columns)
 
 
+def contained_items(df: DataFrame, items: DataFrame, key: str, item_key: str) -> DataFrame:
+    """Pairs of a row and an item whose key stands anywhere in the row's key (both with single spaces); empty item keys match nothing.
+
+    An item's longest word that is neither its first nor its last is a whole word of every key that contains the item: pairs
+    are joined by it and then compared. Items of fewer than three words are compared with all rows.
+    """
+    words = F.split(item_key, " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    seeds = items.filter(F.col(item_key) != "").withColumn("__seed", F.coalesce(F.array_max(inner)["w"], F.lit("")))
+    rows = df.withColumn("__seed", F.explode(F.array_distinct(F.concat(F.split(key, " "), F.array(F.lit(""))))))
+    return rows.join(F.broadcast(seeds), "__seed").filter(F.contains(F.col(key), F.col(item_key))).drop("__seed")
+
+
 def leakage_reason(keys: Sequence[str] = KEYS) -> Column:
     return first_reason([(f"{k.removesuffix('_key')}_leakage", F.col(f"in_{k}")) for k in keys])
 

@@ -61,13 +61,42 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY
 SELECT doc_id, venue, score, (row_number() OVER (ORDER BY score, doc_id) - 1 + 1000000)::bigint AS id FROM top""",
 )
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Deduplicate, exclude the benchmark, take 20 of each venue in hash order, number the sample."""
+    """Deduplicate, exclude texts that equal a benchmark item (not those that contain one), take 20 of each venue in hash order, number the sample."""
     items = table(spark, d, "benchmark").select(text.text_key(F.col("text")).alias("excerpt_key"))
     kept = curation.without_leakage(curation.first_wins(candidates(spark, d), ["excerpt_key"], ["doc_id"]), items, ["excerpt_key"])
     top = curation.balanced_top(kept, "venue", ["score", "doc_id"], 20)
     return curation.numbered(top.select("doc_id", "venue", "score"), ["score", "doc_id"], 1_000_000)
 
 
+CONTAMINATION_SQL = f"""
+SELECT doc_id, item_id FROM (SELECT doc_id, lower({SPACES.format("text")}) AS k FROM documents) d
+JOIN (SELECT item_id, lower({SPACES.format("text")}) AS item FROM benchmark) b ON item <> '' AND contains(k, item)"""
+
+
+@query("benchmark_contamination", CONTAMINATION_SQL)
+def benchmark_contamination(spark, d):
+    """Documents and the benchmark items that their whole texts contain."""
+    docs = table(spark, d, "documents").select("doc_id", text.text_key(F.col("text")).alias("k"))
+    items = table(spark, d, "benchmark").select("item_id", text.text_key(F.col("text")).alias("item"))
+    return curation.contained_items(docs, items, "k", "item").select("doc_id", "item_id")
+
+
+@query(
+    "decontaminated_balanced_sample",
+    rf"""
+WITH {CANDIDATES_SQL},
+found AS ({CONTAMINATION_SQL}),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY excerpt_key ORDER BY doc_id) AS rn FROM candidates) WHERE rn = 1 AND doc_id NOT IN (SELECT doc_id FROM found)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY score, doc_id) AS q FROM kept) WHERE q <= 20)
+SELECT doc_id, venue, score, (row_number() OVER (ORDER BY score, doc_id) - 1 + 1000000)::bigint AS id FROM top""",
+)
+def decontaminated_balanced_sample(spark, d):
+    """The flagship's sample of the documents that contain no benchmark item."""
+    kept = curation.first_wins(candidates(spark, d), ["excerpt_key"], ["doc_id"]).join(benchmark_contamination(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
+    top = curation.balanced_top(kept, "venue", ["score", "doc_id"], 20)
+    return curation.numbered(top.select("doc_id", "venue", "score"), ["score", "doc_id"], 1_000_000)
+
+
 @query("normalize_text_keys", rf"SELECT doc_id, lower({SPACES.format('text')}) AS text_key, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS compare_key FROM documents")
 def normalize_text_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", text.text_key(F.col("text")).alias("text_key"), text.compare_text(F.col("text")).alias("compare_key"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import fingerprint
 from marginalia.operators import audit, curation, evaluation, listings, release, retrieval, sampling
+from marginalia.plans import catalogue
 from marginalia.sources import boundary, files, sinks
 from marginalia.streaming import resume
 
@@ -227,3 +228,22 @@ def test_flags_and_gates(spark):
     assert tuple(curation.leakage_counts(flags).first()) == (1, 1, 0, 2)
     assert curation.without_leakage(a, b).count() == 0
     assert {r["n"] for r in curation.overlap_counts(a, b).collect()} == {1}
+
+
+def test_contained_items(spark):
+    texts = ["x the quick brown fox jumps y", "wthe quick brown fox jumpsz", "the quick fox", "a quick brown the", "", None, "the quick brown fox"]
+    items = ["the quick brown fox jumps", "quick brown", "the", "", None, "k br"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, k string")
+    other = spark.createDataFrame(list(enumerate(items)), "item_id long, item string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in curation.contained_items(rows, other, "k", "item").collect())
+    assert got == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if x and x in (t or "")]
+
+
+def test_entry_holds_no_benchmark_item(spark):
+    sf = "/root/testdata/sf0.01"
+    key = lambda t: " ".join(t.lower().split())
+    texts = {r["doc_id"]: key(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = [key(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    sample = {r["doc_id"] for r in catalogue.QUERIES["decontaminated_balanced_sample"](spark, sf).collect()}
+    assert sample and not [i for i in sample if any(x in texts[i] for x in items)]
+    assert {r["doc_id"] for r in catalogue.QUERIES["benchmark_contamination"](spark, sf).collect()} == {i for i, t in texts.items() if any(x in t for x in items)}
