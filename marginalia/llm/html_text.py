@@ -8,8 +8,9 @@
    on SUPPORT of the host's pages or more and on MIN_PAGES pages at least are valid; nested by their paths they are the
    host's template.
 4. A page's text lies in the slots that the template and the page's own markup leave: inside the main element
-   (article, main) every block that is in no boilerplate element; on a page without one, blocks of the body that
-   are in no boilerplate element and not words of the template alone.
+   (article, main) every block that is in no boilerplate element and no token of the template; on a page without one, blocks
+   of the body that are in no boilerplate element and not words of the template alone. Where template blocks make up half
+   of a page's main text or more, the page is a copy of others rather than a filled template, and keeps them.
 """
 
 from __future__ import annotations
@@ -43,20 +44,27 @@ CLOSES_P = BLOCKS - {"body", "head", "html"}
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that a compound name of boilerplate inside the main element may have beside MARKS ("ad-box", not "ad-hoc-networks").
+PLAIN = frozenset("area bar block bottom box button buttons container content group holder inner item items left link links list panel post posts right section site slot top unit wrap wrapper".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>?)""")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
 @lru_cache(maxsize=100_000)
-def is_boilerplate(name: str, attributes: str) -> bool:
+def is_boilerplate(name: str, attributes: str, main: bool = False) -> bool:
+    """main: inside the main element, where a section's own name may hold one of the words."""
     if name in BOILERPLATE:
         return True
     if name in ("html", "body") or name in MAIN or not attributes.strip():
         return False
     if HIDDEN.search(attributes):
         return True
-    return any(w in MARKS for m in MARK.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    names = [(m[1] or m[2] or m[3] or "").lower() for m in MARK.finditer(attributes)]
+    if main:
+        words = [set(re.findall("[a-z]+", part)) for n in names for part in n.split()]
+        return any(w & MARKS and w <= MARKS | PLAIN for w in words)
+    return any(w in MARKS for n in names for w in re.split(r"[^a-z]+", n))
 
 
 class Page:
@@ -132,7 +140,7 @@ class Page:
             path = f"{path}/{name}"
             self.tags.append(path)
             if not m[3].endswith("/") or name in BLOCKS:
-                boiler = boiler or is_boilerplate(name, m[3])
+                boiler = boiler or is_boilerplate(name, m[3], main)
                 main = main or (name in MAIN and not boiler)
                 self.has_main = self.has_main or main
                 stack.append((name, path, boiler, main))
@@ -185,14 +193,20 @@ class Page:
         return out
 
     def text(self, template: frozenset[int] | set[int]) -> str:
-        kept = []
+        kept, main_kept, main_chars, repeated = [], [], 0, 0
         for path, boiler, main, text in self.blocks():
             if boiler or self.has_main and not main:
                 continue
             if not main and template and all(digest(f"{path}:{w}") in template for w in text.split()):
                 continue
             kept.append(text)
-        return "\n\n".join(kept)
+            if main:
+                main_chars += len(text)
+                if template and digest(f"{path}={text}") in template:
+                    repeated += len(text)
+                else:
+                    main_kept.append(text)
+        return "\n\n".join(main_kept if 0 < 2 * repeated < main_chars else kept)
 
 
 def _joined(parts: list[str]) -> str:

@@ -399,6 +399,23 @@ def test_template_words_go_where_no_article_is(spark, monkeypatch, limit):
     assert html_text.op8_html_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [500_000, -1])
+def test_template_blocks_inside_the_article(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_text, "BROADCAST_TOKENS", limit)
+    notice = '<div class="x1">Sign up for our weekly letter</div>'
+    page = lambda i: f"<body><article><p>Text number {i} is unlike word{i} and goes on for a while.{notice}<p>Its end is end{i}.</article></body>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(6)] + [(6 + i, f"https://copies.example/{i}", page(0)) for i in range(4)] + [(10, "https://alone.example/", page(10))]
+    got = {r["page_id"]: r["text"] for r in html_text.op8_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i, middle: f"Text number {i} is unlike word{i} and goes on for a while.\n\n{middle}Its end is end{i}."
+    whole = "Sign up for our weekly letter\n\n"
+    assert got == {i: text(i, "") for i in range(6)} | {6 + i: text(0, whole) for i in range(4)} | {10: text(10, whole)}
+
+
+def test_sections_named_by_a_mark():
+    page = '<article><section id="ad-hoc-networks">a</section><section id="related-work">b</section><div class="ad-box wide">c</div><div class="share">d</div></article>'
+    assert html_text.Page(page).text(set()) == "a\n\nb"
+
+
 # urls
 
 
