@@ -436,6 +436,33 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
     return audit.decide(rows, adjudications, exclusions, corrections)
 
 
+UNSAFE_SQL = "list_has_any(flags, ['resolved_to_source_paper', 'citation_year_disagreement'])"
+
+
+@query(
+    "audit_decisions_all_levels",
+    AUDIT_SQL
+    + f""", v AS (SELECT *, CASE WHEN n % 13 = 0 THEN 1 WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 2 WHEN n % 17 = 0 THEN 3 WHEN len(failures) > 0 THEN 4 WHEN len(flags) > 0 AND evidence AND NOT {UNSAFE_SQL} THEN 5 WHEN len(flags) > 0 THEN 6 ELSE 7 END AS level FROM g)
+SELECT doc_id, CASE level WHEN 1 THEN CASE WHEN n % 2 = 0 THEN 'reject' ELSE 'revise' END WHEN 2 THEN 'reject' WHEN 3 THEN 'revise' WHEN 4 THEN 'reject' WHEN 6 THEN 'review' ELSE 'accept' END AS action,
+  CASE level WHEN 1 THEN CASE WHEN n % 4 = 0 THEN 'checked' ELSE 'external_adjudication' END WHEN 2 THEN 'confirmed_invalid_context' WHEN 3 THEN 'wrong_target' WHEN 4 THEN array_to_string(failures, ',') WHEN 5 THEN 'exact_resolved_title_in_reference_prefix,citation_year_consistent' WHEN 6 THEN array_to_string(list_sort(flags), ',') ELSE '' END AS reasons,
+  CASE level WHEN 1 THEN 'external_adjudication' WHEN 2 THEN 'confirmed_manual_audit' WHEN 3 THEN 'confirmed_manual_audit' WHEN 5 THEN 'deterministic_cross_check' ELSE 'automatic_policy' END AS authority,
+  CASE WHEN level = 1 AND n % 2 = 1 THEN 'A' || doc_id WHEN level = 3 THEN 'C' || doc_id END AS revised_id FROM v""",
+)
+def audit_decisions_all_levels(spark, d):
+    """All six levels and both kinds of revision: adjudications and corrections stand for every 13th and 17th length."""
+    n = F.col("n_chars")
+    rows = audit_rows(spark, d)
+    keyed = rows.select("doc_id", "source_file", "id").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    exclusions = table(spark, d, "labels").filter("quality = 0").select("doc_id").join(keyed, "doc_id").select("source_file", "id")
+    adjudications = keyed.filter(n % 13 == 0).select(
+        "source_file", "id", F.when(n % 2 == 0, "reject").otherwise("revise").alias("action"), F.when(n % 4 == 0, F.array(F.lit("checked"))).otherwise(F.array().cast("array<string>")).alias("reasons"),
+        F.when(n % 2 == 1, F.create_map(F.lit("resolved_paper_id"), F.concat(F.lit("A"), "id"))).alias("revision"), F.lit("").alias("authority"),
+    )
+    corrections = keyed.filter(n % 17 == 0).select("source_file", "id", F.lit("wrong_target").alias("reason"), F.concat(F.lit("C"), "id").alias("paper_id"), F.lit("Title").alias("title"), F.lit(2020).alias("year"))
+    out = audit.decide(rows, adjudications, exclusions, corrections)
+    return out.select("doc_id", "decision.action", F.array_join("decision.reasons", ",").alias("reasons"), "decision.authority", F.try_element_at("decision.revision", F.lit("resolved_paper_id")).alias("revised_id"))
+
+
 @query(
     "review_flag_counts",
     AUDIT_SQL + """ SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter(flags, lambda x: x NOT IN ('very_short_passage', 'possibly_truncated_passage'))) AS flag FROM g) GROUP BY flag""",
@@ -531,6 +558,45 @@ def release_report(spark, d):
     return release.release_report(_released(spark, d))
 
 
+JOINED_SQL = f"""
+WITH s AS (SELECT doc_id, n_chars AS n, {SENTENCES_SQL.format(BODY_SQL.format('text'))} AS l FROM documents),
+x AS (SELECT doc_id, n, unnest(range(len(l)))::int AS i, unnest(l) AS sentence FROM s),
+y AS (SELECT *, min(i) OVER (PARTITION BY doc_id, sentence) AS found FROM x),
+r AS (SELECT doc_id || '/' || i AS id, 'https://papers.example.org/p/' || chr((97 + doc_id % 26)::int) || '/' || doc_id AS url, n, CASE WHEN i % 3 = 0 THEN i WHEN n % 2 = 0 THEN found END AS body_sentence_index, CASE i % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'test' END AS experimental_split,
+  CASE WHEN n % 3 = 0 THEN 'https://pdf.example.org/' || doc_id END AS manifest_pdf FROM y WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND (n % 5 <> 0 OR i % 3 < 2))"""
+
+
+@query("public_release_joined", JOINED_SQL + " SELECT id, body_sentence_index, experimental_split, manifest_pdf FROM r")
+def release_joined(spark, d):
+    return _joined(spark, d).select("id", "body_sentence_index", "experimental_split", F.col("source_pdf_url").alias("manifest_pdf"))
+
+
+@query(
+    "release_report_joined",
+    JOINED_SQL
+    + """ SELECT count(*) AS n_records, count(*) - count(DISTINCT substr(sha256(url || '|' || id), 1, 20)) AS n_duplicate_ids, count(*) FILTER (url = '') AS n_missing_url, count(*) FILTER (body_sentence_index IS NULL) AS n_fingerprint_locators,
+  count(body_sentence_index) AS n_index_locators, count(experimental_split) AS n_in_splits, 0 AS n_forbidden_fields FROM r""",
+)
+def release_report_joined(spark, d):
+    return release.release_report(_joined(spark, d))
+
+
+def _joined(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence as a record, with exclusions, splits, a manifest and an index of sentences that are not empty."""
+    i, n = F.col("i"), F.col("n_chars")
+    url = F.concat(F.lit("https://papers.example.org/p/"), F.char(97 + F.col("doc_id") % 26), F.lit("/"), F.col("doc_id").cast("string"))
+    docs = table(spark, d, "documents").withColumns({"source_paper_url": url, "source_paper_title": F.concat(F.lit("Paper "), F.col("doc_id").cast("string")), "source_file": F.concat("lang", F.lit(".csv"))})
+    bad = table(spark, d, "labels").filter("quality = 0").select("doc_id").distinct().withColumn("manual_exclusion", F.lit("low quality"))
+    each = docs.select("doc_id", "n_chars", "source_file", "source_paper_url", "source_paper_title", F.posexplode(text.sentences(text.body_text(F.col("text")))).alias("i", "raw_sentence")).withColumn("id", F.concat_ws("/", F.col("doc_id").cast("string"), i.cast("string")))
+    rows = each.join(bad, "doc_id", "left").withColumns({
+        "domain": F.when(n % 5 == 0, "Biomedical Research").otherwise("Computer Science"), "body_sentence_index": F.when(i % 3 == 0, i), "citation_marker": F.left("raw_sentence", F.lit(1)), "resolved_paper_id": F.lit(""), "resolved_title": F.lit(""),
+    })
+    members = each.filter(i % 3 < 2).select("source_file", F.col("id").alias("original_id"), F.when(i % 3 == 0, "train").otherwise("test").alias("split"))
+    manifest = docs.filter(n % 3 == 0).select("source_paper_url", "source_paper_title", F.concat(F.lit("https://pdf.example.org/"), F.col("doc_id").cast("string")).alias("pdf_url"), (2000 + n % 25).cast("int").alias("year"))
+    index = each.filter(n % 2 == 0).select("source_paper_url", F.col("i").alias("body_sentence_index"), text.fingerprint(F.col("raw_sentence")).alias("passage_sha256"))
+    return release.release_records(rows, manifest, members, index)
+
+
 @query(
     "reconstruct_verify",
     f"""

@@ -247,3 +247,12 @@ def test_entry_holds_no_benchmark_item(spark):
     sample = {r["doc_id"] for r in catalogue.QUERIES["decontaminated_balanced_sample"](spark, sf).collect()}
     assert sample and not [i for i in sample if any(x in texts[i] for x in items)]
     assert {r["doc_id"] for r in catalogue.QUERIES["benchmark_contamination"](spark, sf).collect()} == {i for i, t in texts.items() if any(x in t for x in items)}
+
+
+def test_joins_of_releases_and_audit_levels_run_on_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    report = catalogue.QUERIES["release_report_joined"](spark, sf).first()
+    assert 0 < report["n_in_splits"] < report["n_records"] and report["n_index_locators"] > 0 and report["n_fingerprint_locators"] > 0
+    decided = catalogue.QUERIES["audit_decisions_all_levels"](spark, sf).collect()
+    assert {r["authority"] for r in decided} >= {"external_adjudication", "confirmed_manual_audit", "automatic_policy"}
+    assert {(r["revised_id"] or " ")[0] for r in decided} == {"A", "C", " "}
