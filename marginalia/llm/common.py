@@ -1,13 +1,23 @@
-"""What the operators of this package share: tables, the shared folder, staged tables."""
+"""What the operators of this package share: tables, the shared folder, staged tables, bounded batches, freed memory."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder of its own, as in tests on one machine.
+#: Used only by a session on one machine that names no folder of its own, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
+#: Lets Spark delete a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of text that a worker turns into Python objects or arrays at once, about; a longer text stands alone.
+SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +25,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    """The folder that all executors share: spark.checkpoint.dir. A cluster without that setting is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return LOCAL_FALLBACK
+    raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives a lost executor."""
+    """df written to the shared folder and read again: cuts the lineage and survives a lost executor.
+
+    The shuffle files behind it go at once, as nothing will read them again; `dropped` deletes the table itself.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again: only what later staged tables have replaced."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about `most` bytes of text in a column, so that memory follows neither batches nor rows."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    part = np.cumsum(sizes) // most
+    cuts = np.nonzero(np.diff(part, prepend=-1))[0].tolist() if len(part) else []
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def freeing(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run, but what it has freed goes back to the system when its task ends: Python workers live on and take up other stages."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return wrapped
+
+
+def free_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, freeing, staged
 
 CHUNK = 1_000_000
 
@@ -70,7 +70,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     neighbours, then its smaller ones, are tied to the smallest vertex it knows; rounds grow as the logarithm of the
     longest path. Every round is a written table. Hubs are no hot group: minima are taken before the shuffle.
     """
-    now = staged(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    now = staged(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(freeing(_contract), "a long, b long").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -79,7 +79,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now = staged(small, "edges")
+        last, now = now, staged(small, "edges")
+        dropped(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -1,15 +1,17 @@
 """Exact Jaccard self-join of texts' word n-grams.
 
-1. Each text becomes a set of shingles (64-bit hashes) with a 128-bit fingerprint and tile keys; the sets are never stored.
-   Texts with equal sets are one class from here on.
+1. Each text becomes a set of shingles (64-bit hashes) with a 128-bit fingerprint and tile keys; texts with equal sets are
+   one class from here on.
 2. Tiles: sizes are dealt into bands, and a pair belongs to the band of its smaller set. Two sets that are
    similar enough differ in at most d elements (d: the band's bound), so of d + 1 parts or more, dealt by hash, that are not empty one is
    equal in both. A tile is a band and an equal part. A passage that many texts share fills no tile by itself, as
    its shingles fall into different parts, beside each text's own.
-3. In each tile the first member is compared with all others, and then all pairs that the links so far leave in
-   different components. A bitmap of DENSITY or more hashed bits for each element of a set gives an upper bound of the
-   overlap from bit counts; pairs that pass it are decided by intersecting the sorted arrays.
-4. Components of the links, with a class as one vertex.
+3. Tiles that share members form a group. Each set is sent once, to its group, and its pairs are decided there: a bitmap of DENSITY or
+   more hashed bits for each element of a set gives an upper bound of the overlap from bit counts; pairs that pass it and that
+   the links so far leave apart are decided by intersecting the sorted arrays.
+4. A group beyond GROUP_ROWS sets or GROUP_ELEMENTS elements goes tile by tile: first each tile's first member with all others, then all
+   pairs that these links leave in different components, a tile being dealt into blocks of rows whose pairs are the tasks.
+5. Components of the links, with a class as one vertex.
 
 Nothing is capped or sampled: the pigeonhole in 2 and the bound in 3 lose no pair.
 """
@@ -23,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, freeing, slices, staged
 from .components import connected_components
 from .tokens import buffers, inner_windows, mixed, window_hashes, word_hashes
 
 DENSITY, BAND, SLACK = 4, 1.6, 1.15
-#: Candidates' ids that go to all executors at most; beyond it they are joined by a shuffle.
+#: Ids that go to all executors at most; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Sets that a task remembers in order to emit the keys of equal sets once.
-REMEMBERED = 500_000
-BLOCK = 1024
+REMEMBERED = 300_000
+#: Bounds of what one worker holds at once: sets and elements of a group, and about the members of a tile's block.
+GROUP_ROWS, GROUP_ELEMENTS, BLOCK = 1024, 2_000_000, 1024
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +112,12 @@ def fingerprints(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit words of all bitmaps one after another, where each begins). Lengths are powers of two, so a longer one folds onto a shorter."""
+def bitmaps(flat: np.ndarray, offsets: np.ndarray, like: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words of all bitmaps one after another, where each begins). Lengths are powers of two, so a longer one folds onto a
+    shorter; by each set's own size or, for all alike, for a set of `like` elements."""
     n = np.diff(offsets)
-    words = 1 << np.maximum(np.ceil(np.log2(np.maximum(n * DENSITY / 64, 1))).astype(np.int64), 2)
+    sized = n if like is None else np.full(len(n), like)
+    words = 1 << np.maximum(np.ceil(np.log2(np.maximum(sized * DENSITY / 64, 1))).astype(np.int64), 2)
     starts = np.zeros(len(n) + 1, np.int64)
     np.cumsum(words, out=starts[1:])
     owner = np.repeat(np.arange(len(n)), n)
@@ -134,20 +139,55 @@ def may_link(x: np.ndarray, nx: int, ys: np.ndarray, ny: np.ndarray, percent: in
     return over * (100 + percent) >= (nx + ny) * percent
 
 
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """A table for each run of rows that are equal in the first `keys` columns (longs), however batches cut it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(i)) for i in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and any(c[0] != v for c, v in zip(cols, last, strict=True))
+        last = [c[-1] for c in cols]
+        cuts = [0, *[i for i in np.nonzero(change)[0].tolist() if i], batch.num_rows]
+        if change[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64), pa.int64()))
 
 
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer((starts * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
+
+
 def _sketches(documents: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     """id, n and the set's fingerprint f0, f1 of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = shingle_sets(batch.column(1), size)
-            f0, f1 = fingerprints(flat, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(f0), pa.array(f1)], names=["id", "n", "f0", "f1"])
+            for part in slices(batch, 1):
+                flat, offsets = shingle_sets(part.column(1), size)
+                f0, f1 = fingerprints(flat, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(f0), pa.array(f1)], names=["id", "n", "f0", "f1"])
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, f0 long, f1 long")
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(freeing(run), "id long, n long, f0 long, f1 long")
 
 
 def _keyed(documents: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
@@ -156,51 +196,82 @@ def _keyed(documents: DataFrame, id_col: str, text: str, size: int, percent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
-            flat, offsets = shingle_sets(batch.column(1), size)
-            n, ids = np.diff(offsets), np.asarray(batch.column(0))
-            fresh = np.zeros(len(n), bool)
-            for i, key in enumerate(zip(*(f.tolist() for f in fingerprints(flat, offsets)), strict=True)):
-                if key not in seen:
-                    fresh[i] = True
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(key)
-            own = np.maximum(bands.of(n), 0)
-            below = np.maximum(bands.smaller_partner(n), 0)
-            for keys, starts in (tile_keys(flat, offsets, own, fresh, bands), tile_keys(flat, offsets, below, fresh & (below < own), bands)):
-                whose = np.repeat(ids, np.diff(starts))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whose)], names=["key", "id"])
-
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL").mapInArrow(run, "key long, id long")
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of distinct ids with one key, from rows sorted by key and id; single ids are left out."""
-    key, ids = None, np.empty(0, np.int64)
-
-    def group(lists: list[np.ndarray]) -> pa.RecordBatch:
-        starts = np.zeros(len(lists) + 1, np.int64)
-        np.cumsum([len(x) for x in lists], out=starts[1:])
-        return pa.RecordBatch.from_arrays([_lists(np.concatenate(lists) if lists else np.empty(0, np.int64), starts)], names=["members"])
-
+            for part in slices(batch, 1):
+                flat, offsets = shingle_sets(part.column(1), size)
+                n, ids = np.diff(offsets), np.asarray(part.column(0))
+                fresh = np.zeros(len(n), bool)
+                for i, key in enumerate(np.stack(fingerprints(flat, offsets), axis=1).view("V16").ravel().tolist()):
+                    if key not in seen:
+                        fresh[i] = True
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(key)
+                own = np.maximum(bands.of(n), 0)
+                below = np.maximum(bands.smaller_partner(n), 0)
+                for keys, starts in (tile_keys(flat, offsets, own, fresh, bands), tile_keys(flat, offsets, below, fresh & (below < own), bands)):
+                    whose = np.repeat(ids, np.diff(starts))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whose)], names=["key", "id"])
+
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL").mapInArrow(freeing(run), "key long, id long")
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct rows whose key has another id, from rows sorted by key and id; one row is held over, whatever a key's rows."""
+    held = None  # the last row, and whether it has gone out
     for batch in batches:
         if not batch.num_rows:
             continue
         k, v = (np.asarray(c) for c in batch.columns)
-        if key is not None and k[0] == key:
-            k, v = np.concatenate([np.full(len(ids), key), k]), np.concatenate([ids, v])
-            ids = np.empty(0, np.int64)
+        sent = False
+        if held is not None:
+            k, v, sent = np.concatenate([[held[0]], k]), np.concatenate([[held[1]], v]), held[2]
         first = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
         k, v = k[first], v[first]
-        starts = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0]
-        ends = np.append(starts[1:], len(k))
-        done = [ids] if len(ids) > 1 else []
-        done += [v[a:b] for a, b in zip(starts[:-1].tolist(), ends[:-1].tolist(), strict=True) if b - a > 1]
-        if done:
-            yield group(done)
-        key, ids = k[-1], v[starts[-1] :].copy()
-    if len(ids) > 1:
-        yield group([ids])
+        same = k[1:] == k[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        keep[0] &= not sent
+        held = (k[-1], v[-1], bool(keep[-1]) or (sent and len(k) == 1))
+        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(v[keep])], names=["key", "id"])
+
+
+def linked_rows(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id of its component) of a group's rows that are not their own component; rows of one id are one."""
+    n = np.array([len(s) for s in sets], np.int64)
+    order = np.lexsort((ids, n))
+    ids, n, sets = ids[order], n[order], [sets[i] for i in order.tolist()]
+    label = np.unique(ids, return_inverse=True)[1]
+    bands = Bands(percent, int(n[-1]))
+    band = bands.of(n)
+    ends = np.searchsorted(n, 100 * n // percent, "right")
+    for b in np.unique(band).tolist():
+        lo, hi = np.searchsorted(band, b), np.searchsorted(band, b, "right")
+        top = int(ends[hi - 1])  # sizes differ by less than a band's ratio from here on
+        offsets = np.concatenate([[0], np.cumsum(n[lo:top])])
+        bits = bitmaps(np.concatenate(sets[lo:top]), offsets, like=int(n[top - 1]))[0].reshape(top - lo, -1)
+        for i in range(lo, hi):
+            js = np.arange(i + 1, ends[i])
+            js = js[label[js] != label[i]]
+            if len(js):
+                js = js[may_link(bits[i - lo], n[i], bits[js - lo], n[js], percent)]
+            for j in js.tolist():
+                if label[j] != label[i]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+    # labels count distinct ids upwards, so the least label of a component is that of its least id
+    least = np.unique(ids)[label]
+    out = np.unique(np.stack([ids, least], axis=1)[ids != least], axis=0)
+    return out[:, 0], out[:, 1]
+
+
+def _decided(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_runs(batches, 1):
+            a, b = linked_rows(group["id"].to_numpy(), _unpacked(group["shingles"]), percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def _possible(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
@@ -218,49 +289,74 @@ def _possible(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     left, right = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(freeing(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, by sorted-array intersection."""
+    """The pairs (a, b) whose sets are linked, by sorted-array intersection. Only sets of some pair are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            xs, ys = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = np.asarray(xs[i].values), np.asarray(ys[i].values)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
+            for part in slices(batch, 2):
+                keep = np.zeros(part.num_rows, bool)
+                for i, (x, y) in enumerate(zip(_unpacked(part.column(2)), _unpacked(part.column(3)), strict=True)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                yield part.select([0, 1]).filter(pa.array(keep))
+
+    pairs = staged(pairs, "jaccard-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets.join(_everywhere(asked), "id", "left_semi")
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(freeing(run), "a long, b long")
 
 
-def _tile_pairs(percent: int):
+def _everywhere(ids: DataFrame) -> DataFrame:
+    """ids as one side of a join: sent to all executors if there are BROADCAST_IDS at most."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _block_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All pairs of two blocks of a tile with different labels that the bit counts allow."""
-        for batch in batches:
-            for p, q, same in zip(*batch.columns, strict=True):
-                sides = []
-                for block in (p, q):
-                    s = block.values
-                    sides.append((np.asarray(s.field("id")), np.asarray(s.field("label")), np.asarray(s.field("n")), [np.asarray(b.values).view(np.uint64) for b in s.field("bits")]))
-                least = min(len(b) for side in sides for b in side[3])
-                (ia, la, na, ba), (ib, lb, nb, bb) = ((i, l, n, np.stack([folded(b, least) for b in bits])) for i, l, n, bits in sides)
-                for i in range(len(ia)):
-                    js = np.nonzero((lb != la[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])))[0]
-                    if same.as_py():
-                        js = js[js > i]
-                    js = js[may_link(ba[i], na[i], bb[js], nb[js], percent)] if len(js) else js
-                    if len(js):
-                        other = ib[js]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ia[i])), pa.array(np.maximum(other, ia[i]))], names=["a", "b"])
+        """All pairs of two blocks (i, j) of a tile with different labels that the bit counts allow."""
+        for group in sorted_runs(batches, 3):
+            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            block, ids, label, n = (group[c].to_numpy() for c in ("block", "id", "label", "n"))
+            bits = [np.asarray(b.values).view(np.uint64) for c in group["bits"].chunks for b in c]
+            least = min(map(len, bits))
+            bits = np.stack([folded(b, least) for b in bits])
+            for p in np.nonzero(block == i)[0].tolist():
+                qs = np.nonzero((block == j) & (label != label[p]) & (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])))[0]
+                if i == j:
+                    qs = qs[qs > p]
+                qs = qs[may_link(bits[p], n[p], bits[qs], n[qs], percent)] if len(qs) else qs
+                if len(qs):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[qs], ids[p])), pa.array(np.maximum(ids[qs], ids[p]))], names=["a", "b"])
 
     return run
 
 
+def _links_by_tiles(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """vertex, component of what the members of tiles (tile, rep, first) are linked to; sets: id, n, bits, shingles of all members."""
+    small = sets.select("id", "n", "bits")
+    stars = tiles.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    links = staged(_verified(_possible(stars, small, percent), sets, percent).distinct(), "jaccard-links")
+    found = staged(connected_components(links), "jaccard-found")
+    # what is left of each tile without its first member, where links have not joined it
+    rest = tiles.filter("rep <> first").select("tile", F.col("rep").alias("id")).join(found.select(F.col("vertex").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    rest = staged(rest.select("tile", "id", "label"), "jaccard-rest")
+    open_tiles = rest.groupBy("tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).filter("l0 <> l1").select("tile", "blocks")
+    rows = rest.join(open_tiles, "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = rows.join(small, "id").select("tile", "i", "j", "block", "id", "label", "n", "bits")
+    late = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(freeing(_block_pairs(percent)), "a long, b long").distinct()
+    more = staged(_verified(late, sets, percent).distinct(), "jaccard-more")
+    if not more.isEmpty():
+        found = staged(connected_components(links.union(more)), "jaccard-found")
+    dropped(rest)
+    return found
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles long, component_id long (smallest id reachable by links, itself included).
 
@@ -268,49 +364,54 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text: str =
     texts and texts without words: no shingles, linked with nothing. A null id has a null component and is in no
     link. Rows that share an id are one vertex, each with its own count. An empty table gives an empty table. Texts are read whole.
     """
-    spark = documents.sparkSession
     sketch = staged(_sketches(documents, id_col, text, size), "jaccard-sketch")
-    classes = sketch.filter("n > 0 AND id IS NOT NULL").groupBy("f0", "f1", "n").agg(F.min("id").alias("rep"))
-    vertices = staged(sketch.filter("n > 0 AND id IS NOT NULL").select("id", "n", "f0", "f1").join(classes, ["f0", "f1", "n"]).select("id", "rep"), "jaccard-classes")
+    named = sketch.filter("n > 0 AND id IS NOT NULL")
+    # a table of its own, so that both sides of the join are shuffled and a hot class can be split
+    classes = staged(named.groupBy("f0", "f1", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "jaccard-classes")
+    vertices = staged(named.join(classes, ["f0", "f1", "n"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "n"), "jaccard-vertices")
 
     keyed = _keyed(documents, id_col, text, size, percent)
-    groups = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_runs, "members array<long>").distinct()
-    groups = staged(groups.withColumn("tile", F.monotonically_increasing_id()), "jaccard-groups")
+    shared = staged(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(freeing(_shared_keys), "key long, id long"), "jaccard-keys")
     # ids become their classes' representatives; tiles with one class or with the same classes as another go
-    members = groups.select("tile", F.explode("members").alias("id")).join(vertices, "id").select("tile", "rep").distinct()
-    tiles = members.groupBy("tile").agg(F.sort_array(F.collect_list("rep")).alias("members")).filter(F.size("members") > 1).select("members").distinct()
-    tiles = staged(tiles.withColumn("tile", F.monotonically_increasing_id()), "jaccard-tiles")
-
-    ids = staged(tiles.select(F.explode("members").alias("id")).distinct(), "jaccard-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    members = staged(shared.join(vertices.select("id", "rep").distinct(), "id").select(F.col("key").alias("tile"), "rep").distinct(), "jaccard-members")
+    dropped(shared, classes)
+    same = ("size", "first", "s0", "s1")
+    hashes = [(F.xxhash64("rep", F.lit(i)) % (1 << 31)).alias(f"h{i}") for i in (0, 1)]  # sums of so many bits do not overflow
+    tiles = members.select("tile", "rep", *hashes).groupBy("tile").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.sum("h0").alias("s0"), F.sum("h1").alias("s1")).filter("size > 1")
+    tiles = staged(tiles.groupBy(*same).agg(F.min("tile").alias("tile")).select("tile", "first"), "jaccard-distinct")
+    members = staged(members.join(tiles, "tile").select("tile", "rep", "first"), "jaccard-tiles")
+    dropped(tiles)
+
+    groups = connected_components(members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    weights = vertices.groupBy("id").agg(F.sum("n").alias("n"))
+    groups = staged(groups.select(F.col("vertex").alias("id"), F.col("component").alias("group")).join(weights, "id"), "jaccard-groups")
+    sizes = groups.groupBy("group").agg((F.count("*") > GROUP_ROWS).alias("many"), (F.sum("n") > GROUP_ELEMENTS).alias("long"))
+    groups = staged(groups.join(sizes, "group").select("id", "group", F.expr("many OR long").alias("large")), "jaccard-group-sizes")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = shingle_sets(batch.column(1), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), _lists(*bitmaps(flat, offsets)), _lists(flat, offsets)], names=["id", "n", "bits", "shingles"])
-
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = staged(texts.mapInArrow(as_sets, "id long, n long, bits array<long>, shingles array<long>"), "jaccard-sets")
-    small = sets.select("id", "n", "bits")
+            for part in slices(batch, 2):
+                flat, offsets = shingle_sets(part.column(2), size)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _packed(flat, offsets)], names=["group", "id", "shingles"])
 
-    stars = tiles.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, 1 << 30)).alias("b")).distinct()
-    links = staged(_verified(_possible(stars, small, percent), sets, percent).distinct(), "jaccard-links")
-    found = staged(connected_components(links), "jaccard-found")
-
-    # what is left of each tile without its first member, where links have not joined it
-    rest = tiles.select("tile", F.explode(F.slice("members", 2, 1 << 30)).alias("id")).join(found.select(F.col("vertex").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-    open_tiles = rest.groupBy("tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("tile")
-    rows = rest.join(open_tiles, "tile", "left_semi").select("tile", "id", "label").join(small, "id")
-    tile = rows.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("id", "label", "n", "bits"))).alias("m"))
-    numbered = tile.withColumn("blocks", F.ceil(F.size("m") / BLOCK).cast("int"))
-    blocks = numbered.select("m", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("m", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
-    cut = blocks.select(F.slice("m", F.col("i") * BLOCK + 1, F.lit(BLOCK)).alias("p"), F.slice("m", F.col("j") * BLOCK + 1, F.lit(BLOCK)).alias("q"), (F.col("i") == F.col("j")).alias("same"))
-    late = cut.mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
-    more = staged(_verified(late, sets, percent).distinct(), "jaccard-more")
-    if not more.isEmpty():
-        found = staged(connected_components(links.union(more)), "jaccard-found")
-
-    by_vertex = vertices.distinct().join(found, F.col("rep") == F.col("vertex"), "left").select("id", F.coalesce("component", "rep").alias("component"))
+    def with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                flat, offsets = shingle_sets(part.column(1), size)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), _lists(*bitmaps(flat, offsets)), _packed(flat, offsets)], names=["id", "n", "bits", "shingles"])
+
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    sent = texts.join(_everywhere(groups.filter("NOT large").select("id", "group")), "id").select("group", "id", "text").mapInArrow(freeing(as_sets), "group long, id long, shingles binary")
+    found = staged(sent.repartition("group").sortWithinPartitions("group").mapInArrow(freeing(_decided(percent)), "vertex long, component long"), "jaccard-found")
+    large = groups.filter("large").select("id")
+    if not large.isEmpty():
+        sets = staged(texts.join(_everywhere(large), "id", "left_semi").mapInArrow(freeing(with_bits), "id long, n long, bits array<long>, shingles binary"), "jaccard-sets")
+        by_tiles = members.join(_everywhere(large.select(F.col("id").alias("first"))), "first", "left_semi").select("tile", "rep", "first")
+        found = found.union(_links_by_tiles(staged(by_tiles, "jaccard-large"), sets, percent))
+        dropped(sets)
+    dropped(groups, members)
+
+    by_vertex = vertices.select("id", "rep").distinct().join(found, F.col("rep") == F.col("vertex"), "left").select("id", F.coalesce("component", "rep").alias("component"))
     # ids with several texts tie their classes together
     twice = by_vertex.groupBy("id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     if not twice.filter("c0 <> c1").isEmpty():
@@ -323,11 +424,19 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def near_distinct(documents: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but the first id of each component; rows without an id or shingles stay."""
-    found = jaccard_components(documents, id_col, text, size, percent)
+    """One row of each component: of the smallest id's rows the first by a hash of all its columns. Rows without an id or shingles stay."""
+    found = staged(jaccard_components(documents, id_col, text, size, percent), "jaccard-components")
     gone = staged(found.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "jaccard-gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return documents.join(gone, id_col, "left_anti").select(*documents.columns)
+    kept = documents.join(_everywhere(gone), id_col, "left_anti").select(*documents.columns)
+    many = found.filter(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).groupBy(id_col).count().filter("count > 1").select(id_col)
+    many = staged(many.join(gone, id_col, "left_anti"), "jaccard-repeated")
+    if many.isEmpty():
+        return kept
+    many = _everywhere(many)
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    told = F.xxhash64(*[c for c, kind in documents.dtypes if "map<" not in kind])
+    one = kept.filter(worded).join(many, id_col, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*documents.columns), told).alias("__row")).select("__row.*")
+    return kept.filter(~worded).union(kept.filter(worded).join(many, id_col, "left_anti").select(*documents.columns)).union(one.select(*documents.columns))
 
 
 def op6_jaccard(documents: DataFrame) -> DataFrame:
