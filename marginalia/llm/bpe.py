@@ -7,8 +7,8 @@ node |t| bytes higher and t are such a pair. Distinct words are inserted into a
 are propagated depth first, once for each shared prefix; a word's encoding is read off by jumping
 back over last tokens.
 
-Words are memoised in each Python worker; the memo is emptied when it would hold more than MEMO words,
-which costs time only. No shuffle is needed, whatever the keys or copies.
+Words of up to LONGEST characters are memoised in each Python worker; the memo is emptied when it would hold more than
+MEMO words and, with the vocabulary, when a task ends, which costs time only. No shuffle is needed, whatever the keys or copies.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing, slices
+
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and the white space of Unicode.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO, SLICE_CHARS = 300_000, 2_000_000
+MEMO, LONGEST, SLICE = 300_000, 48, 2_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -152,7 +154,7 @@ class TrieBPE:
             coded[c] = packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])
         if len(self.chunks) + len(coded) > MEMO:
             self.chunks.clear()
-        self.chunks.update(coded)
+        self.chunks.update(coded if max(map(len, coded), default=0) <= LONGEST else {c: ids for c, ids in coded.items() if len(c) <= LONGEST})
         return coded
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -180,7 +182,7 @@ class TrieBPE:
         return self.flat[at].tobytes().decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> TrieBPE:
     return TrieBPE(path)
 
@@ -199,20 +201,15 @@ def encode_decode(df: DataFrame, vocab_path: str, text: str = "text", ids: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(vocab_path)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            lengths = np.array([len(t or "") for t in texts], dtype=np.int64)
-            cut = np.cumsum(lengths) // SLICE_CHARS
-            for lo, hi in zip(bounds := [0, *(np.nonzero(np.diff(cut))[0] + 1).tolist()], [*bounds[1:], len(texts)], strict=True):
-                if lo == hi:
-                    continue
-                coded = bpe.encode_batch([t or "" for t in texts[lo:hi]])
-                offsets = np.zeros(hi - lo + 1, dtype=np.int32)
+            for part in slices(batch, at, SLICE):
+                coded = bpe.encode_batch([t or "" for t in part.column(at).to_pylist()])
+                offsets = np.zeros(len(coded) + 1, dtype=np.int32)
                 np.cumsum([len(c) for c in coded], out=offsets[1:])
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded) if coded else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, flat, pa.array([bpe.decode(c) for c in coded], pa.string())], names=[*kept, ids, decoded])
-        bpe.chunks.clear()  # the worker may go on to other stages
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded)))
+                yield pa.RecordBatch.from_arrays([*part.columns, flat, pa.array([bpe.decode(c) for c in coded], pa.string())], names=[*kept, ids, decoded])
+        vocabulary.cache_clear()  # the worker may go on to other stages
 
-    return src.mapInArrow(run, out_schema)
+    return src.mapInArrow(freeing(run), out_schema)
 
 
 def op2_bpe(documents: DataFrame, vocab_path: str) -> DataFrame:

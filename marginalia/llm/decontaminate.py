@@ -15,6 +15,7 @@ into blocks of that size, and each block makes its own pass over the documents.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing, shared_dir, slices
 from .tokens import ALNUM, buffers, inner_windows, window_hashes, word_hashes
 
 #: Fixed value: punctuation beyond ASCII, as a pattern.
@@ -175,27 +177,32 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, keep: list[st
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = shared.value
             for batch in batches:
-                hits = bench.matches(batch.column(len(keep)), coverage)
-                rows = sorted(hits)
-                found = [[{"item_id": a, "coverage": b, "tiles": [dict(zip(("item_start", "text_start", "length"), x, strict=True)) for x in c]} for a, b, c in sorted(hits[i], key=lambda m: (m[0] is not None, m[0] or 0, m[1]))] for i in rows]
-                if rows:
-                    some = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(found, kind)], names=[*keep, "matches"])
-
-        part = src.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+                for part in slices(batch, len(keep)):
+                    hits = bench.matches(part.column(len(keep)), coverage)
+                    rows = sorted(hits)
+                    found = [[{"item_id": a, "coverage": b, "tiles": [dict(zip(("item_start", "text_start", "length"), x, strict=True)) for x in c]} for a, b, c in sorted(hits[i], key=lambda m: (m[0] is not None, m[0] or 0, m[1]))] for i in rows]
+                    if rows:
+                        some = part.take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(found, kind)], names=[*keep, "matches"])
+
+        more = src.mapInArrow(freeing(run), schema)
+        out = more if out is None else out.unionByName(more)
     return out
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about `limit` characters at most, so that what one pass broadcasts is bounded. A single longer item is a block."""
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about `limit` characters at most, one block on the driver at a time. A single longer item is a block."""
     size = F.char_length(F.coalesce("text", F.lit(""))) + 1
     total = benchmark.agg(F.sum(size)).first()[0] or 0
-    if total <= limit:
-        return [[(r["item_id"], r["text"]) for r in benchmark.collect()]]
-    n = -(-2 * total // limit)
+    n = 1 if total <= limit else -(-2 * total // limit)
     dealt = benchmark.withColumn("__b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [[(r["item_id"], r["text"]) for r in dealt.filter(F.col("__b") == b).collect()] for b in range(n)]
+    if n > 1:  # each block reads its own files
+        dealt = dealt.select("__b", "item_id", "text")
+        path = f"{shared_dir(benchmark.sparkSession).rstrip('/')}/marginalia/benchmark-{uuid.uuid4().hex}"
+        dealt.repartition("__b").write.partitionBy("__b").parquet(path)
+        dealt = benchmark.sparkSession.read.schema("item_id long, text string, __b long").parquet(path)
+    for b in range(n):
+        yield [(r["item_id"], r["text"]) for r in dealt.filter(F.col("__b") == b).collect()]
 
 
 def op3_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -224,9 +231,10 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, coverage: float =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[list(shared.value.matches(batch.column(at), coverage))] = False
-                yield batch.filter(pa.array(clean))
+                for part in slices(batch, at):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[list(shared.value.matches(part.column(at), coverage))] = False
+                    yield part.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(run, documents.schema)
+        kept = kept.mapInArrow(freeing(run), documents.schema)
     return kept

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing, slices
+
 ORDER, DISCOUNT, UNIFORM = 6, 0.75, 1 / 256
 WORD = re.compile(r"[^\W_]+")
 MEMO = 300_000
@@ -169,13 +171,14 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, Counter[str]] = defaultdict(Counter)
         for batch in batches:
-            for y, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if fold == 0:
-                    tally[y].update(set(words_of(text)))
+            for part in slices(batch, 2):
+                for y, fold, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if fold == 0:
+                        tally[y].update(set(words_of(text)))
         for y, c in tally.items():
             yield pa.RecordBatch.from_arrays([pa.array([y] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["toxic", "word", "n"])
 
-    counted = texts.mapInArrow(count, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(freeing(count), "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
     tally = [Counter(), Counter()]
     for batch in counted.toArrow().to_batches():
         for y, w, n in zip(*(batch.column(c).to_pylist() for c in ("toxic", "word", "n")), strict=True):
@@ -185,10 +188,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(y, *shared.value.features(words_of(t))) for y, fold, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if fold == 1]
+            rows = [(y, *shared.value.features(words_of(t))) for part in slices(batch, 2) for y, fold, t in zip(*(c.to_pylist() for c in part.columns), strict=True) if fold == 1]
             yield pa.RecordBatch.from_pylist([{"y": y, "a": a, "b": b} for y, a, b in rows], schema=pa.schema([("y", pa.int32()), ("a", pa.float64()), ("b", pa.float64())]))
 
-    got = texts.mapInArrow(measure, "y int, a double, b double").collect()  # at most a row for each calibration document
+    got = texts.mapInArrow(freeing(measure), "y int, a double, b double").collect()  # at most a row for each calibration document
     x = np.array([[r["a"], r["b"]] for r in got]).reshape(-1, 2)
     model.curve = fitted_curve(x, np.array([r["y"] for r in got], dtype=float))
     return model
@@ -208,11 +211,11 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", scor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            scores = [m.score(m.features(words_of(t))) for t in batch.column(at).to_pylist()]
+            scores = [m.score(m.features(words_of(t))) for part in slices(batch, at) for t in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(scores, pa.float64())], names=[*(kept[i] for i in out), score])
         m.memo.clear()  # the worker may go on to other stages
 
-    return src.mapInArrow(run, src.select(*(kept[i] for i in out), F.lit(0.0).alias(score)).schema)
+    return src.mapInArrow(freeing(run), src.select(*(kept[i] for i in out), F.lit(0.0).alias(score)).schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -235,7 +238,8 @@ def without_toxic(documents: DataFrame, model: ToxicityModel, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([m.score(m.features(words_of(t))) < least for t in batch.column(at).to_pylist()], pa.bool_()))
+            for part in slices(batch, at):
+                yield part.filter(pa.array([m.score(m.features(words_of(t))) < least for t in part.column(at).to_pylist()], pa.bool_()))
         m.memo.clear()  # the worker may go on to other stages
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(freeing(run), documents.schema)

@@ -295,9 +295,11 @@ def brute_components(texts, size, percent):
     return label, [len(s) for s in sets]
 
 
+@pytest.mark.parametrize("rows", [jaccard.GROUP_ROWS, 3])
 @pytest.mark.parametrize("size,percent", [(4, 85), (5, 80), (2, 60)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, size, percent):
+def test_jaccard_equals_brute_force(spark, monkeypatch, size, percent, rows):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", rows)
     rng = random.Random(size)
     line = " ".join(f"l{i}" for i in range(12))
     texts = [None, "", " \t", "one", "ONE", "one two", "a b c d e", "A b\x0bc d e"]
@@ -321,6 +323,9 @@ def test_jaccard_odd_ids(spark):
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard.jaccard_components(df).collect())
     assert got == [(-1, -1), (3, 3), (5, 3), (5, 3), (9, 9)]
     assert sorted(r["doc_id"] or -1 for r in jaccard.near_distinct(df).collect()) == [-1, 3, 9]
+    again = spark.createDataFrame([(3, t, "a"), (3, t, "b"), (3, None, "c"), (4, t, "d"), (None, t, "e"), (None, t, "e")], "doc_id long, text string, __row string")
+    kept = jaccard.near_distinct(again).collect()
+    assert len(kept) == 4 and {(r["doc_id"], r["text"]) for r in kept} == {(3, t), (3, None), (None, t)}
     assert jaccard.op6_jaccard(df.limit(0)).count() == 0
 
 
@@ -381,22 +386,42 @@ def test_word_hashes_equal_words(monkeypatch):
 
 def test_article_text():
     page = '<html><head><title>T</title></head><body><header>H</header><div class="cookie-notice">C</div><main><h1>T &amp; x</h1><p>a<b>b</b> c<br>d<aside>S</aside><p>e &lt;tag&gt; 1 < 2<ul><li>l1<li>l2</ul><form><p>f</form><section id="comments"><p>c1</section><table><tr><td>1<td>2</table><script>var a="</p>";</script>tail</main><footer>F</footer>'
-    assert html_text.Page(page).text(set()) == "T & x\n\nab c d\n\ne <tag> 1 < 2\n\nl1\n\nl2\n\n1 2\n\ntail"
-    assert html_text.Page("<article><p>cut &am").text(set()) == "cut &am"
-    assert html_text.Page("<article><p>cut <a hre").text(set()) == "cut"
-    assert html_text.Page("<article><p title='a>b' x=\"<p>\">q<!-- <p>c</p> --></article>after").text(set()) == "q"
-    assert html_text.Page("").text(set()) == html_text.Page("<p").text(set()) == ""
+    text = lambda source: html_text.Page(source).text(html_text.Template())
+    assert text(page) == "T & x\n\nab c d\n\ne <tag> 1 < 2\n\nl1\n\nl2\n\n1 2\n\ntail"
+    assert text("<article><p>cut &am") == "cut &am"
+    assert text("<article><p>cut <a hre") == "cut"
+    assert text("<article><p title='a>b' x=\"<p>\">q<!-- <p>c</p> --></article>after") == "q"
+    assert text("") == text("<p") == ""
+
+
+def test_attributes_by_name_and_value():
+    """Names and values inside other attributes rule nothing out, nor do single words of longer names."""
+    kept = ['<p title="a hidden gem">', '<p data-id="ad">', '<div class="notice-board">', '<div id="social-history">', '<p data-a="display: none">', '<section id="ad-hoc-networks">', '<section id="related-work">', "<math>"]
+    gone = ['<div class="ad-box wide">', '<div class="share">', "<p hidden>", '<p aria-hidden="true">', '<p style="color: red; display : none">', '<div role=navigation>', '<div id="ad_300x250">', '<div class="site-footer">']
+    for wrap in ("<article>{}</article>", "<body>{}</body>"):
+        for i, tag in enumerate(kept + gone):
+            got = html_text.Page(wrap.format(f"<p>a</p>{tag}b")).text(html_text.Template())
+            assert got.split() == (["a", "b"] if i < len(kept) else ["a"]), tag
 
 
 @pytest.mark.parametrize("limit", [500_000, -1])
 def test_template_words_go_where_no_article_is(spark, monkeypatch, limit):
     monkeypatch.setattr(html_text, "BROADCAST_TOKENS", limit)
-    rows = [(i, f"https://h.example/{i}", f"<body><div>Site name and slogan</div><div><p>Text number {i} is unlike word{i}.</div>Same foot line</body>") for i in range(6)]
+    monkeypatch.setattr(html_text, "SITE_PAGES", 4)
+    rows = [(i, f"https://H.example/{i}", f"<body><div>Site name and slogan</div><div><p>Text number {i} is unlike word{i}.</div>Same foot line {i}</body>") for i in range(6)]
     rows += [(9, "https://other.example/", "<body><p>Alone here</body>"), (10, None, None), (11, "https://h.example/11", "")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
-    got = {r["page_id"]: r["text"] for r in html_text.op8_html_text(df).collect()}
-    assert got == {i: f"Text number {i} is unlike word{i}." for i in range(6)} | {9: "Alone here", 10: "", 11: ""}
+    rows += [(20 + i, f"https://h.example/shop/{i}", f"<body><section class='shop'>Shop menu words</section><section>Ware {i} costs {i}{i} and comes in blue{i}.</section></body>") for i in range(3)]
+    rows += [(30 + i, "https://copies.example/", "<body><p>All of this page stands on others</body>") for i in range(3)]
+    df = spark.createDataFrame([(*r, "x", "mine", 1) for r in rows], "page_id long, url string, html string, text string, host string, site int")
+    found = html_text.extract_text(df, ["page_id", "host", "site"]).collect()
+    got = {r["page_id"]: r["text"] for r in found}
+    assert {(r["host"], r["site"]) for r in found} == {("mine", 1)}
+    want = {i: f"Text number {i} is unlike word{i}." for i in range(6)} | {9: "Alone here", 10: "", 11: ""} | {20 + i: f"Ware {i} costs {i}{i} and comes in blue{i}." for i in range(3)}
+    assert got == want | {30 + i: "All of this page stands on others" for i in range(3)}
+    assert {r["page_id"]: r["text"] for r in html_text.op8_html_text(df).collect()} == got
     assert html_text.op8_html_text(df.limit(0)).count() == 0
+    # without its template each of these pages has another text
+    assert all(html_text.Page(h).text(html_text.Template()) != got[i] for i, _, h in rows if i < 6 or 20 <= i < 30)
 
 
 @pytest.mark.parametrize("limit", [500_000, -1])
@@ -411,9 +436,76 @@ def test_template_blocks_inside_the_article(spark, monkeypatch, limit):
     assert got == {i: text(i, "") for i in range(6)} | {6 + i: text(0, whole) for i in range(4)} | {10: text(10, whole)}
 
 
-def test_sections_named_by_a_mark():
-    page = '<article><section id="ad-hoc-networks">a</section><section id="related-work">b</section><div class="ad-box wide">c</div><div class="share">d</div></article>'
-    assert html_text.Page(page).text(set()) == "a\n\nb"
+def brute_templates(pages):
+    """Classes of equal occurrence vectors, kept whole, in one order on all pages and uncrossed, straight from the definition."""
+    sites = {}
+    for url, source in pages:
+        page = html_text.Page(source)
+        sites.setdefault((html_text.host_of(url), page.layout()), []).append(page.tokens())
+    out = set()
+    for own in sites.values():
+        vectors = {}
+        for t in {t for tokens_ in own for t in tokens_}:
+            vectors.setdefault(tuple(tokens_.count(t) for tokens_ in own), set()).add(t)
+        classes = [c for v, c in vectors.items() if len(c) >= 3 and sum(n > 0 for n in v) >= max(3, len(own) / 2)]
+
+        def rounds(c, tokens_):
+            """Places of the class's tokens, a list for each repetition."""
+            at = [i for i, t in enumerate(tokens_) if t in c]
+            return [at[i : i + len(c)] for i in range(0, len(at), len(c))]
+
+        def one_order(c):
+            return len({tuple(tokens_[i] for i in r) for tokens_ in own for r in rounds(c, tokens_)}) == 1
+
+        classes = [c for c in classes if one_order(c)]
+
+        def cross(c, d):
+            return any(a[0] < b[0] < a[-1] < b[-1] or b[0] < a[0] < b[-1] < a[-1] for tokens_ in own for a in rounds(c, tokens_) for b in rounds(d, tokens_))
+
+        out |= {frozenset(c) for c in classes if not any(cross(c, d) and len(d) > len(c) for d in classes)}
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(8)
+    pages = []
+    for host in range(4):
+        menu = [f"m{rng.randrange(30)}{i}" for i in range(5)]
+        for i in range(rng.randrange(8, 16)):
+            listed = "".join(f"<li><i>by</i> <b>item</b> <em>x{rng.randrange(99)}</em>" for _ in range(rng.randrange(1, 4)))
+            swap = "<p>left one two</p><h2>right three four</h2>" if host == 1 and i % 2 else "<h2>right three four</h2><p>left one two</p>"
+            side = "<section class='side'>extra box of words</section>" if rng.random() < 0.5 else ""
+            pages.append((f"https://h{host}.example/{i}", f"<body><div>{' '.join(menu)} {i}</div>{swap}{side}<ul>{listed}</ul><article><p>own text {rng.random()}<p>same line</article><div>foot of site {host}</div></body>"))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {}
+    for r in html_text.deduce_templates(df).collect():
+        got.setdefault((r["site"], r["class"]), set()).add(r["token"])
+    assert {frozenset(c) for c in got.values()} == brute_templates(pages) and len(got) > 4
+
+
+def test_nested_classes_and_slots(spark):
+    page = lambda i: "<body><div>Top line here</div><ul>" + "".join(f"<li><b>Name</b> n{i}x{j} <i>Price</i> {i}{j}</li>" for j in range(1 + i % 3)) + "</ul><div>End mark there</div></body>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(6)]
+    found = html_text.deduce_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    held = {r["class"]: r["holder"] for r in found}
+    root = [c for c, h in held.items() if h == 0]
+    assert len(held) == 2 and len(root) == 1 and set(held.values()) == {0, root[0]}
+    template = html_text.Template({r["token"]: r["class"] for r in found}, held)
+    slots = html_text.Page(page(2)).slots(template)
+    assert {text: of_template for _, text, of_template in slots} == {"Top line here": True, "End mark there": True} | {f"Name n2x{j} Price 2{j}": False for j in range(3)}
+    assert {held[c] for c, text, _ in slots if text.startswith("Name")} <= {0, root[0]}
+
+
+def test_pages_that_differ_at_their_end(spark):
+    """Equal beginnings do not make two pages one: each page has its own place in the vectors."""
+    long = "<p>" + "same " * 2000
+    rows = [("https://h.example/", f"<body>{long}<p>{'one two three' if i % 2 else 'four five six'}") for i in range(8)]
+    sums = {}
+    for batch in html_text._occurrences(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["url", "html"])])):
+        for r in batch.to_pylist():
+            sums[r["token"]] = (r["f0"], r["f1"], r["pages"])
+    path = "/body/p:"
+    assert sums[html_text.digest(path + "one")] == sums[html_text.digest(path + "two")] != sums[html_text.digest(path + "four")]
 
 
 # urls
