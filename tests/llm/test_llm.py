@@ -9,7 +9,6 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -216,35 +215,60 @@ def test_graph_equals_brute_force(spark):
     assert graph_dedup.op5_graph_dedup(df.limit(0)).count() == 0
 
 
-def test_recall_across_shards_and_blocks(spark, monkeypatch):
-    """Recall against brute force with many overlapping shards, each split into blocks."""
-    monkeypatch.setattr(graph_dedup, "SHARD_ROWS", 60)
-    monkeypatch.setattr(graph_dedup, "BLOCK_ROWS", 25)
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    true = int((unit @ unit.T >= 0.9).sum()) - len(x)
-    found = sum(r["n_links"] for r in graph_dedup.op5_graph_dedup(df).collect())
-    assert 0.9 * true <= found <= true
-
-
-def test_links_that_one_shard_misses(spark, monkeypatch):
-    """The search loses what it finds in the shard that counts a pair; other shards of the pair hold it too."""
-    rng = np.random.default_rng(1)
-    base = rng.normal(size=(60, 8))
-    x = np.concatenate([base, base + rng.normal(size=(60, 8)) * 0.02])
-    pdf = pd.DataFrame({"id": np.arange(120), "copies": 1, "v": list(x), "homes": [[0, 1]] * 120, "block": 0, "i": 0, "j": 0})
-    nothing = np.empty(0, np.int64)
-    search = graph_dedup.range_search
-    monkeypatch.setattr(graph_dedup, "range_search", lambda *a, **b: (nothing, nothing))
-    low = graph_dedup._links_in_shard(pdf.assign(shard=0), 0.9, 32)
-    monkeypatch.setattr(graph_dedup, "range_search", search)
-    high = graph_dedup._links_in_shard(pdf.assign(shard=1), 0.9, 32)
+def planted(rng, n, dim, near, noise=0.08):
+    """(vectors with near ones planted, for each its links by brute force): most links stand alone, some in larger clusters."""
+    base = rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    copies = base[rng.integers(0, n, near)] + rng.normal(size=(near, dim)) * noise * rng.uniform(0.2, 1, (near, 1))
+    x = np.concatenate([base, copies, base[:1] + rng.normal(size=(near // 6, dim)) * 0.03])[rng.permutation(n + near + near // 6)]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = unit @ unit.T >= 0.9
-    assert low["links"].sum() + high["links"].sum() == near.sum() - 120 > 0
-    assert set(high["id"]) == set(low["id"]) == set(np.nonzero(near.sum(1) > 1)[0])
-    assert (high["root"] != high["id"]).any()
+    return x, (unit @ unit.T >= 0.9).sum(1) - 1
+
+
+def test_recall_across_shards_and_blocks(spark, monkeypatch, caplog):
+    """Each vector's links against brute force, over some 75 overlapping shards, of which the hot cluster's are split into blocks; one and two levels of centroids."""
+    monkeypatch.setattr(graph_dedup, "SHARD_ROWS", 60)
+    monkeypatch.setattr(graph_dedup, "BLOCK_ROWS", 100)
+    x, true = planted(np.random.default_rng(3), 800, 32, 600)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for most in (4096, 8):
+        monkeypatch.setattr(graph_dedup, "MAX_CENTROIDS", most)
+        caplog.clear()
+        found = {r["vec_id"]: r["n_links"] for r in graph_dedup.op5_graph_dedup(df).collect()}
+        assert "blocks without a graph" not in caplog.text
+        linked = [i for i in range(len(x)) if true[i]]
+        assert len(linked) > 500 and all(found[i] <= true[i] for i in found)
+        assert np.mean([found[i] / true[i] for i in linked]) >= 0.98
+        assert np.mean([found[i] / true[i] for i in linked if i % 20 == 0]) >= 0.9
+
+
+def test_graph_is_sparse_and_searched():
+    """Insertion keeps lists short, and the search finds by them what brute force finds, while it meets a part of all vectors."""
+    x, true = planted(np.random.default_rng(4), 1500, 32, 700)
+    x = graph_dedup.unit(x)
+    graph, entries = graph_dedup.robust_graph(x)
+    assert graph.shape[1] == graph_dedup.DEGREE and (graph >= 0).sum(1).mean() <= graph_dedup.DEGREE
+    edges = {(i, int(j)) for i, row in enumerate(graph) for j in row if j >= 0}
+    pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if i != j}
+    assert len(pairs & edges) < 0.8 * len(pairs)  # the search is needed
+    source = np.array(sorted(edges | {(j, i) for i, j in edges}))
+    lists = (np.searchsorted(source[:, 0], np.arange(len(x) + 1)), source[:, 1])
+    a, b = graph_dedup.range_search(lists, entries, x, x, 0.9, graph_dedup.BEAM, np.arange(len(x)))
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(pairs & found) >= 0.98 * len(pairs)
+
+
+def test_united_lists_lead_out_of_a_shard(monkeypatch):
+    """A vector that lies in another shard only is met through the list of one that lies in both."""
+    z = np.array([1.0, 0, 0])
+    a, b = np.array([1.0, 0.2, 0]), np.array([1.0, -0.2, 0])
+    rows = [(0, 1, z, True, True, [2, 3]), (0, 2, a, True, False, [1]), (1, 3, b, False, False, [1]), (0, 4, np.array([0, 0, 1.0]), True, False, [1])]
+    names = ("role", "id", "v", "first", "entry", "list")
+    table = lambda some: pa.table({k: pa.array([(c.tolist() if k == "v" else c) for c in col], {"list": pa.list_(pa.int64()), "v": pa.list_(pa.float64())}.get(k)) for k, col in zip(names, zip(*some, strict=True), strict=True)} | {k: pa.array([v] * len(some), pa.int64()) for k, v in (("copies", 5), ("i", 0), ("j", 0))})
+    search = graph_dedup._searched(3, 0.9, 8, exact=False)
+    got = {r["id"]: (r["links"], r["root"]) for r in search(table(rows)).to_pylist()}
+    assert got == {1: (10, 1), 2: (10, 1), 3: (0, 1)}  # 2 and 3 share no shard; 3 searches in its own
+    assert {r["id"]: r["links"] for r in search(table([r for r in rows if r[0] == 0])).to_pylist()} == {1: 5, 2: 5}
 
 
 def test_audit_sees_sparse_pairs_beside_a_hot_cluster(spark, monkeypatch):
@@ -253,9 +277,9 @@ def test_audit_sees_sparse_pairs_beside_a_hot_cluster(spark, monkeypatch):
     x = np.concatenate([rng.normal(size=(1, 16)) * 4 + rng.normal(size=(120, 16)) * 0.02, base, base + rng.normal(size=(100, 16)) * 0.02])
     search = graph_dedup._search
 
-    def without_sparse(classes, centroids, *rest):
-        found = search(classes, centroids, *rest)
-        return found if len(centroids) == 1 else found.filter("links > 50")
+    def without_sparse(*a, exact):
+        found = search(*a, exact=exact)
+        return found if exact else found.filter("links > 50")
 
     monkeypatch.setattr(graph_dedup, "SHARD_ROWS", 60)
     monkeypatch.setattr(graph_dedup, "_search", without_sparse)
@@ -263,7 +287,7 @@ def test_audit_sees_sparse_pairs_beside_a_hot_cluster(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     true = ((unit @ unit.T >= 0.9).sum(1) - 1).tolist()
     assert [r["n_links"] for r in graph_dedup.near_duplicate_vectors(df).orderBy("vec_id").collect()] == true
-    monkeypatch.setattr(graph_dedup, "_search", lambda *a: search(*a).filter("links > 50"))
+    monkeypatch.setattr(graph_dedup, "_search", lambda *a, exact: search(*a, exact=exact).filter("links > 50"))
     with pytest.raises(RuntimeError, match="recall"):
         graph_dedup.near_duplicate_vectors(df)
 
