@@ -30,7 +30,7 @@ from .common import freeing, slices
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and the white space of Unicode.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO, LONGEST, SLICE = 300_000, 48, 2_000_000
+MEMO, PAIRS, LONGEST, SLICE = 250_000, 300_000, 48, 1_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -76,7 +76,7 @@ class TrieBPE:
         for b, i in self.tokens.items():
             self.ends.add_word(b.decode("latin-1"), (len(b), i))
         self.ends.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left << 20 | right
         self.chunks: dict[str, bytes] = {}
         self.width = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.place = np.cumsum(self.width) - self.width
@@ -111,7 +111,7 @@ class TrieBPE:
         last: list[int] = [-1]  # last[i]: last token of the encoding of the path's first i bytes
         before = ""
         pairs, follows, ends, width = self.pairs, self.follows, self.ends.iter, self.width.tolist()
-        if len(pairs) > 2 * MEMO:
+        if len(pairs) > PAIRS:
             pairs.clear()
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
@@ -123,10 +123,11 @@ class TrieBPE:
                 if end < known:
                     continue
                 if n <= end:
-                    key = (last[end + 1 - n], token)
+                    left = last[end + 1 - n]
+                    key = left << 20 | token
                     fits = pairs.get(key)
                     if fits is None:
-                        fits = pairs[key] = follows(*key)
+                        fits = pairs[key] = follows(left, token)
                     if not fits:
                         continue
                 last.append(token)

@@ -17,7 +17,7 @@ LOCAL_FALLBACK = "/tmp/checkpoints"
 #: Lets Spark delete a query's shuffle files as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a worker turns into Python objects or arrays at once, about; a longer text stands alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

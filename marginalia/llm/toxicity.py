@@ -27,7 +27,9 @@ from .common import freeing, slices
 
 ORDER, DISCOUNT, UNIFORM = 6, 0.75, 1 / 256
 WORD = re.compile(r"[^\W_]+")
-MEMO = 300_000
+MEMO = 150_000
+#: Bytes of text whose words are Python objects at once, about.
+SLICE = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -171,7 +173,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, Counter[str]] = defaultdict(Counter)
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 for y, fold, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if fold == 0:
                         tally[y].update(set(words_of(text)))
@@ -188,7 +190,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(y, *shared.value.features(words_of(t))) for part in slices(batch, 2) for y, fold, t in zip(*(c.to_pylist() for c in part.columns), strict=True) if fold == 1]
+            rows = [(y, *shared.value.features(words_of(t))) for part in slices(batch, 2, SLICE) for y, fold, t in zip(*(c.to_pylist() for c in part.columns), strict=True) if fold == 1]
             yield pa.RecordBatch.from_pylist([{"y": y, "a": a, "b": b} for y, a, b in rows], schema=pa.schema([("y", pa.int32()), ("a", pa.float64()), ("b", pa.float64())]))
 
     got = texts.mapInArrow(freeing(measure), "y int, a double, b double").collect()  # at most a row for each calibration document
@@ -211,7 +213,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", scor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            scores = [m.score(m.features(words_of(t))) for part in slices(batch, at) for t in part.column(at).to_pylist()]
+            scores = [m.score(m.features(words_of(t))) for part in slices(batch, at, SLICE) for t in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(scores, pa.float64())], names=[*(kept[i] for i in out), score])
         m.memo.clear()  # the worker may go on to other stages
 
@@ -238,7 +240,7 @@ def without_toxic(documents: DataFrame, model: ToxicityModel, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, SLICE):
                 yield part.filter(pa.array([m.score(m.features(words_of(t))) < least for t in part.column(at).to_pylist()], pa.bool_()))
         m.memo.clear()  # the worker may go on to other stages
 
