@@ -10,13 +10,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 KEYS = ("excerpt_key", "source_key", "target_key")
 
 
+def digest(*keys: Column) -> Column:
+    """What stands for keys of any length in shuffles and sorts; equal for equal keys, nulls included."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("-")) for k in keys]), 256)
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by `order`; null keys are keys. One shuffle; the window's sort keeps a row for each key and task."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """The first row of each key by `order`; null keys are keys. One shuffle by the keys' digest; a row for each key and task goes through it."""
+    w = Window.partitionBy("__key").orderBy(*order)
+    return df.withColumn("__key", digest(*[F.col(k) for k in keys])).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__key")
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -36,34 +43,58 @@ def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
 
 
 def candidate_gate(df: DataFrame, required: Sequence[str], year: str, wanted_year: int, excerpt: str, row_id: str, order: str) -> DataFrame:
-    """df with `reason`: missing value, then repeated id among rows that miss none, bad year, wrong year, not one marker; null for good rows."""
+    """df with `reason`: missing value, then repeated id among rows that miss none, bad year, wrong year, not one marker; null for good rows.
+
+    `order` tells rows apart. The first row of an id is a minimum, combined before the shuffle, and rows that miss a value have none,
+    so neither they nor a hot id meet in one task's window.
+    """
     missing = F.lit(False)
     for c in required:
         missing = missing | (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "")
-    marked = df.withColumn("_missing", missing)
-    w = Window.partitionBy("_missing", row_id).orderBy(order)
+    marked = df.withColumn("__missing", missing)
+    first = marked.filter(~F.col("__missing")).groupBy(F.col(row_id).alias("__id")).agg(F.min(order).alias("__first"))
+    marked = marked.join(written(first, "gate-first"), ~F.col("__missing") & F.col(row_id).eqNullSafe(F.col("__id")), "left")
     as_int = F.col(year).try_cast("int")
     markers = F.size(F.split(F.col(excerpt), r"\[CITATION\]")) - 1
     rules = [
-        ("missing_required_value", F.col("_missing")),
-        ("duplicate_id", F.row_number().over(w) > 1),
+        ("missing_required_value", F.col("__missing")),
+        ("duplicate_id", F.col(order) != F.col("__first")),
         ("invalid_year", as_int.isNull()),
         ("wrong_year", as_int != wanted_year),
         ("citation_marker_count", markers != 1),
     ]
-    return marked.withColumn("reason", first_reason(rules)).drop("_missing")
+    return marked.withColumn("reason", first_reason(rules)).select(*df.columns, "reason")
+
+
+def biomedical_gate(df: DataFrame, audit: DataFrame, required: Sequence[str], year: str = "2025", row_id: str = "id", venue: str = "venue") -> tuple[DataFrame, DataFrame]:
+    """(df with `reason` and the audit's columns, its counts): missing value, then not one marker, then another year as text.
+
+    A missing venue is counted and the row is kept; rows without an audit row keep nulls there.
+    """
+    missing = F.lit(False)
+    for c in required:
+        missing = missing | (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "")
+    rules = [("missing_required_value", missing), ("citation_marker_count", F.size(F.split("excerpt", r"\[CITATION\]")) != 2), ("wrong_year", F.coalesce(F.trim(F.col("year").cast("string")), F.lit("")) != year)]
+    gated = df.withColumn("reason", first_reason(rules)).join(audit, row_id, "left")
+    no_venue = F.trim(F.coalesce(F.col(venue).cast("string"), F.lit(""))) == ""
+    counts = gated.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col("reason") == n).alias(f"n_{n}") for n, _ in rules], F.count_if(F.col("reason").isNull() & no_venue).alias("n_missing_venue_kept"), F.count_if(F.col("reason").isNull()).alias("n_kept"))
+    return gated, counts
 
 
 def reason_counts(gated: DataFrame, *by: str) -> DataFrame:
     return gated.filter("reason IS NOT NULL").groupBy(*by, "reason").agg(F.count("*").alias("n"))
 
 
+def _known(other: DataFrame, key: str) -> DataFrame:
+    """Digests of the other table's values of a key; empty and null ones never match."""
+    return other.filter(F.coalesce(F.col(key), F.lit("")) != "").select(digest(F.col(key)).alias("__key")).distinct()
+
+
 def leakage_flags(df: DataFrame, other: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """df with a flag `in_<key>` for each key that stands in the other table; empty and null keys never match."""
     out = df
     for k in keys:
-        seen = other.select(F.col(k).alias(k)).filter(f"coalesce({k}, '') <> ''").distinct().withColumn(f"in_{k}", F.lit(True))
-        out = out.join(seen, k, "left").withColumn(f"in_{k}", F.coalesce(f"in_{k}", F.lit(False)))
+        out = out.withColumn("__key", digest(F.col(k))).join(_known(other, k).withColumn(f"in_{k}", F.lit(True)), "__key", "left").withColumn(f"in_{k}", F.coalesce(f"in_{k}", F.lit(False)))
     return out.select(*df.columns, *[f"in_{k}" for k in keys])
 
 
@@ -71,7 +102,7 @@ def without_leakage(df: DataFrame, other: DataFrame, keys: Sequence[str] = KEYS)
     """Rows none of whose keys stands in the other table: an anti-join for each key, as one OR would need nested loops."""
     out = df
     for k in keys:
-        out = out.join(other.select(k).filter(f"coalesce({k}, '') <> ''").distinct(), k, "left_anti")
+        out = out.withColumn("__key", digest(F.col(k))).join(_known(other, k), "__key", "left_anti")
     return out.select(*df.columns)
 
 
@@ -111,26 +142,59 @@ def split_summary(df: DataFrame, by: str, keys: Sequence[str] = KEYS) -> DataFra
 
 def overlap_counts(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """kind, n: distinct values of each key that both tables have."""
-    parts = [a.select(k).intersect(b.select(k)).agg(F.count("*").alias("n")).select(F.lit(k.removesuffix("_key")).alias("kind"), "n") for k in keys]
+    values = lambda t, k: t.select(digest(F.col(k)).alias("__key"))
+    parts = [values(a, k).intersect(values(b, k)).agg(F.count("*").alias("n")).select(F.lit(k.removesuffix("_key")).alias("kind"), "n") for k in keys]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def numbered(df: DataFrame, order: Sequence[str], start: int, name: str = "id") -> DataFrame:
-    """df with ids start, start + 1, ... by `order`.
+def ranked(df: DataFrame, order: Sequence[str | Column], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """df with the rank (0, 1, ...) of each row by `order`, over all rows or within each group `by`; nulls first, ties in any fixed order.
 
-    Not by one task: rows are grouped by the first two characters of the first order column, which
-    must be a hexadecimal digest; the groups' sizes (at most 256 rows) give the offsets.
+    Not by one task, whatever the groups: rows are dealt by ranges of (by, order), sampled from the data, and written with their
+    place in their range; the ranges' sizes (a row for each range and group) give the offsets. `order` may be of any type.
     """
-    prefix = F.substring(F.col(order[0]).cast("string"), 1, 2)
-    keyed = df.withColumn("_range", prefix)
-    sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_range").orderBy(*order)
-    return keyed.join(F.broadcast(offsets), "_range").withColumn(name, (F.row_number().over(w) - 1 + F.col("_before") + start).cast("long")).drop("_range", "_before")
+    names = {f"__o{i}": (o if isinstance(o, Column) else F.col(o)) for i, o in enumerate(order)}
+    keys = [*by, *names]
+    # the partitions number the ranges in the order of their rows
+    dealt = df.withColumns(names).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = dealt.withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).drop(*names)
+    placed = written(placed, "ranges")
+    groups = {f"__g{i}": F.col(c) for i, c in enumerate(by)}
+    sizes = placed.withColumns(groups).groupBy("__range", *groups).agg(F.count("*").alias("__n"), F.min("__place").alias("__first")) if groups else placed.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("__range").alias("__r"), *groups, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__before"))
+    same = F.col("__range") == F.col("__r")
+    for g, c in groups.items():
+        same = same & c.eqNullSafe(F.col(g))
+    return placed.join(offsets, same).withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).select(*[c for c in df.columns if c != name], name)
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], start: int, name: str = "id") -> DataFrame:
+    """df with ids start, start + 1, ... by `order`, of any types; nulls first."""
+    return ranked(df, order, name).withColumn(name, F.col(name) + F.lit(start))
+
+
+def first_rows(df: DataFrame, order: Sequence[str | Column], most: int) -> DataFrame:
+    """The first `most` rows by order, as a writer that stops there keeps them; a group that the limit cuts is still one that was read."""
+    return df.orderBy(*order).limit(most)
+
+
+def pooled_keys(tables: Sequence[DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Distinct keys of several tables, as a reference for leakage."""
+    out = tables[0].select(*keys)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*keys))
+    return out.distinct()
+
+
+def first_in_venue_order(df: DataFrame, keys: Sequence[str], venues: Sequence[str], venue: str, order: Sequence[str]) -> DataFrame:
+    """first_wins across venues in a stated order of venues, then by `order`; other venues come last."""
+    at = F.array_position(F.array(*[F.lit(v) for v in venues]), F.col(venue))
+    place = F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(F.lit(len(venues) + 1))
+    return first_wins(df.withColumn("__venue", place), keys, ["__venue", *order]).drop("__venue")
 
 
 def balanced_top(df: DataFrame, by: str, order: Sequence[str], quota: int) -> DataFrame:
@@ -160,5 +224,4 @@ def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFr
 
 def batch_numbers(df: DataFrame, order: Sequence[str], by: str, size: int = 200) -> DataFrame:
     """df with batch: the number of its run of `size` rows within each group by order, as a batched service is asked."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return ranked(df, order, "batch", [by]).withColumn("batch", F.floor(F.col("batch") / size).cast("long"))

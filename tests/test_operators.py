@@ -32,6 +32,74 @@ def pool(spark):
     return spark.createDataFrame([(f"v{i % 5}", i, f"s{i % 7}", f"t{i % 11}", f"{i * 37 % 101:03d}") for i in range(60)], "venue string, id int, source_key string, target_key string, score string")
 
 
+def plain_hold_out(rows, n):
+    """The rule in a loop: rows (id, source, target, score) of one group."""
+    many_s, many_t = Counter(r[1] for r in rows), Counter(r[2] for r in rows)
+    rows = sorted(rows, key=lambda r: (many_s[r[1]], many_t[r[2]], r[3], r[0]))
+    held = []
+    for r in rows:
+        if len(held) < n and all(r[1] != h[1] and r[2] != h[2] for h in held):
+            held.append(r)
+    return {r[0] for r in held + [r for r in rows if r not in held][: n - len(held)]}
+
+
+def plain_waterfill(venues, total):
+    """One place at a time to the lowest that has room; venues (name, index, initial, capacity)."""
+    now = {v: i for v, _, i, _ in venues}
+    while sum(now.values()) < total:
+        room = [(now[v], k, v) for v, k, _, c in venues if now[v] < c]
+        if not room:
+            break
+        now[min(room)[2]] += 1
+    return now
+
+
+def test_bounded_groups_equal_plain_loops(spark):
+    """Hot pairs, sources and targets, few and many sources; quotas from 1 up."""
+    rng = random.Random(5)
+    rows = []
+    for by, n, kinds in (("few", 150, 3), ("many", 150, 60), ("hot", 200, 0), ("single", 90, 1)):
+        for i in range(n):
+            source, target = (f"s{rng.randrange(kinds)}", f"t{rng.randrange(kinds)}") if kinds else ("s0" if i % 2 else f"s{i}", "t0" if i % 3 else f"t{i}")
+            rows.append((len(rows), by, source, target, f"{rng.randrange(40):02d}"))
+    df = spark.createDataFrame(rows, "id int, venue string, source_key string, target_key string, score string")
+    for n in (1, 4, 9):
+        picked = {}
+        for r in sampling.diverse_sample(df, "venue", n, "id").collect():
+            picked.setdefault(r["venue"], {})[r["pick"]] = r["id"]
+        held = {}
+        for r in sampling.hold_out(df, "venue", n, "id").filter("split = 'validation'").collect():
+            held.setdefault(r["venue"], set()).add(r["id"])
+        for by in ("few", "many", "hot", "single"):
+            own = sorted((r for r in rows if r[1] == by), key=lambda r: (r[4], r[0]))
+            left, used_s, used_t, want = list(own), Counter(), Counter(), []
+            while len(want) < n:
+                r = min(left, key=lambda r: (used_s[r[2]], used_t[r[3]], r[4], r[0]))
+                left.remove(r)
+                used_s[r[2]] += 1
+                used_t[r[3]] += 1
+                want.append(r[0])
+            assert [picked[by][i] for i in range(n)] == want, (by, n)
+            assert held[by] == plain_hold_out([(r[0], r[2], r[3], r[4]) for r in own], n), (by, n)
+    with pytest.raises(ValueError):
+        sampling.diverse_sample(df, "venue", 1000, "id")
+    for _ in range(12):
+        venues = [(f"v{k}", k, (a := rng.randrange(6)), a + rng.randrange(8)) for k in range(rng.randrange(1, 7))]
+        total = rng.randrange(0, 60)
+        table = spark.createDataFrame(venues, "venue string, venue_idx int, initial int, capacity int")
+        assert {r["venue"]: r["target"] for r in sampling.waterfill(table, total).collect()} == plain_waterfill(venues, total), (venues, total)
+
+
+def test_ranks_of_any_type(spark):
+    df = spark.createDataFrame([(9, "b"), (10, "a"), (100, "a"), (None, "b"), (10, None), (-3, None)], "k int, g string").repartition(3)
+    assert [(r["k"], r["id"]) for r in curation.numbered(df.select("k"), ["k"], 5).orderBy("id").collect()] == [(None, 5), (-3, 6), (9, 7), (10, 8), (10, 9), (100, 10)]
+    got = {(r["g"], r["k"]): r["r"] for r in curation.ranked(df, ["k"], "r", ["g"]).collect()}
+    assert got == {("b", None): 0, ("b", 9): 1, ("a", 10): 0, ("a", 100): 1, (None, -3): 0, (None, 10): 1}
+    assert curation.numbered(df.limit(0), ["k"], 0).count() == 0
+    hot = spark.range(5000).withColumn("g", F.lit(1))
+    assert sorted(r["b"] for r in curation.batch_numbers(hot, ["id"], "g", 1000).groupBy(F.col("batch").alias("b")).count().filter("count = 1000").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_sample_and_hold_out(spark):
     got = sampling.diverse_sample(pool(spark), "venue", 3, "id").collect()
     assert Counter(r["venue"] for r in got) == {f"v{i}": 3 for i in range(5)}
