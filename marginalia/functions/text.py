@@ -54,9 +54,10 @@ def body_text(x: Column) -> Column:
 
 
 def sentences(x: Column) -> Column:
-    """Array of sentences: a break stands after . ! ? before an upper-case letter, a digit, a quote or a bracket; `et al.` does not end one."""
+    """Array of sentences: a break stands after . ! ? before an upper-case letter, a digit, a quote or a bracket; `et al.`, in any case
+    and as words of its own, does not end one."""
     guard = "<prd>"
-    kept = F.replace(x, F.lit("et al."), F.lit(f"et al{guard}"))
+    kept = F.regexp_replace(x, r"(?iU)\b(et al)\.", f"$1{guard}")
     parts = F.split(kept, rf"""(?U)(?<=[.!?]){WS}+(?=[A-Z0-9"'(\[])""")
     return F.filter(F.transform(parts, lambda s: spaces(F.replace(s, F.lit(guard), F.lit(".")))), lambda s: s != "")
 

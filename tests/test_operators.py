@@ -180,26 +180,41 @@ def test_scores(spark):
     assert [b["b"] for b in best] == [0.7, 0.0]
 
 
+FAR = "x" * 900
 PAGES = [
     ("blocks", '<div class="paper"><p class="title">A Plain Title</p><a href="/v1/a.html">abs</a><a href="/v1/a.pdf">Download PDF</a></div>', [("A Plain Title", "https://h/v1/a.html", "https://h/v1/a.pdf")]),
+    ("last-pdf", '<div class="paper"><p class="title">A <i>Plain</i> &amp; Title</p><a href="/a.html">abs</a><a href="/a.pdf">pdf</a><a href="/b.pdf">pdf</a><a href="/a-supp.pdf">supp</a></div>', [("A Plain & Title", "https://h/a.html", "https://h/b.pdf")]),
+    ("no-abs", '<div class="paper"><p class="title">Some Title</p><a href="/a.html">Abstract</a><a href="/a.pdf">pdf</a></div><div class="paper"><p class="title"> </p><a href="/b.html">abs</a><a href="/b.pdf">pdf</a></div>', []),
+    ("twice", '<div class="x paper y"><p class="title">One Title</p><a href="/a">abs</a><a href="/a.pdf">pdf</a></div><div class="paper"><p class="title">Other</p><a href="/a">ABS</a><a href="/b.pdf">pdf</a></div>', [("One Title", "https://h/a", "https://h/a.pdf")]),
     ("unquoted", "<a href=/x/y.pdf>pdf</a> <a href=/x/y.bib>bib</a> <a href=/x/y>abs</a> <a href=/x/y>A Proper Long Title</a>", [("A Proper Long Title", "https://h/x/y", "https://h/x/y.pdf")]),
     ("author", '<a href="/p/z">The Title of the Work</a> <a href="/people/ann">Ann the Author</a> <a href="/p/z.pdf">pdf</a> <a href="/p/z-supp.pdf">supp</a>', [("The Title of the Work", "https://h/p/z", "https://h/p/z.pdf")]),
+    ("own-title-far", f'<a href="/one">Its own long title</a>{FAR}<a href="/1.pdf">pdf</a><a href="/two">The next long title</a>{FAR}<a href="/2.pdf">pdf</a>', [("Its own long title", "https://h/one", "https://h/1.pdf"), ("The next long title", "https://h/two", "https://h/2.pdf")]),
+    ("too-far", f'<a href="/one">Its own long title</a>{FAR}{FAR}<a href="/1.pdf">pdf</a>', []),
+    ("same-target", '<a href="/other">Another long title</a><a href="/q">q</a><a href="/q.pdf">pdf</a>', []),
     ("volume", '<a href="/v.pdf">Proceedings of everything</a> <a href="#">https://h/all</a>', []),
+    ("content", '<a href="/content/C2024/html/A_paper.html">A Paper of Content</a><a href="/content/C2024/papers/A_paper.pdf">pdf</a>', [("A Paper of Content", "https://h/content/C2024/html/A_paper.html", "https://h/content/C2024/papers/A_paper.pdf")]),
     ("listing", '<a href="/paper_files/paper/2023/hash/ab-Abstract-Conference.html">First Great Paper</a>', [("First Great Paper", "https://h/paper_files/paper/2023/hash/ab-Abstract-Conference.html", "https://h/paper_files/paper/2023/file/ab-Paper-Conference.pdf")]),
+    ("nothing", None, []),
 ]
 
 
-@pytest.mark.parametrize("name,source,want", PAGES, ids=[p[0] for p in PAGES])
-def test_listings(name, source, want):
-    assert listings.papers(source, "https://h/index.html") == want
+def test_listings(spark):
+    pages = spark.createDataFrame([(f"https://h/?{name}", source) for name, source, _ in PAGES], "url string, html string")
+    found = {}
+    for r in listings.papers(pages).orderBy("page", "place").collect():
+        found.setdefault(r["page"], []).append((r["title"], r["source_paper_url"], r["pdf_url"]))
+    for name, _, want in PAGES:
+        assert found.get(f"https://h/?{name}", []) == want, name
 
 
 def test_manifest_and_listing_pages(spark):
-    pages = spark.createDataFrame([("https://h/1", PAGES[0][1]), ("https://h/2", PAGES[0][1]), ("https://h/3", '<a href="/1">day=1</a><a href="/1?day=all">All Papers</a>'), ("https://h/1?day=all", PAGES[1][1])], "url string, html string")
+    pages = spark.createDataFrame([("https://h/1", PAGES[0][1]), ("https://h/2", PAGES[0][1]), ("https://h/3", '<a href="/1">day=1</a><a href="/1?day=all">All Papers</a>'), ("https://h/1?day=all", PAGES[4][1])], "url string, html string")
     assert listings.manifest(pages, 2024, "V").count() == 2
     follow = {(r["landing_url"], r["listing_url"]) for r in listings.follow_listings(pages).collect()}
     assert ("https://h/3", "https://h/1?day=all") in follow
-    assert listings.listing_pages('<a href="/p?day=1">a</a><a href="/p?day=1">a</a>', "https://h/") == ["https://h/p?day=1"]
+    days = '<a href="/p?day=1">a</a><a href="/p?day=1">a</a><a href="/q">Day 2</a><a href="/all.pdf">All papers</a><a href="/day.pdf?day=3">x</a>'
+    named = listings.listing_pages(spark.createDataFrame([("https://h/", days)], "url string, html string")).orderBy("place").collect()
+    assert [r["listing_url"] for r in named] == ["https://h/p?day=1", "https://h/q"]
 
 
 def test_resolution(spark):

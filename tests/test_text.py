@@ -107,6 +107,29 @@ def test_author_year_sentences(spark):
     assert "([CITATION]; Lee and Kim, 2018)" in got["jones-2020"] and "(Jones, 2020; [CITATION])" in got["lee-2018"]
 
 
+def test_author_year_groups(spark):
+    """Places, overlaps, repeated markers, segments without a key and unknown keys."""
+    known = ["smith-2019", "jones-2020", "lee-2018", "lee-2018a"]
+    cases = [
+        ("Lee (2018) and (Jones, 2020) and Lee (2018).", [("Lee (2018)", ["lee-2018"], "replace"), ("Lee (2018)", ["lee-2018"], "replace"), ("(Jones, 2020)", ["jones-2020"], "parens")]),
+        ("(see Smith 2019; Lee and Kim 2018a)", [("(see Smith 2019; Lee and Kim 2018a)", ["smith-2019", "lee-2018a"], "parens")]),
+        ("(Unknown, 2020; Jones, 2020) but Smith et al. (2019)", [("Smith et al. (2019)", ["smith-2019"], "replace")]),
+        ("(2019) alone and (no year)", []),
+        ("", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(i, s, known) for i, (s, _) in enumerate(cases)], "i int, s string, k array<string>")
+    got = {r["i"]: r["g"] for r in df.select("i", citations.author_year_groups(F.col("s"), F.col("k")).alias("g")).collect()}
+    for i, (s, want) in enumerate(cases):
+        assert [(g["marker"], g["keys"], g["wrapper"]) for g in got[i] or []] == want, s
+    assert got[1][0]["segments"] == ["see Smith 2019", "Lee and Kim 2018a"] and got[0][0]["segments"] == ["[CITATION]"]
+
+
+def test_abbreviation_ends_no_sentence(spark):
+    written = "As Lee et al. Have shown. ET AL. Said so too. The zet al. Ends one."
+    assert one(spark, written, text.sentences) == ["As Lee et al. Have shown.", "ET AL. Said so too.", "The zet al.", "Ends one."]
+
+
 def test_identifiers(spark):
     rows = [("p1", {"DOI": "10.1/X"}, "https://a.b/", t) for t in ("P1", "doi:10.1/x", "URL:https://a.b", "", "other", "mag:1")]
     got = spark.createDataFrame(rows, "p string, e map<string,string>, u string, t string").select(identifiers.identifier_matches(F.col("p"), F.col("e"), F.col("u"), F.col("t")).alias("y")).collect()
