@@ -7,14 +7,16 @@ node |t| bytes higher and t are such a pair. Distinct words are inserted into a
 are propagated depth first, once for each shared prefix; a word's encoding is read off by jumping
 back over last tokens.
 
-Words of up to LONGEST characters are memoised in each Python worker; the memo is emptied when it would hold more than
-MEMO words and, with the vocabulary, when a task ends, which costs time only. No shuffle is needed, whatever the keys or copies.
+Words of up to LONGEST characters are memoised in each Python worker, in two generations: when the younger holds MEMO
+words it becomes the older one, whose words come back as they are met. Both go, with the vocabulary, when a task ends; all this costs
+time only. No shuffle is needed, whatever the keys or copies.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +32,7 @@ from .common import freeing, slices
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and the white space of Unicode.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO, PAIRS, LONGEST, SLICE = 250_000, 300_000, 48, 1_000_000
+MEMO, PAIRS, LONGEST, SLICE = 125_000, 300_000, 48, 1_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -78,6 +80,7 @@ class TrieBPE:
         self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}  # by left << 20 | right
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.width = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.place = np.cumsum(self.width) - self.width
         self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
@@ -101,13 +104,13 @@ class TrieBPE:
             else:  # of equal merges the left one is made first, so the border's may come before or with it
                 limit, right = kr + 1, inner_r
 
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """The ids of distinct words (bytes as Latin-1 characters) by one depth-first walk over their trie.
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids, four bytes each, of distinct words (bytes as Latin-1 characters) by one depth-first walk over their trie.
 
         Sorted words are the trie in depth-first order: the path above a word is what it shares
         with the word before it, so states up to that depth are kept and only the rest is computed.
         """
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         last: list[int] = [-1]  # last[i]: last token of the encoding of the path's first i bytes
         before = ""
         pairs, follows, ends, width = self.pairs, self.follows, self.ends.iter, self.width.tolist()
@@ -134,27 +137,33 @@ class TrieBPE:
                 known = end + 1
             if known != len(word):
                 raise ValueError(f"no token ends at byte {known + 1} of {word!r}")
-            ids, end = [], known
+            ids, end = array("i"), known
             while end:
                 token = last[end]
                 ids.append(token)
                 end -= width[token]
             ids.reverse()
-            out[word] = ids
+            out[word] = ids.tobytes()
             before = word
         return out
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The ids, four bytes each, of distinct chunks: white space and the word after it. They go into self.chunks too."""
-        split, coded = {}, {content: np.int32(i).tobytes() for content, i in self.added.items()}
-        for c in chunks.difference(self.added):
+        older = self.older
+        coded = {c: ids for c in chunks if (ids := older.get(c)) is not None}
+        coded |= {content: np.int32(i).tobytes() for content, i in self.added.items()}
+        split = {}
+        for c in chunks.difference(coded):
             one = c[1:] if c[0] == " " else c  # letters only, with a space or without: one pre-token
-            split[c] = [w.encode().decode("latin-1") for w in ([c] if one.isascii() and one.isalpha() else self.pre_token.findall(c))]
-        packed = {w: np.array(ids, dtype=np.int32).tobytes() for w, ids in self.encode_words({w for ws in split.values() for w in ws}).items()}
+            if one.isascii():
+                split[c] = [c] if one.isalpha() else self.pre_token.findall(c)
+            else:
+                split[c] = [w.encode().decode("latin-1") for w in self.pre_token.findall(c)]
+        packed = self.encode_words({w for ws in split.values() for w in ws})
         for c, ws in split.items():
             coded[c] = packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])
         if len(self.chunks) + len(coded) > MEMO:
-            self.chunks.clear()
+            self.chunks, self.older = {}, self.chunks
         self.chunks.update(coded if max(map(len, coded), default=0) <= LONGEST else {c: ids for c, ids in coded.items() if len(c) <= LONGEST})
         return coded
 
