@@ -1,18 +1,20 @@
 """Registered queries over the driver's tables and the SQL that checks them.
 
 The tables hold no citations, so queries that need markers build them from each row's own columns, in the
-same way in Spark and SQL. Every query reads its whole tables.
+same way in Spark and SQL. Every query reads its whole tables and whole texts; a text's first line stands for a title, its last
+line for the title it cites.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, identifiers, similarity, text
 from ..operators import audit, curation, evaluation, listings, release, retrieval, sampling
+from ..staging import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +26,7 @@ TITLE = r"trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 #: The documents as candidates: excerpt, source and target titles, venue, split by hash.
 CANDIDATES_SQL = rf"""
 candidates AS (
-  SELECT doc_id, lang AS venue, source, text, lower({SPACES.format("text")}) AS excerpt_key, {TITLE.format("substr(text, 1, 40)")} AS source_key, {TITLE.format("substr(text, 41, 40)")} AS target_key,
+  SELECT doc_id, lang AS venue, source, text, lower({SPACES.format("text")}) AS excerpt_key, {TITLE.format("string_split(text, chr(10))[1]")} AS source_key, {TITLE.format("string_split(text, chr(10))[-1]")} AS target_key,
     sha256('{SEED}' || chr(31) || lang || chr(31) || source || chr(31) || doc_id::varchar) AS score,
     CASE WHEN substr(sha256(doc_id::varchar), 1, 1) < '8' THEN 'train' ELSE 'test' END AS split FROM documents)"""
 
@@ -43,10 +45,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def first_line(x: Column) -> Column:
+    return F.substring_index(x, "\n", 1)
+
+
+def last_line(x: Column) -> Column:
+    return F.substring_index(x, "\n", -1)
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select(
-        "doc_id", F.col("lang").alias("venue"), "source", "text", text.text_key(F.col("text")).alias("excerpt_key"), text.title_key(F.substring("text", 1, 40)).alias("source_key"), text.title_key(F.substring("text", 41, 40)).alias("target_key"),
+        "doc_id", F.col("lang").alias("venue"), "source", "text", text.text_key(F.col("text")).alias("excerpt_key"), text.title_key(first_line(F.col("text"))).alias("source_key"), text.title_key(last_line(F.col("text"))).alias("target_key"),
         text.stable_score(SEED, F.col("lang"), F.col("source"), F.col("doc_id")).alias("score"), F.when(F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(1)) < "8", "train").otherwise("test").alias("split"),
     )
 
@@ -168,7 +178,7 @@ def rejected_by_venue(spark, d):
     return curation.reason_counts(_flags(spark, d).withColumn("reason", curation.leakage_reason()), "venue")
 
 
-SENTENCES_SQL = r"""list_filter(list_transform(string_split(regexp_replace(replace({}, 'et al.', 'et al<prd>'), '([.!?])\s+([A-Z0-9"''(\[])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda s: trim(regexp_replace(replace(s, '<prd>', '.'), '\s+', ' ', 'g'))), lambda s: s <> '')"""
+SENTENCES_SQL = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({}, '\b(et al)\.', '\1<prd>', 'gi'), '([.!?])\s+([A-Z0-9"''(\[])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda s: trim(regexp_replace(replace(s, '<prd>', '.'), '\s+', ' ', 'g'))), lambda s: s <> '')"""
 BODY_SQL = r"trim(regexp_replace(replace(replace({}, '-' || chr(10), ''), chr(10), ' '), '\s+', ' ', 'g'))"
 
 
@@ -234,7 +244,7 @@ def split_overlap(spark, d):
 GATE_SQL = """
 WITH rows AS (
   SELECT doc_id, CASE WHEN n_chars % 17 = 0 THEN '' ELSE (n_chars % 211)::varchar END AS id, CASE WHEN n_chars % 13 = 0 THEN '20x5' ELSE (2024 + n_chars % 2)::varchar END AS year,
-    substr(text, 1, 60) || CASE WHEN n_chars % 5 = 0 THEN '' ELSE ' [CITATION]' END AS excerpt FROM documents),
+    text || CASE WHEN n_chars % 5 = 0 THEN '' ELSE ' [CITATION]' END AS excerpt FROM documents),
 marked AS (SELECT *, trim(id) = '' OR trim(excerpt) = '' AS missing FROM rows),
 gated AS (
   SELECT doc_id, CASE WHEN missing THEN 'missing_required_value' WHEN row_number() OVER (PARTITION BY missing, id ORDER BY doc_id) > 1 THEN 'duplicate_id' WHEN try_cast(year AS int) IS NULL THEN 'invalid_year'
@@ -245,7 +255,7 @@ def _gated(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_chars")
     rows = table(spark, d, "documents").select(
         "doc_id", F.when(n % 17 == 0, "").otherwise((n % 211).cast("string")).alias("id"), F.when(n % 13 == 0, "20x5").otherwise((2024 + n % 2).cast("string")).alias("year"),
-        F.concat(F.substring("text", 1, 60), F.when(n % 5 == 0, "").otherwise(" [CITATION]")).alias("excerpt"),
+        F.concat("text", F.when(n % 5 == 0, "").otherwise(" [CITATION]")).alias("excerpt"),
     )
     return curation.candidate_gate(rows, ["id", "excerpt"], "year", 2024, "excerpt", "id", "doc_id")
 
@@ -266,14 +276,14 @@ MARKED_SQL = "'[' || (doc_id % 7 + 1) || ', ' || (doc_id % 5 + 8) || '-' || (doc
 @query(
     "numeric_citation_expand",
     rf"""
-WITH m AS (SELECT doc_id, {MARKED_SQL} AS marker, substr({SPACES.format('text')}, 1, 80) || ' ' || {MARKED_SQL} || ' follows.' AS sentence, [(doc_id % 7 + 1)::varchar, (doc_id % 5 + 8)::varchar, (doc_id % 5 + 9)::varchar, (doc_id % 5 + 10)::varchar] AS keys FROM documents),
+WITH m AS (SELECT doc_id, {MARKED_SQL} AS marker, {SPACES.format('text')} || ' ' || {MARKED_SQL} || ' follows.' AS sentence, [(doc_id % 7 + 1)::varchar, (doc_id % 5 + 8)::varchar, (doc_id % 5 + 9)::varchar, (doc_id % 5 + 10)::varchar] AS keys FROM documents),
 e AS (SELECT *, unnest(keys) AS reference_key FROM m)
 SELECT doc_id, marker, reference_key, replace(sentence, marker, '[' || array_to_string(list_transform(keys, lambda k: CASE WHEN k = reference_key THEN 'CITATION' ELSE k END), ', ') || ']') AS excerpt FROM e""",
 )
 def numeric_expand(spark, d):
     i = F.col("doc_id")
     marker = F.concat(F.lit("["), (i % 7 + 1).cast("string"), F.lit(", "), (i % 5 + 8).cast("string"), F.lit("-"), (i % 5 + 10).cast("string"), F.lit("]"))
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.substring(text.spaces(F.col("text")), 1, 80), F.lit(" "), marker, F.lit(" follows.")).alias("sentence"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(text.spaces(F.col("text")), F.lit(" "), marker, F.lit(" follows.")).alias("sentence"))
     groups = rows.select("doc_id", "sentence", F.explode(citations.numeric_groups(F.col("sentence"))).alias("g"))
     each = groups.select("doc_id", "sentence", "g", F.explode("g.keys").alias("reference_key"))
     return each.select("doc_id", F.col("g.marker").alias("marker"), "reference_key", citations.excerpt(F.col("sentence"), F.col("g.marker"), citations.numeric_rendering(F.col("g.keys"), F.col("reference_key"))).alias("excerpt"))
@@ -298,30 +308,60 @@ def reference_islands(spark, d):
 
 @query(
     "author_year_ambiguity",
-    r"""
-WITH e AS (SELECT lang, regexp_extract(text, '[A-Za-z]+') AS name, (1990 + n_chars % 30)::varchar AS year, left(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 20) AS rest FROM documents),
-k AS (SELECT lang, lower(name) || '-' || year AS reference_key, name || ', A. and Other, B. ' || year || '. ' || rest || '.' AS reference_text FROM e WHERE name <> '' AND lower(name) NOT IN ('et', 'al'))
-SELECT lang, reference_key, max(reference_text) AS reference_text FROM k GROUP BY ALL HAVING count(DISTINCT reference_text) = 1""",
+    rf"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(len(ls)))::int AS i, unnest(ls) AS raw FROM l),
+e AS (SELECT doc_id, chr((65 + i % 3)::int) || 'son, A. and Other, B. ' || (1990 + i % 2) || '. ' || trim(regexp_replace(lower(raw), '[^a-z]+', ' ', 'g')) || '.' AS t, chr((97 + i % 3)::int) || 'son-' || (1990 + i % 2) AS reference_key FROM x)
+SELECT doc_id, reference_key, max({SPACES.format('t')}) AS reference_text FROM e GROUP BY ALL HAVING count(DISTINCT {SPACES.format('t')}) = 1""",
 )
 def author_year_ambiguity(spark, d):
-    name = F.regexp_extract("text", "[A-Za-z]+", 0)
-    rest = F.left(F.regexp_replace("text", "[^A-Za-z]+", " "), F.lit(20))
-    entry = F.concat(name, F.lit(", A. and Other, B. "), (1990 + F.col("n_chars") % 30).cast("string"), F.lit(". "), rest, F.lit("."))
-    rows = table(spark, d, "documents").select("lang", entry.alias("reference_text")).withColumn("reference_key", citations.author_year_key(F.col("reference_text"))).filter("reference_key IS NOT NULL")
-    return rows.groupBy("lang", "reference_key").agg(F.count_distinct("reference_text").alias("n"), F.max("reference_text").alias("reference_text")).filter("n = 1").drop("n")
+    """Each line of a document is an entry; authors and years repeat, and keys with two different entries go."""
+    name = lambda i: F.concat(F.char(65 + i % 3), F.lit("son, A. and Other, B. "), (1990 + i % 2).cast("string"), F.lit(". "))
+    entry = lambda x, i: F.concat(name(i), F.trim(F.regexp_replace(F.lower(x), "[^a-z]+", " ")), F.lit("."))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), entry), "\n").alias("refs"))
+    return citations.reference_map(docs, "doc_id", "refs", "author_year")
 
 
-@query("citing_sentences_author_year")
+CITING_SQL = f"""
+WITH s AS (SELECT doc_id, {SENTENCES_SQL.format(BODY_SQL.format('text'))} AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(len(l)))::int AS i, unnest(l) AS s FROM s)"""
+LENGTH_SQL = r"len(regexp_extract_all(sentence, '[^\s]+')) BETWEEN 8 AND 80"
+
+
+@query(
+    "citing_sentences_author_year",
+    CITING_SQL
+    + f""", y AS (SELECT doc_id, i, unnest(CASE i % 3 WHEN 0 THEN ['smith-2019'] WHEN 1 THEN ['jones-2020', 'miller-2018'] ELSE [] END) AS k, CASE i % 3 WHEN 0 THEN 'Smith et al. (2019) say ' ELSE 'Others (Jones, 2020; Miller and Lee, 2018) say ' END || s AS sentence FROM x)
+SELECT doc_id AS paper_key, i AS body_sentence_index, sentence, CASE k WHEN 'smith-2019' THEN replace(sentence, 'Smith et al. (2019)', '[CITATION]') WHEN 'jones-2020' THEN replace(sentence, '(Jones, 2020;', '([CITATION];') ELSE replace(sentence, '; Miller and Lee, 2018)', '; [CITATION])') END AS excerpt,
+  k AS reference_key, CASE i % 3 WHEN 0 THEN 'Smith et al. (2019)' ELSE '(Jones, 2020; Miller and Lee, 2018)' END AS citation_marker, CASE i % 3 WHEN 0 THEN 1 ELSE 2 END AS citation_count, 'Entry of ' || k AS reference_text FROM y WHERE {LENGTH_SQL}""",
+)
 def citing_author_year(spark, d):
-    """Narrative and parenthetical markers built into each document; spans are kept by a Python function, see its test."""
-    i = F.col("doc_id")
-    body = F.concat(F.lit("As Smith et al. (2019) have shown, words of a long passage stand here. Others disagree with it in most of what they write (Jones, 2020; Miller and Lee, 2018). "), F.substring("text", 1, 200))
-    docs = table(spark, d, "documents").select(i.alias("paper_key"), body.alias("body"))
+    """Every sentence of every document with a narrative, a parenthetical or an unknown marker before it, through splitting, matching and masking."""
+    said = lambda i: F.when(i % 3 == 0, "Smith et al. (2019) say ").when(i % 3 == 1, "Others (Jones, 2020; Miller and Lee, 2018) say ").otherwise("Unknown (2001) says ")
+    body = F.array_join(F.transform(text.sentences(text.body_text(F.col("text"))), lambda s, i: F.concat(said(i), s)), " ")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_key"), body.alias("body"))
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f"Entry of {k}").alias("t")) for k in ("smith-2019", "jones-2020", "miller-2018")]))
     refs = docs.select("paper_key", keys.alias("r")).select("paper_key", F.col("r.k").alias("reference_key"), F.col("r.t").alias("reference_text"))
     return citations.citing_sentences(docs, refs, "paper_key", "body", "author_year", "any")
 
 
+@query(
+    "citing_sentences_numeric",
+    CITING_SQL
+    + f""", y AS (SELECT doc_id, i, 'Claim [' || (i % 7 + 1) || CASE WHEN i % 4 = 0 THEN ', 2' ELSE '' END || '] says: ' || s AS sentence, '[' || (i % 7 + 1) || CASE WHEN i % 4 = 0 THEN ', 2' ELSE '' END || ']' AS marker, CASE WHEN i % 4 = 0 THEN [i % 7 + 1, 2] ELSE [i % 7 + 1] END AS ks FROM x WHERE i % 7 < 6),
+z AS (SELECT *, unnest(ks) AS k FROM y WHERE {LENGTH_SQL})
+SELECT doc_id AS paper_key, i AS body_sentence_index, replace(sentence, marker, '[' || array_to_string(list_transform(ks, lambda x: CASE WHEN x = k THEN 'CITATION' ELSE x::varchar END), ', ') || ']') AS excerpt, k::varchar AS reference_key, len(ks)::int AS citation_count, 'Entry ' || k || ' of ' || doc_id || ' goes on' AS reference_text FROM z""",
+)
+def citing_numeric(spark, d):
+    """From a document with a bibliography to masked sentences: headings, numbered entries over two lines, markers, and sentences void by an unknown key."""
+    said = lambda i: F.concat(F.lit("Claim ["), (i % 7 + 1).cast("string"), F.when(i % 4 == 0, ", 2").otherwise(""), F.lit("] says: "))
+    body = F.array_join(F.transform(text.sentences(text.body_text(F.col("text"))), lambda s, i: F.concat(said(i), s)), " ")
+    entries = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.concat(F.lit("["), k.cast("string"), F.lit("] Entry "), k.cast("string"), F.lit(" of "), F.col("doc_id").cast("string"), F.lit("\n goes on"))), "\n")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_key"), citations.body_and_references(F.concat(body, F.lit("\nReferences\n"), entries)).alias("s")).select("paper_key", "s.body", "s.refs")
+    refs = citations.reference_map(docs, "paper_key", "refs", "numeric")
+    return citations.citing_sentences(docs, refs, "paper_key", "body", "numeric", "any").select("paper_key", "body_sentence_index", "excerpt", "reference_key", "citation_count", "reference_text")
+
+
 @query(
     "body_reference_split",
     r"""
@@ -338,33 +378,29 @@ def body_split(spark, d):
 @query(
     "discoverability_queries",
     rf"""
-WITH s AS (SELECT doc_id, substr({SPACES.format('text')}, 1, 120) AS a, substr({SPACES.format('text')}, 121, 120) AS b FROM documents),
+WITH f AS (SELECT doc_id, {SPACES.format('text')} AS t FROM documents),
+s AS (SELECT doc_id, substr(t, 1, length(t) // 2) AS a, substr(t, length(t) // 2 + 1) AS b FROM f),
 t AS (SELECT doc_id, regexp_extract_all(lower(a || '   ' || b), '[a-z0-9]+') AS w, regexp_extract_all(lower(a), '[a-z0-9]+') AS wa, regexp_extract_all(lower(b), '[a-z0-9]+') AS wb FROM s),
 c AS (SELECT *, list_filter(w, lambda x: x NOT IN ({{stop}})) AS cw, list_filter(wa, lambda x: x NOT IN ({{stop}})) AS ca, list_filter(wb, lambda x: x NOT IN ({{stop}})) AS cb FROM t),
 q AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN array_to_string(w[1:14], ' ') END AS q1, CASE WHEN len(cw) >= 3 THEN array_to_string(cw[1:8], ' ') END AS q2,
   CASE WHEN least(len(ca), 6) + least(len(cb), 6) >= 3 THEN array_to_string(list_concat(ca[greatest(len(ca) - 5, 1):len(ca)], cb[1:6]), ' ') END AS q3 FROM c)
-SELECT doc_id, q1 AS first, CASE WHEN q2 IS DISTINCT FROM q1 THEN q2 END AS second, CASE WHEN q3 IS DISTINCT FROM q1 AND q3 IS DISTINCT FROM q2 THEN q3 END AS third FROM q""".replace(
+SELECT doc_id, concat_ws(' | ', q1, CASE WHEN q2 IS DISTINCT FROM q1 THEN q2 END, CASE WHEN q3 IS DISTINCT FROM q1 AND q3 IS DISTINCT FROM q2 THEN q3 END) AS queries FROM q""".replace(
         "{stop}", ", ".join(f"'{w}'" for w in text.STOPWORDS)
     ),
 )
 def discoverability(spark, d):
-    flat = text.spaces(F.col("text"))
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.substring(flat, 1, 120), F.lit(" [CITATION] "), F.substring(flat, 121, 120)).alias("excerpt"))
-    bare = F.replace(F.col("excerpt"), F.lit(text.MARKER), F.lit(" "))
-    tokens = text.query_tokens(bare)
-    content = text.content_tokens(tokens)
-    # each query by its rule, null where the rule gives none or an earlier one
-    q1, q2, q3 = F.when(F.size(tokens) >= 4, F.array_join(F.slice(tokens, 1, 14), " ")), F.when(F.size(content) >= 3, F.array_join(F.slice(content, 1, 8), " ")), text.window_query(F.col("excerpt"))
-    has = lambda q: F.array_contains(text.discoverability_queries(F.col("excerpt")), q)
-    return rows.select("doc_id", F.when(has(q1), q1).alias("first"), F.when(has(q2) & ~q2.eqNullSafe(q1), q2).alias("second"), F.when(has(q3) & ~q3.eqNullSafe(q1) & ~q3.eqNullSafe(q2), q3).alias("third"))
+    """Queries of each whole text with its citation in the middle."""
+    flat = table(spark, d, "documents").select("doc_id", text.spaces(F.col("text")).alias("t"))
+    half = F.floor(F.char_length("t") / 2).cast("int")
+    excerpt = F.concat(F.substring("t", F.lit(1), half), F.lit(" [CITATION] "), F.substring("t", half + 1, F.char_length("t")))
+    return flat.select("doc_id", F.array_join(text.discoverability_queries(excerpt), " | ").alias("queries"))
 
 
 @query(
     "paper_search_topk",
     rf"""
-WITH papers AS (SELECT item_id::varchar AS paper_id, text AS title FROM benchmark),
-asked AS (SELECT doc_id AS query_id, substr({SPACES.format('text')}, 1, 100) AS query FROM documents),
-qt AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda x: x NOT IN ({{stop}}))) AS w FROM asked),
+WITH papers AS (SELECT doc_id::varchar AS paper_id, text AS title FROM documents),
+qt AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({{stop}}))) AS w FROM benchmark),
 pt AS (SELECT paper_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: x NOT IN ({{stop}})))) AS token FROM papers),
 hits AS (SELECT query_id, paper_id, any_value(len(w)) AS n, count(*) AS shared FROM (SELECT query_id, w, unnest(w) AS token FROM qt) JOIN pt USING (token) GROUP BY query_id, paper_id)
 SELECT * FROM (SELECT query_id, paper_id, shared / n AS score, row_number() OVER (PARTITION BY query_id ORDER BY shared / n DESC, paper_id)::int AS rank FROM hits) WHERE rank <= 3""".replace(
@@ -372,83 +408,68 @@ SELECT * FROM (SELECT query_id, paper_id, shared / n AS score, row_number() OVER
     ),
 )
 def paper_search(spark, d):
-    papers = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("paperId"), F.col("text").alias("title"), F.lit("").alias("abstract"))
-    asked = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring(text.spaces(F.col("text")), 1, 100).alias("query"))
-    return retrieval.search(asked, papers, 3)
+    """The three papers nearest to each whole benchmark item; papers are all documents with their whole texts as titles."""
+    papers = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paperId"), F.col("text").alias("title"), F.lit("").alias("abstract"))
+    return retrieval.search(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), papers, 3)
 
 
 @query("reference_resolution")
 def reference_resolution(spark, d):
-    """Benchmark items as references, documents' openings as papers; the ratio is Python's, see its test."""
-    papers = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paperId"), F.substring(text.spaces(F.col("text")), 1, 80).alias("title"), F.lit(None).cast("string").alias("abstract"), (2000 + F.col("n_chars") % 25).cast("int").alias("year"))
-    refs = table(spark, d, "benchmark").select(F.col("item_id").alias("reference_id"), F.col("text").alias("reference_text"), text.resolution_queries(F.col("text")).alias("queries"))
-    return retrieval.resolve(refs, papers, least=0.0)
+    """Entries that cite benchmark items, resolved among these and all documents' first lines; every third item is its own source. The ratio is Python's, see its test."""
+    items = table(spark, d, "benchmark")
+    papers = items.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("paperId"), F.col("text").alias("title"), F.lit(None).cast("string").alias("abstract"), (2000 + F.col("item_id") % 25).cast("int").alias("year")).unionByName(
+        table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paperId"), first_line(F.col("text")).alias("title"), F.lit(None).cast("string").alias("abstract"), (2000 + F.col("n_chars") % 25).cast("int").alias("year"))
+    )
+    entry = F.concat(F.lit("Smith, A. and Lee, B. "), (2000 + F.col("item_id") % 25).cast("string"), F.lit(". "), F.col("text"))
+    refs = items.select(F.col("item_id").alias("reference_id"), entry.alias("reference_text"), text.resolution_queries(entry).alias("queries"))
+    own = items.filter("item_id % 3 = 0").select(F.col("item_id").alias("reference_id"), F.col("text").alias("source_title"))
+    return retrieval.resolve(refs, papers, own)
 
 
 @query("title_ratio")
 def title_ratio(spark, d):
-    """difflib's ratio of each document's two openings."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 41, 40).alias("b"))
+    """difflib's ratio of each document's first and last line."""
+    docs = table(spark, d, "documents").select("doc_id", first_line(F.col("text")).alias("a"), last_line(F.col("text")).alias("b"))
     return docs.select("doc_id", similarity.sequence_ratio("a", "b").alias("ratio"), similarity.is_similar(F.col("a"), F.col("b"), 0.5).alias("similar"))
 
 
 def audit_rows(spark: SparkSession, d: str) -> DataFrame:
     i, n = F.col("doc_id"), F.col("n_chars")
-    flat = text.spaces(F.col("text"))
+    flat, first, last = text.spaces(F.col("text")), text.spaces(first_line(F.col("text"))), text.spaces(last_line(F.col("text")))
     return table(spark, d, "documents").select(
-        i, i.cast("string").alias("id"), F.concat(F.col("lang"), F.lit(".csv")).alias("source_file"), F.substring(flat, 1, 30).alias("source_paper_title"), F.concat(F.lit("https://papers.example.org/paper/2024/"), i.cast("string")).alias("source_paper_url"),
-        F.when(n % 11 == 0, "[4]").otherwise("[3]").alias("citation_marker"), F.when(n % 6 == 0, F.concat(F.lit("smith-"), (1995 + n % 30).cast("string"))).alias("reference_key"), F.concat(F.substring(flat, 1, 90), F.lit(" [3]"), F.when(n % 3 == 0, "").otherwise(".")).alias("raw_sentence"),
-        F.concat(F.lit("A. Author. "), F.substring(flat, 101, 40), F.lit(". doi url "), F.when(n % 9 == 0, "doi arxiv").otherwise("")).alias("raw_reference"), F.concat(F.lit("ARXIV:"), i.cast("string")).alias("resolved_paper_id"),
-        F.when(n % 4 == 0, F.substring(flat, 101, 40)).when(n % 4 == 1, F.substring(flat, 1, 30)).otherwise(F.substring(flat, 141, 40)).alias("resolved_title"), (2000 + n % 25).cast("int").alias("resolved_year"), F.lit(None).cast("string").alias("resolution_query"),
+        i, i.cast("string").alias("id"), F.concat(F.col("lang"), F.lit(".csv")).alias("source_file"), first.alias("source_paper_title"), F.concat(F.lit("https://papers.example.org/paper/2024/"), i.cast("string")).alias("source_paper_url"),
+        F.when(n % 11 == 0, "[4]").otherwise("[3]").alias("citation_marker"), F.when(n % 6 == 0, F.concat(F.lit("smith-"), (1995 + n % 30).cast("string"))).alias("reference_key"), F.concat(flat, F.lit(" [3]"), F.when(n % 3 == 0, "").otherwise(".")).alias("raw_sentence"),
+        F.concat(F.lit("A. Author. "), last, F.lit(". doi url "), F.when(n % 9 == 0, "doi arxiv").otherwise("")).alias("raw_reference"), F.concat(F.lit("ARXIV:"), i.cast("string")).alias("resolved_paper_id"),
+        F.when(n % 4 == 0, last).when(n % 4 == 1, first).otherwise(F.concat(F.lit("Title "), (n % 7).cast("string"))).alias("resolved_title"), (2000 + n % 25).cast("int").alias("resolved_year"), F.when(n % 5 == 0, F.when(n % 4 == 0, last).when(n % 4 == 1, first).otherwise(F.concat(F.lit("Title "), (n % 7).cast("string")))).alias("resolution_query"),
         ((n % 100) / 100.0).alias("resolution_score"), F.when(n % 10 == 0, 2).otherwise(1).alias("sentence_citation_count"),
     )
 
 
 AUDIT_SQL = rf"""
-WITH f AS (SELECT doc_id, lang, n_chars AS n, {SPACES.format('text')} AS t FROM documents),
-a AS (SELECT doc_id, n, lang || '.csv' AS source_file, substr(t, 1, 30) AS src, CASE WHEN n % 11 = 0 THEN '[4]' ELSE '[3]' END AS marker, CASE WHEN n % 6 = 0 THEN 1995 + n % 30 END AS ky,
-  {SPACES.format("substr(t, 1, 90) || ' [3]' || CASE WHEN n % 3 = 0 THEN '' ELSE '.' END")} AS sentence, 'A. Author. ' || substr(t, 101, 40) || '. doi url ' || CASE WHEN n % 9 = 0 THEN 'doi arxiv' ELSE '' END AS reference,
-  CASE n % 4 WHEN 0 THEN substr(t, 101, 40) WHEN 1 THEN substr(t, 1, 30) ELSE substr(t, 141, 40) END AS title, 2000 + n % 25 AS y, (n % 100) / 100.0 AS score, n % 10 = 0 AS multi FROM f),
-k AS (SELECT *, {TITLE.format('src')} AS sk, {TITLE.format('title')} AS tk, len(regexp_extract_all(lower(reference), '\b(doi|url|arxiv)\b')) >= 4 AS spill, {TITLE.format('substr(reference, 1, 900)')} AS prefix FROM a),
+WITH f AS (SELECT doc_id, lang, n_chars AS n, {SPACES.format('text')} AS t, {SPACES.format("string_split(text, chr(10))[1]")} AS first, {SPACES.format("string_split(text, chr(10))[-1]")} AS last FROM documents),
+a AS (SELECT doc_id, n, lang || '.csv' AS source_file, first AS src, CASE WHEN n % 11 = 0 THEN '[4]' ELSE '[3]' END AS marker, CASE WHEN n % 6 = 0 THEN 1995 + n % 30 END AS ky,
+  {SPACES.format("t || ' [3]' || CASE WHEN n % 3 = 0 THEN '' ELSE '.' END")} AS sentence, 'A. Author. ' || last || '. doi url ' || CASE WHEN n % 9 = 0 THEN 'doi arxiv' ELSE '' END AS reference,
+  CASE n % 4 WHEN 0 THEN last WHEN 1 THEN first ELSE 'Title ' || (n % 7) END AS title, 2000 + n % 25 AS y, (n % 100) / 100.0 AS score, n % 10 = 0 AS multi FROM f),
+k AS (SELECT *, {TITLE.format('src')} AS sk, {TITLE.format('title')} AS tk, length(reference) > 1200 OR len(regexp_extract_all(lower(reference), '\b(doi|url|arxiv)\b')) >= 4 AS spill, length({SPACES.format('reference')}) > 1200 AS long_reference, {TITLE.format('substr(reference, 1, 900)')} AS prefix FROM a),
 g AS (SELECT *, list_filter([CASE WHEN {SPACES.format('src')} = '' THEN 'missing_source_paper_title' END, CASE WHEN {SPACES.format('title')} = '' THEN 'missing_resolved_title' END, CASE WHEN NOT contains(sentence, marker) THEN 'citation_marker_absent_from_raw_sentence' END, CASE WHEN multi THEN 'not_single_citation_context' END], lambda x: x IS NOT NULL) AS failures,
-  list_filter([CASE WHEN spill THEN 'bibliography_span_spillover' END, CASE WHEN abs(ky - y) > 1 THEN 'citation_year_disagreement' END, CASE WHEN score < 0.65 THEN 'low_resolution_score' END, CASE WHEN sentence[-1] NOT IN ('.', '!', '?', ')', ']', '}}', '”', '’', '"', '''') THEN 'possibly_truncated_passage' END,
+  list_filter([CASE WHEN spill THEN 'bibliography_span_spillover' END, CASE WHEN abs(ky - y) > 1 THEN 'citation_year_disagreement' END, CASE WHEN score < 0.65 THEN 'low_resolution_score' END, CASE WHEN long_reference THEN 'reference_span_likely_contains_multiple_entries' END, CASE WHEN sentence[-1] NOT IN ('.', '!', '?', ')', ']', '}}', '”', '’', '"', '''') THEN 'possibly_truncated_passage' END,
     CASE WHEN sk <> '' AND sk = tk THEN 'resolved_to_source_paper' END, CASE WHEN spill AND score < 0.80 THEN 'spillover_with_weak_match' END, CASE WHEN length(sentence) < 40 THEN 'very_short_passage' END], lambda x: x IS NOT NULL) AS flags,
-  tk <> '' AND tk <> sk AND contains(prefix, tk) AND coalesce(abs(ky - y) <= 1, true) AS evidence FROM k)"""
-
-
-@query(
-    "audit_decisions",
-    AUDIT_SQL
-    + """ SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'reject' WHEN len(failures) > 0 THEN 'reject' WHEN len(flags) > 0 AND evidence AND NOT list_has_any(flags, ['resolved_to_source_paper', 'citation_year_disagreement']) THEN 'accept' WHEN len(flags) > 0 THEN 'review' ELSE 'accept' END AS action,
-CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'confirmed_invalid_context' WHEN len(failures) > 0 THEN array_to_string(failures, ',') WHEN len(flags) > 0 AND evidence AND NOT list_has_any(flags, ['resolved_to_source_paper', 'citation_year_disagreement']) THEN 'exact_resolved_title_in_reference_prefix,citation_year_consistent'
-WHEN len(flags) > 0 THEN array_to_string(list_sort(flags), ',') ELSE '' END AS reasons FROM g""",
-)
-def audit_decisions(spark, d):
-    return _decided(spark, d).select("doc_id", "decision.action", F.array_join("decision.reasons", ",").alias("reasons"))
-
-
-def _decided(spark: SparkSession, d: str) -> DataFrame:
-    rows = audit_rows(spark, d)
-    exclusions = table(spark, d, "labels").filter("quality = 0").select("doc_id").join(rows.select("doc_id", "source_file", "id"), "doc_id").select("source_file", "id")
-    none = rows.limit(0)
-    adjudications = none.select("source_file", "id", F.lit("").alias("action"), F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("map<string,string>").alias("revision"), F.lit("").alias("authority"))
-    corrections = none.select("source_file", "id", F.lit("").alias("reason"), F.lit("").alias("paper_id"), F.lit("").alias("title"), F.lit(0).alias("year"))
-    return audit.decide(rows, adjudications, exclusions, corrections)
+  tk <> '' AND tk <> sk AND contains(prefix, tk) AND coalesce(abs(ky - y) <= 1, true) AS evidence, tk <> '' AND tk <> sk AND n % 5 = 0 AND coalesce(abs(ky - y) <= 1, true) AS by_query FROM k)"""
 
 
 UNSAFE_SQL = "list_has_any(flags, ['resolved_to_source_paper', 'citation_year_disagreement'])"
 
 
 @query(
-    "audit_decisions_all_levels",
+    "audit_decisions",
     AUDIT_SQL
-    + f""", v AS (SELECT *, CASE WHEN n % 13 = 0 THEN 1 WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 2 WHEN n % 17 = 0 THEN 3 WHEN len(failures) > 0 THEN 4 WHEN len(flags) > 0 AND evidence AND NOT {UNSAFE_SQL} THEN 5 WHEN len(flags) > 0 THEN 6 ELSE 7 END AS level FROM g)
+    + f""", v AS (SELECT *, CASE WHEN n % 13 = 0 THEN 1 WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 2 WHEN n % 17 = 0 THEN 3 WHEN len(failures) > 0 THEN 4 WHEN len(flags) > 0 AND (evidence OR by_query) AND NOT {UNSAFE_SQL} THEN 5 WHEN len(flags) > 0 THEN 6 ELSE 7 END AS level FROM g)
 SELECT doc_id, CASE level WHEN 1 THEN CASE WHEN n % 2 = 0 THEN 'reject' ELSE 'revise' END WHEN 2 THEN 'reject' WHEN 3 THEN 'revise' WHEN 4 THEN 'reject' WHEN 6 THEN 'review' ELSE 'accept' END AS action,
-  CASE level WHEN 1 THEN CASE WHEN n % 4 = 0 THEN 'checked' ELSE 'external_adjudication' END WHEN 2 THEN 'confirmed_invalid_context' WHEN 3 THEN 'wrong_target' WHEN 4 THEN array_to_string(failures, ',') WHEN 5 THEN 'exact_resolved_title_in_reference_prefix,citation_year_consistent' WHEN 6 THEN array_to_string(list_sort(flags), ',') ELSE '' END AS reasons,
+  CASE level WHEN 1 THEN CASE WHEN n % 4 = 0 THEN 'checked' ELSE 'external_adjudication' END WHEN 2 THEN 'confirmed_invalid_context' WHEN 3 THEN 'wrong_target' WHEN 4 THEN array_to_string(failures, ',') WHEN 5 THEN CASE WHEN evidence THEN 'exact_resolved_title_in_reference_prefix' ELSE 'resolution_query_matches_resolved_title' END || ',citation_year_consistent' WHEN 6 THEN array_to_string(list_sort(flags), ',') ELSE '' END AS reasons,
   CASE level WHEN 1 THEN 'external_adjudication' WHEN 2 THEN 'confirmed_manual_audit' WHEN 3 THEN 'confirmed_manual_audit' WHEN 5 THEN 'deterministic_cross_check' ELSE 'automatic_policy' END AS authority,
   CASE WHEN level = 1 AND n % 2 = 1 THEN 'A' || doc_id WHEN level = 3 THEN 'C' || doc_id END AS revised_id FROM v""",
 )
-def audit_decisions_all_levels(spark, d):
+def audit_decisions(spark, d):
     """All six levels and both kinds of revision: adjudications and corrections stand for every 13th and 17th length."""
     n = F.col("n_chars")
     rows = audit_rows(spark, d)
@@ -465,15 +486,15 @@ def audit_decisions_all_levels(spark, d):
 
 @query(
     "review_flag_counts",
-    AUDIT_SQL + """ SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter(flags, lambda x: x NOT IN ('very_short_passage', 'possibly_truncated_passage'))) AS flag FROM g) GROUP BY flag""",
+    AUDIT_SQL + """ SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter(flags, lambda x: x NOT IN ('very_short_passage', 'possibly_truncated_passage', 'reference_span_likely_contains_multiple_entries'))) AS flag FROM g) GROUP BY flag""",
 )
 def review_flag_counts(spark, d):
     return audit.flag_counts(audit_rows(spark, d))
 
 
-@query("href_extract", r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]+)"[^>]*>.*?</a>', 1) AS h FROM pages) SELECT page_id, unnest(range(len(h)))::int AS place, unnest(h) AS href FROM l""")
+@query("href_extract", r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*href=["'']([^"'']+)["''][^>]*>.*?</a>', 1) AS h FROM pages) SELECT page_id, unnest(range(len(h)))::int AS place, unnest(h) AS href FROM l""")
 def href_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(listings.extract_anchors("html", "url")).alias("place", "a")).select("page_id", "place", F.col("a.raw_href").alias("href"))
+    return table(spark, d, "pages").select("page_id", F.posexplode(listings.raw_hrefs(F.col("html"))).alias("place", "href"))
 
 
 @query("link_targets", r"SELECT page_id, regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(.*)$', 1), '/+$', '')), '\.pdf$', '') AS target FROM pages")
@@ -527,37 +548,52 @@ def sweep_summary(spark, d):
 @query(
     "citation_count_topk",
     """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey)
-SELECT p_partkey AS paper_id, p_name AS title, n AS citations FROM part LEFT JOIN c ON l_partkey = p_partkey ORDER BY n DESC NULLS LAST, p_partkey LIMIT 25""",
+SELECT p_partkey AS paper_id, p_name AS title, n AS citations FROM part LEFT JOIN c ON l_partkey = p_partkey WHERE p_partkey IN (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 100) ORDER BY n DESC NULLS LAST, p_partkey LIMIT 25""",
 )
 def citation_topk(spark, d):
     counts = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("citationCount"))
     found = table(spark, d, "part").join(counts, "p_partkey", "left").select("p_partkey", F.col("p_name").alias("title"), "citationCount", F.col("p_partkey").alias("rank"))
-    return retrieval.citation_count_topk(found, None, 25, fetch=2_147_483_647).select(F.col("p_partkey").alias("paper_id"), "title", F.col("citationCount").alias("citations"))
+    return retrieval.citation_count_topk(found, None, 25).select(F.col("p_partkey").alias("paper_id"), "title", F.col("citationCount").alias("citations"))
 
 
-@query(
-    "public_release_projection",
-    rf"""
-WITH f AS (SELECT doc_id, n_chars AS n, {SPACES.format('text')} AS t FROM documents)
-SELECT doc_id::varchar AS id, substr(sha256('https://papers.example.org/paper/2024/' || doc_id || '|' || doc_id), 1, 20) AS release_id, 2024 AS year, sha256({SPACES.format("substr(t, 1, 90) || ' [3]' || CASE WHEN n % 3 = 0 THEN '' ELSE '.' END")}) AS passage_sha256, 'passage_sha256' AS locator_type,
-  CASE WHEN n % 11 = 0 THEN '[4]' ELSE '[3]' END AS citation_marker FROM f""",
-)
+RELEASED_SQL = rf"""
+WITH f AS (SELECT doc_id, n_chars AS n, lang, {SPACES.format('text')} AS t, text, 'https://papers.example.org/paper/2024/' || doc_id AS url FROM documents),
+g AS (SELECT *, {SPACES.format("t || ' [3]' || CASE WHEN n % 3 = 0 THEN '' ELSE '.' END")} AS passage, CASE n % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'test' END AS split FROM f WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+r AS (SELECT doc_id::varchar AS id, substr(sha256(url || '|' || doc_id), 1, 20) AS release_id, coalesce(CASE WHEN n % 3 = 0 THEN 2000 + n % 25 END, 2024)::int AS year, sha256(passage) AS passage_sha256, CASE WHEN n % 7 = 0 THEN n % 5 WHEN n % 2 = 0 THEN n % 9 END AS body_sentence_index, split AS experimental_split,
+  CASE WHEN n % 3 = 0 THEN 'https://pdf.example.org/' || doc_id END AS source_pdf_url, CASE WHEN n % 11 = 0 THEN '[4]' ELSE '[3]' END AS citation_marker FROM g WHERE n % 5 <> 0 OR split IS NOT NULL)"""
+
+
+@query("public_release_projection", RELEASED_SQL + " SELECT id, release_id, year, passage_sha256, body_sentence_index, CASE WHEN body_sentence_index IS NULL THEN 'passage_sha256' ELSE 'body_sentence_index' END AS locator_type, experimental_split, source_pdf_url, citation_marker FROM r")
 def release_projection(spark, d):
-    return _released(spark, d).select("id", "release_id", "year", "passage_sha256", "locator_type", "citation_marker")
+    return _released(spark, d).select("id", "release_id", "year", "passage_sha256", "body_sentence_index", "locator_type", "experimental_split", "source_pdf_url", "citation_marker")
 
 
 def _released(spark: SparkSession, d: str) -> DataFrame:
-    rows = audit_rows(spark, d).withColumns({"manual_exclusion": F.lit(None).cast("string"), "domain": F.lit("Computer Science"), "body_sentence_index": F.lit(None).cast("int")})
-    manifest = rows.select("source_paper_url", "source_paper_title", F.lit(None).cast("string").alias("pdf_url"), F.lit(None).cast("int").alias("year")).limit(0)
-    members = rows.select("source_file", F.col("id").alias("original_id"), F.lit("train").alias("split")).limit(0)
-    return release.release_records(rows, manifest, members)
+    """Each document's passage as a record, with exclusions, biomedical records, splits, a manifest and an index of sentences."""
+    n = F.col("n_chars")
+    rows = audit_rows(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    bad = table(spark, d, "labels").filter("quality = 0").select("doc_id").distinct().withColumn("manual_exclusion", F.lit("low quality"))
+    manifest = rows.filter(n % 3 == 0).select("source_paper_url", "source_paper_title", F.concat(F.lit("https://pdf.example.org/"), "id").alias("pdf_url"), (2000 + n % 25).cast("int").alias("year"))
+    members = rows.filter(n % 4 < 2).select("source_file", F.col("id").alias("original_id"), F.when(n % 4 == 0, "train").otherwise("test").alias("split"))
+    index = rows.filter(n % 2 == 0).select("source_paper_url", (n % 9).cast("int").alias("body_sentence_index"), text.fingerprint(F.col("raw_sentence")).alias("passage_sha256"))
+    rows = rows.join(bad, "doc_id", "left").withColumns({"domain": F.when(n % 5 == 0, "Biomedical Research").otherwise("Computer Science"), "body_sentence_index": F.when(n % 7 == 0, (n % 5).cast("int"))})
+    return release.release_records(rows, manifest, members, index)
 
 
-@query("release_report", "SELECT count(*) AS n_records, 0::bigint AS n_duplicate_ids, 0::bigint AS n_missing_url, count(*) AS n_fingerprint_locators, 0::bigint AS n_index_locators, 0::bigint AS n_in_splits, 0 AS n_forbidden_fields FROM documents")
+@query(
+    "release_report",
+    RELEASED_SQL
+    + " SELECT count(*) AS n_records, count(*) - count(DISTINCT release_id) AS n_duplicate_ids, 0::bigint AS n_missing_url, count(*) FILTER (body_sentence_index IS NULL) AS n_fingerprint_locators, count(body_sentence_index) AS n_index_locators, count(experimental_split) AS n_in_splits, 0 AS n_forbidden_fields FROM r",
+)
 def release_report(spark, d):
     return release.release_report(_released(spark, d))
 
 
+@query("release_counts", RELEASED_SQL + " SELECT year, experimental_split, count(*) AS n FROM r GROUP BY ALL")
+def release_counts(spark, d):
+    return release.counts_by(_released(spark, d), "year", "experimental_split")
+
+
 JOINED_SQL = f"""
 WITH s AS (SELECT doc_id, n_chars AS n, {SENTENCES_SQL.format(BODY_SQL.format('text'))} AS l FROM documents),
 x AS (SELECT doc_id, n, unnest(range(len(l)))::int AS i, unnest(l) AS sentence FROM s),
@@ -609,6 +645,7 @@ SELECT doc_id || '/' || i AS id, CASE WHEN i % 2 = 0 OR c = 1 THEN 'ok' ELSE 'er
 def reconstruct_verify(spark, d):
     """Each sentence is a record, by index if that is even, else by fingerprint; its marker is its first character."""
     each = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_paper_url"), F.posexplode(text.sentences(text.body_text(F.col("text")))).alias("body_sentence_index", "sentence"))
+    each = written(each, "sentences")  # split once, read by both sides
     records = each.select(
         F.concat_ws("/", "source_paper_url", F.col("body_sentence_index").cast("string")).alias("id"), "source_paper_url", F.when(F.col("body_sentence_index") % 2 == 0, F.col("body_sentence_index")).alias("locator_index"), text.fingerprint(F.col("sentence")).alias("passage_sha256"), F.left("sentence", F.lit(1)).alias("citation_marker")
     )
@@ -617,10 +654,10 @@ def reconstruct_verify(spark, d):
 
 @query(
     "training_record_nested",
-    f"""WITH {CANDIDATES_SQL} SELECT doc_id AS row_id, venue, substr(text, 1, 100) AS excerpt, sha256(target_key) AS ground_truth FROM candidates""",
+    f"""WITH {CANDIDATES_SQL} SELECT doc_id AS row_id, venue, text AS excerpt, sha256(target_key) AS ground_truth FROM candidates""",
 )
 def training_records(spark, d):
-    rows = candidates(spark, d).select(F.col("doc_id").alias("id"), "venue", F.substring("text", 1, 100).alias("excerpt"), F.lit(2024).alias("year"), F.substring("text", 1, 40).alias("source_paper_title"), F.substring("text", 41, 40).alias("target_paper_title"), F.col("source_key").alias("title_key"), "target_key")
+    rows = candidates(spark, d).select(F.col("doc_id").alias("id"), "venue", F.col("text").alias("excerpt"), F.lit(2024).alias("year"), first_line(F.col("text")).alias("source_paper_title"), last_line(F.col("text")).alias("target_paper_title"), F.col("source_key").alias("title_key"), "target_key")
     targets = rows.select("id", "title_key", F.sha2("target_key", 256).alias("target_id"))
     out = evaluation.training_records(rows, targets, "Find the cited paper.")
     return out.select("extra_info.row_id", "extra_info.venue", F.col("prompt")[1]["content"].alias("excerpt"), F.col("reward_model.ground_truth").alias("ground_truth"))
@@ -646,7 +683,12 @@ def paper_urls(spark, d):
     return rows.select("page_id", identifiers.paper_url(F.col("pid")).alias("paper_url"), identifiers.infer_pdf_url(F.col("u"), F.lit(None).cast("string")).alias("pdf_url"), identifiers.derived_pdf_url(F.col("u")).alias("derived_url"), identifiers.infer_year(F.col("u"), F.lit(None).cast("int")).alias("year"))
 
 
-@query("identifier_match", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS matches FROM customer")
+@query(
+    "identifier_match",
+    """
+WITH k AS (SELECT c_custkey, c_custkey::varchar AS k, CASE c_custkey % 4 WHEN 0 THEN 'P' || c_custkey WHEN 1 THEN 'DOI:10.1/' || c_custkey WHEN 2 THEN 'URL:https://x.example/' || c_custkey || '/' ELSE 'CorpusId:none' END AS t FROM customer)
+SELECT c_custkey, lower(t) = 'p' || k OR (contains(t, ':') AND (lower(t) = 'doi:10.1/' || k OR (starts_with(lower(t), 'url:') AND rtrim(lower(substr(t, 5)), '/') = 'https://x.example/' || k))) AS matches FROM k""",
+)
 def identifier_match(spark, d):
     k, s = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
     target = F.when(k == 0, F.concat(F.lit("P"), s)).when(k == 1, F.concat(F.lit("DOI:10.1/"), s)).when(k == 2, F.concat(F.lit("URL:https://x.example/"), s, F.lit("/"))).otherwise(F.lit("CorpusId:none"))
@@ -716,3 +758,52 @@ def offset_page(spark, d):
 @query("service_batches", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 200 AS batch FROM orders")
 def service_batches(spark, d):
     return curation.batch_numbers(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], "o_orderstatus").select("o_orderkey", "batch")
+
+
+@query("running_ids", "SELECT conv_id, turn, role, (row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 + 100000)::bigint AS id FROM conversations")
+def running_ids(spark, d):
+    """A running id over all rows in their order, which is of several columns that are no text."""
+    return curation.numbered(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], 100_000).drop("text")
+
+
+@query(
+    "biomedical_gate_counts",
+    """
+WITH r AS (SELECT doc_id::varchar AS id, CASE WHEN n_chars % 3 = 0 THEN ' ' ELSE lang END AS venue, CASE WHEN n_chars % 17 = 0 THEN '' ELSE source END AS target, text || CASE WHEN n_chars % 5 = 0 THEN '' ELSE ' [CITATION]' END AS excerpt, CASE WHEN n_chars % 4 = 0 THEN '2024' ELSE '2025' END AS year FROM documents),
+g AS (SELECT *, CASE WHEN trim(target) = '' OR trim(excerpt) = '' THEN 'missing_required_value' WHEN len(string_split(excerpt, '[CITATION]')) <> 2 THEN 'citation_marker_count' WHEN year <> '2025' THEN 'wrong_year' END AS reason FROM r)
+SELECT count(*) AS n_rows, count(*) FILTER (reason = 'missing_required_value') AS n_missing_required_value, count(*) FILTER (reason = 'citation_marker_count') AS n_citation_marker_count, count(*) FILTER (reason = 'wrong_year') AS n_wrong_year,
+  count(*) FILTER (reason IS NULL AND trim(venue) = '') AS n_missing_venue_kept, count(*) FILTER (reason IS NULL) AS n_kept FROM g""",
+)
+def biomedical_gate_counts(spark, d):
+    n = F.col("n_chars")
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.when(n % 3 == 0, " ").otherwise(F.col("lang")).alias("venue"), F.when(n % 17 == 0, "").otherwise(F.col("source")).alias("target"), F.concat("text", F.when(n % 5 == 0, "").otherwise(" [CITATION]")).alias("excerpt"),
+        F.when(n % 4 == 0, "2024").otherwise("2025").alias("year"),
+    )
+    audit_table = table(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max("quality").alias("quality"))
+    return curation.biomedical_gate(rows, audit_table, ["id", "target", "excerpt"])[1]
+
+
+@query(
+    "proceedings_papers",
+    """
+WITH p AS (SELECT url, page_id AS i, unnest([1, 2, 3]) AS k, CASE page_id % 4 WHEN 0 THEN '/v/' WHEN 1 THEN '/content/C/html/' WHEN 2 THEN '/p/' ELSE '/paper_files/paper/2023/hash/' END AS folder FROM (SELECT page_id, 'https://papers.example.org/list/' || page_id AS url FROM pages))
+SELECT url AS page, 'The title number ' || k || ' of page ' || i AS title, 'https://papers.example.org' || folder || i || '-' || k || CASE i % 4 WHEN 1 THEN '.html' WHEN 3 THEN '-Abstract-Main.html' ELSE '' END AS source_paper_url,
+  'https://papers.example.org' || CASE i % 4 WHEN 0 THEN '/v/' || i || '-' || k WHEN 1 THEN '/content/C/papers/' || i || '-' || k WHEN 2 THEN '/p/' || i || '-' || k ELSE '/paper_files/paper/2023/file/' || i || '-' || k || '-Paper-Main' END || '.pdf' AS pdf_url FROM p""",
+)
+def proceedings_papers(spark, d):
+    """Three papers on each listing page, in one of four layouts, behind the page's own markup."""
+    i = F.col("page_id").cast("string")
+
+    def entry(k: Column) -> Column:
+        name, title = F.concat(i, F.lit("-"), k.cast("string")), F.concat(F.lit("The title number "), k.cast("string"), F.lit(" of <i>page</i> "), i)
+        kind = F.col("page_id") % 4
+        return (
+            F.when(kind == 0, F.concat(F.lit('<div class="paper"><p class="title">'), title, F.lit('</p><a href="/v/'), name, F.lit('">abs</a> <a href="/v/'), name, F.lit('-supp.pdf">supp</a> <a href="/v/'), name, F.lit('.pdf">pdf</a></div>')))
+            .when(kind == 1, F.concat(F.lit("<a href='/content/C/html/"), name, F.lit(".html'>"), title, F.lit("</a>")))
+            .when(kind == 2, F.concat(F.lit('<a href="/p/'), name, F.lit('">'), title, F.lit('</a> <a href="/p/'), name, F.lit('.pdf">pdf</a>')))
+            .otherwise(F.concat(F.lit("<a href=/paper_files/paper/2023/hash/"), name, F.lit("-Abstract-Main.html>"), title, F.lit("</a>")))
+        )
+
+    pages = table(spark, d, "pages").select(F.concat(F.lit("https://papers.example.org/list/"), i).alias("url"), F.concat(F.col("html"), F.array_join(F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), entry), " ")).alias("html"))
+    return listings.papers(pages).select("page", "title", "source_paper_url", "pdf_url")
