@@ -3,10 +3,10 @@
 Two interpolated Kneser-Ney models of order ORDER, one of toxic and one of ordinary words, back off to
 one shared model of lower order with continuation counts over both, so a rare expression that
 neither class knows scores zero and one that shares a stem with known ones inherits its score. The
-two log-likelihoods of a word are compared per character; a document's features are its most toxic
-word and the mean over all its words, and a logistic curve maps them to 0 to 1.
+two log-likelihoods are compared per character: of the whole document and of its most toxic word, as one expression in a long text
+hardly moves the former. A logistic curve maps the two to 0 to 1.
 
-Fitted on a bounded sample (parameters `per_class` and `calibration`); everything else covers all rows.
+Fitted on a bounded sample (parameters `per_class`, `calibration` and `longest`); everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ class ToxicityModel:
         return total / (len(s) - 1)
 
     def features(self, words: list[str]) -> tuple[float, float]:
-        """(most toxic word, mean over all words); zeros without words."""
+        """Toxic less ordinary log-likelihood per character of (the most toxic word, the whole document); zeros without words."""
         if not words:
             return 0.0, 0.0
         memo = self.memo
@@ -69,7 +69,8 @@ class ToxicityModel:
                 if g is None:
                     g = memo.get(w)
                     got[i] = memo.setdefault(w, self.word(w)) if g is None else g
-        return max(got), math.fsum(got) / len(got)
+        ratios, chars = np.array(got), np.fromiter(map(len, words), np.float64, len(words)) + 1  # the end of a word counts too
+        return float(ratios.max()), float(ratios @ chars / chars.sum())
 
     def score(self, features: tuple[float, float]) -> float:
         z = self.curve[0] + self.curve[1] * features[0] + self.curve[2] * features[1]
@@ -85,48 +86,62 @@ def grams(counts: Counter[str], order: int) -> Counter[str]:
     return out
 
 
-def kneser_ney(ordinary: Counter[str], toxic: Counter[str], order: int = ORDER) -> ToxicityModel:
-    """The model from word counts (documents with the word) of the two classes."""
-    classes = [grams(c, order) for c in (ordinary, toxic)]
-    continuations: Counter[str] = Counter()  # distinct left neighbours, over both classes
-    pending, seen = set(chain(*classes)), set()
-    while pending:
-        seen |= pending
-        shorter = set()
-        for s in pending:
-            if len(s) > 1:
-                continuations[s[1:]] += 1
-                shorter.add(s[1:])
-        pending = shorter - seen
-    total, kinds = Counter(), Counter()
-    for s, n in continuations.items():
-        total[s[:-1]] += n
-        kinds[s[:-1]] += 1
-    known: dict[str, float] = {}
-
-    def shared(s: str) -> float:
-        """Probability of the last character of s after the others."""
-        if (p := known.get(s)) is None:
+class KneserNey:
+    """Probabilities of a character after others in ordinary (0) and toxic (1) words, both backing off to one shared model."""
+
+    def __init__(self, ordinary: Counter[str], toxic: Counter[str], order: int = ORDER):
+        self.order = order
+        self.counts = [grams(c, order) for c in (ordinary, toxic)]
+        self.continuations: Counter[str] = Counter()  # distinct left neighbours, over both classes
+        pending, seen = set(chain(*self.counts)), set()
+        while pending:
+            seen |= pending
+            shorter = set()
+            for s in pending:
+                if len(s) > 1:
+                    self.continuations[s[1:]] += 1
+                    shorter.add(s[1:])
+            pending = shorter - seen
+        self.after = [self._after(c) for c in self.counts]
+        self.total, self.kinds = self._after(self.continuations)
+        self._known: dict[str, float] = {}
+
+    @staticmethod
+    def _after(counts: Counter[str]) -> tuple[Counter[str], Counter[str]]:
+        """By context: how often and how many kinds of characters follow."""
+        total, kinds = Counter(), Counter()
+        for s, n in counts.items():
+            total[s[:-1]] += n
+            kinds[s[:-1]] += 1
+        return total, kinds
+
+    def shared(self, s: str) -> float:
+        """Probability of the last character of s after the others by distinct left neighbours."""
+        if (p := self._known.get(s)) is None:
             h = s[:-1]
-            lower = shared(s[1:]) if h else UNIFORM
-            n = total.get(h, 0)
-            p = known[s] = (max(continuations.get(s, 0) - DISCOUNT, 0.0) + DISCOUNT * kinds[h] * lower) / n if n else lower
+            lower = self.shared(s[1:]) if h else UNIFORM
+            n = self.total.get(h, 0)
+            p = self._known[s] = (max(self.continuations.get(s, 0) - DISCOUNT, 0.0) + DISCOUNT * self.kinds[h] * lower) / n if n else lower
         return p
 
-    after = []
-    for c in classes:
-        n, k = Counter(), Counter()
-        for s, v in c.items():
-            n[s[:-1]] += v
-            k[s[:-1]] += 1
-        after.append((c, n, k))
-    rest = [{h: DISCOUNT * k[h] / n[h] for h in n} for _, n, k in after]  # mass left to the shared model
-    gram = {}
-    for s in set(classes[0]) | set(classes[1]):
-        h, base = s[:-1], shared(s[1:])
-        p = [(max(c.get(s, 0) - DISCOUNT, 0.0) / n[h] + r[h] * base) if h in r else base for (c, n, _), r in zip(after, rest, strict=True)]
-        gram[s] = math.log(p[1] / p[0])
-    context = {h: math.log(rest[1].get(h, 1.0) / rest[0].get(h, 1.0)) for h in rest[0].keys() | rest[1].keys()}
+    def backoff(self, label: int, h: str) -> float:
+        """The mass that a class leaves to the shared model after h: all of it where it has not seen h."""
+        total, kinds = self.after[label]
+        return DISCOUNT * kinds[h] / total[h] if h in total else 1.0
+
+    def probability(self, label: int, s: str) -> float:
+        """Probability of the last character of s after the others in words of a class."""
+        h, (total, _) = s[:-1], self.after[label]
+        own = max(self.counts[label].get(s, 0) - DISCOUNT, 0.0) / total[h] if h in total else 0.0
+        return own + self.backoff(label, h) * self.shared(s[1:])
+
+
+def kneser_ney(ordinary: Counter[str], toxic: Counter[str], order: int = ORDER) -> ToxicityModel:
+    """The model from word counts (documents with the word) of the two classes. What neither has seen has the ratio of what they leave to the shared model."""
+    both = KneserNey(ordinary, toxic, order)
+    seen = set(both.counts[0]) | set(both.counts[1])
+    gram = {s: math.log(both.probability(1, s) / both.probability(0, s)) for s in seen}
+    context = {h: math.log(both.backoff(1, h) / both.backoff(0, h)) for h in {s[:-1] for s in seen}}
     return ToxicityModel(gram, context, order)
 
 
@@ -148,13 +163,14 @@ def fitted_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[flo
     return tuple(float(v) for v in w)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 2000, calibration: int = 3000) -> ToxicityModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 2000, calibration: int = 3000, longest: int = 200_000) -> ToxicityModel:
     """Learns from labelled rows for which may_learn (over doc_id) is true.
 
     The sample: of the labels with 0 or 1, ordered by a hash of doc_id, at most per_class of each
     class (as many of either) for the counts and at most `calibration` others, in their natural proportion,
-    for the curve. Labels that are null or contradict each other for one doc_id are not used. Text counts
-    once per document and word, so neither long nor repeated texts outweigh others by much.
+    for the curve; texts of more than `longest` characters do not count among them, so what reaches the driver is bounded.
+    Labels that are null or contradict each other for one doc_id are not used. Text counts
+    once per document and word, so neither long nor repeated texts outweigh others by much. Without labels: a flat curve.
     """
     spark = documents.sparkSession
     clean = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & may_learn).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("__most")).filter("toxic = __most").drop("__most")
@@ -168,7 +184,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per
     if not use:
         return ToxicityModel({}, {}, ORDER, fitted_curve(np.zeros((0, 2)), np.zeros(0)))
     chosen = spark.createDataFrame(use, "doc_id long, __toxic int, __fold int")
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("__toxic", "__fold", "text")
+    texts = documents.select("doc_id", "text").filter(F.coalesce(F.char_length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen), "doc_id").select("__toxic", "__fold", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, Counter[str]] = defaultdict(Counter)
@@ -226,6 +242,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op10_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of all documents, repeated rows each; null and empty texts are scored at the curve's zero."""
     model = fit_toxicity(documents, labels, ~held_out(F.col("doc_id")))
     # only the score comes back from Python beside the id: texts are not sent twice
     scored = score_toxicity(documents.select("doc_id", "text"), model, keep=["doc_id"])
@@ -233,7 +250,7 @@ def op10_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, model: ToxicityModel, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows that score below `least`, with all their columns."""
+    """The rows that score below `least`, with all their columns. Null and empty texts are scored like others; rows are judged one by one."""
     at = documents.columns.index(text)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
