@@ -15,12 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 @dataclass(frozen=True)
 class Dimension:
-    """A metadata column; numeric ones get bins of equal depth, others hashed bins."""
+    """A metadata column; numeric ones get bins of equal depth, others bins of as many neighbouring distinct values each."""
 
     column: str
     numeric: bool = False
@@ -64,22 +64,31 @@ def _below(edges: Column, value: Column) -> Column:
     return F.filter(edges, lambda e: e < value)
 
 
+def value_cuts(df: DataFrame, column: str, n: int) -> list[str]:
+    """At most n - 1 values that cut the sorted distinct values of a column into runs of about equal length; sorted as UTF-8 bytes."""
+    values = df.select(F.col(column).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
+    ends = values.repartitionByRange(n, "v").groupBy(F.spark_partition_id()).agg(F.max("v").alias("v"))
+    cuts = [r["v"] for r in ends.orderBy("v").collect()][:-1]  # a row for each range
+    return cuts if len(cuts) < n else [cuts[len(cuts) * i // (n - 1)] for i in range(n - 1)]
+
+
 def quantised(df: DataFrame, dims: Sequence[Dimension], bits: int) -> list[Column]:
-    """One cell column per dimension. Nulls: cell 0. Numeric cut points are quantiles over all rows."""
+    """One cell column per dimension, in the order of its values. Nulls: cell 0. Cut points come from all rows.
+
+    A dimension with fewer cells than the cube has is spread over the whole side, so that it takes part in the curve's first turns.
+    """
     n = 1 << bits
     numeric = [d.column for d in dims if d.numeric]
-    cuts = {}
+    cuts: dict[str, list] = {d.column: value_cuts(df, d.column, n) for d in dims if not d.numeric}
     if numeric:
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [i / n for i in range(1, n)], 1000).alias(f"q{i}") for i, c in enumerate(numeric)]).first()
-        cuts = {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(numeric)}
+        cuts |= {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(numeric)}
     out = []
     for d in dims:
-        if d.numeric:
-            value = F.col(d.column).cast("double")
-            edges = F.array(*[F.lit(float(e)) for e in cuts[d.column]]) if cuts[d.column] else F.array().cast("array<double>")
-            out.append(F.coalesce(F.size(_below(edges, value)), F.lit(0)).cast("int"))
-        else:
-            out.append(F.coalesce(F.pmod(F.crc32(F.col(d.column).cast("string").cast("binary")), F.lit(n)), F.lit(0)).cast("int"))
+        kind = "double" if d.numeric else "string"
+        edges = F.array(*[F.lit(float(e) if d.numeric else e) for e in cuts[d.column]]) if cuts[d.column] else F.array().cast(f"array<{kind}>")
+        place = F.coalesce(F.size(_below(edges, F.col(d.column).cast(kind))), F.lit(0))
+        out.append(F.floor(place * n / (len(cuts[d.column]) + 1)).cast("int"))
     return out
 
 
@@ -88,32 +97,38 @@ def hilbert_shards(df: DataFrame, dims: Sequence[Dimension], shards: int, ties:
 
     Rows of one cell are ordered by `ties` (nulls first), so equal rows, hot cells and hot values
     are cut like any others. An empty table gives an empty table; null dimensions count as cell 0.
-    Existing columns named curve, shard or slot are replaced.
+    Existing columns named curve, shard or slot are replaced; others may have any names.
 
     The rank is global without a global sort in one task: rows are dealt by ranges of (curve, ties),
     written with their place in their range, and the ranges' sizes (a row each) give the offsets.
     """
     keep = [c for c in df.columns if c.lower() not in ("curve", "shard", "slot")]
-    base = staged(df.select(*keep), "shard-input")
+    src = df.select(*keep)
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in keep):  # names that no column has
+        mark += "_"
+    at, place, before, total, count = (f"{mark}{x}" for x in ("range", "place", "before", "total", "count"))
+    base = staged(src, "shard-input")
     placed = base.withColumn("curve", curve_column(quantised(base, dims, bits), bits))
     order = ["curve", *ties]
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = staged(
-        placed.withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}),
-        "shard-ranges",
-    )
-    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = staged(placed.withColumns({at: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "shard-ranges")
+    dropped(base)
+    sizes = placed.groupBy(at).agg(F.count("*").alias(count))
+    ahead = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("__total"))
-    ranked = placed.join(F.broadcast(offsets), "__range").withColumn("__rank", F.col("__before") + F.col("__place"))
-    shard = F.expr(f"int((__rank * {shards}) div __total)")
-    first = F.expr(f"((bigint(shard) * __total) + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", (F.col("__rank") - first).cast("long")).select(*keep, "curve", "shard", "slot")
+    offsets = sizes.select(at, F.coalesce(F.sum(count).over(ahead), F.lit(0)).alias(before), F.sum(count).over(every).alias(total))
+    rank = F.col(before) + F.col(place)
+    ranked = placed.join(F.broadcast(offsets), at).withColumn("shard", F.expr(f"int((({before} + {place}) * {shards}) div {total})"))
+    first = F.expr(f"((bigint(shard) * {total}) + {shards - 1}) div {shards}")
+    return ranked.withColumn("slot", (rank - first).cast("long")).select(*keep, "curve", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str, dims: Sequence[Dimension]) -> DataFrame:
-    """Writes one folder per shard in slot order; returns the manifest: rows, minimum and maximum of each dimension."""
+    """Writes one folder per shard in slot order; returns the manifest: rows, minimum and maximum of each dimension.
+
+    Nulls count in no minimum or maximum; a dimension without a value has null for both. An empty table gives an empty manifest.
+    """
     sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     stats = [F.count("*").alias("n_rows")]
     for d in dims:
@@ -122,7 +137,7 @@ def write_shards(sharded: DataFrame, path: str, dims: Sequence[Dimension]) -> Da
 
 
 def shards_to_read(manifest: DataFrame, column: str, low, high) -> DataFrame:
-    """Shards of a manifest that can hold a row with low <= column <= high."""
+    """Shards of a manifest that can hold a row with low <= column <= high; a shard without a value of the column holds none, nulls match nothing."""
     return manifest.filter((F.col(f"max_{column}") >= F.lit(low)) & (F.col(f"min_{column}") <= F.lit(high))).select("shard")
 
 
@@ -131,5 +146,5 @@ def op1_hilbert_sharding(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = documents.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source")
     dims = [Dimension("source"), Dimension("lang"), Dimension("size", numeric=True)]
-    out = hilbert_shards(slim, dims, 8, ["doc_id", "text_crc32", "size"])
+    out = hilbert_shards(slim, dims, 8, ["text_crc32", "size", "doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
