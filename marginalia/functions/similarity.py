@@ -28,6 +28,11 @@ def folded_title_key(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else re.sub("[^a-z0-9]+", " ", s.casefold()).strip())
 
 
+def row_key(excerpt: Column, source: Column, target: Column) -> Column:
+    """The exact key of a row: excerpt and both titles, case folded."""
+    return F.struct(casefold(excerpt).alias("excerpt_key"), folded_title_key(source).alias("source_key"), folded_title_key(target).alias("target_key"))
+
+
 @F.pandas_udf(StringType())
 def entity_title(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", s).casefold())))

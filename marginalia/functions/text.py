@@ -5,6 +5,8 @@ White space is what Python's str.split knows: Unicode white space and the four A
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,9 +179,14 @@ def without_nul(x: Column) -> Column:
     return F.replace(x, F.lit("\x00"), F.lit(""))
 
 
-def token_count(x: Column) -> Column:
-    """Words and single punctuation marks: the offline stand-in for a model's tokenizer."""
-    return F.size(F.regexp_extract_all(x, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)))
+def token_count(x: Column, tokens: Callable[[Column], Column] | None = None) -> Column:
+    """Length of the array that `tokens` gives; by default words and single punctuation marks, the offline stand-in for a model's tokenizer."""
+    return F.size(tokens(x) if tokens else F.regexp_extract_all(x, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)))
+
+
+def utc_now() -> Column:
+    """The time at which a query starts, in ISO form and UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
 def paper_line(paper: Column, abstract_limit: int = 1000) -> Column:

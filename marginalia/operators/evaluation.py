@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import identifier_matches
-from ..functions.similarity import entity_title, is_similar
-from ..functions.text import word_count
+from ..functions.similarity import entity_title, is_similar, may_reach, sequence_ratio
+from ..functions.text import bounded, sentences_with, word_count
 
 #: Fixed values.
 MAX_ACTIONS = 5
@@ -61,6 +61,62 @@ def replay(actions: DataFrame, targets: DataFrame, max_actions: int = MAX_ACTION
     )
 
 
+def result_reward(data_source: Column, expected: str, correct: Column, rewards: Column) -> Column:
+    """1 or 0 by the tool's own verdict where there is one, else the best of its rewards; another data source is an error."""
+    score = F.when(correct.isNotNull(), correct.cast("double")).otherwise(best_reward(rewards))
+    return F.when(data_source.eqNullSafe(F.lit(expected)), score).otherwise(F.raise_error(F.concat(F.lit("unexpected data source: "), F.coalesce(data_source, F.lit("null")))))
+
+
+def title_matches(results: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """id, target (its place), place, title: for the first target title that some found title is like, the most alike of these, the first of equals.
+
+    results: id, found_titles array, target_titles array. A ratio must lie above the threshold; ids without a match have no row.
+    """
+    pairs = results.select("id", F.posexplode("target_titles").alias("target", "wanted"), "found_titles").select("id", "target", "wanted", F.posexplode("found_titles").alias("place", "title"))
+    ratio = F.when(may_reach(F.lower("wanted"), F.lower("title"), threshold), sequence_ratio(F.lower("wanted"), F.lower("title")))
+    near = pairs.withColumn("ratio", ratio).filter(F.col("ratio") > threshold)
+    return near.groupBy("id").agg(F.min(F.struct("target", (-F.col("ratio")).alias("apart"), "place", "title")).alias("m")).select("id", "m.target", "m.place", "m.title")
+
+
+#: What a trajectory is told.
+NO_ACCESS = "This paper does not have an open access PDF."
+NO_TEXT = "There was an error reading the PDF. Please try a different paper. "
+
+
+def read_observation(pdf_url: Column, text: Column) -> Column:
+    """What reading a paper shows: its bounded text, or that it has no open PDF, or that nothing could be read."""
+    none = F.coalesce(pdf_url, F.lit("")) == ""
+    return F.when(none, F.lit(NO_ACCESS)).when(F.coalesce(text, F.lit("")) == "", F.concat(F.lit(NO_TEXT), pdf_url)).otherwise(bounded(text))
+
+
+def find_observation(pdf_url: Column, text: Column, needle: Column) -> Column:
+    """Sentences of a paper's text as it is read that hold the needle, whatever its case; else that none does, or why there is no text."""
+    read = read_observation(pdf_url, text)
+    found = sentences_with(F.trim(read), needle)
+    failed = F.contains(F.lower(read), F.lit("error reading")) | F.contains(F.lower(read), F.lit("does not have an open access"))
+    return F.when(failed, read).when(F.size(found) > 0, F.array_join(found, "\n")).otherwise(F.concat(F.lit("No sentence found containing '"), needle, F.lit("'.")))
+
+
+def context_observation(query: Column, title: Column, context: Column) -> Column:
+    """What a request for more context is told, with or without any."""
+    name = F.coalesce(F.nullif(title, F.lit("")), F.lit("unknown"))
+    without = F.concat(F.lit("No additional context was provided by the user. Paper title: "), name, F.lit(". Focus query: "), query, F.lit(". Continue using only the original excerpt."))
+    given = F.concat(F.lit("Additional context from the user for paper title '"), name, F.lit("' and focus query '"), query, F.lit("':\n"), context)
+    return F.when(F.coalesce(context, F.lit("")) == "", without).otherwise(given)
+
+
+#: Roles of a history by the kinds of message.
+ROLES = {"system": "system", "ai": "assistant", "human": "user", "tool": "tool"}
+
+
+def history(turns: DataFrame, key: str = "trajectory_id", keep_system: bool = False) -> DataFrame:
+    """key, history array<struct<role,content>> in the order of turns; kinds without a role go, and system messages unless kept."""
+    role = F.coalesce(*[F.when(F.col("kind") == k, F.lit(r)) for k, r in ROLES.items()])
+    rows = turns.withColumn("role", role).filter(F.col("role").isNotNull() & (F.lit(keep_system) | (F.col("role") != "system")))
+    said = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
+    return rows.groupBy(key).agg(F.transform(said, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("history"))
+
+
 def best_reward(rewards: Column) -> Column:
     return F.coalesce(F.array_max(F.filter(rewards, lambda r: r.isNotNull())), F.lit(0.0))
 
@@ -102,8 +158,9 @@ def score_results(results: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def training_records(rows: DataFrame, targets: DataFrame, system_prompt: str, data_source: str = "citation") -> DataFrame:
-    """Nested training records; rows without a target id have a null ground truth, which callers must reject."""
+    """Nested training records; a row without a target id is an error when it is read."""
     joined = rows.join(targets.select("id", "title_key", "target_id"), ["id", "title_key"], "left")
+    joined = joined.withColumn("target_id", F.coalesce("target_id", F.raise_error(F.concat(F.lit("no target id for row "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     args = F.struct(F.col("year").alias("year"), F.col("source_paper_title").alias("source_title"), F.col("target_paper_title").alias("target_title"), F.col("target_id").alias("target_id"))
     return joined.select(

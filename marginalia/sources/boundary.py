@@ -93,7 +93,58 @@ def without_lone_surrogates(value):
     return value
 
 
-def term_query(terms: list[str], year: int, open_access: bool = True) -> str:
-    """A search expression: any of the terms, in a year, open access if asked for."""
-    any_of = " OR ".join(f'"{t}"' for t in terms)
-    return f"({any_of}) AND {year}[pdat]" + (" AND open access[filter]" if open_access else "")
+def any_of(terms: list[str]) -> str:
+    return " OR ".join(f'"{t}"' for t in terms)
+
+
+#: What two services ask for open-access articles of a year.
+YEAR_QUERIES = {"pmc": "{year}[PDAT] AND open access[filter]", "europe_pmc": "PUB_YEAR:{year} AND OPEN_ACCESS:Y AND HAS_PDF:Y"}
+
+
+def article_query(service: str, year: int, query: str | None = None) -> str:
+    """A service's expression for open-access articles of a year, that also fit a query if there is one."""
+    wanted = YEAR_QUERIES[service].format(year=year)
+    return f"({query}) AND {wanted}" if query else wanted
+
+
+def identified(tool: str, email: str | None = None, api_key: str | None = None) -> dict[str, str]:
+    """Parameters that tell a service who asks; what is empty is left out."""
+    return {k: v for k, v in (("tool", tool), ("email", email), ("api_key", api_key)) if v}
+
+
+class ContextProvider(Protocol):
+    """Gives a trajectory more context, or an empty string."""
+
+    def context(self, query: str, title: str) -> str: ...
+
+
+class StaticContext:
+    """The same context, known beforehand, for every request."""
+
+    def __init__(self, text: str | None = None):
+        self.text = (text or "").strip()
+
+    def context(self, query: str, title: str) -> str:
+        return self.text
+
+
+class LinesContext:
+    """Context typed by someone: lines up to a blank one; `skip` as the first line gives none."""
+
+    def __init__(self, read: Callable[[], str | None]):
+        self.read = read
+
+    def context(self, query: str, title: str) -> str:
+        given: list[str] = []
+        while (line := self.read()) is not None and line.strip():
+            if not given and line.strip().lower() == "skip":
+                return ""
+            given.append(line)
+        return "\n".join(given).strip()
+
+
+def progress_line(at: int, total: int, title: str, kept: int, every: int | None) -> str | None:
+    """A line for the first and each `every`-th paper; none without a step."""
+    if not every or every < 0 or (at != 1 and at % every):
+        return None
+    return f"[{at}/{total}] Example source paper: {title} | kept {kept} dataset row(s) so far"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import source_key, without_nul
@@ -41,20 +41,26 @@ def manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return df.withColumn("pdf_url", F.coalesce("pdf_url", F.when(F.lower("source_paper_url").endswith(".pdf"), F.col("source_paper_url"))))
 
 
+def _numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    df = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return df.withColumn("_ord", F.struct("source_file", "_block", F.monotonically_increasing_id().alias("n"))).drop("_block")
+
+
 def lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """value, source_file and _ord of the non-blank lines of text files, NUL removed."""
-    df = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"))
-    df = df.withColumn("_ord", F.struct("source_file", "_block", F.monotonically_increasing_id().alias("n"))).drop("_block")
-    return df.withColumn("value", without_nul(F.col("value"))).filter(F.trim("value") != "")
+    return _numbered_lines(spark, path).withColumn("value", without_nul(F.col("value"))).filter(F.trim("value") != "")
 
 
 def jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, strict: bool = False) -> DataFrame:
     """Records of JSON lines with source_file and _ord. Strict: the first line that is no object is an error; else such lines go."""
     parsed = lines(spark, path).withColumn("r", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     if strict:
-        bad = parsed.filter("r IS NULL OR r._corrupt IS NOT NULL").select("source_file", "value").first()
+        bad = parsed.filter("r IS NULL OR r._corrupt IS NOT NULL").agg(F.min(F.struct("_ord", "value")).alias("b")).first()["b"]
         if bad:
-            raise SourceError(f"{bad['source_file']}: {bad['value'][:200]}")
+            file, before = bad["_ord"]["source_file"], F.struct(*[F.lit(bad["_ord"][c]).alias(c) for c in ("source_file", "_block", "n")])
+            # lines of its file up to it, blank ones too
+            at = _numbered_lines(spark, path).filter((F.col("source_file") == file) & (F.col("_ord") <= before)).count()
+            raise SourceError(f"{file}:{at}: {bad['value'][:200]}")
     return parsed.filter("r IS NOT NULL AND r._corrupt IS NULL").select("r.*", "source_file", "_ord").drop("_corrupt")
 
 
@@ -103,16 +109,72 @@ def unprocessed(rows: DataFrame, done: DataFrame, row_id: str = "id") -> DataFra
     return rows.join(done.select(row_id).distinct(), row_id, "left_anti")
 
 
-def prompt(spark: SparkSession, path: str, instructions: str) -> str:
-    """A prompt template with its format instructions filled in; one small file."""
-    return spark.read.text(path, wholetext=True).first()["value"].replace("<FORMAT_INSTRUCTIONS>", instructions)
+#: The place of the format instructions in a template, and what stands before titles to be skipped.
+INSTRUCTIONS, SKIP = "<FORMAT_INSTRUCTIONS>", "The following paper titles should be skipped during search:"
+
+
+def prompt(spark: SparkSession, path: str, instructions: str, skip: Sequence[str] = ()) -> str:
+    """A prompt template with its format instructions filled in and titles to be skipped at its end; one small file. A template without their place is an error."""
+    template = spark.read.text(path, wholetext=True).first()["value"]
+    if INSTRUCTIONS not in template:
+        raise SourceError(f"{path}: {INSTRUCTIONS} is missing")
+    listed = "\n".join(["", *(f"- {title}" for title in skip)]) if skip else ""
+    return template.replace(INSTRUCTIONS, instructions) + (SKIP + listed if skip else "")
 
 
 def with_source_key(manifest_rows: DataFrame) -> DataFrame:
     return manifest_rows.withColumn("source_key", source_key(F.col("source_paper_url"), F.col("year"), F.col("source_paper_title")))
 
 
-def pdf_files(spark: SparkSession, path: str, max_bytes: int = 100 * 1024 * 1024) -> DataFrame:
-    """path, content of files that hold the PDF mark in their first kilobyte and keep the size limit, which is the source's contract."""
+PDF_BYTES = 100 * 1024 * 1024
+
+
+def is_pdf(content: Column, max_bytes: int = PDF_BYTES) -> Column:
+    """Whether bytes hold the PDF mark in their first kilobyte and keep the size limit; false for null."""
+    return F.coalesce((F.length(content) <= max_bytes) & (F.instr(F.hex(F.substring(content, 1, 1024)), "255044462D") > 0), F.lit(False))
+
+
+def pdf_addresses(pdf_url: Column) -> Column:
+    """Where a PDF may be fetched, in order: its address, then for an article of PMC the mirror's rendering."""
+    article = F.upper(F.regexp_extract(pdf_url, r"(?i)/articles/(PMC\d+)/", 1))
+    return F.array_compact(F.array(F.nullif(pdf_url, F.lit("")), F.when(article != "", F.concat(F.lit("https://europepmc.org/articles/"), article, F.lit("?pdf=render")))))
+
+
+def acquired_pdfs(rows: DataFrame, files: DataFrame, cached: DataFrame, fetched: DataFrame, max_bytes: int = PDF_BYTES) -> DataFrame:
+    """rows with content, origin (`path`, `cache`, `url` or `fallback`) and error of each row's PDF; one is null.
+
+    rows: id, pdf_path, pdf_url; files: path, content; cached: id, content; fetched: address, content of whatever was fetched.
+    A stated path decides alone; a cached file that is no PDF is passed over, one that is too large is an error, as is a fetched one.
+    """
+    at = pdf_addresses(F.col("pdf_url"))
+    wide = rows.withColumns({"__first": F.get(at, F.lit(0)), "__second": F.get(at, F.lit(1))})
+    wide = wide.join(files.select(F.col("path").alias("pdf_path"), F.col("content").alias("__path")), "pdf_path", "left").join(cached.select("id", F.col("content").alias("__cache")), "id", "left")
+    for name in ("first", "second"):
+        wide = wide.join(fetched.select(F.col("address").alias(f"__{name}"), F.col("content").alias(f"__{name}_content")), f"__{name}", "left")
+    stated = F.coalesce("pdf_path", F.lit("")) != ""
+    large = lambda c: F.coalesce(F.length(c) > max_bytes, F.lit(False))
+    choice = (
+        F.when(stated, F.when(F.col("__path").isNotNull(), F.lit("path")))
+        .when(large("__cache"), None)
+        .when(is_pdf(F.col("__cache"), max_bytes), F.lit("cache"))
+        .when(large("__first_content"), None)
+        .when(is_pdf(F.col("__first_content"), max_bytes), F.lit("url"))
+        .when(is_pdf(F.col("__second_content"), max_bytes), F.lit("fallback"))
+    )
+    error = F.when(choice.isNull(), F.when(stated, "PDF path does not exist").when(F.coalesce("pdf_url", F.lit("")) == "", "no pdf_url or pdf_path").when(large("__cache") | large("__first_content") | large("__second_content"), "PDF exceeds the size limit").otherwise("download did not return a PDF"))
+    content = F.when(choice == "path", F.col("__path")).when(choice == "cache", F.col("__cache")).when(choice == "url", F.col("__first_content")).when(choice == "fallback", F.col("__second_content"))
+    return wide.select(*rows.columns, content.alias("content"), choice.alias("origin"), error.alias("error"))
+
+
+def run_results(spark: SparkSession, path: str, schema: str = "results array<struct<is_correct:boolean,selected:string,status:string>>") -> DataFrame:
+    """temperature, run and the result rows of files named `..._temp0p7_run3.json`; other files are passed over."""
+    whole = spark.read.schema(schema).option("multiLine", True).json(path).select("results", F.col("_metadata.file_name").alias("name"))
+    named = F.regexp_extract_all("name", F.lit(r"_temp(\d+p\d+)_run\d+\.json$"), F.lit(1))
+    runs = whole.filter(F.size(named) == 1).select(F.replace(named[0], F.lit("p"), F.lit(".")).cast("double").alias("temperature"), F.regexp_extract("name", r"_run(\d+)\.json$", 1).cast("int").alias("run"), F.explode("results").alias("r"))
+    return runs.select("temperature", "run", "r.*")
+
+
+def pdf_files(spark: SparkSession, path: str, max_bytes: int = PDF_BYTES) -> DataFrame:
+    """path, content of the PDF files within the size limit, which is the source's contract."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path)
-    return df.filter((F.col("length") <= max_bytes) & (F.instr(F.hex(F.substring("content", 1, 1024)), "255044462D") > 0)).select("path", "content")
+    return df.filter((F.col("length") <= max_bytes) & is_pdf(F.col("content"), max_bytes)).select("path", "content")

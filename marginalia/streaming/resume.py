@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,3 +32,31 @@ def memoised(df: DataFrame, key: str, call: Callable[[DataFrame], DataFrame], kn
     if known is not None:
         answers = answers.unionByName(known)
     return df.join(answers, key, "left"), answers
+
+
+class ResumeError(ValueError):
+    """A state that another run has written, or whose outputs are gone."""
+
+
+STATE = "starting_id long, split string, citation_mode string, citation_style string, fields_of_study string"
+
+
+def resumed(spark: SparkSession, state: str, parameters: dict, outputs: dict[str, str] | None = None) -> bool:
+    """Whether a state stands at the path already; if none does, one with the run's parameters (see STATE) is written.
+
+    Parameters that differ from the state's are an error, and so is an output (name: path) that an earlier run has written to and that is gone.
+    """
+    from ..sources.sinks import exists
+
+    names = [f.split()[0] for f in STATE.split(", ")]
+    if unknown := set(parameters) ^ set(names):
+        raise ResumeError(f"parameters missing or unknown: {', '.join(sorted(unknown))}")
+    if not exists(spark, state):
+        spark.createDataFrame([Row(**{n: parameters[n] for n in names})], STATE).coalesce(1).write.json(state, ignoreNullFields=False)
+        return False
+    had = spark.read.schema(STATE).json(state).first()
+    if other := [f"{n}={had[n]} (expected {parameters[n]})" for n in names if had[n] != parameters[n]]:
+        raise ResumeError(f"the state at {state} does not fit this run: {', '.join(other)}")
+    if gone := [p for p in (outputs or {}).values() if not exists(spark, p)]:
+        raise ResumeError(f"the state at {state} expects outputs that are gone: {', '.join(gone)}")
+    return True

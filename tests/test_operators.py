@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 
@@ -276,7 +277,15 @@ def test_boundary():
 
 def test_text_from_outside():
     assert boundary.without_lone_surrogates({"a": ["x\ud800y", 1]}) == {"a": ["x?y", 1]}
-    assert boundary.term_query(["a b", "c"], 2024) == '("a b" OR "c") AND 2024[pdat] AND open access[filter]'
+    assert boundary.article_query("pmc", 2024, boundary.any_of(["a b", "c"])) == '("a b" OR "c") AND 2024[PDAT] AND open access[filter]'
+    assert boundary.article_query("europe_pmc", 2025) == "PUB_YEAR:2025 AND OPEN_ACCESS:Y AND HAS_PDF:Y"
+    assert boundary.identified("t", email="", api_key="k") == {"tool": "t", "api_key": "k"}
+    assert boundary.StaticContext(" x ").context("q", "t") == "x" and boundary.StaticContext().context("q", "t") == ""
+    asked = iter(["one", "two ", "", "three"])
+    assert boundary.LinesContext(lambda: next(asked, None)).context("q", "t") == "one\ntwo"
+    assert boundary.LinesContext(iter([" SKIP", "x"]).__next__).context("q", "t") == ""
+    assert [boundary.progress_line(i, 9, "T", 4, 3) is not None for i in (1, 2, 3, 4, 6)] == [True, False, True, False, True]
+    assert boundary.progress_line(3, 9, "T", 4, 3) == "[3/9] Example source paper: T | kept 4 dataset row(s) so far" and boundary.progress_line(1, 9, "T", 0, 0) is None
 
 
 def test_target_ids_keep_the_last(spark):
@@ -336,6 +345,126 @@ def test_joins_of_releases_and_audit_levels_run_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     report = catalogue.QUERIES["release_report_joined"](spark, sf).first()
     assert 0 < report["n_in_splits"] < report["n_records"] and report["n_index_locators"] > 0 and report["n_fingerprint_locators"] > 0
-    decided = catalogue.QUERIES["audit_decisions_all_levels"](spark, sf).collect()
+    decided = catalogue.QUERIES["audit_decisions"](spark, sf).collect()
     assert {r["authority"] for r in decided} >= {"external_adjudication", "confirmed_manual_audit", "automatic_policy"}
     assert {(r["revised_id"] or " ")[0] for r in decided} == {"A", "C", " "}
+
+
+def test_strict_lines_name_their_place(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n')
+    (tmp_path / "b.jsonl").write_text('{"id": "2"}\n\n{"id": "3"}\nnot json\nnor this\n')
+    with pytest.raises(files.SourceError, match=r"b\.jsonl:4: not json"):
+        files.jsonl(spark, str(tmp_path), "id string", strict=True)
+
+
+def test_prompt_with_titles_to_skip(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("Do <FORMAT_INSTRUCTIONS> now.\n")
+    assert files.prompt(spark, str(tmp_path / "p.txt"), "this") == "Do this now.\n"
+    assert files.prompt(spark, str(tmp_path / "p.txt"), "this", ["A", "B"]) == "Do this now.\nThe following paper titles should be skipped during search:\n- A\n- B"
+    (tmp_path / "q.txt").write_text("Do nothing.")
+    with pytest.raises(files.SourceError):
+        files.prompt(spark, str(tmp_path / "q.txt"), "this")
+
+
+def test_acquired_pdfs(spark):
+    pdf, html = bytearray(b"xx%PDF-1.4"), bytearray(b"<html>")
+    late, large = bytearray(b" " * 1024 + b"%PDF-"), bytearray(b"%PDF-" + b"x" * 3000)
+    pmc = "https://pmc.example/articles/pmc12/pdf/"
+    rows = [("path", "/f.pdf", "u"), ("gone", "/g.pdf", "u"), ("cache", None, "h"), ("stale", None, "u"), ("bigcache", "", "u"), ("url", None, "u"), ("mirror", None, pmc), ("html", None, "h"), ("late", None, "l"), ("big", None, "b"), ("none", "", None)]
+    df = spark.createDataFrame(rows, "id string, pdf_path string, pdf_url string")
+    got = files.acquired_pdfs(
+        df, spark.createDataFrame([("/f.pdf", html)], "path string, content binary"), spark.createDataFrame([("cache", pdf), ("stale", html), ("bigcache", large)], "id string, content binary"),
+        spark.createDataFrame([("u", pdf), ("h", html), ("l", late), ("b", large), ("https://europepmc.org/articles/PMC12?pdf=render", pdf)], "address string, content binary"), max_bytes=2000,
+    )
+    by_id = {r["id"]: (r["origin"], r["error"]) for r in got.collect()}
+    assert {i: o for i, (o, e) in by_id.items() if o} == {"path": "path", "cache": "cache", "stale": "url", "url": "url", "mirror": "fallback"}
+    assert by_id["gone"][1] == "PDF path does not exist" and by_id["none"][1] == "no pdf_url or pdf_path"
+    assert by_id["bigcache"][1] == by_id["big"][1] == "PDF exceeds the size limit" and by_id["html"][1] == by_id["late"][1] == "download did not return a PDF"
+
+
+def test_runs_by_file_name(spark, tmp_path):
+    for name, results in (("m_temp0p7_run2.json", [(True, "a", "ok"), (None, None, "error")]), ("m_temp0p0_run1.json", [(False, "b", "ok")]), ("other.json", [(True, "c", "ok")])):
+        (tmp_path / name).write_text(json.dumps({"results": [dict(zip(("is_correct", "selected", "status"), r, strict=True)) for r in results]}))
+    runs = evaluation.run_metrics(files.run_results(spark, str(tmp_path)), "temperature", "run")
+    assert sorted((r["temperature"], r["run"], r["examples"], r["correct"], r["errors"]) for r in runs.collect()) == [(0.0, 1, 1, 0, 0), (0.7, 2, 2, 1, 1)]
+
+
+def test_json_of_ascii_with_sorted_keys(spark):
+    df = spark.createDataFrame([((("é", "🙂"), [("x", "y")]), None, "a\n\"b")], "z struct<q:struct<d:string,c:string>,p:array<struct<n:string,m:string>>>, b int, a string")
+    (line,) = [r["value"] for r in sinks.json_lines(df, ascii_only=True).collect()]
+    want = {"a": 'a\n"b', "b": None, "z": {"p": [{"m": "y", "n": "x"}], "q": {"c": "🙂", "d": "é"}}}
+    assert json.loads(line) == want and line == json.dumps(want, sort_keys=True, separators=(",", ":"))
+
+
+def test_outputs_and_states(spark, tmp_path):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    given = dict(starting_id=5, split="train", citation_mode="single", citation_style="numeric", fields_of_study=None)
+    sinks.fresh_outputs(spark, [out], state)
+    spark.range(3).write.parquet(out)
+    with pytest.raises(sinks.OutputError):
+        sinks.fresh_outputs(spark, [out], state)
+    assert not resume.resumed(spark, state, given) and resume.resumed(spark, state, given, {"rows": out})
+    sinks.fresh_outputs(spark, [out], state)
+    with pytest.raises(resume.ResumeError, match="split=train"):
+        resume.resumed(spark, state, given | {"split": "test"})
+    with pytest.raises(resume.ResumeError, match="fields"):
+        resume.resumed(spark, state, {k: v for k, v in given.items() if k != "fields_of_study"})
+    for n in (4, 5):
+        backup = sinks.replaced(spark.read.parquet(out).union(spark.range(1)), out, lambda df, path: df.write.parquet(path))
+        assert spark.read.parquet(out).count() == n and spark.read.parquet(backup).count() == 3
+    sinks.fresh_outputs(spark, [out], state, restart=True)
+    assert not sinks.exists(spark, out) and not sinks.exists(spark, state)
+    with pytest.raises(resume.ResumeError, match="gone"):
+        resume.resumed(spark, state, given)
+        resume.resumed(spark, state, given, {"rows": out})
+
+
+def test_rewards_and_matches(spark):
+    df = spark.createDataFrame([("c", True, [0.2]), ("c", None, [None, 0.2, 0.7]), ("c", None, None), ("c", False, [1.0])], "s string, y boolean, r array<double>")
+    reward = lambda name: df.select(evaluation.result_reward(F.col("s"), name, F.col("y"), F.col("r")).alias("x"))
+    assert [r["x"] for r in reward("c").collect()] == [1.0, 0.7, 0.0, 0.0]
+    with pytest.raises(Exception, match="unexpected data source"):
+        reward("d").collect()
+    rows = [(1, ["Nothing alike", "The cat sat", "The cat sat!"], ["Zebra", "the cat SAT", "Nothing alike"]), (2, ["x"], ["y"]), (3, [], ["y"]), (4, ["aaaa", "aaaa"], ["aaaa"])]
+    got = evaluation.title_matches(spark.createDataFrame(rows, "id int, found_titles array<string>, target_titles array<string>")).collect()
+    assert {r["id"]: (r["target"], r["place"], r["title"]) for r in got} == {1: (1, 1, "The cat sat"), 4: (0, 0, "aaaa")}
+    record = spark.createDataFrame([(1, "k", "v", "e", 2024, "a", "b")], "id int, title_key string, venue string, excerpt string, year int, source_paper_title string, target_paper_title string")
+    targets = spark.createDataFrame([(1, "k", "T")], "id int, title_key string, target_id string")
+    assert evaluation.training_records(record, targets, "p").first()["reward_model"]["ground_truth"] == "T"
+    with pytest.raises(Exception, match="no target id for row 1"):
+        evaluation.training_records(record, targets.limit(0), "p").collect()
+
+
+def test_observations(spark):
+    rows = [("u", "One fox. Two FOXES ran. Three hens.", "fox"), ("u", "One.", "fox"), ("u", "", "fox"), (None, "One fox.", "fox")]
+    df = spark.createDataFrame(rows, "u string, t string, n string")
+    got = [r["x"] for r in df.select(evaluation.find_observation(F.col("u"), F.col("t"), F.col("n")).alias("x")).collect()]
+    assert got == ["One fox.\nTwo FOXES ran.", "No sentence found containing 'fox'.", "There was an error reading the PDF. Please try a different paper. u", "This paper does not have an open access PDF."]
+    asked = spark.createDataFrame([("q", "T", "more"), ("q", None, None)], "q string, t string, c string")
+    got = [r["x"] for r in asked.select(evaluation.context_observation(F.col("q"), F.col("t"), F.col("c")).alias("x")).collect()]
+    assert got[0].endswith("'T' and focus query 'q':\nmore") and "Paper title: unknown. Focus query: q." in got[1]
+    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 2, "ai", "a"), (1, 1, "human", "h"), (1, 3, "tool", "t"), (1, 4, "noise", "n")], "trajectory_id int, turn int, kind string, content string")
+    assert [tuple(m) for m in evaluation.history(turns).first()["history"]] == [("user", "h"), ("assistant", "a"), ("tool", "t")]
+    assert evaluation.history(turns, keep_system=True).first()["history"][0]["role"] == "system"
+
+
+def test_gates_and_pools(spark):
+    rows = [("1", "v", "2025", "a [CITATION]"), ("2", "", "2025", "b [CITATION]"), ("3", "v", "2024", "c [CITATION]"), ("4", "v", "2025", "d"), ("", "v", "2025", "e [CITATION]")]
+    gated, counts = curation.biomedical_gate(spark.createDataFrame(rows, "id string, venue string, year string, excerpt string"), spark.createDataFrame([("1", "x")], "id string, note string"), ["id", "excerpt"])
+    assert {r["id"]: (r["reason"], r["note"]) for r in gated.collect()} == {"1": (None, "x"), "2": (None, None), "3": ("wrong_year", None), "4": ("citation_marker_count", None), "": ("missing_required_value", None)}
+    assert counts.first()["n_missing_venue_kept"] == 1 and counts.first()["n_kept"] == 2
+    keys = spark.createDataFrame([("e", "s", "t")], ", ".join(f"{k} string" for k in curation.KEYS))
+    assert curation.pooled_keys([keys, keys, keys.withColumn("excerpt_key", F.lit("f"))]).count() == 2
+    papers = spark.createDataFrame([("k", "B", 1), ("k", "A", 2), ("k", "Z", 0), ("j", "Z", 1)], "k string, v string, o int")
+    assert {r["v"] for r in curation.first_in_venue_order(papers, ["k"], ["A", "B"], "v", ["o"]).collect()} == {"A", "Z"}
+    assert [r["o"] for r in curation.first_rows(papers, ["o", "v"], 2).collect()] == [0, 1]
+
+
+def test_small_functions(spark):
+    one = spark.range(1)
+    from marginalia.functions import similarity, text
+
+    assert one.select(text.token_count(F.lit("a b, c")).alias("n"), text.token_count(F.lit("a b, c"), lambda x: F.split(x, " ")).alias("m")).first()[:2] == (4, 3)
+    assert one.select(text.utc_now().alias("t")).first()["t"].endswith("+00:00")
+    key = one.select(similarity.row_key(F.lit("Stra\u00dfe  X"), F.lit("A: b"), F.lit(None).cast("string")).alias("k")).first()["k"]
+    assert (key["excerpt_key"], key["source_key"], key["target_key"]) == ("strasse x", "a b", None)
