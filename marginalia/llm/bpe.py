@@ -50,14 +50,14 @@ class TrieBPE:
             spec = json.load(f)
         model, to_byte = spec["model"], {c: b for b, c in byte_alphabet().items()}
         raw = {t: bytes(to_byte[c] for c in t) for t in model["vocab"]}
-        self.id_of = {raw[t]: i for t, i in model["vocab"].items()}
+        id_of = {raw[t]: i for t, i in model["vocab"].items()}
         self.bytes_of: list[bytes] = [b""] * (1 + max([*model["vocab"].values(), *(a["id"] for a in spec["added_tokens"])]))
-        for b, i in self.id_of.items():
+        for b, i in id_of.items():
             self.bytes_of[i] = b
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for k, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.rank.setdefault((model["vocab"][left], model["vocab"][right]), (k, self.id_of[raw[left] + raw[right]]))
+            self.rank.setdefault((model["vocab"][left], model["vocab"][right]), (k, id_of[raw[left] + raw[right]]))
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
@@ -68,14 +68,14 @@ class TrieBPE:
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.short_chunk = re.compile(rf"[{WHITE}]*[^\w{WHITE}]*\w+|[{WHITE}]*[^\w{WHITE}]+|[{WHITE}]+")
         #: Each token's rank as a merge (-1: a byte) and the two tokens it is merged from.
-        self.made = {i: (-1, i, i) for b, i in self.id_of.items() if len(b) == 1}
+        self.made = {i: (-1, i, i) for b, i in id_of.items() if len(b) == 1}
         for (left, right), (k, i) in self.rank.items():
             if k < self.made.get(i, (len(self.rank),))[0] and len(self.bytes_of[i]) > 1:
                 self.made[i] = (k, left, right)
-        self.tokens = {b: i for b, i in self.id_of.items() if len(b) == 1 or (i in self.made and self.follows(*self.made[i][1:], ending=self.made[i][0]))}
+        tokens = {b: i for b, i in id_of.items() if len(b) == 1 or (i in self.made and self.follows(*self.made[i][1:], ending=self.made[i][0]))}
         #: Finds all tokens that end at a byte, the longest first; bytes stand as Latin-1 characters.
         self.ends = ahocorasick.Automaton()
-        for b, i in self.tokens.items():
+        for b, i in tokens.items():
             self.ends.add_word(b.decode("latin-1"), (len(b), i))
         self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}  # by left << 20 | right

@@ -460,7 +460,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector: str =
         else:
             raise RuntimeError(f"recall {lowest:.4f} of vectors of length {dim} stays below {target}")
         parts.append(found)
-    empty = df.sparkSession.createDataFrame([], "id long, links long, root long")
+    empty = df.sparkSession.range(0).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("root"))
     found = empty
     for p in parts:
         found = found.union(p)

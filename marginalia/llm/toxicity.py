@@ -183,7 +183,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per
     use = [(i, y, 0) for i, y in picked[0][:k] + picked[1][:k]] + [(i, y, 1) for i, y in picked[2]]
     if not use:
         return ToxicityModel({}, {}, ORDER, fitted_curve(np.zeros((0, 2)), np.zeros(0)))
-    chosen = spark.createDataFrame(use, "doc_id long, __toxic int, __fold int")
+    columns = zip(("doc_id", "__toxic", "__fold"), zip(*use, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)
+    chosen = spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, values, kind in columns}))  # a list would start workers of another kind
     texts = documents.select("doc_id", "text").filter(F.coalesce(F.char_length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen), "doc_id").select("__toxic", "__fold", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
