@@ -7,15 +7,16 @@
 All counts c and N (words) are those of the other documents, so an n-gram that only the document itself has
 backs off. The relational plan, with n-grams as 64-bit hashes:
 
-1. Documents are dealt into chunks by hash and travel there once, compressed. A chunk explodes its n-grams of one order
-   into a sorted list of distinct hashes with counts, cut by ranges of the hash: the parts of the count table.
-2. Each part adds up the counts of equal hashes over all chunks and joins the sums back to the chunks' lists. As hashes and
-   lists are sorted, the sums come back as bare numbers in the list's order.
-3. The next order is exploded only where both n-grams that an n-gram holds stand in other documents; nowhere else can it.
-4. A chunk looks its words' counts up and sums the logarithms for each document.
-
-Rows of the shuffles are packed lists, of some six bytes for each n-gram of a chunk and less than one for each sum. No n-gram is hot:
-a chunk sends each of its n-grams once. Chunks and parts grow in number with the corpus, not in size.
+1. Rows that lie together become a chunk: one row with their ids and compressed texts.
+2. Each chunk explodes its n-grams of one order into rows (gram, chunk, n), equal ones combined.
+3. These are partitioned by the hash and counted: the count table of that order, gram and total over all chunks.
+4. The count table is joined to the exploded rows. Rows whose n-gram stands in one chunk alone meet no one there; the others bring
+   their totals back to their chunks.
+5. Order 3 is exploded only where both n-grams of two words that an n-gram holds stand in other documents; nowhere else can it.
+6. A chunk looks its words' counts up and sums the logarithms for each document.
+
+No n-gram is hot: a chunk sends each of its n-grams once, so a gram has at most as many rows as there are chunks, and its rows are
+summed by hash. All rows are slim, their number follows the corpus, and every shuffle and join may spill.
 """
 
 from __future__ import annotations
@@ -24,90 +25,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, freeing, slices, staged
 from .tokens import buffers, inner_windows, window_hashes, word_hashes
 
 BACKOFF = 0.4
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 8_000_000
-
-
-ZSTD = pa.Codec("zstd", compression_level=6)
-
-
-def _squeezed(raw: bytes) -> bytes:
-    return np.int64([len(raw)]).tobytes() + ZSTD.compress(raw, asbytes=True)
-
-
-def _restored(blob: bytes) -> bytes:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    return ZSTD.decompress(blob[8:], n, asbytes=True) if n else b""
-
-
-def pack_hashes(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted distinct hashes as differences of six bytes, of which the highest, mostly small, is compressed; larger differences follow in full."""
-    d = np.diff(sorted_hashes, prepend=np.uint64(0))
-    large = np.nonzero(d >= np.uint64(1 << 48))[0]
-    octets = np.ascontiguousarray(d).view(np.uint8).reshape(-1, 8)
-    top = _squeezed(octets[:, 5].tobytes())
-    return b"".join([np.int64([len(d), len(large), len(top)]).tobytes(), octets[:, :5].tobytes(), large.astype(np.int64).tobytes(), d[large].tobytes(), top])
-
-
-def unpack_hashes(blob: bytes) -> np.ndarray:
-    n, m, _ = np.frombuffer(blob, np.int64, 3).tolist()
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 24).reshape(n, 5)
-    d[:, 5] = np.frombuffer(_restored(blob[24 + 5 * n + 16 * m :]), np.uint8)
-    d = d.view(np.uint64).ravel()
-    d[np.frombuffer(blob, np.int64, m, 24 + 5 * n)] = np.frombuffer(blob, np.uint64, m, 24 + 5 * n + 8 * m)
-    return np.cumsum(d, dtype=np.uint64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as single bytes; 255 stands for a larger one, which follows in full; compressed."""
-    large = counts >= 255
-    return np.int64([len(counts)]).tobytes() + _squeezed(np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes())
-
-
-def unpack_counts(blob: bytes) -> np.ndarray:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    raw = _restored(blob[8:])
-    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw[n:], np.int64)
-    return out
-
-
-def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+#: Bytes of text in a chunk, about (a longer text is a chunk of its own), and rows of an Arrow batch of n-grams.
+CHUNK_BYTES, BATCH = 16_000_000, 250_000
+ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 class Chunk:
     """The words of a chunk's texts and, for each order, the distinct n-grams and each position's place among them."""
 
-    def __init__(self, texts: pa.Array):
-        self.words, self.bounds = word_hashes(*buffers(texts))
+    def __init__(self, lengths: bytes, size: int, texts: bytes):
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int64))]).astype(np.int64)
+        raw = ZSTD.decompress(texts, size, asbytes=True) if size else b""
+        self.words, self.bounds = word_hashes(*buffers(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))))
         self.text_of = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
-    def grams(self, order: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct hashes, their counts, positions of the n-grams' last words, places of those n-grams)."""
-        starts = np.nonzero(inner_windows(self.bounds, order, len(self.words)))[0]
-        last = starts + order - 1
+    def hashes(self, order: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams within a text, positions of their last words), only those whose last position is alive."""
+        starts = np.nonzero(inner_windows(self.bounds, order, len(self.words)))[0] if order > 1 else np.arange(len(self.words))
         if alive is not None:
-            starts, last = starts[alive[last]], last[alive[last]]
-        hashes = window_hashes(self.words, order)[starts]
-        distinct, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        return distinct, counts, last, place
-
-    def others(self, order: int, sums: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
-        """For each position the count in other documents of the n-gram that ends there; 0 where there is none."""
-        distinct, _, last, place = self.grams(order, alive)
+            starts = starts[alive[starts + order - 1]]
+        return (window_hashes(self.words, order) if order > 1 else self.words)[starts], starts + order - 1
+
+    def others(self, order: int, grams: np.ndarray, totals: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
+        """For each position the count in other documents of the n-gram that ends there; 0 where there is none.
+
+        grams (sorted), totals: counts of the n-grams that stand in other chunks too; the rest are counted here.
+        """
+        hashes, last = self.hashes(order, alive)
         out = np.zeros(len(self.words), np.int64)
-        if len(place):
-            _, own, times = np.unique(self.text_of[last] * np.int64(len(distinct)) + place, return_inverse=True, return_counts=True)
-            out[last] = sums[place] - times[own]
+        if len(hashes):
+            distinct, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            counts[np.searchsorted(distinct, grams)] = totals
+            many = counts > 1  # an n-gram that stands once stands in no other document
+            use = many[place]
+            own_key = self.text_of[last[use]] * np.int64(len(distinct)) + place[use]
+            _, own, times = np.unique(own_key, return_inverse=True, return_counts=True)
+            out[last[use]] = counts[place[use]] - times[own]
         return out
 
 
@@ -116,67 +77,87 @@ def open_places(counts: np.ndarray) -> np.ndarray:
     return (counts > 0) & (np.concatenate([[0], counts[:-1]]) > 0) if len(counts) else np.zeros(0, bool)
 
 
-LISTS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-LISTS_DDL = "part long, chunk long, kind int, hashes binary, counts binary"
-SUMS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("sums", pa.binary())])
-SUMS_DDL = "chunk long, kind int, part long, sums binary"
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of rows (id, text): its number, ids and one compressed string of the texts with their lengths."""
+    number = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
+    for batch in batches:
+        for part in slices(batch, 1, CHUNK_BYTES):
+            data, offsets = buffers(part.column(1))
+            raw = data[offsets[0] : offsets[-1]].tobytes()
+            ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), ids, pa.array([np.diff(offsets).astype(np.int64).tobytes()], pa.binary()), pa.array([len(raw)], pa.int64()), pa.array([ZSTD.compress(raw, asbytes=True)], pa.binary())], names=["chunk", "ids", "lengths", "size", "texts"]
+            )
+            number += 1
 
 
-def _lists(chunk: int, kind: int, distinct: np.ndarray, counts: np.ndarray, parts: int) -> list[dict]:
-    cuts = np.searchsorted(part_of(distinct, parts), np.arange(parts + 1, dtype=np.uint64))
-    return [
-        {"part": p, "chunk": chunk, "kind": kind, "hashes": pack_hashes(distinct[a:b]), "counts": pack_counts(counts[a:b])}
-        for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        if a < b
-    ]
+GRAMS = "gram long, chunk long, n int"
 
 
-def _sums_of(table: pa.Table, kind: int) -> np.ndarray:
-    """A chunk's sums of one kind, in the order of its hashes."""
-    rows = sorted((p, s) for k, p, s in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["sums"].to_pylist(), strict=True) if k == kind)
-    return np.concatenate([unpack_counts(s) for _, s in rows]) if rows else np.empty(0, np.int64)
+def _gram_rows(chunk: int, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    distinct, counts = np.unique(hashes, return_counts=True)
+    for k in range(0, len(distinct), BATCH):
+        some = distinct[k : k + BATCH].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), chunk)), pa.array(counts[k : k + BATCH].astype(np.int32))], names=["gram", "chunk", "n"])
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """One part of the count table: sums over all chunks, in each chunk's own order. Rows without hashes pass through."""
-    out = []
-    rows = table.to_pylist()
-    for kind in sorted({r["kind"] for r in rows if r["hashes"]}):
-        own = [r for r in rows if r["kind"] == kind and r["hashes"]]
-        lists, counts = [unpack_hashes(r["hashes"]) for r in own], [unpack_counts(r["counts"]) for r in own]
-        _, place = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)[place]  # exact below 2**53
-        ends = np.cumsum([len(x) for x in lists])
-        out += [{"chunk": r["chunk"], "kind": kind, "part": r["part"], "sums": pack_counts(t)} for r, t in zip(own, np.split(total, ends[:-1]), strict=True)]
-    out += [{"chunk": r["chunk"], "kind": r["kind"], "part": r["part"], "sums": r["counts"]} for r in rows if not r["hashes"]]
-    return pa.Table.from_pylist(out, SUMS)
+def _exploded(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lengths, size, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _gram_rows(chunk, Chunk(lengths, size, texts).hashes(order)[0])
 
+    return run
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of a batch: ids and one compressed string of the texts with their lengths."""
-    for batch in batches:
-        chunk = np.asarray(batch.column(0))
-        order = np.argsort(chunk, kind="stable")
-        cuts = np.nonzero(np.diff(chunk[order], prepend=-1, append=-1))[0]
-        rows: dict[str, list] = {"chunk": [], "ids": [], "lengths": [], "size": [], "texts": []}
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            part = batch.take(pa.array(order[a:b]))
-            data, offsets = buffers(part.column(2))
-            raw = data[offsets[0] : offsets[-1]].tobytes()
-            for name, value in (("chunk", int(chunk[order[a]])), ("ids", part.column(1)), ("lengths", np.diff(offsets).astype(np.int64).tobytes()), ("size", len(raw)), ("texts", ZSTD.compress(raw, asbytes=True))):
-                rows[name].append(value)
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in rows["ids"]])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(rows["ids"]) if rows["ids"] else batch.column(1).slice(0, 0))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["chunk"], pa.int64()), ids, pa.array(rows["lengths"], pa.binary()), pa.array(rows["size"], pa.int64()), pa.array(rows["texts"], pa.binary())], names=list(rows))
+
+def _totals(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's (sorted grams, totals) of one order."""
+    use = rows["kind"].to_numpy() == order
+    grams, totals = rows["gram"].to_numpy()[use].view(np.uint64), rows["total"].to_numpy()[use]
+    by = np.argsort(grams)
+    return grams[by], totals[by]
+
+
+def _chunk_of(table: pa.Table) -> Chunk:
+    return Chunk(*(table[c][0].as_py() for c in ("lengths", "size", "texts")))
+
+
+def _third(table: pa.Table, rows: pa.Table) -> pa.Table:
+    """Rows of order 3 of one chunk, where they can stand in other documents."""
+    if not table.num_rows:
+        return pa.table({"gram": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
+    c, number = _chunk_of(table), table["chunk"][0].as_py()
+    alive = open_places(c.others(2, *_totals(rows, 2)))
+    parts = list(_gram_rows(number, c.hashes(3, alive)[0]))
+    return pa.Table.from_batches(parts) if parts else _third(table.slice(0, 0), rows)
+
+
+def _scores(table: pa.Table, rows: pa.Table) -> pa.Table:
+    """id, n_words, logs (their sum, without the words' own N) and by_one (positions that fell to single words) of a chunk's rows."""
+    if not table.num_rows:
+        return pa.table({"id": table["ids"].combine_chunks().flatten(), "n_words": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "by_one": pa.array([], pa.int64())})
+    c = _chunk_of(table)
+    one = c.others(1, *_totals(rows, 1))
+    two = c.others(2, *_totals(rows, 2))
+    three = c.others(3, *_totals(rows, 3), open_places(two))
+    one_before, two_before = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (one, two))
+    by_three, by_two = three > 0, (three == 0) & (two > 0)
+    by_one = ~by_three & ~by_two
+    place = np.arange(len(c.words)) - c.bounds[:-1][c.text_of]
+    steps = np.where(by_three, 0, np.where(by_two, np.minimum(place - 1, 1), np.minimum(place, 2)))  # times backed off
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.where(by_three, np.log(three) - np.log(two_before), np.where(by_two, np.log(two) - np.log(one_before), np.log(np.maximum(one, BACKOFF))))
+    logs = logs + steps * np.log(BACKOFF)
+    n = len(c.bounds) - 1
+    add = lambda x: np.bincount(c.text_of, weights=x, minlength=n)
+    return pa.table({"id": table["ids"].combine_chunks().flatten(), "n_words": pa.array(np.diff(c.bounds), pa.int64()), "logs": pa.array(add(logs), pa.float64()), "by_one": pa.array(add(by_one).astype(np.int64))})
 
 
-def _chunk(table: pa.Table) -> tuple[int, pa.Array, Chunk]:
-    """(number, ids, words) of a chunk from its packed rows."""
-    ids = table["ids"].combine_chunks().flatten()
-    lengths = np.concatenate([np.frombuffer(x, np.int64) for x in table["lengths"].to_pylist()])
-    raw = b"".join(ZSTD.decompress(t, n, asbytes=True) if n else b"" for n, t in zip(table["size"].to_pylist(), table["texts"].to_pylist(), strict=True))
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    return table["chunk"][0].as_py(), ids, Chunk(pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(raw)))
+def counted(exploded: DataFrame, order: int) -> DataFrame:
+    """chunk, kind, gram, total: exploded rows with the total of their n-gram over all chunks, if it stands in several."""
+    rows = exploded.repartition("gram")
+    table = rows.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("chunks")).filter("chunks > 1").select("gram", "total")
+    return rows.join(table, "gram").select("chunk", F.lit(order).alias("kind"), "gram", "total")
 
 
 def stupid_backoff(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,55 +165,18 @@ def stupid_backoff(documents: DataFrame, id_col: str = "doc_id", text: str = "te
 
     Words are what stands between ASCII white space, with A-Z folded. Null, empty and blank texts: no words and
     a score of 0. Each row is a document of its own, repeated ids and texts too. A corpus of one document has
-    N = 1 left. An empty table gives an empty table. Texts are read whole.
+    N = 1 left. An empty table gives an empty table. Texts are read whole; other columns are not read.
     """
-    size = documents.agg(F.sum(F.octet_length(F.coalesce(text, F.lit(""))))).first()[0] or 0
-    chunks = int(size // CHUNK_BYTES) + 1
-    parts = chunks
     id_type = documents.schema[id_col].dataType.simpleString()
-    dealt = documents.select(F.pmod(F.xxhash64(id_col, text), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    texts = dealt.mapInArrow(_packed, f"chunk long, ids array<{id_type}>, lengths binary, size long, texts binary").groupBy("chunk")
-
-    def first(table: pa.Table) -> pa.Table:
-        chunk, _, c = _chunk(table)
-        return pa.Table.from_pylist(_lists(chunk, 1, *c.grams(1)[:2], parts), LISTS)
-
-    def following(order: int):
-        def explode(table: pa.Table, sums: pa.Table) -> pa.Table:
-            chunk, _, c = _chunk(table)
-            have = {k: _sums_of(sums, k) for k in range(1, order)}
-            counts = c.others(1, have[1])
-            for k in range(2, order):
-                counts = c.others(k, have[k], open_places(counts))
-            rows = _lists(chunk, order, *c.grams(order, open_places(counts))[:2], parts)
-            rows += [{"part": chunk % parts, "chunk": chunk, "kind": k, "hashes": None, "counts": pack_counts(s)} for k, s in have.items()]
-            return pa.Table.from_pylist(rows, LISTS)
-
-        return explode
-
-    def third(table: pa.Table, sums: pa.Table) -> pa.Table:
-        _, ids, c = _chunk(table)
-        one = c.others(1, _sums_of(sums, 1))
-        two = c.others(2, _sums_of(sums, 2), open_places(one))
-        three = c.others(3, _sums_of(sums, 3), open_places(two))
-        one_before, two_before = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (one, two))
-        by_three, by_two = three > 0, (three == 0) & (two > 0)
-        by_one = ~by_three & ~by_two
-        place = np.arange(len(c.words)) - c.bounds[:-1][c.text_of]
-        steps = np.where(by_three, 0, np.where(by_two, np.minimum(place - 1, 1), np.minimum(place, 2)))  # times backed off
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.where(by_three, np.log(three) - np.log(two_before), np.where(by_two, np.log(two) - np.log(one_before), np.log(np.maximum(one, BACKOFF))))
-        logs = logs + steps * np.log(BACKOFF)
-        n = len(c.bounds) - 1
-        add = lambda x: np.bincount(c.text_of, weights=x, minlength=n)
-        return pa.table({"id": ids, "n_words": pa.array(np.diff(c.bounds), pa.int64()), "logs": pa.array(add(logs), pa.float64()), "by_one": pa.array(add(by_one).astype(np.int64))})
-
-    lists = texts.applyInArrow(first, LISTS_DDL)
-    for order in (2, 3):
-        sums = lists.groupBy("part").applyInArrow(_add_up, SUMS_DDL)
-        lists = texts.cogroup(sums.groupBy("chunk")).applyInArrow(following(order), LISTS_DDL)
-    all_sums = lists.groupBy("part").applyInArrow(_add_up, SUMS_DDL)
-    scored = staged(texts.cogroup(all_sums.groupBy("chunk")).applyInArrow(third, f"id {id_type}, n_words long, logs double, by_one long"), "lm-scores")
+    slim = documents.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    chunks = staged(slim.mapInArrow(freeing(_chunked), f"chunk long, ids array<{id_type}>, lengths binary, size long, texts binary"), "lm-chunks")
+    bare = chunks.select("chunk", "lengths", "size", "texts")
+    one = staged(counted(bare.mapInArrow(freeing(_exploded(1)), GRAMS), 1), "lm-1")
+    two = staged(counted(bare.mapInArrow(freeing(_exploded(2)), GRAMS), 2), "lm-2")
+    three = staged(counted(bare.groupBy("chunk").cogroup(two.groupBy("chunk")).applyInArrow(_third, GRAMS), 3), "lm-3")
+    found = one.union(two).union(three)
+    scored = staged(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_scores, f"id {id_type}, n_words long, logs double, by_one long"), "lm-scores")
+    dropped(chunks, one, two, three)
     total = scored.agg(F.sum("n_words")).first()[0] or 0
     rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1))
     return scored.select(F.col("id").alias(id_col), "n_words", (F.col("logs") - F.col("by_one") * F.log(rest)).alias("log_score"))

@@ -392,15 +392,6 @@ def test_jaccard_odd_ids(spark):
 # language model
 
 
-def test_packing():
-    rng = np.random.default_rng(2)
-    h = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2), np.arange(5, dtype=np.uint64), np.array([(1 << 64) - 1], np.uint64)]))
-    assert (lm_score.unpack_hashes(lm_score.pack_hashes(h)) == h).all()
-    c = np.array([0, 1, 254, 255, 256, 10**9])
-    assert (lm_score.unpack_counts(lm_score.pack_counts(c)) == c).all()
-    assert len(lm_score.unpack_hashes(lm_score.pack_hashes(h[:0]))) == len(lm_score.unpack_counts(lm_score.pack_counts(c[:0]))) == 0
-
-
 def test_backoff_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 200)
     rng = random.Random(4)
@@ -428,6 +419,20 @@ def test_backoff_equals_brute_force(spark, monkeypatch):
     assert lm_score.op7_lm_score(docs(spark, [])).count() == 0
 
 
+def test_backoff_of_odd_rows(spark, monkeypatch):
+    """Repeated rows, null and repeated ids, a long text, and columns with the names used inside."""
+    long = "a b c d " * 20_000
+    rows = [(1, "a b c", 7, 8), (1, "a b c", 7, 8), (None, "x y", 7, 8), (2, None, 7, 8), (3, long, 7, 8), (4, "a b c d", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, chunk int, gram int")
+    for size in (lm_score.CHUNK_BYTES, 10):
+        monkeypatch.setattr(lm_score, "CHUNK_BYTES", size)
+        got = sorted((r["doc_id"] or 0, r["n_words"], round(r["log_score"], 6)) for r in lm_score.stupid_backoff(df).collect())
+        n = 3 + 3 + 2 + 80_000 + 4
+        twice = math.log(20_002 / (n - 3)) + 2 * math.log(20_002 / 20_002)
+        assert got[1] == (1, 3, round(twice, 6)) == got[2] and got[3] == (2, 0, 0.0) and got[0][:2] == (0, 2) and got[4][:2] == (3, 80_000)
+        assert got[0][2] == round(math.log(0.4 / (n - 2)) + math.log(0.4 * 0.4 / (n - 2)), 6)
+
+
 def test_word_hashes_equal_words(monkeypatch):
     texts = ["", None, "a", " a b  a\tB\n", "x" * 300 + " y", "é É a", "A B C"] * 3
     for size in (7, 64, 1 << 20):
@@ -682,3 +687,44 @@ def test_pipeline_stages(spark):
     want = [r["doc_id"] for i, r in enumerate(kept) if label[i] == i]
     got = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_toxic(spark, d, SF), SF)
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == want
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty documents, empty side tables, extra columns with names used inside, repeated rows and null ids."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = [(1, "some words of a text that stands twice here", "en", "s", 1, 5, "x"), (1, "some words of a text that stands twice here", "en", "s", 1, 5, "x"), (None, "no id", None, None, None, 5, "x"), (2, None, "en", "s", 0, 5, "x"), (3, "", "en", "s", 0, 5, "x")]
+    df = spark.createDataFrame(rows, DOCS + ", score int, __key string")
+    for d in (SF, str(tmp_path)):
+        for some in (df, df.limit(0)):
+            now = some
+            for _, stage in corpus_pipeline.STAGES[:-1]:
+                now = stage(spark, now, d)
+                assert now.columns == df.columns
+            assert sorted((r["doc_id"] or 0) for r in now.collect()) == ([0, 1, 2, 3] if some is df else [])
+            out = corpus_pipeline.STAGES[-1][1](spark, now, d).collect()
+            assert len(out) == (4 if some is df else 0) and all(r["round_trip"] for r in out)
+
+
+def test_long_and_repeated_rows(spark):
+    """Operators that judge rows one by one, or whole texts, on texts of a megabyte and on rows that stand twice."""
+    long = "word and more words. " * 50_000
+    df = docs(spark, [long, "short text", "short text", None], extra=True)
+    df = df.union(df)
+    one = {r["doc_id"]: r for r in bpe.op2_bpe(df, VOCAB).collect()}
+    assert one[0]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest() and one[1]["ids_sha256"] == one[2]["ids_sha256"]
+    assert bpe.op2_bpe(df, VOCAB).count() == 8
+    sizes = {r["doc_id"]: r["size"] for r in sharding.op1_hilbert_sharding(df).collect()}
+    assert sizes == {0: len(long) + 1, 1: 11, 2: 11, 3: 1}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op6_jaccard(df).collect()}
+    assert got == {0: (4, 0), 1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", long if i == 0 else "<|end|>", 0) for i in range(3)] * 2, "conv_id long, turn long, role string, text string, formatted int")
+    (chat_row,) = chat.op4_chat_formatting(turns).filter("conv_id = 1").collect()
+    assert chat_row["n_turns"] == 6 and chat_row["loss_chars"] == 2 * (len(long) + len("<|end|>"))
+    page = f"<article><p>{long}</article>"
+    pages = spark.createDataFrame([(1, "https://h.example/", page), (1, "https://h.example/", page), (2, None, page)], "page_id long, url string, html string")
+    assert [r["n_chars"] for r in html_text.op8_html_text(pages).collect()] == [len(long) - 1] * 3
+    passage = "alpha beta gamma delta epsilon zeta eta theta"
+    bench = spark.createDataFrame([(7, passage), (7, passage)], "item_id long, text string")
+    found = decontaminate.op3_decontamination(docs(spark, [long + passage, passage, "x"]).unionByName(docs(spark, [passage])), bench).collect()
+    assert Counter(r["doc_id"] for r in found) == {0: 4, 1: 2}
