@@ -11,7 +11,7 @@ backs off. The relational plan, with n-grams as 64-bit hashes:
 2. Each chunk explodes its n-grams of one order into rows (gram, chunk, n), equal ones combined.
 3. These are partitioned by the hash and counted: the count table of that order, gram and total over all chunks.
 4. The count table is joined to the exploded rows. Rows whose n-gram stands in one chunk alone meet no one there; the others bring
-   their totals back to their chunks.
+   their counts in other chunks back to theirs.
 5. Order 3 is exploded only where both n-grams of two words that an n-gram holds stand in other documents; nowhere else can it.
 6. A chunk looks its words' counts up and sums the logarithms for each document.
 
@@ -54,16 +54,16 @@ class Chunk:
             starts = starts[alive[starts + order - 1]]
         return (window_hashes(self.words, order) if order > 1 else self.words)[starts], starts + order - 1
 
-    def others(self, order: int, grams: np.ndarray, totals: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
+    def others(self, order: int, grams: np.ndarray, elsewhere: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
         """For each position the count in other documents of the n-gram that ends there; 0 where there is none.
 
-        grams (sorted), totals: counts of the n-grams that stand in other chunks too; the rest are counted here.
+        grams (sorted), elsewhere: counts in other chunks of the n-grams that stand there; the rest stand here alone.
         """
         hashes, last = self.hashes(order, alive)
         out = np.zeros(len(self.words), np.int64)
         if len(hashes):
             distinct, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            counts[np.searchsorted(distinct, grams)] = totals
+            counts[np.searchsorted(distinct, grams)] += elsewhere
             many = counts > 1  # an n-gram that stands once stands in no other document
             use = many[place]
             own_key = self.text_of[last[use]] * np.int64(len(distinct)) + place[use]
@@ -110,12 +110,12 @@ def _exploded(order: int):
     return run
 
 
-def _totals(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's (sorted grams, totals) of one order."""
+def _elsewhere(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's (sorted grams, their counts in other chunks) of one order."""
     use = rows["kind"].to_numpy() == order
-    grams, totals = rows["gram"].to_numpy()[use].view(np.uint64), rows["total"].to_numpy()[use]
+    grams, counts = rows["gram"].to_numpy()[use].view(np.uint64), rows["elsewhere"].to_numpy()[use]
     by = np.argsort(grams)
-    return grams[by], totals[by]
+    return grams[by], counts[by]
 
 
 def _chunk_of(table: pa.Table) -> Chunk:
@@ -127,7 +127,7 @@ def _third(table: pa.Table, rows: pa.Table) -> pa.Table:
     if not table.num_rows:
         return pa.table({"gram": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
     c, number = _chunk_of(table), table["chunk"][0].as_py()
-    alive = open_places(c.others(2, *_totals(rows, 2)))
+    alive = open_places(c.others(2, *_elsewhere(rows, 2)))
     parts = list(_gram_rows(number, c.hashes(3, alive)[0]))
     return pa.Table.from_batches(parts) if parts else _third(table.slice(0, 0), rows)
 
@@ -137,9 +137,9 @@ def _scores(table: pa.Table, rows: pa.Table) -> pa.Table:
     if not table.num_rows:
         return pa.table({"id": table["ids"].combine_chunks().flatten(), "n_words": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "by_one": pa.array([], pa.int64())})
     c = _chunk_of(table)
-    one = c.others(1, *_totals(rows, 1))
-    two = c.others(2, *_totals(rows, 2))
-    three = c.others(3, *_totals(rows, 3), open_places(two))
+    one = c.others(1, *_elsewhere(rows, 1))
+    two = c.others(2, *_elsewhere(rows, 2))
+    three = c.others(3, *_elsewhere(rows, 3), open_places(two))
     one_before, two_before = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (one, two))
     by_three, by_two = three > 0, (three == 0) & (two > 0)
     by_one = ~by_three & ~by_two
@@ -154,10 +154,13 @@ def _scores(table: pa.Table, rows: pa.Table) -> pa.Table:
 
 
 def counted(exploded: DataFrame, order: int) -> DataFrame:
-    """chunk, kind, gram, total: exploded rows with the total of their n-gram over all chunks, if it stands in several."""
+    """chunk, kind, gram, elsewhere: exploded rows with the count of their n-gram in other chunks, if it stands in any.
+
+    Count table and rows have the same partitions, so rows are shuffled once: both sides of the join read all their columns.
+    """
     rows = exploded.repartition("gram")
-    table = rows.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("chunks")).filter("chunks > 1").select("gram", "total")
-    return rows.join(table, "gram").select("chunk", F.lit(order).alias("kind"), "gram", "total")
+    table = rows.groupBy("gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("first"), F.max("chunk").alias("last")).filter("first <> last").select("gram", "total")
+    return rows.join(table, "gram").select("chunk", F.lit(order).alias("kind"), "gram", (F.col("total") - F.col("n")).alias("elsewhere"))
 
 
 def stupid_backoff(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
