@@ -392,8 +392,25 @@ def test_jaccard_odd_ids(spark):
 # language model
 
 
+def test_packing():
+    rng = np.random.default_rng(2)
+    h = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2), np.arange(5, dtype=np.uint64), np.array([(1 << 64) - 1], np.uint64)]))
+    assert (lm_score.unpack_hashes(lm_score.pack_hashes(h)) == h).all()
+    c = np.array([0, 1, 254, 255, 256, 10**9])
+    assert (lm_score.unpack_counts(lm_score.pack_counts(c)) == c).all()
+    assert len(lm_score.unpack_hashes(lm_score.pack_hashes(h[:0]))) == len(lm_score.unpack_counts(lm_score.pack_counts(c[:0]))) == 0
+
+
+def test_lists_never_outnumber_ngrams():
+    grams = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2))
+    for parts in (1, 7, 10**6):
+        lists = lm_score._lists(0, 2, grams, np.ones(40, np.int64), parts)
+        assert len(lists) <= min(parts, 40) and sum(len(lm_score.unpack_hashes(r["hashes"])) for r in lists) == 40
+
+
 def test_backoff_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 300)
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 25))) for _ in range(30)] + [None, "Q unseen words", ""]
     words = [(t or "").lower().split() for t in texts]
