@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..staging import written
 
 KEYS = ("excerpt_key", "source_key", "target_key")
+#: Characters of a table's texts that go to all executors at most; a larger one is joined by a shuffle.
+BROADCAST_CHARS = 32_000_000
 
 
 def digest(*keys: Column) -> Column:
@@ -116,7 +118,9 @@ def contained_items(df: DataFrame, items: DataFrame, key: str, item_key: str) ->
     inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     seeds = items.filter(F.col(item_key) != "").withColumn("__seed", F.coalesce(F.array_max(inner)["w"], F.lit("")))
     rows = df.withColumn("__seed", F.explode(F.array_distinct(F.concat(F.split(key, " "), F.array(F.lit(""))))))
-    return rows.join(F.broadcast(seeds), "__seed").filter(F.contains(F.col(key), F.col(item_key))).drop("__seed")
+    size = items.agg(F.sum(F.length(item_key))).first()[0] or 0
+    seeds = F.broadcast(seeds) if size <= BROADCAST_CHARS else seeds
+    return rows.join(seeds, "__seed").filter(F.contains(F.col(key), F.col(item_key))).drop("__seed")
 
 
 def leakage_reason(keys: Sequence[str] = KEYS) -> Column:

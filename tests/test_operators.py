@@ -448,6 +448,17 @@ def test_observations(spark):
     assert evaluation.history(turns, keep_system=True).first()["history"][0]["role"] == "system"
 
 
+@pytest.mark.parametrize("limit", [curation.BROADCAST_CHARS, -1])
+def test_contained_items(spark, monkeypatch, limit):
+    monkeypatch.setattr(curation, "BROADCAST_CHARS", limit)
+    rows = ["a b c d e", "xa b cy", "b", "", "a b", "q a b c"]
+    items = ["a b c", "b", "", "a b", "b c d", "z"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, k string")
+    table = spark.createDataFrame(list(enumerate(items)), "j int, item string")
+    got = {(r["i"], r["j"]) for r in curation.contained_items(df, table, "k", "item").collect()}
+    assert got == {(i, j) for i, row in enumerate(rows) for j, item in enumerate(items) if item and item in row}
+
+
 def test_gates_and_pools(spark):
     rows = [("1", "v", "2025", "a [CITATION]"), ("2", "", "2025", "b [CITATION]"), ("3", "v", "2024", "c [CITATION]"), ("4", "v", "2025", "d"), ("", "v", "2025", "e [CITATION]")]
     gated, counts = curation.biomedical_gate(spark.createDataFrame(rows, "id string, venue string, year string, excerpt string"), spark.createDataFrame([("1", "x")], "id string, note string"), ["id", "excerpt"])
