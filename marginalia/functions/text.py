@@ -81,32 +81,37 @@ def query_tokens(x: Column) -> Column:
 
 
 def content_tokens(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: ~F.array_contains(lit_array(STOPWORDS), t))
+    return F.filter(tokens, lambda t: ~t.isin(*STOPWORDS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body reads it: higher-order functions do not share what they compute."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def window_query(x: Column, marker: str = MARKER, width: int = 6) -> Column:
     """The last content tokens before the marker and the first after it; null below three."""
     at = F.locate(marker, x)
+
+    def query(before: Column, after: Column) -> Column:
+        got = F.concat(F.slice(before, F.greatest(F.size(before) - width + 1, F.lit(1)), F.lit(width)), F.slice(after, 1, width))
+        return F.when((at > 0) & (F.size(got) >= 3), F.array_join(got, " "))
+
     before = content_tokens(query_tokens(F.substring(x, F.lit(1), F.greatest(at - 1, F.lit(0)))))
     after = content_tokens(query_tokens(F.substring(x, at + len(marker), F.char_length(x))))
-    got = F.concat(F.slice(before, F.greatest(F.size(before) - width + 1, F.lit(1)), F.lit(width)), F.slice(after, 1, width))
-    return F.when((at > 0) & (F.size(got) >= 3), F.array_join(got, " "))
+    return let(before, lambda b: let(after, lambda a: query(b, a)))
 
 
 def discoverability_queries(excerpt: Column) -> Column:
     """Ordered distinct queries: the first 14 tokens (if 4), the first 8 content tokens (if 3), and those around the marker."""
-    bare = F.replace(excerpt, F.lit(MARKER), F.lit(" "))
-    tokens = query_tokens(bare)
-    content = content_tokens(tokens)
-    return F.array_distinct(
-        F.array_compact(
-            F.array(
-                F.when(F.size(tokens) >= 4, F.array_join(F.slice(tokens, 1, 14), " ")),
-                F.when(F.size(content) >= 3, F.array_join(F.slice(content, 1, 8), " ")),
-                window_query(excerpt),
-            )
-        )
-    )
+
+    def queries(tokens: Column, content: Column, around: Column) -> Column:
+        first = F.when(F.size(tokens) >= 4, F.array_join(F.slice(tokens, 1, 14), " "))
+        meant = F.when(F.size(content) >= 3, F.array_join(F.slice(content, 1, 8), " "))
+        return F.array_distinct(F.array_compact(F.array(first, meant, around)))
+
+    bare = lambda e: query_tokens(F.replace(e, F.lit(MARKER), F.lit(" ")))
+    return let(excerpt, lambda e: let(bare(e), lambda t: let(content_tokens(t), lambda c: queries(t, c, window_query(e)))))
 
 
 def bounded(x: Column, limit: int = 16_000, notice: str = "\n[truncated]") -> Column:
