@@ -61,7 +61,9 @@ def jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, strict: b
             # lines of its file up to it, blank ones too
             at = _numbered_lines(spark, path).filter((F.col("source_file") == file) & (F.col("_ord") <= before)).count()
             raise SourceError(f"{file}:{at}: {bad['value'][:200]}")
-    return parsed.filter("r IS NOT NULL AND r._corrupt IS NULL").select("r.*", "source_file", "_ord").drop("_corrupt")
+    good = parsed.filter("r IS NOT NULL AND r._corrupt IS NULL")
+    file = [] if "source_file" in good.schema["r"].dataType.names else ["source_file"]  # a record's own column of that name counts
+    return good.select("r.*", *file, "_ord").drop("_corrupt")
 
 
 def invalid_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:

@@ -57,7 +57,7 @@ def write_split(df: DataFrame, split: str, order: list[str], start: int, path: s
 
 
 def write_ids(records: DataFrame, path: str, split: str = "experimental_split", row_id: str = "release_id") -> None:
-    records.filter(F.col(split).isNotNull()).select(row_id, split).repartition(split).sortWithinPartitions(row_id).write.partitionBy(split).text(path)
+    records.filter(F.col(split).isNotNull()).select(row_id, split).repartition(split).sortWithinPartitions(split, row_id).write.partitionBy(split).text(path)
 
 
 def write_nested(df: DataFrame, path: str) -> None:

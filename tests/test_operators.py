@@ -449,7 +449,7 @@ def test_observations(spark):
 
 
 @pytest.mark.parametrize("limit", [curation.BROADCAST_CHARS, -1])
-def test_contained_items(spark, monkeypatch, limit):
+def test_contained_items_equal_substrings(spark, monkeypatch, limit):
     monkeypatch.setattr(curation, "BROADCAST_CHARS", limit)
     rows = ["a b c d e", "xa b cy", "b", "", "a b", "q a b c"]
     items = ["a b c", "b", "", "a b", "b c d", "z"]
