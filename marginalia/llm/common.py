@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only by a session on one machine that names no folder of its own, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
+from ..staging import shared_folder
+
 #: Lets Spark delete a query's shuffle files as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a worker turns into Python objects or arrays at once, about; a longer text stands alone.
@@ -24,24 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. A cluster without that setting is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        return LOCAL_FALLBACK
-    raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives a lost executor.
 
     The shuffle files behind it go at once, as nothing will read them again; `dropped` deletes the table itself.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -26,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, shared_dir, slices
+from ..staging import shared_folder
+from .common import freeing, slices
 from .tokens import ALNUM, buffers, inner_windows, window_hashes, word_hashes
 
 #: Fixed value: punctuation beyond ASCII, as a pattern.
@@ -198,7 +199,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
     dealt = benchmark.withColumn("__b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
     if n > 1:  # each block reads its own files
         dealt = dealt.select("__b", "item_id", "text")
-        path = f"{shared_dir(benchmark.sparkSession).rstrip('/')}/marginalia/benchmark-{uuid.uuid4().hex}"
+        path = f"{shared_folder(benchmark.sparkSession).rstrip('/')}/marginalia/benchmark-{uuid.uuid4().hex}"
         dealt.repartition("__b").write.partitionBy("__b").parquet(path)
         dealt = benchmark.sparkSession.read.schema("item_id long, text string, __b long").parquet(path)
     for b in range(n):

@@ -328,8 +328,11 @@ def _homes(classes: DataFrame, n: int, dim: int, overlap: int) -> DataFrame:
     wanted = max(1, -(-n * overlap // SHARD_ROWS))
     two = wanted > MAX_CENTROIDS
     k = int(np.ceil(np.sqrt(wanted))) if two else wanted
-    sample = classes.orderBy(F.xxhash64("id")).limit(max(k * SAMPLE_PER_CENTROID, 1000)).select("v").toArrow()
+    share = min(1.0, max(k * SAMPLE_PER_CENTROID, 1000) / n)  # at most about 20 * MAX_CENTROIDS rows; no task orders all
+    sample = classes.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) <= int(share * (1 << 30))).select("v").toArrow()
     rows = _matrix(sample["v"], dim)
+    if not len(rows):  # a few rows, all beyond the threshold
+        rows = _matrix(classes.select("v").limit(1).toArrow()["v"], dim)
     shared = spark.sparkContext.broadcast(fit_centroids(rows, min(k, len(rows))))
     some = 2 if two else overlap
 
