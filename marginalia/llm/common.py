@@ -50,10 +50,6 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about `most` bytes of text in a column, so that memory follows neither batches nor rows."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)

@@ -322,8 +322,8 @@ def _placed(batch: pa.RecordBatch, near: np.ndarray, first: np.ndarray, names: l
 ROWS = "id long, copies long, v array<double>"
 
 
-def _homes(classes: DataFrame, n: int, dim: int, overlap: int) -> DataFrame:
-    """id, copies, v, shard, first: a row for each of a class's homes; first marks its nearest."""
+def _homes(classes: DataFrame, n: int, dim: int, overlap: int, used: list[DataFrame]) -> DataFrame:
+    """id, copies, v, shard, first: a row for each of a class's homes; first marks its nearest. used: gets the staged tables behind it."""
     spark = classes.sparkSession
     wanted = max(1, -(-n * overlap // SHARD_ROWS))
     two = wanted > MAX_CENTROIDS
@@ -346,6 +346,7 @@ def _homes(classes: DataFrame, n: int, dim: int, overlap: int) -> DataFrame:
     if not two:
         return placed
     coarse = staged(placed.withColumnRenamed("shard", "cell"), "graph-cells")
+    used.append(coarse)
     cells = coarse.groupBy("cell").agg(F.count("*").alias("rows"))  # at most the square root of all shards
     sparse = F.pmod(F.xxhash64("id", F.lit("fine")), F.greatest(F.lit(1), F.floor(F.col("rows") / (F.ceil(F.col("rows") / SHARD_ROWS) * SAMPLE_PER_CENTROID)))) == 0
 
@@ -355,6 +356,7 @@ def _homes(classes: DataFrame, n: int, dim: int, overlap: int) -> DataFrame:
         return pa.table({"cell": table["cell"].slice(0, 1), "fine": pa.array([fine.tobytes()], pa.binary())})
 
     fine = staged(coarse.join(F.broadcast(cells), "cell").filter(sparse).select("cell", "rows", "v").groupBy("cell").applyInArrow(fit, "cell long, fine binary"), "graph-fine")
+    used.append(fine)
 
     def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,14 +370,15 @@ def _homes(classes: DataFrame, n: int, dim: int, overlap: int) -> DataFrame:
     return coarse.select(*["id", "copies", "v", "cell", "first"]).join(fine, "cell").select("id", "copies", "v", "cell", "first", "fine").mapInArrow(freeing(refined), f"{ROWS}, shard long, first boolean")
 
 
-def _search(classes: DataFrame, n: int, dim: int, least: float, overlap: int, beam: int, exact: bool = False) -> DataFrame:
-    """id, links, root of linked classes, from one search for each class over the united lists of all shards."""
+def _search(classes: DataFrame, n: int, dim: int, least: float, overlap: int, beam: int, used: list[DataFrame], exact: bool = False) -> DataFrame:
+    """id, links, root of linked classes, from one search for each class over the united lists of all shards. used: gets the staged tables behind it."""
     if exact:
         rows = classes.select("id", "copies", "v", F.lit(0).cast("long").alias("shard"), F.lit(True).alias("first"))
     else:
-        rows = _homes(classes, n, dim, overlap)
+        rows = _homes(classes, n, dim, overlap, used)
     rows = staged(rows, "graph-shards")
     sizes = staged(rows.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "graph-sizes")
+    used += [rows, sizes]
     rows = rows.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     none = F.array().cast("array<long>")
     if exact:
@@ -388,6 +391,7 @@ def _search(classes: DataFrame, n: int, dim: int, least: float, overlap: int, be
         united = staged(united.join(classes.select("id", "copies", "v"), "id"), "graph-united")
         held = built.select("shard", "block", "id", "first", "entry").join(united, "id").join(sizes, "shard")
         held = staged(held, "graph-held")
+        used += [built, united, held]
         members = held.select("shard", "block", "blocks", "id", "copies", "v", "first", "entry", "list")
         out = held.select("shard", "block", "blocks", F.explode("near").alias("id")).groupBy("shard", "id").agg(F.min("block").alias("block"), F.first("blocks").alias("blocks"))
         out = out.join(built.select("shard", "id"), ["shard", "id"], "left_anti")
@@ -452,7 +456,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector: str =
         classes = all_classes.filter(F.col("dim") == dim)
         truth = {r["id"]: r["links"] for r in brute_force_links(classes, audit, dim, least).collect()}  # at most `audit` rows
         for wide in (1, 2, 4, 0):
-            found = staged(_search(classes, n, dim, least, wide * overlap, wide * beam, exact=not wide), "graph-links")
+            used: list[DataFrame] = []
+            found = staged(_search(classes, n, dim, least, wide * overlap, wide * beam, used, exact=not wide), "graph-links")
+            dropped(*used)
             asked = truth if any(truth.values()) else {r["id"]: r["links"] for r in brute_force_links(classes, audit, dim, least, found.select("id")).collect()} if audit else {}
             got = {r["id"]: r["n"] for r in found.filter(F.col("id").isin(list(asked))).groupBy("id").agg(F.sum("links").alias("n")).collect()} if asked else {}
             mean, worst, lowest = recall(asked, got)
