@@ -18,10 +18,6 @@ UNIT = "\x1f"
 MARKER = "[CITATION]"
 
 
-def lit_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def spaces(x: Column) -> Column:
     """Runs of white space become one space; trimmed."""
     return F.trim(F.regexp_replace(x, rf"(?U){WS}+", " "))
