@@ -52,9 +52,10 @@ def dropped(*tables: DataFrame) -> None:
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about `most` bytes of text in a column, so that memory follows neither batches nor rows."""
+    if not batch.num_rows:
+        return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
-    part = np.cumsum(sizes) // most
-    cuts = np.nonzero(np.diff(part, prepend=-1))[0].tolist() if len(part) else []
+    cuts = np.nonzero(np.diff(np.cumsum(sizes) // most, prepend=-1))[0].tolist()
     for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
 

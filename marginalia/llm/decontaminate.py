@@ -110,39 +110,60 @@ class Benchmark:
 
     def __post_init__(self) -> None:
         # an item of fewer words than a match needs is one seed as a whole
-        self.sizes = sorted({min(len(x), self.min_match) for x in self.items if len(x)})
-        self.seeds: dict[int, dict[int, set[int]]] = {k: defaultdict(set) for k in self.sizes}
-        for at, x in enumerate(self.items):
-            if len(x):
-                k = min(len(x), self.min_match)
-                for h in window_hashes(x, k).tolist():
-                    self.seeds[k][h].add(at)
-        self.keys = {k: np.sort(np.fromiter(s, np.uint64, len(s))) for k, s in self.seeds.items()}
-        self.maybe = {}
-        for k, keys in self.keys.items():  # most windows are ruled out by one look at a table of bits
+        self.lengths = np.array([len(x) for x in self.items], np.int64)
+        self.width = np.minimum(self.lengths, self.min_match)
+        self.sizes = sorted(set(self.width[self.width > 0].tolist()))
+        #: By seed length: sorted seeds, where each one's items begin, the items.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.maybe: dict[int, np.ndarray] = {}
+        for k in self.sizes:
+            own = np.nonzero(self.width == k)[0]
+            windows = [np.unique(window_hashes(self.items[i], k)) for i in own.tolist()]
+            hashes, of = np.concatenate(windows), np.repeat(own, [len(w) for w in windows])
+            order = np.argsort(hashes, kind="stable")
+            keys, starts = np.unique(hashes[order], return_index=True)
+            self.seeds[k] = (keys, np.append(starts, len(order)), of[order])
+            # most windows are ruled out by one look at a table of bits
             self.maybe[k] = np.zeros(1 << 20, bool)
             self.maybe[k][keys >> np.uint64(44)] = True
 
-    def matches(self, texts: pa.Array, coverage: float) -> dict[int, list[tuple[int, float, list[tuple[int, int, int]]]]]:
-        """By position in texts: (item_id, share of the item's words, tiles) of each item covered by at least `coverage`."""
-        words, bounds = hashed(texts)
-        near: dict[tuple[int, int], list[int]] = defaultdict(list)
+    def shared(self, words: np.ndarray, bounds: np.ndarray, coverage: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, item, places of the item's seeds) where the seeds can cover enough of the item: n different ones cover n times their length at most.
+
+        So a seed that most texts and items share makes no pair to be looked at by itself.
+        """
         for k in self.sizes:
+            keys, starts, items = self.seeds[k]
             hashes = window_hashes(words, k)
             at = np.nonzero(self.maybe[k][hashes >> np.uint64(44)] & inner_windows(bounds, k, len(words)))[0]
-            keys = self.keys[k]
-            place = np.searchsorted(keys, hashes[at])
-            place[place == len(keys)] = 0
-            at = at[keys[place] == hashes[at]]
-            owner = np.searchsorted(bounds, at, "right") - 1
-            for start, text, h in zip(at.tolist(), owner.tolist(), hashes[at].tolist(), strict=True):
-                for item in self.seeds[k][h]:
-                    near[text, item].append(start)
+            seed = np.searchsorted(keys, hashes[at])
+            seed[seed == len(keys)] = 0
+            hit = keys[seed] == hashes[at]
+            at, seed = at[hit], seed[hit]
+            many = starts[seed + 1] - starts[seed]
+            which = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[seed], many)
+            item, place, seed = items[which], np.repeat(at, many), np.repeat(seed, many)
+            pair = (np.searchsorted(bounds, place, "right") - 1) * len(self.items) + item
+            different = np.unique(np.stack([pair, seed], axis=1), axis=0)[:, 0] if len(pair) else pair
+            found, n = np.unique(different, return_counts=True)
+            found = found[n * k >= coverage * self.lengths[found % len(self.items)]]
+            use = np.isin(pair, found)
+            if not use.any():
+                continue
+            order = np.lexsort((place[use], pair[use]))
+            pair, place = pair[use][order], place[use][order]
+            cuts = np.nonzero(np.diff(pair, prepend=-1))[0].tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(pair)], strict=True):
+                yield int(pair[a]) // len(self.items), int(pair[a]) % len(self.items), place[a:b]
+
+    def matches(self, texts: pa.Array, coverage: float) -> dict[int, list[tuple[int, float, list[tuple[int, int, int]]]]]:
+        """By position in texts: (item_id, share of the item's words, tiles) of each item covered by at least `coverage`."""
+        words, bounds = hashed(texts)
         out: dict[int, list] = defaultdict(list)
-        for (text, item), starts in near.items():
+        for text, item, starts in self.shared(words, bounds, coverage):
             x = self.items[item]
-            k = min(len(x), self.min_match)
-            where = np.unique((np.array(starts)[:, None] + np.arange(k)).ravel())  # only words of shared seeds can lie in tiles
+            k = int(self.width[item])
+            where = np.unique((starts[:, None] + np.arange(k)).ravel())  # only words of shared seeds can lie in tiles
             numbers, ids = np.unique(x, return_inverse=True)
             # a gap between kept words becomes one word that matches nothing
             slot = np.arange(len(where)) + np.cumsum(np.concatenate([[False], np.diff(where) > 1]))

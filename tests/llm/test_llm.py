@@ -208,6 +208,46 @@ def test_contamination(spark, limit):
     assert decontaminate.op3_decontamination(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def brute_matches(items, text, least, coverage):
+    """Items covered by greedy tiles over the whole text, and by how many words."""
+    words = lambda x: re.findall("[a-z0-9]+", x.lower())
+    names = {}
+    number = lambda ws: [names.setdefault(w, len(names)) for w in ws]
+    found = {}
+    for i, item in enumerate(items):
+        a, b = number(words(item)), number(words(text))
+        covered = brute_tiles(a, b, min(least, len(a))) if a and b else 0
+        if a and covered >= coverage * len(a):
+            found[i] = covered
+    return found
+
+
+def test_matches_equal_brute_force():
+    """The whole operator on random texts of few words: common seeds, moved and repeated passages, short and equal items."""
+    rng = random.Random(11)
+    line = [f"c{i}" for i in range(6)]
+    for _ in range(60):
+        items = []
+        for _ in range(rng.randrange(1, 8)):
+            own = [f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 14))]
+            items.append(" ".join(own + line if rng.random() < 0.5 else own))
+        items.append(items[0])
+        texts = []
+        for _ in range(6):
+            parts = [rng.choice(items).split() for _ in range(rng.randrange(0, 4))]
+            parts = [p[rng.randrange(3) :] for p in parts] + [line, [f"w{rng.randrange(12)}" for _ in range(rng.randrange(6))]]
+            rng.shuffle(parts)
+            texts.append(" ".join(w for p in parts for w in p))
+        bench = decontaminate.Benchmark.of(list(enumerate(items)), 5)
+        got = bench.matches(pa.array(texts), 0.6)
+        for at, text in enumerate(texts):
+            want = brute_matches(items, text, 5, 0.6)
+            assert {i: sum(n for _, _, n in tiles) for i, _, tiles in got.get(at, [])} == want
+            for i, _, tiles in got.get(at, []):
+                a, b = items[i].split(), text.split()
+                assert all(a[p : p + n] == b[q : q + n] for p, q, n in tiles)
+
+
 # chat
 
 
