@@ -68,20 +68,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each partition first turns its edges into stars. Then, until nothing changes, each vertex's larger
     neighbours, then its smaller ones, are tied to the smallest vertex it knows; rounds grow as the logarithm of the
-    longest path. Every round is a written table. Hubs are no hot group: minima are taken before the shuffle and written, so
+    longest path. Every round is a written table. Hubs are no hot group: minima are taken before the shuffle and dealt anew, so
     that both sides of their joins are shuffled and a hub's edges can be split.
     """
     now = staged(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(freeing(_contract), "a long, b long").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "edges-low")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = staged(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), "edges-down")
-        least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "edges-least")
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+        least = down.groupBy("a").agg(F.min("b").alias("m")).repartition("m")
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         last, now = now, staged(small, "edges")
-        dropped(last, low, down, least)
+        dropped(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
