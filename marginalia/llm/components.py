@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import dropped, freeing, staged
 
 CHUNK = 1_000_000
+#: Edges in a file of a round's table, at least, if there are so many: small rounds are not written as hundreds of files.
+FILE_EDGES = 200_000
 
 
 class Forest:
@@ -63,6 +65,11 @@ def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number and sum of hashes: equal for equal tables."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """vertex, component (its smallest vertex) of all vertices of edges (a, b). No edges: no rows.
 
@@ -72,7 +79,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     that both sides of their joins are shuffled and a hub's edges can be split.
     """
     now = staged(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(freeing(_contract), "a long, b long").distinct(), "edges")
-    before = None
+    state = before = _state(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
@@ -80,9 +87,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
         least = down.groupBy("a").agg(F.min("b").alias("m")).repartition("m")
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        last, now = now, staged(small, "edges")
+        last, now = now, staged(small.coalesce(int(state[0] // FILE_EDGES) + 1), "edges")
         dropped(last)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = _state(now)
         if state == before:
             break
         before = state
