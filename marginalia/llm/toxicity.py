@@ -167,7 +167,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per
     """Learns from labelled rows for which may_learn (over doc_id) is true.
 
     The sample: of the labels with 0 or 1, ordered by a hash of doc_id, at most per_class of each
-    class (as many of either) for the counts and at most `calibration` others, in their natural proportion,
+    class for the counts and at most `calibration` others, in their natural proportion,
     for the curve; texts of more than `longest` characters do not count among them, so what reaches the driver is bounded.
     Labels that are null or contradict each other for one doc_id are not used. Text counts
     once per document and word, so neither long nor repeated texts outweigh others by much. Without labels: a flat curve.
@@ -179,8 +179,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, may_learn: Column, per
     parts = [clean.filter((F.col("__fold") != 0) & (F.col("toxic") == y)).orderBy(order).limit(per_class) for y in (0, 1)]
     parts.append(clean.filter(F.col("__fold") == 0).orderBy(order).limit(calibration))
     picked = [[(r["doc_id"], r["toxic"]) for r in p.select("doc_id", "toxic").collect()] for p in parts]  # at most 2 * per_class + calibration rows
-    k = min(len(picked[0]), len(picked[1]))
-    use = [(i, y, 0) for i, y in picked[0][:k] + picked[1][:k]] + [(i, y, 1) for i, y in picked[2]]
+    use = [(i, y, 0) for i, y in picked[0] + picked[1]] + [(i, y, 1) for i, y in picked[2]]
     if not use:
         return ToxicityModel({}, {}, ORDER, fitted_curve(np.zeros((0, 2)), np.zeros(0)))
     columns = zip(("doc_id", "__toxic", "__fold"), zip(*use, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)
