@@ -82,10 +82,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     state = before = _state(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("a", "m")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("m")).repartition("m")
+        least = down.groupBy("a").agg(F.min("b").alias("m")).repartition("a", "m")
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         last, now = now, staged(small.coalesce(int(state[0] // FILE_EDGES) + 1), "edges")
         dropped(last)
