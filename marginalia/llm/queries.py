@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, graph_dedup, html_text, jaccard, lm_score, sharding, toxicity, urls
+from . import alignment, bpe, chat, decontaminate, graph_dedup, html_text, jaccard, lm_score, sharding, toxicity, urls
 from .common import table
 
 def vocabulary_path(name: str) -> str:
@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op7_lm_score": lambda spark, d: lm_score.op7_lm_score(table(spark, d, "documents")),
     "op8_html_templates": lambda spark, d: html_text.op8_html_text(table(spark, d, "pages")),
     "op9_url_filter": lambda spark, d: urls.op9_url_filter(table(spark, d, "pages")),
+    "op11_token_alignment": lambda spark, d: alignment.op11_token_alignment(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
