@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, slices
+from .common import freeing, held_out, slices
 
 ORDER, DISCOUNT, UNIFORM = 6, 0.75, 1 / 256
 WORD = re.compile(r"[^\W_]+")
@@ -236,11 +236,6 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", scor
     return src.mapInArrow(freeing(run), src.select(*(kept[i] for i in out), F.lit(0.0).alias(score)).schema)
 
 
-def held_out(doc_id: Column) -> Column:
-    """crc32 of doc_id as text, modulo 5, is 0; false for null."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def op10_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of all documents, repeated rows each; null and empty texts are scored at the curve's zero."""
     model = fit_toxicity(documents, labels, ~held_out(F.col("doc_id")))
