@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, chat, decontaminate, graph_dedup, html_text, jaccard, langid, lm_score, sharding, toxicity, urls
+from . import alignment, bpe, chat, cobuckets, decontaminate, graph_dedup, html_text, jaccard, langid, lm_score, sharding, toxicity, urls
 from .common import table
 
 def vocabulary_path(name: str) -> str:
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op8_html_templates": lambda spark, d: html_text.op8_html_text(table(spark, d, "pages")),
     "op9_url_filter": lambda spark, d: urls.op9_url_filter(table(spark, d, "pages")),
     "op11_token_alignment": lambda spark, d: alignment.op11_token_alignment(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")),
+    "op12_co_buckets": lambda spark, d: cobuckets.op12_co_buckets(table(spark, d, "sales"), table(spark, d, "sale_lines")),
     "op13_language_id": lambda spark, d: langid.op13_language_id(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
 }
