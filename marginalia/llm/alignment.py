@@ -27,7 +27,7 @@ from .bpe import PRE_TOKEN, TrieBPE, byte_alphabet
 from .common import freeing, slices, staged
 
 #: Bytes of text in a slice, about (a longer text is a slice of its own), and the salts of a pair's first sum.
-SLICE, SALTS = 4_000_000, 16
+SLICE, SALTS = 2_000_000, 16
 #: Ids below it; a pair is a * IDS + b.
 IDS = 1 << 20
 #: Runs of white space that the fast encoder's pattern engine has no stack for.
@@ -90,7 +90,7 @@ class Side:
             raise ValueError(f"{self.size} ids are more than {IDS}")
         self.width = np.array([len(b) for b in encoder.bytes_of], np.int64)
         self.raw = pa.array(encoder.bytes_of, pa.large_binary())
-        self.shown = [f"{i}{inside}" for i in range(self.size)] + [f"{i}{last}" for i in range(self.size)]
+        self.shown = pa.array([f"{i}{x}" for x in (inside, last) for i in range(self.size)], pa.large_string())
 
     def bytes(self, ids: np.ndarray) -> np.ndarray:
         return _bytes(self.raw.take(pa.array(ids)))
@@ -105,7 +105,7 @@ def _bytes(column: pa.Array) -> np.ndarray:
 class Aligner:
     def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces):
         self.a, self.b = Side(a, ",", "|"), Side(b, ",", ";")
-        self.shown = pa.array(self.a.shown + self.b.shown, pa.large_string())
+        self.shown = pa.concat_arrays([self.a.shown, self.b.shown])
 
     def encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides; none where a text is empty or either side's bytes are not those of space + text."""
