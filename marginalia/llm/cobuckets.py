@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import shared_folder
-from .common import freeing
+from .common import freeing, fresh
 
 #: Keys in one array of the index at most, and repeats of a key that are hashed at once.
 INDEX_ROWS, REPEATS = 50_000, 65_536
@@ -57,13 +57,6 @@ class Files:
         self.fs.delete(self.path(path), True)
 
 
-def fresh(name: str, columns: list[str]) -> str:
-    """A column name that no column has, whatever its case."""
-    while name in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def sorted_files(df: DataFrame, number: Column, files: Files, name: str) -> dict[int, str]:
     """One file `name`-number.parquet for each number that has rows, sorted by all columns from left to right, nulls first. Paths by number."""
     columns = df.columns

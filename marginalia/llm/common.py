@@ -30,6 +30,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that no column has, whatever its case."""
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives a lost executor.
 

@@ -10,7 +10,7 @@ Words are runs of lower-cased ASCII letters and digits and of characters beyond
 punctuation beyond ASCII parts words too. They are compared as 64-bit hashes, so step 1 is a few
 array operations over a whole batch, and only documents that share a seed are looked at one by one.
 The benchmark goes to all executors only up to `broadcast_limit` characters; a larger one is dealt
-into blocks of that size, and each block makes its own pass over the documents.
+into blocks of that size, and each block makes its own pass over the documents, one after the other, so that one block at a time is with the executors.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import shared_folder
-from .common import freeing, slices
+from .common import dropped, freeing, fresh, slices, staged
 from .tokens import ALNUM, buffers, inner_windows, window_hashes, word_hashes
 
 #: Fixed value: punctuation beyond ASCII, as a pattern.
@@ -113,27 +114,28 @@ class Benchmark:
         self.lengths = np.array([len(x) for x in self.items], np.int64)
         self.width = np.minimum(self.lengths, self.min_match)
         self.sizes = sorted(set(self.width[self.width > 0].tolist()))
-        #: By seed length: sorted seeds, where each one's items begin, the items.
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By seed length: sorted seeds, where each one's items begin, the items, at how many places of the item the seed stands.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         self.maybe: dict[int, np.ndarray] = {}
         for k in self.sizes:
             own = np.nonzero(self.width == k)[0]
-            windows = [np.unique(window_hashes(self.items[i], k)) for i in own.tolist()]
-            hashes, of = np.concatenate(windows), np.repeat(own, [len(w) for w in windows])
+            windows = [np.unique(window_hashes(self.items[i], k), return_counts=True) for i in own.tolist()]
+            hashes, of, times = np.concatenate([w for w, _ in windows]), np.repeat(own, [len(w) for w, _ in windows]), np.concatenate([n for _, n in windows])
             order = np.argsort(hashes, kind="stable")
             keys, starts = np.unique(hashes[order], return_index=True)
-            self.seeds[k] = (keys, np.append(starts, len(order)), of[order])
+            self.seeds[k] = (keys, np.append(starts, len(order)), of[order], times[order])
             # most windows are ruled out by one look at a table of bits
             self.maybe[k] = np.zeros(1 << 20, bool)
             self.maybe[k][keys >> np.uint64(44)] = True
 
     def shared(self, words: np.ndarray, bounds: np.ndarray, coverage: float) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(text, item, places of the item's seeds) where the seeds can cover enough of the item: n different ones cover n times their length at most.
+        """(text, item, places of the item's seeds) where the seeds can cover enough of the item.
 
-        So a seed that most texts and items share makes no pair to be looked at by itself.
+        Shared seeds that stand at n places of the item, repeats counted, cover at most n times their length of it. So a seed that
+        most texts and items share makes no pair to be looked at by itself.
         """
         for k in self.sizes:
-            keys, starts, items = self.seeds[k]
+            keys, starts, items, times = self.seeds[k]
             hashes = window_hashes(words, k)
             at = np.nonzero(self.maybe[k][hashes >> np.uint64(44)] & inner_windows(bounds, k, len(words)))[0]
             seed = np.searchsorted(keys, hashes[at])
@@ -142,11 +144,13 @@ class Benchmark:
             at, seed = at[hit], seed[hit]
             many = starts[seed + 1] - starts[seed]
             which = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[seed], many)
-            item, place, seed = items[which], np.repeat(at, many), np.repeat(seed, many)
+            item, place = items[which], np.repeat(at, many)
             pair = (np.searchsorted(bounds, place, "right") - 1) * len(self.items) + item
-            different = np.unique(np.stack([pair, seed], axis=1), axis=0)[:, 0] if len(pair) else pair
-            found, n = np.unique(different, return_counts=True)
-            found = found[n * k >= coverage * self.lengths[found % len(self.items)]]
+            order = np.lexsort((which, pair))  # a seed and its item are one number in which
+            once = order[(np.diff(pair[order], prepend=-1) != 0) | (np.diff(which[order], prepend=-1) != 0)]
+            found, first = np.unique(pair[once], return_index=True)
+            n = np.add.reduceat(times[which[once]], first) if len(found) else first
+            found = found[n * k / self.lengths[found % len(self.items)] >= coverage]
             use = np.isin(pair, found)
             if not use.any():
                 continue
@@ -187,16 +191,13 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, keep: list[st
     of the benchmark with its own item_id, so repeated rows and ties stay. A null item_id is kept as null.
     A column named matches is replaced. Empty tables give no rows.
     """
-    blocks = _blocks(benchmark.select("item_id", "text"), broadcast_limit)
     keep = [c for c in keep if c != "matches"]
-    src = documents.select(*keep, F.col(text).alias("__text"))
-    schema = src.drop("__text").withColumn("matches", F.lit(None).cast(MATCHES)).schema
+    src = documents.select(*keep, F.col(text).alias(fresh("text", keep)))
+    schema = src.drop(src.columns[-1]).withColumn("matches", F.lit(None).cast(MATCHES)).schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("text_start", pa.int32()), ("length", pa.int32())])))]))
-    out = None
-    for block in blocks:
-        shared = documents.sparkSession.sparkContext.broadcast(Benchmark.of(block, min_match))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def pass_over(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = shared.value
             for batch in batches:
                 for part in slices(batch, len(keep)):
@@ -207,13 +208,28 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, keep: list[st
                         some = part.take(pa.array(rows))
                         yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(found, kind)], names=[*keep, "matches"])
 
-        more = src.mapInArrow(freeing(run), schema)
+        return src.mapInArrow(freeing(run), schema)
+
+    out = None
+    for shared, last in _broadcasts(benchmark, min_match, broadcast_limit):
+        more = pass_over(shared)
+        if not last:
+            more = staged(more, "contamination")  # the next block's broadcast comes when this one's has gone
+            shared.unpersist(blocking=True)
         out = more if out is None else out.unionByName(more)
     return out
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about `limit` characters at most, one block on the driver at a time. A single longer item is a block."""
+def _broadcasts(benchmark: DataFrame, min_match: int, limit: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block of the benchmark as a broadcast, and whether it is the last one."""
+    context = benchmark.sparkSession.sparkContext
+    n, blocks = _blocks(benchmark.select("item_id", "text"), limit)
+    for i, block in enumerate(blocks):
+        yield context.broadcast(Benchmark.of(block, min_match)), i == n - 1
+
+
+def _blocks(benchmark: DataFrame, limit: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks, and the items in blocks of about `limit` characters at most, one block on the driver at a time. A single longer item is a block."""
     size = F.char_length(F.coalesce("text", F.lit(""))) + 1
     total = benchmark.agg(F.sum(size)).first()[0] or 0
     n = 1 if total <= limit else -(-2 * total // limit)
@@ -223,8 +239,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
         path = f"{shared_folder(benchmark.sparkSession).rstrip('/')}/marginalia/benchmark-{uuid.uuid4().hex}"
         dealt.repartition("__b").write.partitionBy("__b").parquet(path)
         dealt = benchmark.sparkSession.read.schema("item_id long, text string, __b long").parquet(path)
-    for b in range(n):
-        yield [(r["item_id"], r["text"]) for r in dealt.filter(F.col("__b") == b).collect()]
+    return n, ([(r["item_id"], r["text"]) for r in dealt.filter(F.col("__b") == b).collect()] for b in range(n))
 
 
 def op3_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -240,23 +255,30 @@ def op3_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame
     )
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def decontaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """The documents that cover no benchmark item: the same columns, repeated rows kept.
 
-    Judged row by row in one pass, without a join back by doc_id; null texts stay.
+    Judged row by row, without a join back by doc_id, in one pass for each block of the benchmark; null texts stay.
     """
-    names = documents.columns
-    at = names.index("text")
-    kept = documents
-    for block in _blocks(benchmark.select("item_id", "text"), BROADCAST_LIMIT):
-        shared = documents.sparkSession.sparkContext.broadcast(Benchmark.of(block, MIN_MATCH))
+    at = documents.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def pass_over(docs: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, at):
                     clean = np.ones(part.num_rows, bool)
                     clean[list(shared.value.matches(part.column(at), coverage))] = False
                     yield part.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(freeing(run), documents.schema)
+        return docs.mapInArrow(freeing(run), documents.schema)
+
+    kept, before = documents, None
+    for shared, last in _broadcasts(benchmark, MIN_MATCH, limit):
+        kept = pass_over(kept, shared)
+        if not last:
+            kept = staged(kept, "decontaminated")  # the next block's broadcast comes when this one's has gone
+            shared.unpersist(blocking=True)
+            if before is not None:
+                dropped(before)
+            before = kept
     return kept

@@ -222,20 +222,21 @@ def brute_matches(items, text, least, coverage):
     return found
 
 
-def test_matches_equal_brute_force():
-    """The whole operator on random texts of few words: common seeds, moved and repeated passages, short and equal items."""
+@pytest.mark.parametrize("kinds", [12, 3, 2, 1])
+def test_matches_equal_brute_force(kinds):
+    """The whole operator on random texts of few words: common seeds, moved and repeated passages, short, equal and self-repeating items."""
     rng = random.Random(11)
-    line = [f"c{i}" for i in range(6)]
+    line = [f"c{i}" for i in range(6)] if kinds > 3 else ["w0"] * 3
     for _ in range(60):
         items = []
         for _ in range(rng.randrange(1, 8)):
-            own = [f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 14))]
+            own = [f"w{rng.randrange(kinds)}" for _ in range(rng.randrange(0, 14))] * rng.choice([1, 1, 2])
             items.append(" ".join(own + line if rng.random() < 0.5 else own))
         items.append(items[0])
         texts = []
         for _ in range(6):
             parts = [rng.choice(items).split() for _ in range(rng.randrange(0, 4))]
-            parts = [p[rng.randrange(3) :] for p in parts] + [line, [f"w{rng.randrange(12)}" for _ in range(rng.randrange(6))]]
+            parts = [p[rng.randrange(3) :] for p in parts] + [line, [f"w{rng.randrange(kinds)}" for _ in range(rng.randrange(6))]]
             rng.shuffle(parts)
             texts.append(" ".join(w for p in parts for w in p))
         bench = decontaminate.Benchmark.of(list(enumerate(items)), 5)
@@ -248,6 +249,18 @@ def test_matches_equal_brute_force():
                 assert all(a[p : p + n] == b[q : q + n] for p, q, n in tiles)
 
 
+@pytest.mark.parametrize("item", ["ha " * 10, "buffalo " * 12, "a b " * 9, "one two three four five " * 4])
+def test_items_that_repeat_themselves_are_found(spark, item):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [f"before {item} after", "nothing of it", item.strip(), f"before {item[: len(item) // 4]} after"]
+    found = decontaminate.op3_decontamination(docs(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["coverage"]) for r in found} == {(0, 1.0), (2, 1.0)}
+    for limit in (decontaminate.BROADCAST_LIMIT, 20):
+        more = bench.union(spark.createDataFrame([(i, f"quite another passage of words {i}") for i in range(2, 6)], bench.schema))
+        kept = decontaminate.decontaminated(docs(spark, texts).withColumn("__text", F.lit("x")), more, limit=limit)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 # chat
 
 
