@@ -31,6 +31,8 @@ from .common import freeing, fresh
 
 #: Keys in one array of the index at most, and repeats of a key that are hashed at once.
 INDEX_ROWS, REPEATS = 50_000, 65_536
+#: A sorted array of the index: ids and counts are 64-bit integers one after the other, as binary columns cost rows that have none nothing.
+INDEX = "bucket int, first long, ids binary, counts binary"
 
 
 @dataclass
@@ -94,7 +96,7 @@ def sorted_keys(rows: DataFrame) -> DataFrame:
     """The index of rows (bucket, k, n) with distinct k: bucket, first (the smallest key), ids and counts of each sorted array. Rows without a key have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+        schema = pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
         held: list[pa.RecordBatch] = []
 
         def arrays() -> pa.RecordBatch:
@@ -102,7 +104,7 @@ def sorted_keys(rows: DataFrame) -> DataFrame:
             bucket, ids, counts = (whole.column(i).to_numpy() for i in range(3))
             cuts = np.nonzero((np.diff(bucket, prepend=-1) != 0) | (np.arange(len(ids)) % INDEX_ROWS == 0))[0].tolist()
             spans = list(zip(cuts, [*cuts[1:], len(ids)], strict=True))
-            return pa.RecordBatch.from_pylist([{"bucket": bucket[a], "first": ids[a], "ids": ids[a:z], "counts": counts[a:z]} for a, z in spans], schema=schema)
+            return pa.RecordBatch.from_pylist([{"bucket": bucket[a], "first": ids[a], "ids": ids[a:z].tobytes(), "counts": counts[a:z].tobytes()} for a, z in spans], schema=schema)
 
         for batch in batches:
             held.append(batch)
@@ -113,13 +115,13 @@ def sorted_keys(rows: DataFrame) -> DataFrame:
             yield arrays()
 
     dealt = rows.filter("k IS NOT NULL").select("bucket", "k", "n").repartition("bucket").sortWithinPartitions("bucket", "k")
-    return dealt.mapInArrow(freeing(run), "bucket int, first long, ids array<long>, counts array<long>")
+    return dealt.mapInArrow(freeing(run), INDEX)
 
 
 def behind_index(rows: DataFrame, index: DataFrame) -> DataFrame:
     """rows (bucket, k, ...) and the index's arrays, dealt by bucket and sorted so that an array comes right before the rows that may be in it."""
     rest = [f for f in rows.schema.fields if f.name not in ("bucket", "k")]
-    none = [F.lit(None).cast("array<long>").alias(c) for c in ("ids", "counts")]
+    none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "counts")]
     both = rows.select("bucket", "k", F.lit(1).alias("kind"), *none, *(f.name for f in rest)).unionByName(
         index.select("bucket", F.col("first").alias("k"), F.lit(0).alias("kind"), "ids", "counts", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rest))
     )
@@ -141,7 +143,7 @@ class Probe:
         arrays = np.nonzero(kind == 0)[0].tolist()
         for a, z in zip([-1, *arrays], [*arrays, len(keys)], strict=True):
             if a >= 0:
-                self.bucket, self.ids, self.counts = int(bucket[a]), batch.column(3)[a].values.to_numpy(), batch.column(4)[a].values.to_numpy()
+                self.bucket, self.ids, self.counts = int(bucket[a]), *(np.frombuffer(batch.column(i)[a].as_py(), np.int64) for i in (3, 4))
             own = slice(a + 1, z)
             if len(self.ids) and a + 1 < z:
                 at = np.minimum(np.searchsorted(self.ids, keys[own]), len(self.ids) - 1)
@@ -233,7 +235,7 @@ def co_bucketed(left: tuple[str, DataFrame, Column], right: tuple[str, DataFrame
 
     work = f"{folder.rstrip('/')}-index-{uuid.uuid4().hex}"
     sorted_keys(first.groupBy(F.col(key).alias("k"), home.alias("bucket")).agg(F.count("*").alias("n"))).write.parquet(work)
-    index = spark.read.schema("bucket int, first long, ids array<long>, counts array<long>").parquet(work)
+    index = spark.read.schema(INDEX).parquet(work)
 
     # left: a file stays or its rows move, as counts by file and bucket tell
     lineage = [lineages(first.groupBy(home.alias("bucket"), left[2].cast("int").alias("start")).agg(F.count("*").alias("n")))]
