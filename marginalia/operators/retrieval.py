@@ -1,7 +1,7 @@
 """Search over a local paper index, reference resolution and discoverability.
 
-The index is a DataFrame of papers (paperId, title, abstract, year, citationCount, ...). Candidates come from shared title
-tokens by an equi-join, never from a product of queries and papers.
+The index is a DataFrame of papers (paperId, title, abstract, year, citationCount, ...). Candidates come from shared tokens
+by an equi-join, never from a product of queries and papers.
 """
 
 from __future__ import annotations
@@ -12,50 +12,122 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import YEAR
-from ..functions.similarity import is_similar, sequence_ratio, similar_to_any
+from ..functions.similarity import is_similar, sequence_ratio
 from ..functions.text import compare_text, content_tokens, query_tokens, sentences
+from ..staging import removed, written
+from .titles import without_similar_titles
 
+#: First candidates of a query for each paper that it asks for: of more, the lower bound is closer and costs more.
+FIRST = 20
 
-def token_postings(papers: DataFrame, paper_id: str, *texts: str) -> DataFrame:
-    whole = F.concat_ws(" ", *[F.col(t) for t in texts])
-    return papers.select(F.col(paper_id).alias("paper_id"), F.explode(F.array_distinct(content_tokens(query_tokens(whole)))).alias("token"))
 
+def eligible(papers: DataFrame, fields: Sequence[str] | None = None, open_access: bool = False) -> DataFrame:
+    """Papers of one of the fields of study (array fieldsOfStudy) and, if asked for, with an open copy (struct openAccessPdf with a url). Nulls have neither."""
+    if fields is not None:
+        papers = papers.filter(F.coalesce(F.arrays_overlap("fieldsOfStudy", F.array(*map(F.lit, fields))), F.lit(False)) if fields else F.lit(False))
+    if open_access:
+        papers = papers.filter(F.coalesce(F.col("openAccessPdf.url"), F.lit("")) != "")
+    return papers
+
+
+def _tokens(text: Column) -> Column:
+    return F.array_distinct(content_tokens(query_tokens(text)))
+
+
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    """query_id, max_year (null: any) and the distinct tokens of each query."""
+    year = F.col("max_year").cast("int") if "max_year" in queries.columns else F.lit(None).cast("int")
+    return queries.select("query_id", year.alias("max_year"), _tokens(F.col("query")).alias("all_tokens"))
+
+
+def ranked_terms(asked: DataFrame, papers: DataFrame) -> DataFrame:
+    """query_id, max_year, token, place (1: the query's rarest token among papers), before (papers with a rarer one, summed), n_known (tokens that any paper has; the others have no row)."""
+    terms = asked.select("query_id", "max_year", F.explode("all_tokens").alias("token"))
+    held = papers.select(F.explode("tokens").alias("token")).join(terms.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("query_id")  # as many rows as a query has tokens
+    w = own.orderBy("df", "token")
+    before = F.coalesce(F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return terms.join(held, "token").withColumns({"place": F.row_number().over(w), "before": before, "n_known": F.count("*").over(own).cast("int")}).drop("df")
+
+
+def _met(terms: DataFrame, papers: DataFrame) -> DataFrame:
+    """query_id, paper_id and met: how many of the given terms a paper has. Papers of a later or unknown year are left out where a query has a max_year."""
+    posted = papers.select("paper_id", "year", F.explode("tokens").alias("token"))
+    hits = posted.join(terms, "token").filter(F.col("max_year").isNull() | (F.col("year") <= F.col("max_year")))
+    return hits.groupBy("query_id", "paper_id").agg(F.count("*").cast("int").alias("met"))
+
+
+def _shared(pairs: DataFrame, asked: DataFrame, papers: DataFrame) -> DataFrame:
+    """query_id, paper_id and how many of the query's tokens the paper has."""
+    both = pairs.select("query_id", "paper_id").join(papers.select("paper_id", "tokens"), "paper_id").join(asked.select("query_id", "all_tokens"), "query_id")
+    return both.select("query_id", "paper_id", F.size(F.array_intersect("all_tokens", "tokens")).alias("shared"))
 
-def search(queries: DataFrame, papers: DataFrame, limit: int = 10) -> DataFrame:
-    """query_id, paper_id, score, rank: papers by the share of the query's distinct tokens they have; ties by paper_id.
 
-    queries: query_id, query and optionally max_year; papers: paperId, title, abstract, year. The number of papers that
-    come back is the feature; every paper with a shared token is scored.
+def least_shared(terms: DataFrame, asked: DataFrame, papers: DataFrame, limit: int) -> DataFrame:
+    """query_id, least: so many tokens the last of a query's first `limit` papers shares at least, by those that have its rarest tokens. Queries with fewer papers have no row."""
+    first = _met(terms.filter(F.col("before") < FIRST * limit).select("query_id", "max_year", "token"), papers)
+    w = Window.partitionBy("query_id").orderBy(F.desc("met"), "paper_id")
+    some = first.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * limit)
+    w = Window.partitionBy("query_id").orderBy(F.desc("shared"))
+    return _shared(some, asked, papers).withColumn("r", F.row_number().over(w)).filter(F.col("r") == limit).select("query_id", F.col("shared").alias("least"))
+
+
+def candidates(terms: DataFrame, asked: DataFrame, papers: DataFrame, limit: int) -> DataFrame:
+    """query_id, paper_id, met, whole: all papers that can be among a query's first `limit`.
+
+    A paper that shares `least` of a query's n known tokens lacks at most n - least of them. So it has one of the n - least + 1 rarest
+    tokens, and of any e more than that at least e + 1: only those are looked up, never the most frequent ones. whole: all were.
     """
-    asked = queries.withColumn("tokens", F.array_distinct(content_tokens(query_tokens(F.col("query")))))
-    terms = asked.select("query_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"), *(["max_year"] if "max_year" in queries.columns else []))
-    hits = terms.join(token_postings(papers, "paperId", "title", "abstract"), "token")
-    scored = hits.groupBy("query_id", "paper_id", "n_tokens", *(["max_year"] if "max_year" in queries.columns else [])).agg(F.count("*").alias("shared"))
-    scored = scored.withColumn("score", F.col("shared") / F.col("n_tokens"))
-    if "max_year" in queries.columns:
-        years = papers.select(F.col("paperId").alias("paper_id"), "year")
-        scored = scored.join(years, "paper_id").filter(F.col("max_year").isNull() | (F.col("year") <= F.col("max_year")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "paper_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "paper_id", "score", "rank")
+    known = terms.join(least_shared(terms, asked, papers, limit), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0)))
+    extra = F.floor(F.greatest(F.col("least") - 1, F.lit(0)) / 2).cast("int")
+    known = known.withColumn("upto", F.least("n_known", F.col("n_known") - F.col("least") + 1 + extra))
+    looked = known.filter(F.col("place") <= F.col("upto"))
+    need = F.greatest(F.col("upto") - F.col("n_known") + F.col("least"), F.lit(1))
+    bound = looked.filter("place = 1").select("query_id", need.alias("need"), (F.col("upto") == F.col("n_known")).alias("whole"))
+    met = _met(looked.select("query_id", "max_year", "token"), papers)
+    return met.join(bound, "query_id").filter(F.col("met") >= F.col("need")).drop("need")
 
 
-def citation_count_topk(found: DataFrame, skip_titles: Sequence[str] | None, k: int, fetch: int = 100) -> DataFrame:
-    """The k most cited of the first `fetch` papers by rank, without titles like a skipped one; unknown counts last, ties by rank."""
-    rows = found.filter(F.col("rank") <= fetch)
-    if skip_titles is not None:
-        rows = without_similar_titles(rows, skip_titles, "title", 0.9)
-    return rows.orderBy(F.desc_nulls_last("citationCount"), "rank").limit(k)
+def search(queries: DataFrame, papers: DataFrame, limit: int = 10, fields: Sequence[str] | None = None, open_access: bool = False) -> DataFrame:
+    """query_id, paper_id, score, rank: papers by the share of the query's distinct tokens they have; ties by paper_id.
 
+    queries: query_id (distinct), query and optionally max_year; papers: paperId, title, abstract, year and what `eligible` looks at. The
+    number of papers that come back is the feature: they are the exact first ones, but only papers that can be among them are
+    scored, see `candidates`. Texts are split into tokens once; the tables between are deleted when the result stands.
+    """
+    year = F.col("year").cast("int") if "year" in papers.columns else F.lit(None).cast("int")
+    whole = F.concat_ws(" ", F.col("title"), F.col("abstract"))
+    own = written(eligible(papers, fields, open_access).select(F.col("paperId").alias("paper_id"), year.alias("year"), _tokens(whole).alias("tokens")), "search-papers")
+    asked = written(asked_tokens(queries), "search-queries")
+    terms = written(ranked_terms(asked, own), "search-terms")
+    found = written(candidates(terms, asked, own, limit), "search-candidates")
+    shared = found.filter("whole").select("query_id", "paper_id", F.col("met").alias("shared")).unionByName(_shared(found.filter("NOT whole"), asked, own))
+    scored = shared.join(asked.select("query_id", F.size("all_tokens").alias("n_tokens")), "query_id").withColumn("score", F.col("shared") / F.col("n_tokens"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "paper_id")
+    out = written(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "paper_id", "score", "rank"), "search-found")
+    removed(own, asked, terms, found)
+    return out
 
-def relevance_topk(found: DataFrame, skip_titles: Sequence[str] | None, k: int) -> DataFrame:
-    """The first k by rank, then without skipped titles, so fewer may be left."""
-    rows = found.orderBy("rank").limit(k)
-    return rows if skip_titles is None else without_similar_titles(rows, skip_titles, "title", 0.9)
 
+def citation_count_topk(found: DataFrame, skip: DataFrame | None, k: int, fetch: int = 100) -> DataFrame:
+    """For each query the k most cited of its first `fetch` papers by rank, without titles like a skipped one; unknown counts last, ties by rank.
 
-def without_similar_titles(rows: DataFrame, skip: Sequence[str], title: str, threshold: float) -> DataFrame:
-    """Rows whose title has a ratio above the threshold with none of the skipped titles, a stated list that goes with the function."""
-    return rows.filter(~F.coalesce(similar_to_any(skip, threshold)(F.col(title)), F.lit(False)))
+    found: query_id, rank, title, citationCount; skip: query_id, title.
+    """
+    rows = found.filter(F.col("rank") <= fetch)
+    if skip is not None:
+        rows = without_similar_titles(rows, skip, 0.9, ["query_id"])
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("citationCount"), "rank")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def relevance_topk(found: DataFrame, skip: DataFrame | None, k: int, refill: bool = False) -> DataFrame:
+    """For each query the first k by rank, then without titles like a skipped one, so fewer may be left; with refill the next ranks take their places."""
+    rows = found if refill else found.filter(F.col("rank") <= k)
+    if skip is not None:
+        rows = without_similar_titles(rows, skip, 0.9, ["query_id"])
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
 def overlap_score(reference: Column, title: Column) -> Column:

@@ -25,4 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: rows keep the places they were written with, and a lost executor loses none."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,12 +1,14 @@
 import json
 import random
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import fingerprint
 from marginalia.operators import audit, curation, evaluation, listings, release, retrieval, sampling
+from marginalia.operators import titles as titles_module
 from marginalia.plans import catalogue
 from marginalia.sources import boundary, files, sinks
 from marginalia.streaming import resume
@@ -227,8 +229,81 @@ def test_resolution(spark):
     assert retrieval.resolve(refs, papers, own).first()["paper_id"] == "b"
     asked = spark.createDataFrame([(1, "Counting sheep at night!", ["goats", "sheep counting"])], "row_id int, target_title string, queries array<string>")
     assert tuple(retrieval.discoverable(asked, papers).first())[:2] == (1, "sheep counting")
-    found = papers.select("title", F.lit(None).cast("int").alias("citationCount"), F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("paperId")).alias("rank"))
-    assert retrieval.relevance_topk(found, ["counting sheep at night"], 2).count() == 1
+
+
+def test_search_by_few_tokens_equals_scoring_all(spark):
+    """Few and many tokens, one of them in nearly all papers, ties, null texts and years, filters."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    papers, queries = [], []
+    for i in range(300):
+        own = rng.sample(words, rng.randrange(0, 12)) + (["common"] if i % 10 else [])
+        papers.append((f"p{i:03}", " ".join(own) if i % 37 else None, rng.choice(words), rng.choice([None, 1990, 2000, 2010]), [rng.choice(["cs", "bio"])] if i % 7 else None, {"url": "u", "status": "s"} if i % 3 else None))
+    for i in range(40):
+        own = rng.sample(words, rng.randrange(0, 10)) + rng.choice([[], ["common"], ["absent", "common"]])
+        queries.append((i, " ".join(own) if i else None, rng.choice([None, 1990, 2005])))
+    p = spark.createDataFrame(papers, "paperId string, title string, abstract string, year int, fieldsOfStudy array<string>, openAccessPdf struct<url:string,status:string>")
+    q = spark.createDataFrame(queries, "query_id int, query string, max_year int")
+    for limit, fields, open_access in ((1, None, False), (3, ["cs"], False), (20, None, True), (400, [], False), (400, None, False)):
+        want = []
+        for i, text, most in queries:
+            asked = set((text or "").split())
+            scores = []
+            for pid, title, abstract, year, kinds, pdf in papers:
+                if (fields is not None and not set(fields) & set(kinds or [])) or (open_access and not pdf) or (most is not None and (year is None or year > most)):
+                    continue
+                if n := len(asked & {*(title or "").split(), *abstract.split()}):
+                    scores.append((-n / len(asked), pid))
+            want += [(i, pid, -s, k + 1) for k, (s, pid) in enumerate(sorted(scores)[:limit])]
+        assert sorted(map(tuple, retrieval.search(q, p, limit, fields, open_access).collect())) == sorted(want)
+
+
+def test_frequent_tokens_are_not_looked_up(spark):
+    """A token in nine tenths of the papers makes no candidates where rarer ones decide."""
+    papers = [(f"p{i:04}", " ".join(["common", *(["frequent"] if i % 2 else []), *(["rare", "seldom", f"x{i}"] if i % 100 == 0 else [])]) if i % 10 else "other") for i in range(3000)]
+    papers += [(f"q{i}", "common frequent rare seldom often") for i in range(5)]
+    own = spark.createDataFrame(papers, "paperId string, title string").select(F.col("paperId").alias("paper_id"), F.lit(None).cast("int").alias("year"), F.split("title", " ").alias("tokens")).cache()
+    asked = retrieval.asked_tokens(spark.createDataFrame([(1, "common frequent rare seldom often")], "query_id int, query string"))
+    terms = retrieval.ranked_terms(asked, own)
+    found = retrieval.candidates(terms, asked, own, 3)
+    assert found.count() == 5 and retrieval._met(terms, own).count() > 2500
+
+
+def ratio(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+@pytest.mark.parametrize("threshold,strict", [(0.9, True), (0.8, False), (0.6, True)])
+def test_similar_titles_equal_brute_force(spark, threshold, strict):
+    rng = random.Random(9)
+    stems = ["deep", "learning", "of", "graphs", "for", "retrieval", "a", "study", "neural", "sheep", "Étude", "x"]
+    titles = [" ".join(rng.choices(stems, k=rng.randrange(1, 8))) for _ in range(150)]
+    edited = []
+    for t in titles:
+        s = list(t)
+        for _ in range(rng.randrange(0, 5)):
+            at = rng.randrange(len(s) + 1)
+            s[at : at + rng.randrange(2)] = rng.choice(["", "e", "Q", " "])
+        edited.append("".join(s))
+    left = [*titles, "", "a", "ab", "ABCDEFG", "abcdefg" * 40, None, titles[0]]
+    right = [*edited, "", "b", "ba", "abcdefh", "abcdefg" * 39, None, edited[0].upper()]
+    got = titles_module.similar_pairs(spark.createDataFrame([(t,) for t in left], "title string"), spark.createDataFrame([(t,) for t in right], "title string"), threshold, strict)
+    a, b = ({t.lower() for t in side if t is not None} for side in (left, right))
+    want = {(x, y, round(ratio(x, y), 12)) for x in a for y in b if (ratio(x, y) > threshold if strict else ratio(x, y) >= threshold)}
+    assert sorted((r["left_title"], r["right_title"], round(r["ratio"], 12)) for r in got.collect()) == sorted(want)
+    assert len(want) > 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_skipped_titles_by_query(spark):
+    found = spark.createDataFrame([(q, r, f"Paper number {q} {'abcdefghij'[r] * 12}", c) for q in (1, 2) for r, c in enumerate([None, 5, 9, 5, 7])], "query_id int, rank int, title string, citationCount int")
+    skip = spark.createDataFrame([(1, "PAPER NUMBER 1 CCCCCCCCCCCC"), (1, "paper number 2 eeeeeeeeeeee"), (2, None)], "query_id int, title string")
+    ranks = lambda df: [[r["rank"] for r in df.orderBy("place").collect() if r["query_id"] == q] for q in (1, 2)]
+    assert ranks(retrieval.citation_count_topk(found, skip, 3)) == [[1, 3, 0], [2, 4, 1]]
+    assert ranks(retrieval.citation_count_topk(found, None, 2, fetch=2)) == [[1, 0], [1, 0]]
+    assert ranks(retrieval.relevance_topk(found, skip, 3)) == [[0, 1], [0, 1, 2]]
+    assert ranks(retrieval.relevance_topk(found, skip, 3, refill=True)) == [[0, 1, 3], [0, 1, 2]]
 
 
 def test_reconstruct(spark):
