@@ -6,23 +6,53 @@ its output directory is overwritten, so nothing is doubled or lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from ..operators.curation import digest, first_wins
+from ..sources.sinks import _path, exists
 
-def process_new_files(spark: SparkSession, folder: str, schema: str, curate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Runs curate over all parquet files of the folder that no earlier run has committed, then stops."""
+
+def process_new_files(
+    spark: SparkSession, folder: str, schema: str, curate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 100, keys: Sequence[str] = (), order: Sequence[str] = ()
+) -> StreamingQuery:
+    """Runs curate over all parquet files of the folder that no earlier run has committed, then stops.
+
+    With keys, of all rows that curate keeps, in all runs, the first of each key stays: within a batch by `order`, an earlier batch's row before
+    a later one's. The digests of kept keys are a table beside the output, written batch by batch after it; a batch that is run again
+    overwrites its rows and its keys and looks only at those of batches before it, so a failure between the two doubles and loses nothing.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        curate(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rows = curate(batch)
+        if not keys:
+            rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            return
+        key = digest(*[F.col(k) for k in keys])
+        first = first_wins(rows, keys, order)
+        if batch_id:
+            seen = batch.sparkSession.read.schema("key string, batch long").parquet(f"{out}.keys").filter(F.col("batch") < batch_id).select(F.col("key").alias("__seen"))
+            first = first.join(seen, key == F.col("__seen"), "left_anti")
+        first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        kept = batch.sparkSession.read.schema(first.schema).parquet(f"{out}/batch={batch_id}")
+        kept.select(key.alias("key")).write.mode("overwrite").parquet(f"{out}.keys/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def committed(spark: SparkSession, out: str, checkpoint: str, schema: StructType) -> DataFrame:
+    """The rows of committed batches only: what a failed batch has left behind is not read."""
+    fs, path = _path(spark, f"{checkpoint}/commits")
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    folders = [f"{out}/batch={n}" for n in names if n.isdigit()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def memoised(df: DataFrame, key: str, call: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(df joined with the answers, all answers): each distinct key that is not known is asked once."""
     wanted = df.select(key).filter(F.col(key).isNotNull()).distinct()
@@ -46,8 +76,6 @@ def resumed(spark: SparkSession, state: str, parameters: dict, outputs: dict[str
 
     Parameters that differ from the state's are an error, and so is an output (name: path) that an earlier run has written to and that is gone.
     """
-    from ..sources.sinks import exists
-
     names = [f.split()[0] for f in STATE.split(", ")]
     if unknown := set(parameters) ^ set(names):
         raise ResumeError(f"parameters missing or unknown: {', '.join(sorted(unknown))}")

@@ -297,13 +297,13 @@ def test_similar_titles_equal_brute_force(spark, threshold, strict):
 
 
 def test_skipped_titles_by_query(spark):
-    found = spark.createDataFrame([(q, r, f"Paper number {q} {'abcdefghij'[r] * 12}", c) for q in (1, 2) for r, c in enumerate([None, 5, 9, 5, 7])], "query_id int, rank int, title string, citationCount int")
+    found = spark.createDataFrame([(q, r + 1, f"Paper number {q} {'abcde'[r] * 12}", c) for q in (1, 2) for r, c in enumerate([None, 5, 9, 5, 7])], "query_id int, rank int, title string, citationCount int")
     skip = spark.createDataFrame([(1, "PAPER NUMBER 1 CCCCCCCCCCCC"), (1, "paper number 2 eeeeeeeeeeee"), (2, None)], "query_id int, title string")
     ranks = lambda df: [[r["rank"] for r in df.orderBy("place").collect() if r["query_id"] == q] for q in (1, 2)]
-    assert ranks(retrieval.citation_count_topk(found, skip, 3)) == [[1, 3, 0], [2, 4, 1]]
-    assert ranks(retrieval.citation_count_topk(found, None, 2, fetch=2)) == [[1, 0], [1, 0]]
-    assert ranks(retrieval.relevance_topk(found, skip, 3)) == [[0, 1], [0, 1, 2]]
-    assert ranks(retrieval.relevance_topk(found, skip, 3, refill=True)) == [[0, 1, 3], [0, 1, 2]]
+    assert ranks(retrieval.citation_count_topk(found, skip, 3)) == [[2, 4, 1], [3, 5, 2]]
+    assert ranks(retrieval.citation_count_topk(found, None, 2, fetch=2)) == [[2, 1], [2, 1]]
+    assert ranks(retrieval.relevance_topk(found, skip, 3)) == [[1, 2], [1, 2, 3]]
+    assert ranks(retrieval.relevance_topk(found, skip, 3, refill=True)) == [[1, 2, 4], [1, 2, 3]]
 
 
 def test_reconstruct(spark):
