@@ -10,7 +10,8 @@
    whose tokens stand in one order on all pages, as often as they repeat, and whose spans nest: no two classes cross. Nested by the class that
    holds them everywhere they are the site's template.
 4. A page's text is what lies in the slots between the template's tokens. Inside the main element
-   (article, main) a block that is a token of the template goes; on a page without one, blocks of the body of whose words BLOCK_SHARE or
+   (article, main) blocks that are tokens of the template go, but for the article's own: between the page's first and last own block
+   those at the same path as own ones, and headings, there or right over the first own block. On a page without one, blocks of the body go of whose words BLOCK_SHARE or
    more are tokens of the template. Where that leaves half of the main text or less (or no text), the page is a copy of others
    rather than a filled template, and keeps its blocks. The markup's own names (nav, form, class="ad") are a prior: such elements go beforehand.
 """
@@ -51,6 +52,10 @@ CONTAINERS = frozenset("header nav main article section aside footer form div ta
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words of class, id or role of what readers say, where it is made of entries of its own rather than of paragraphs.
+THREADS = frozenset("discussion discussions disqus guestbook reactions replies responses talkback".split())
+ENTRIES = frozenset("article details div dl fieldset li ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that a compound name of boilerplate may have beside MARKS ("ad-box", "site-header", not "ad-hoc-networks").
 PLAIN = frozenset(
     "area bar block body bottom box button buttons consent container content form global group holder inner item items left link links list main page panel post posts primary right secondary section signup site slot text thread title top unit wrap wrapper".split()
@@ -77,13 +82,22 @@ def is_boilerplate(name: str, source: str) -> bool:
     own = attributes(source)
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I):
         return True
+    return named(own, MARKS)
+
+
+def named(own: dict[str, str], marks: frozenset[str]) -> bool:
+    """Whether all words of a class, id or role are marks or plain, and one of them is a mark."""
     for part in " ".join(own.get(k, "") for k in ("class", "id", "role")).lower().split():
         words = {w for w in re.split(r"[^a-z]+", part) if len(w) > 1}
-        if words & MARKS and words <= MARKS | PLAIN:
+        if words & marks and words <= marks | PLAIN:
             return True
     return False
 
 
+def may_be_thread(name: str, source: str) -> bool:
+    return name in ENTRIES and bool(source.strip()) and named(attributes(source), THREADS | MARKS)
+
+
 def step(name: str, source: str) -> str:
     """An element's part of a path: its name and the words of its class that hold no digit."""
     words = attributes(source).get("class", "") if "class" in source.lower() else ""
@@ -102,11 +116,12 @@ class Page:
     """One page in its order: tags (path, block number) and text runs (path, boilerplate, inside main, block number, text)."""
 
     def __init__(self, source: str):
-        self.runs: list[tuple[str, int] | tuple[str, bool, bool, int, str]] = []
+        self.runs: list[tuple[str, int] | tuple[str, bool | int, bool, int, str]] = []  # boilerplate: True, False or the negative number of what may be a thread
         self.frame: set[str] = set()  # paths of containers outside the main element
         self.block = 0
         self.has_main = False
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, boilerplate, inside main
+        self.threads: set[int] = set()  # elements outside the main one that hold readers' entries
+        stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]  # name, path, boilerplate, inside main, number of an element that may be a thread
         at, n = 0, len(source)
         lowered = None
         while at < n:
@@ -167,7 +182,9 @@ class Page:
                 self._close_open(stack, name)
             if name in ("td", "th"):
                 self._text(stack[-1], " ")
-            _, path, boiler, main = stack[-1]
+            _, path, boiler, main, thread = stack[-1]
+            if thread and name in ENTRIES:
+                self.threads.add(thread)
             path = f"{path}/{step(name, m[3])}"
             self.runs.append((path, self.block))
             if name in CONTAINERS and not main and path.count("/") <= 4:
@@ -176,11 +193,13 @@ class Page:
                 boiler = boiler or is_boilerplate(name, m[3])
                 main = main or (name in MAIN and not boiler)
                 self.has_main = self.has_main or main
-                stack.append((name, path, boiler, main))
+                if not thread and not main and not boiler and may_be_thread(name, m[3]):
+                    thread = len(self.runs)
+                stack.append((name, path, boiler, main, thread))
 
-    def _text(self, top: tuple[str, str, bool, bool], text: str) -> None:
+    def _text(self, top: tuple[str, str, bool, bool, int], text: str) -> None:
         if text:
-            self.runs.append((top[1], top[2], top[3], self.block, text))
+            self.runs.append((top[1], top[2] or -top[4], top[3], self.block, text))
 
     def _close(self, stack: list, name: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -206,7 +225,7 @@ class Page:
         texts: list[str] = []
         now = None
         for run in self.runs:
-            ends = run[1] != now[0][0] if now is not None and len(run) == 2 else now is not None and now[0] != (run[3], run[1], run[2])
+            ends = run[1] != now[0][0] if now is not None and len(run) == 2 else now is not None and now[0] != (run[3], run[1] is True or -run[1] in self.threads, run[2])
             if ends:
                 if whole := _joined(texts):
                     yield *now[1], whole
@@ -215,6 +234,7 @@ class Page:
                 yield run[0]
                 continue
             path, boiler, main, block, text = run
+            boiler = boiler is True or -boiler in self.threads
             if now is None:
                 now = ((block, boiler, main), (path, boiler, main))
             texts.append(text)
@@ -236,15 +256,15 @@ class Page:
                 out += [digest(f"{part[0]}:{w}") for w in part[3].split()]
         return out
 
-    def slots(self, template: Template) -> list[tuple[int, str, bool]]:
-        """(the class in whose slot it lies, text, whether it is of the template) of each block that the markup does not rule out.
+    def slots(self, template: Template) -> list[tuple[int, str, bool, str]]:
+        """(the class in whose slot it lies, text, whether it is of the template, its path) of each block that the markup does not rule out.
 
         A class is open from its first token of a repetition to its last one; 0 is the page itself.
         """
         class_of, sizes = template.class_of, Counter(template.class_of.values())
         met: Counter[int] = Counter()
         stack: list[int] = [0]
-        out: list[tuple[int, str, bool]] = []
+        out: list[tuple[int, str, bool, str]] = []
 
         def meet(token: int) -> bool:
             c = class_of.get(token)
@@ -268,15 +288,21 @@ class Page:
                 words = text.split()
                 of_template = sum(meet(digest(f"{path}:{w}")) for w in words) >= BLOCK_SHARE * len(words)
             if not boiler and (main or not self.has_main):
-                out.append((stack[-1], text, of_template))
+                out.append((stack[-1], text, of_template, path))
         return out
 
     def text(self, template: Template) -> str:
         found = self.slots(template)
-        kept = [text for _, text, of_template in found if not of_template]
-        if not kept or self.has_main and 2 * sum(map(len, kept)) <= sum(len(text) for _, text, _ in found):
-            kept = [text for _, text, _ in found]
-        return "\n\n".join(kept)
+        own = [i for i, x in enumerate(found) if not x[2]]
+        if not own or self.has_main and 2 * sum(len(found[i][1]) for i in own) <= sum(len(x[1]) for x in found):
+            return "\n\n".join(x[1] for x in found)
+        if self.has_main:  # a repeated heading between the article's own blocks or right over the first is the article's, and so is a block like own ones
+            heading = [x[3].rpartition("/")[2].partition(".")[0] in HEADINGS for x in found]
+            first, alike = own[0], {found[i][3] for i in own}
+            while first and heading[first - 1]:
+                first -= 1
+            own = [i for i in range(first, own[-1] + 1) if not found[i][2] or heading[i] or found[i][3] in alike]
+        return "\n\n".join(found[i][1] for i in own)
 
 
 def _joined(parts: list[str]) -> str:

@@ -618,6 +618,27 @@ def test_templates_equal_brute_force(spark):
     assert {frozenset(c) for c in got.values()} == brute_templates(pages) and len(got) > 4
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 12])
+def test_repeated_blocks_of_an_article_are_its_own(spark, n):
+    """Headings that all pages of a host repeat stay, whatever their number; what repeats before and behind goes where enough pages show it."""
+    body = "".join(f"<h2>{h}</h2><p>Own words {{0}} of {h} and more.</p><p>As always here.</p>" for h in ("Introduction", "Method", "Conclusion"))
+    page = "<body><article><p>Share now with all your friends</p><p>Second line on top</p>" + body + "<p>Thanks for your time here</p><p>See you again soon then</p></article></body>"
+    rows = [(i, f"https://h.example/{i}", page.format(f"n{i}")) for i in range(n)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.op8_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(n):
+        own = [x for h in ("Introduction", "Method", "Conclusion") for x in (h, f"Own words n{i} of {h} and more.", "As always here.")]
+        around = [] if n >= html_text.MIN_PAGES else ["Share now with all your friends", "Second line on top"], [] if n >= html_text.MIN_PAGES else ["Thanks for your time here", "See you again soon then"]
+        assert got[i] == [*around[0], *own, *around[1]]
+
+
+def test_threads_of_readers_go_and_sections_of_that_name_stay():
+    text = lambda source: html_text.Page(source).text(html_text.Template())
+    thread = '<div class="discussion"><div class="entry"><p>I disagree</p></div><div class="entry"><p>Me too</p></div></div>'
+    assert text(f"<body><h1>T</h1><p>Own</p>{thread}<p>End</p></body>") == "T\n\nOwn\n\nEnd"
+    assert text('<body><p>Own</p><section id="discussion"><h2>Discussion</h2><p>We discuss.</p></section></body>') == "Own\n\nDiscussion\n\nWe discuss."
+    assert text(f'<article><p>Own</p><section id="discussion"><div><p>We discuss.</p></div></section></article>{thread}') == "Own\n\nWe discuss."
+
+
 def test_nested_classes_and_slots(spark):
     page = lambda i: "<body><div>Top line here</div><ul>" + "".join(f"<li><b>Name</b> n{i}x{j} <i>Price</i> {i}{j}</li>" for j in range(1 + i % 3)) + "</ul><div>End mark there</div></body>"
     rows = [(i, f"https://h.example/{i}", page(i)) for i in range(6)]
@@ -627,8 +648,8 @@ def test_nested_classes_and_slots(spark):
     assert len(held) == 2 and len(root) == 1 and set(held.values()) == {0, root[0]}
     template = html_text.Template({r["token"]: r["class"] for r in found}, held)
     slots = html_text.Page(page(2)).slots(template)
-    assert {text: of_template for _, text, of_template in slots} == {"Top line here": True, "End mark there": True} | {f"Name n2x{j} Price 2{j}": False for j in range(3)}
-    assert {held[c] for c, text, _ in slots if text.startswith("Name")} <= {0, root[0]}
+    assert {text: of_template for _, text, of_template, _ in slots} == {"Top line here": True, "End mark there": True} | {f"Name n2x{j} Price 2{j}": False for j in range(3)}
+    assert {held[c] for c, text, _, _ in slots if text.startswith("Name")} <= {0, root[0]}
 
 
 def test_pages_that_differ_at_their_end(spark):
