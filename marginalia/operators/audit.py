@@ -38,10 +38,17 @@ def looks_like_entry(sentence: Column) -> Column:
     return out
 
 
-def structural_failures() -> Column:
-    sentence, marker = text_of("raw_sentence"), text_of("citation_marker")
+def blank(name: str) -> Column:
+    """Whether text_of is empty; looks no further than the first character that is no white space."""
+    return ~F.rlike(F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]"))
+
+
+def structural_failures(sentence: Column | None = None) -> Column:
+    """sentence: text_of("raw_sentence"), where it is computed already."""
+    sentence = text_of("raw_sentence") if sentence is None else sentence
+    marker = text_of("citation_marker")
     return _named(
-        *[(f"missing_{c}", text_of(c) == "") for c in REQUIRED],
+        *[(f"missing_{c}", blank(c)) for c in REQUIRED],
         ("citation_marker_absent_from_raw_sentence", (sentence != "") & (marker != "") & ~F.contains(sentence, marker)),
         ("not_single_citation_context", F.coalesce(F.col("sentence_citation_count") != 1, F.lit(True))),
         ("bibliography_entry_used_as_passage", looks_like_entry(sentence)),
@@ -71,8 +78,10 @@ def common_failures() -> Column:
     )
 
 
-def review_flags() -> Column:
-    sentence, reference = text_of("raw_sentence"), text_of("raw_reference")
+def review_flags(sentence: Column | None = None) -> Column:
+    """sentence: text_of("raw_sentence"), where it is computed already."""
+    sentence = text_of("raw_sentence") if sentence is None else sentence
+    reference = text_of("raw_reference")
     more = _named(
         ("very_short_passage", F.char_length(sentence) < 40),
         ("possibly_truncated_passage", (sentence != "") & ~F.contains(F.lit(SENTENCE_ENDS), F.right(sentence, F.lit(1)))),
@@ -105,11 +114,14 @@ def decide(audit: DataFrame, adjudications: DataFrame, exclusions: DataFrame, co
     The three tables are keyed by (source_file, id); the optimizer broadcasts those that are small.
     """
     key = ["source_file", "id"]
-    a = adjudications.select(*key, F.struct("action", "reasons", "revision", "authority").alias("_a"))
-    x = exclusions.select(*key).distinct().withColumn("_x", F.lit(True))
-    c = corrections.select(*key, F.col("reason").alias("_reason"), F.struct("paper_id", "title", "year").alias("_c"))
-    rows = audit.join(a, key, "left").join(x, key, "left").join(c, key, "left")
-    rows = rows.withColumns({"_fail": structural_failures(), "_flags": review_flags(), "_evidence": acceptance_evidence()})
+    kinds = {"_a": F.struct("action", "reasons", "revision", "authority"), "_x": F.lit(True), "_c": F.struct("reason", "paper_id", "title", "year")}
+    stated = [t.select(*key, kinds[n].alias(n)).groupBy(*key).agg(F.first(n, ignorenulls=True).alias(n)) if n == "_x" else t.select(*key, kinds[n].alias(n)) for n, t in (("_a", adjudications), ("_x", exclusions), ("_c", corrections))]
+    # a row for each key that any of the three has, so that the audit is joined once
+    said = stated[0].join(stated[1], key, "full").join(stated[2], key, "full")
+    # texts are read once and below the join, so that rows without them go through it
+    rows = audit.withColumn("_sentence", text_of("raw_sentence"))
+    sentence = F.col("_sentence")
+    rows = rows.withColumns({"_fail": structural_failures(sentence), "_flags": review_flags(sentence), "_evidence": acceptance_evidence()}).drop("_sentence").join(said, key, "left")
     none = F.lit(None).cast("map<string,string>")
 
     def verdict(action: str, reasons: Column, authority: str, revision: Column = none) -> Column:
@@ -117,16 +129,16 @@ def decide(audit: DataFrame, adjudications: DataFrame, exclusions: DataFrame, co
 
     corrected = F.create_map(F.lit("resolved_paper_id"), F.col("_c.paper_id"), F.lit("resolved_title"), F.col("_c.title"), F.lit("resolved_year"), F.col("_c.year").cast("string"), F.lit("resolution_query"), F.col("_c.title"), F.lit("resolution_method"), F.lit("confirmed_manual_audit"))
     unsafe = F.arrays_overlap("_flags", F.array(*[F.lit(u) for u in UNSAFE]))
-    stated = F.struct(
+    external = F.struct(
         F.col("_a.action").alias("action"),
         F.when(F.size(F.coalesce("_a.reasons", F.array().cast("array<string>"))) > 0, F.col("_a.reasons")).otherwise(F.array(F.lit("external_adjudication"))).alias("reasons"),
         F.col("_a.revision").alias("revision"),
         F.coalesce(F.nullif("_a.authority", F.lit("")), F.lit("external_adjudication")).alias("authority"),
     )
     decision = (
-        F.when(F.col("_a").isNotNull(), stated)
+        F.when(F.col("_a").isNotNull(), external)
         .when(F.col("_x"), verdict("reject", F.array(F.lit("confirmed_invalid_context")), "confirmed_manual_audit"))
-        .when(F.col("_c").isNotNull(), verdict("revise", F.array("_reason"), "confirmed_manual_audit", corrected))
+        .when(F.col("_c").isNotNull(), verdict("revise", F.array("_c.reason"), "confirmed_manual_audit", corrected))
         .when(F.size("_fail") > 0, verdict("reject", F.col("_fail"), "automatic_policy"))
         .when((F.size("_flags") > 0) & (F.size("_evidence") > 0) & ~unsafe, verdict("accept", F.col("_evidence"), "deterministic_cross_check"))
         .when(F.size("_flags") > 0, verdict("review", F.col("_flags"), "automatic_policy"))

@@ -17,6 +17,8 @@ from ..functions.text import compare_text, content_tokens, query_tokens, sentenc
 from ..staging import removed, written
 from .titles import without_similar_titles
 
+#: Tokens of all queries that go to all executors at most (a megabyte or two); more are looked up by rarity, see `candidates`.
+FEW_TERMS = 20_000
 #: First candidates of a query for each paper that it asks for: of more, the lower bound is closer and costs more.
 FIRST = 20
 
@@ -91,24 +93,37 @@ def candidates(terms: DataFrame, asked: DataFrame, papers: DataFrame, limit: int
 def search(queries: DataFrame, papers: DataFrame, limit: int = 10, fields: Sequence[str] | None = None, open_access: bool = False) -> DataFrame:
     """query_id, paper_id, score, rank: papers by the share of the query's distinct tokens they have; ties by paper_id.
 
-    queries: query_id (distinct), query and optionally max_year; papers: paperId, title, abstract, year and what `eligible` looks at. The
-    number of papers that come back is the feature: they are the exact first ones, but only papers that can be among them are
-    scored, see `candidates`. Texts are split into tokens once; the tables between are deleted when the result stands.
+    queries: query_id (distinct), query and optionally max_year; papers: paperId (distinct), title, abstract, year and what `eligible` looks at.
+    The number of papers that come back is the feature: they are the exact first ones.
+
+    FEW_TERMS tokens at most go to all executors: papers are dealt by their id once, as arrays of tokens, so their hits are counted where they
+    are and only each task's first papers of a query travel. Of more, only papers that can be among a query's first are scored, see
+    `candidates`; the tables between are deleted when the result stands.
     """
     year = F.col("year").cast("int") if "year" in papers.columns else F.lit(None).cast("int")
     whole = F.concat_ws(" ", F.col("title"), F.col("abstract"))
-    own = written(eligible(papers, fields, open_access).select(F.col("paperId").alias("paper_id"), year.alias("year"), _tokens(whole).alias("tokens")), "search-papers")
-    asked = written(asked_tokens(queries), "search-queries")
+    own = eligible(papers, fields, open_access).select(F.col("paperId").alias("paper_id"), year.alias("year"), _tokens(whole).alias("tokens"))
+    asked = asked_tokens(queries)
+    terms = asked.select("query_id", "max_year", F.explode("all_tokens").alias("token"))
+    n_tokens = asked.select("query_id", F.size("all_tokens").alias("n_tokens"))
+    if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        shared = _met(F.broadcast(terms), own.repartition("paper_id")).withColumnRenamed("met", "shared")
+        return _first_papers(shared, F.broadcast(n_tokens), limit)
+    own, asked = written(own, "search-papers"), written(asked, "search-queries")
     terms = written(ranked_terms(asked, own), "search-terms")
     found = written(candidates(terms, asked, own, limit), "search-candidates")
     shared = found.filter("whole").select("query_id", "paper_id", F.col("met").alias("shared")).unionByName(_shared(found.filter("NOT whole"), asked, own))
-    scored = shared.join(asked.select("query_id", F.size("all_tokens").alias("n_tokens")), "query_id").withColumn("score", F.col("shared") / F.col("n_tokens"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "paper_id")
-    out = written(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "paper_id", "score", "rank"), "search-found")
+    out = written(_first_papers(shared, n_tokens, limit), "search-found")
     removed(own, asked, terms, found)
     return out
 
 
+def _first_papers(shared: DataFrame, n_tokens: DataFrame, limit: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("shared"), "paper_id")
+    first = shared.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return first.join(n_tokens, "query_id").select("query_id", "paper_id", (F.col("shared") / F.col("n_tokens")).alias("score"), "rank")
+
+
 def citation_count_topk(found: DataFrame, skip: DataFrame | None, k: int, fetch: int = 100) -> DataFrame:
     """For each query the k most cited of its first `fetch` papers by rank, without titles like a skipped one; unknown counts last, ties by rank.
 

@@ -473,7 +473,7 @@ def audit_decisions(spark, d):
     """All six levels and both kinds of revision: adjudications and corrections stand for every 13th and 17th length."""
     n = F.col("n_chars")
     rows = audit_rows(spark, d)
-    keyed = rows.select("doc_id", "source_file", "id").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    keyed = table(spark, d, "documents").select("doc_id", "n_chars", F.concat("lang", F.lit(".csv")).alias("source_file"), F.col("doc_id").cast("string").alias("id"))
     exclusions = table(spark, d, "labels").filter("quality = 0").select("doc_id").join(keyed, "doc_id").select("source_file", "id")
     adjudications = keyed.filter(n % 13 == 0).select(
         "source_file", "id", F.when(n % 2 == 0, "reject").otherwise("revise").alias("action"), F.when(n % 4 == 0, F.array(F.lit("checked"))).otherwise(F.array().cast("array<string>")).alias("reasons"),

@@ -231,8 +231,10 @@ def test_resolution(spark):
     assert tuple(retrieval.discoverable(asked, papers).first())[:2] == (1, "sheep counting")
 
 
-def test_search_by_few_tokens_equals_scoring_all(spark):
+@pytest.mark.parametrize("few", [retrieval.FEW_TERMS, 0])
+def test_search_by_few_tokens_equals_scoring_all(spark, monkeypatch, few):
     """Few and many tokens, one of them in nearly all papers, ties, null texts and years, filters."""
+    monkeypatch.setattr(retrieval, "FEW_TERMS", few)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
     papers, queries = [], []
