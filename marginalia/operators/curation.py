@@ -111,16 +111,41 @@ def without_leakage(df: DataFrame, other: DataFrame, keys: Sequence[str] = KEYS)
 def contained_items(df: DataFrame, items: DataFrame, key: str, item_key: str) -> DataFrame:
     """Pairs of a row and an item whose key stands anywhere in the row's key (both with single spaces); empty item keys match nothing.
 
-    An item's longest word that is neither its first nor its last is a whole word of every key that contains the item: pairs
-    are joined by it and then compared. Items of fewer than three words are compared with all rows.
+    An item's longest word that is neither its first nor its last is a whole word of every key that contains the item. Items of
+    BROADCAST_CHARS characters at most meet each row by that word where it is; of more, rows send the digests of their distinct words, the
+    candidates' keys follow, and both are compared. Items of fewer than three words have no such word: they are compared with all rows,
+    in parts of BROADCAST_CHARS characters.
     """
     words = F.split(item_key, " ")
     inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    seeds = items.filter(F.col(item_key) != "").withColumn("__seed", F.coalesce(F.array_max(inner)["w"], F.lit("")))
-    rows = df.withColumn("__seed", F.explode(F.array_distinct(F.concat(F.split(key, " "), F.array(F.lit(""))))))
-    size = items.agg(F.sum(F.length(item_key))).first()[0] or 0
-    seeds = F.broadcast(seeds) if size <= BROADCAST_CHARS else seeds
-    return rows.join(seeds, "__seed").filter(F.contains(F.col(key), F.col(item_key))).drop("__seed")
+    seeds = items.filter(F.col(item_key) != "").withColumn("__seed", F.array_max(inner)["w"])
+    seeds = seeds.withColumn("__seed", F.nullif("__seed", F.lit("")))
+    long, short = seeds.filter("__seed IS NOT NULL"), seeds.filter("__seed IS NULL").drop("__seed")
+    chars = seeds.agg(*[F.coalesce(F.sum(F.when(c, F.length(item_key))), F.lit(0)).alias(n) for n, c in (("long", F.col("__seed").isNotNull()), ("short", F.col("__seed").isNull()))]).first()
+    holds = F.contains(F.col(key), F.col(item_key))
+    if chars["long"] <= BROADCAST_CHARS:
+        rows = df.withColumn("__seed", F.explode(F.array_distinct(F.split(key, " "))))
+        found = rows.join(F.broadcast(long), "__seed").filter(holds).drop("__seed")
+    else:
+        found = _contained_by_digest(df, long, key, item_key)
+    for part in _parts(short, item_key, chars["short"]):
+        found = found.unionByName(df.join(F.broadcast(part), holds))
+    return found
+
+
+def _contained_by_digest(df: DataFrame, items: DataFrame, key: str, item_key: str) -> DataFrame:
+    """Pairs by the digests of words: keys are sent once, to the pairs that share a digest, not with each of their words."""
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "contained-rows")
+    items = written(items.withColumn("__item", F.monotonically_increasing_id()), "contained-items")
+    words = rows.select("__row", F.explode(F.transform(F.array_distinct(F.split(key, " ")), lambda w: F.xxhash64(w))).alias("__seed"))
+    pairs = words.join(items.select(F.xxhash64("__seed").alias("__seed"), "__item"), "__seed").select("__row", "__item")
+    return pairs.join(rows, "__row").join(items, "__item").filter(F.contains(F.col(key), F.col(item_key))).drop("__row", "__item", "__seed")
+
+
+def _parts(items: DataFrame, item_key: str, chars: int) -> list[DataFrame]:
+    """items in parts of about BROADCAST_CHARS characters at most; none of no items."""
+    n = -(-2 * chars // max(BROADCAST_CHARS, 1)) if chars > BROADCAST_CHARS else 1
+    return [items.filter(F.pmod(F.xxhash64(item_key), F.lit(n)) == i) for i in range(n)] if chars else []
 
 
 def leakage_reason(keys: Sequence[str] = KEYS) -> Column:

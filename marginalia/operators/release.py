@@ -68,23 +68,26 @@ def removed_private_fields(rows: DataFrame, fields: Sequence[str] = PRIVATE) ->
 
 
 def reconstruct(records: DataFrame, sentences: DataFrame) -> DataFrame:
-    """id, status (ok or error), excerpt, error of each record, from sentences: source_paper_url, body_sentence_index, sentence.
+    """id, status (ok or error), excerpt, error of each record, from sentences: source_paper_url, body_sentence_index (one row for each), sentence.
 
     Errors in order: no URL, no text for it, several or no equal sentences (fingerprint locator), no such sentence or another
     one (index locator), no marker in it.
     """
-    known = sentences.select("source_paper_url").distinct().withColumn("_text", F.lit(True))
-    marked = sentences.withColumn("_sha", fingerprint(F.col("sentence")))
-    by_sha = marked.groupBy("source_paper_url", F.col("_sha").alias("passage_sha256")).agg(F.count("*").alias("_n"), F.min_by("sentence", "body_sentence_index").alias("_s"))
-    by_index = marked.select("source_paper_url", F.col("body_sentence_index").alias("locator_index"), F.col("sentence").alias("_i"), "_sha")
-    rows = records.join(known, "source_paper_url", "left").join(by_sha, ["source_paper_url", "passage_sha256"], "left").join(by_index, ["source_paper_url", "locator_index"], "left")
+    marked = sentences.select("source_paper_url", F.col("body_sentence_index").alias("_at"), "sentence", fingerprint(F.col("sentence")).alias("_sha"))
     indexed = F.col("locator_index").isNotNull()
-    sentence = spaces(F.when(indexed, F.col("_i")).otherwise(F.col("_s")))
+    # digests and indexes only; each sentence's text then travels once, to where a record asks for it
+    of_sha = marked.groupBy(F.col("source_paper_url").alias("_url"), F.col("_sha").alias("_asked")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    rows = records.join(of_sha, (F.when(~indexed, F.col("source_paper_url")) == F.col("_url")) & (F.col("passage_sha256") == F.col("_asked")), "left").drop("_url", "_asked")
+    rows = rows.withColumn("_at", F.coalesce("locator_index", "_first")).join(marked, ["source_paper_url", "_at"], "left")
+    # only records without a sentence ask whether there is any text
+    known = sentences.select(F.col("source_paper_url").alias("_known")).distinct()
+    rows = rows.join(known, F.when(F.col("_sha").isNull(), F.col("source_paper_url")) == F.col("_known"), "left")
+    sentence = spaces(F.col("sentence"))
     error = (
         F.when(F.coalesce("source_paper_url", F.lit("")) == "", F.lit("missing source URL"))
-        .when(F.col("_text").isNull(), F.lit("source text unavailable"))
+        .when(F.col("_sha").isNull() & F.col("_known").isNull(), F.lit("source text unavailable"))
         .when(~indexed & (F.coalesce("_n", F.lit(0)) != 1), F.concat(F.lit("expected one matching sentence, found "), F.coalesce("_n", F.lit(0)).cast("string")))
-        .when(indexed & F.col("_i").isNull(), F.lit("sentence index out of range"))
+        .when(indexed & F.col("_sha").isNull(), F.lit("sentence index out of range"))
         .when(indexed & (F.col("_sha") != F.col("passage_sha256")), F.lit("passage digest mismatch"))
         .when(~F.contains(sentence, F.col("citation_marker")), F.lit("citation marker absent"))
     )

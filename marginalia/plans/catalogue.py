@@ -396,16 +396,17 @@ def discoverability(spark, d):
     return flat.select("doc_id", F.array_join(text.discoverability_queries(excerpt), " | ").alias("queries"))
 
 
+WORDS_SQL = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")))"
+
+
 @query(
     "paper_search_topk",
     rf"""
 WITH papers AS (SELECT doc_id::varchar AS paper_id, text AS title FROM documents),
-qt AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({{stop}}))) AS w FROM benchmark),
-pt AS (SELECT paper_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: x NOT IN ({{stop}})))) AS token FROM papers),
+qt AS (SELECT item_id AS query_id, {WORDS_SQL.format('text')} AS w FROM benchmark),
+pt AS (SELECT paper_id, unnest({WORDS_SQL.format('title')}) AS token FROM papers),
 hits AS (SELECT query_id, paper_id, any_value(len(w)) AS n, count(*) AS shared FROM (SELECT query_id, w, unnest(w) AS token FROM qt) JOIN pt USING (token) GROUP BY query_id, paper_id)
-SELECT * FROM (SELECT query_id, paper_id, shared / n AS score, row_number() OVER (PARTITION BY query_id ORDER BY shared / n DESC, paper_id)::int AS rank FROM hits) WHERE rank <= 3""".replace(
-        "{stop}", ", ".join(f"'{w}'" for w in text.STOPWORDS)
-    ),
+SELECT * FROM (SELECT query_id, paper_id, shared / n AS score, row_number() OVER (PARTITION BY query_id ORDER BY shared / n DESC, paper_id)::int AS rank FROM hits) WHERE rank <= 3""",
 )
 def paper_search(spark, d):
     """The three papers nearest to each whole benchmark item; papers are all documents with their whole texts as titles."""
@@ -547,13 +548,23 @@ def sweep_summary(spark, d):
 
 @query(
     "citation_count_topk",
-    """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey)
-SELECT p_partkey AS paper_id, p_name AS title, n AS citations FROM part LEFT JOIN c ON l_partkey = p_partkey WHERE p_partkey IN (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 100) ORDER BY n DESC NULLS LAST, p_partkey LIMIT 25""",
+    rf"""
+WITH d AS (SELECT doc_id, sha256(text) AS title, CASE WHEN n_chars % 11 <> 0 THEN n_chars % 1000 END AS citations, {WORDS_SQL.format('text')} AS w FROM documents),
+qt AS (SELECT item_id AS query_id, {WORDS_SQL.format('text')} AS w FROM benchmark),
+hits AS (SELECT query_id, doc_id, any_value(len(qw)) AS n, count(*) AS shared FROM (SELECT query_id, w AS qw, unnest(w) AS token FROM qt) JOIN (SELECT doc_id, unnest(w) AS token FROM d) USING (token) GROUP BY query_id, doc_id),
+found AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY shared / n DESC, doc_id::varchar) AS rank FROM hits) JOIN d USING (doc_id) WHERE rank <= 100),
+skip AS (SELECT query_id, title FROM found WHERE (doc_id + query_id) % 4 = 0)
+SELECT query_id, doc_id, citations, place FROM (
+  SELECT query_id, doc_id, citations, row_number() OVER (PARTITION BY query_id ORDER BY citations DESC NULLS LAST, rank)::int AS place FROM found f WHERE NOT EXISTS (SELECT 1 FROM skip s WHERE s.query_id = f.query_id AND s.title = f.title)) WHERE place <= 5""",
 )
 def citation_topk(spark, d):
-    counts = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("citationCount"))
-    found = table(spark, d, "part").join(counts, "p_partkey", "left").select("p_partkey", F.col("p_name").alias("title"), "citationCount", F.col("p_partkey").alias("rank"))
-    return retrieval.citation_count_topk(found, None, 25).select(F.col("p_partkey").alias("paper_id"), "title", F.col("citationCount").alias("citations"))
+    """Each benchmark item's five most cited of its first hundred documents, a quarter of whose titles (digests, as no two others are alike) are skipped by an altered form."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("paper_id"), F.sha2("text", 256).alias("title"), F.when(F.col("n_chars") % 11 != 0, F.col("n_chars") % 1000).alias("citationCount"))
+    papers = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paperId"), F.col("text").alias("title"), F.lit("").alias("abstract"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = written(retrieval.search(queries, papers, 100).join(docs, "paper_id"), "found-papers")
+    skip = found.filter((F.col("doc_id") + F.col("query_id")) % 4 == 0).select("query_id", F.concat(F.upper(F.left("title", F.lit(63))), F.lit("Z")).alias("title"))
+    return retrieval.citation_count_topk(found, skip, 5).select("query_id", "doc_id", F.col("citationCount").alias("citations"), "place")
 
 
 RELEASED_SQL = rf"""

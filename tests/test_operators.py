@@ -525,11 +525,11 @@ def test_observations(spark):
     assert evaluation.history(turns, keep_system=True).first()["history"][0]["role"] == "system"
 
 
-@pytest.mark.parametrize("limit", [curation.BROADCAST_CHARS, -1])
+@pytest.mark.parametrize("limit", [curation.BROADCAST_CHARS, 2])
 def test_contained_items_equal_substrings(spark, monkeypatch, limit):
     monkeypatch.setattr(curation, "BROADCAST_CHARS", limit)
-    rows = ["a b c d e", "xa b cy", "b", "", "a b", "q a b c"]
-    items = ["a b c", "b", "", "a b", "b c d", "z"]
+    rows = ["a b c d e", "xa b cy", "b", "", "a b", "q a b c", "a b c d e", "a  c"]
+    items = ["a b c", "b", "", "a b", "b c d", "z", "a b c", "a  c"]
     df = spark.createDataFrame(list(enumerate(rows)), "i int, k string")
     table = spark.createDataFrame(list(enumerate(items)), "j int, item string")
     got = {(r["i"], r["j"]) for r in curation.contained_items(df, table, "k", "item").collect()}
