@@ -57,6 +57,10 @@ def _pickable(slim: DataFrame, quota: int) -> DataFrame:
     another target were passed over for a used target, so its target is among the source's quota first, and likewise its source among
     the target's. Where a group has quota sources or more, each pick has an unused one: it is the first of its pair, and rivals
     passed over lie in used sources or used targets, at most quota**2 rows each.
+
+    All this holds for counters that do not start at zero if quota is at least the picks and the rows counted before together: so many
+    sources and targets are used at most at any time, a rival of a pick's source is passed over only for a target that is used more, and a group
+    of quota sources still has an unused one for each pick.
     """
     pairs = slim.groupBy("by", "source", "target").agg(F.min(F.struct("score", "row_id")).alias("least"))
     ordered = ["least"]
@@ -116,11 +120,15 @@ def diverse_sample(df: DataFrame, by: str, quota: int, row_id: str, score: str =
 
 
 def fill_venue(existing: DataFrame, pool: DataFrame, targets: DataFrame, by: str, row_id: str, score: str = "score", source: str = "source_key", target: str = "target_key") -> DataFrame:
-    """by, row_id, pick: the existing rows first, then greedy picks from the pool up to each group's target, counting the existing ones."""
+    """by, row_id, pick: the existing rows first, then greedy picks from the pool up to each group's target, counting the existing ones.
+
+    Of the pool only rows that can be picked meet in a task (see _pickable), a number that follows the largest target.
+    """
     id_type = pool.schema[row_id].dataType.simpleString()
-    cols = [F.col(by).alias("by"), F.col(row_id).alias("row_id"), F.col(source).alias("source"), F.col(target).alias("target"), F.col(score).alias("score")]
-    old = existing.select(*cols)
-    new = pool.select(*cols).join(targets.select(F.col("venue").alias("by"), F.col("target").alias("wanted")), "by")
+    old = _slim(existing, by, row_id, score, source, target)
+    wanted = targets.select(F.col("venue").alias("by"), F.col("target").alias("wanted"))
+    most = targets.agg(F.max("target")).first()[0] or 0  # targets count the existing rows, so no group has more of both
+    new = _pickable(_slim(pool, by, row_id, score, source, target).join(wanted, "by", "left_semi"), max(most, 1)).join(wanted, "by")
 
     def fill(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(["score", "row_id"], ignore_index=True), b.sort_values(["score", "row_id"], ignore_index=True)

@@ -271,6 +271,27 @@ def test_frequent_tokens_are_not_looked_up(spark):
     assert found.count() == 5 and retrieval._met(terms, own).count() > 2500
 
 
+@pytest.mark.parametrize("kinds", [3, 40])
+def test_fill_venue_equals_a_plain_loop(spark, kinds):
+    rng = random.Random(kinds)
+    made = lambda n, tag: [(rng.choice("uvw"), f"{tag}{i}", rng.choice([None, *map(str, range(kinds))]), str(rng.randrange(kinds)), f"{rng.randrange(1000):04}") for i in range(n)]
+    old, pool, wanted = made(9, "o"), made(300, "p"), {"u": 12, "v": 3, "w": 25}
+    schema = "venue string, id string, source_key string, target_key string, score string"
+    targets = spark.createDataFrame(list(wanted.items()), "venue string, target int")
+    got = sampling.fill_venue(spark.createDataFrame(old, schema), spark.createDataFrame(pool, schema).repartition(5), targets, "venue", "id").collect()
+    for v, n in wanted.items():
+        have = sorted((r[4], r[1], r[2], r[3]) for r in old if r[0] == v)
+        rest = sorted((r[4], r[1], r[2], r[3]) for r in pool if r[0] == v)
+        picks = sampling.greedy_picks([(s, t, score) for score, _, s, t in rest], max(n - len(have), 0), Counter(s for _, _, s, _ in have), Counter(t for _, _, _, t in have))
+        assert [r["id"] for r in sorted(got, key=lambda r: r["pick"]) if r["venue"] == v] == [*(r[1] for r in have), *(rest[i][1] for i in picks)]
+
+
+def test_a_large_pool_is_cut_before_it_meets(spark):
+    pool = spark.range(300_000).select(F.lit("v").alias("by"), "id", (F.col("id") % 50_000).cast("string").alias("source"), F.lit("t").alias("target"), F.sha2(F.col("id").cast("string"), 256).alias("score"))
+    slim = pool.select("by", F.col("id").alias("row_id"), "source", "target", "score")
+    assert sampling._pickable(slim, 10).count() <= 2 * 10 * 10 + 10
+
+
 def ratio(a, b):
     return SequenceMatcher(None, a, b).ratio()
 
