@@ -381,11 +381,21 @@ def test_audit_sees_sparse_pairs_beside_a_hot_cluster(spark, monkeypatch):
         graph_dedup.near_duplicate_vectors(df)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish,hub", [(components.FINISH, components.HUB_EDGES), (0, components.HUB_EDGES), (0, 3), (20, 3)])
+def test_components(spark, monkeypatch, finish, hub):
+    monkeypatch.setattr(components, "FINISH", finish)
+    monkeypatch.setattr(components, "HUB_EDGES", hub)
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict((r["vertex"], r["component"]) for r in components.connected_components(spark.createDataFrame(path, "a long, b long").repartition(5)).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 60)] + [(rng.randrange(60, 200), rng.randrange(60, 200)) for _ in range(90)] + [(500, 501), (501, 500), (7, 7)]
+    forest = components.Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect())
+    assert got == {v: forest.root(v) for v in forest.parent}
 
 
 # shingles
