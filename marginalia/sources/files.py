@@ -1,17 +1,19 @@
-"""Scans of CSV, JSONL and text; all paths may be anything that Spark reads. `_ord` is (file name, line) order where order counts."""
+"""Scans of CSV, JSONL and text; all paths may be anything that Spark reads. `_ord` is (path, place) order where order counts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import source_key, without_nul
+from ..staging import written
 
 MANIFEST = "source_paper_title string, source_paper_url string, year int, pdf_url string, pdf_path string, venue string, domain string"
 DATASET = "id string, excerpt string, target_paper_title string, target_paper_url string, source_paper_title string, source_paper_url string, year string, split string"
 ADJUDICATION = "source_file string, id string, action string, reasons array<string>, revision map<string,string>, authority string"
+BOM = "\ufeff"
 ACTIONS = ("accept", "revise", "reject", "review")
 
 
@@ -19,18 +21,69 @@ class SourceError(ValueError):
     """An input that breaks its contract."""
 
 
-def csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, required: Sequence[str] = ()) -> DataFrame:
-    """CSV with a header, quotes doubled inside quotes and line breaks in fields; a byte order mark and NUL characters are removed."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    df = reader.csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+def csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, required: Sequence[str] = (), ordered: bool = False) -> DataFrame:
+    """CSV with a header, quotes doubled inside quotes and line breaks in fields; a byte order mark and NUL characters are removed.
+
+    ordered: also source_file (the file's name) and _ord, see `csv_records`; files may then have their columns in different orders.
+    """
+    if ordered:
+        df = _ordered_csv(spark, path)
+    else:
+        df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+        df = df.toDF(*[c.lstrip(BOM) for c in df.columns])
+        df = df.select(*[without_nul(F.col(f"`{c}`")).alias(c) for c in df.columns])
     if missing := [c for c in required if c not in df.columns]:
         raise SourceError(f"missing columns: {', '.join(missing)}")
-    df = df.select(*[without_nul(F.col(f"`{c}`")).alias(c) for c in df.columns])
     if schema is None:
         return df
     fields = spark.createDataFrame([], schema).schema
-    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
+    places = [c for c in ("source_file", "_ord") if ordered and c not in fields.names]
+    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields], *places)
+
+
+def csv_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """value, source_file and _ord of each record of CSV files, header included, as raw text with its line breaks.
+
+    Files are read in blocks, wherever a block may begin. A line opens a record where an even number of quotes stands before it in its file: quotes
+    are summed within each block and then over a file's blocks, a row for each, so that neither a file nor its lines meet in one task. A line
+    whose record began in an earlier block is sent to it. Lines end with LF; a CR before it goes with the record's end.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    lines_ = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines_ = written(lines_.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))), "csv-lines")
+    of_block = Window.partitionBy("path", "block").orderBy("n")
+    before = F.coalesce(F.sum("quotes").over(of_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines_ = lines_.withColumn("before", before)
+    # a block's own lines open records at even or at odd counts, as the quotes of the blocks before it say
+    blocks = lines_.groupBy("path", "block").agg(F.sum("quotes").alias("quotes"), *[F.max(F.when(F.col("before") % 2 == p, F.col("n"))).alias(f"last{p}") for p in (0, 1)])
+    of_file = Window.partitionBy("path").orderBy("block")
+    earlier = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("parity", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    blocks = blocks.withColumn("open", F.last(F.when(F.col("parity") == 0, F.col("last0")).otherwise(F.col("last1")), ignorenulls=True).over(earlier)).select("path", "block", "parity", "open")
+    placed = lines_.join(blocks, ["path", "block"]).withColumn("opens", (F.col("before") + F.col("parity")) % 2 == 0)
+    first = F.coalesce(F.last(F.when(F.col("opens"), F.col("n")), ignorenulls=True).over(of_block), F.col("open"))
+    whole = placed.withColumn("first", first).groupBy("path", "source_file", "first").agg(F.sort_array(F.collect_list(F.struct("block", "n", "value"))).alias("all"))
+    text = F.regexp_replace(F.array_join(F.transform("all", lambda x: x["value"]), "\n"), r"\r$", "")
+    return whole.select(text.alias("value"), "source_file", F.struct("path", F.col("all")[0]["block"].alias("block"), F.col("all")[0]["n"].alias("n")).alias("_ord"))
+
+
+def _ordered_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    records = written(csv_records(spark, path).withColumn("value", without_nul(F.col("value"))), "csv-records")
+    heads = records.groupBy("_ord.path").agg(F.min(F.struct("_ord", "value")).alias("h")).select("path", F.regexp_replace("h.value", f"^{BOM}", "").alias("head"), F.col("h._ord").alias("_first"))
+    options, out = {"quote": '"', "escape": '"'}, None
+    for row in heads.select("head").distinct().orderBy("head").collect():  # a row for each form of the header
+        one = spark.createDataFrame([(row["head"],)], "value string")
+        # as many columns as the header has separators at most
+        kinds = ", ".join(f"c{i} string" for i in range(row["head"].count(",") + 1))
+        names = [v for v in one.select(F.from_csv("value", F.lit(kinds), options).alias("r")).first()["r"] if v is not None]
+        if len(set(names)) < len(names):
+            raise SourceError(f"repeated columns: {', '.join(names)}")
+        rows = records.join(heads.filter(F.col("head") == row["head"]).select("path", "_first"), F.col("_ord.path") == F.col("path")).filter((F.col("_ord") > F.col("_first")) & (F.col("value") != ""))
+        parsed = rows.withColumn("r", F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), options))
+        own = [n for n in names if n not in ("source_file", "_ord")]  # a file's own column of these names gives way
+        df = parsed.select(*[F.col(f"r.c{names.index(n)}").alias(n) for n in own], "source_file", "_ord")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return records.select("source_file", "_ord").limit(0) if out is None else out
 
 
 def manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -42,8 +95,8 @@ def manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    df = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"))
-    return df.withColumn("_ord", F.struct("source_file", "_block", F.monotonically_increasing_id().alias("n"))).drop("_block")
+    df = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    return df.withColumn("_ord", F.struct(F.col("_path").alias("path"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("n"))).drop("_block", "_path")
 
 
 def lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -57,10 +110,10 @@ def jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, strict: b
     if strict:
         bad = parsed.filter("r IS NULL OR r._corrupt IS NOT NULL").agg(F.min(F.struct("_ord", "value")).alias("b")).first()["b"]
         if bad:
-            file, before = bad["_ord"]["source_file"], F.struct(*[F.lit(bad["_ord"][c]).alias(c) for c in ("source_file", "_block", "n")])
+            file, before = bad["_ord"]["path"], F.struct(*[F.lit(bad["_ord"][c]).alias(c) for c in ("path", "block", "n")])
             # lines of its file up to it, blank ones too
-            at = _numbered_lines(spark, path).filter((F.col("source_file") == file) & (F.col("_ord") <= before)).count()
-            raise SourceError(f"{file}:{at}: {bad['value'][:200]}")
+            at = _numbered_lines(spark, path).filter((F.col("_ord.path") == file) & (F.col("_ord") <= before)).count()
+            raise SourceError(f"{file.rpartition('/')[2]}:{at}: {bad['value'][:200]}")
     good = parsed.filter("r IS NOT NULL AND r._corrupt IS NULL")
     file = [] if "source_file" in good.schema["r"].dataType.names else ["source_file"]  # a record's own column of that name counts
     return good.select("r.*", *file, "_ord").drop("_corrupt")
