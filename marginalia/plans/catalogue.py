@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, identifiers, similarity, text
-from ..operators import audit, curation, evaluation, listings, release, retrieval, sampling
+from ..operators import audit, curation, evaluation, listings, release, retrieval, sampling, trajectories
 from ..staging import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -742,6 +742,19 @@ def trajectory_replay(spark, d):
     return evaluation.replay(log, targets).select("trajectory_id", "n_actions", "correct")
 
 
+@query("trajectory_observations")
+def trajectory_observations(spark, d):
+    """What each turn of each conversation is told: user turns search for two documents, assistant turns read them, look for a word in them or select one. Compared with plain Python, see its test."""
+    n, i = F.col("turn"), F.col("conv_id")
+    papers = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paperId"), F.when(F.col("doc_id") % 7 != 0, F.lit("https://pdf.example.org/x")).alias("pdf_url"), "text")
+    paper = lambda x: F.struct(x.cast("string").alias("paperId"), F.concat(F.lit("Title "), x.cast("string")).alias("title"), F.lit(None).cast("string").alias("abstract"), (n % 9).cast("int").alias("citationCount"), F.create_map().cast("map<string,string>").alias("externalIds"), F.lit(None).cast("string").alias("url"))
+    called = F.when(F.col("role") == "user", "search_relevance").when(F.col("role") != "assistant", "ask_for_more_context").when((i + n) % 3 == 0, "read").when((i + n) % 3 == 1, "find_in_text").otherwise("select")
+    log = table(spark, d, "conversations").filter("turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("role").alias("role")).select(
+        i.alias("trajectory_id"), "turn", called.alias("name"), F.when(i % 5 != 0, F.lit("th")).otherwise("").alias("query"), (i + n % 2).cast("string").alias("paper_id"), F.lit("T").alias("paper_title"), F.when(F.col("role") == "user", F.array(paper(i), paper(i + n % 2))).alias("results")
+    )
+    return trajectories.told(log, papers).select("trajectory_id", "turn", "place", "name", "status", "observation", F.col("selected.paperId").alias("selected_id"))
+
+
 @query("snippet_search", f"WITH s AS (SELECT item_id, {SENTENCES_SQL.format('text')} AS l FROM benchmark), x AS (SELECT item_id, unnest(range(len(l)))::int AS sentence_index, unnest(l) AS snippet FROM s) SELECT item_id::varchar AS \"paperId\", sentence_index, snippet FROM x WHERE contains(lower(snippet), 'en')")
 def snippet_search(spark, d):
     papers = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("paperId"), F.col("text").alias("abstract"))
