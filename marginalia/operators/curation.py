@@ -22,10 +22,18 @@ def digest(*keys: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("-")) for k in keys]), 256)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not, whatever its case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by `order`; null keys are keys. One shuffle by the keys' digest; a row for each key and task goes through it."""
-    w = Window.partitionBy("__key").orderBy(*order)
-    return df.withColumn("__key", digest(*[F.col(k) for k in keys])).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__key")
+    key, place = unused(df, "__key"), unused(df, "__rn")
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn(key, digest(*[F.col(k) for k in keys])).withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place, key)
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

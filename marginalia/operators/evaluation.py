@@ -129,7 +129,8 @@ def tokens_by_role(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def last_turn(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    return turns.groupBy(key).agg(F.max_by(F.struct("turn", "role", "text"), "turn").alias("s")).select(key, "s.*")
+    """key, turn, role and text of the last turn; of several with that number the greatest by role, then text."""
+    return turns.groupBy(key).agg(F.max(F.struct("turn", "role", "text")).alias("s")).select(key, "s.*")
 
 
 def run_metrics(results: DataFrame, *by: str) -> DataFrame:

@@ -104,14 +104,28 @@ def fresh_outputs(spark: SparkSession, outputs: Sequence[str], state: str, resta
 
 
 def replaced(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> str:
-    """Rewrites what stands at path, which df may read: written beside it, then put in its place. The first version stays as a backup, whose path comes back."""
-    spark, new, backup = df.sparkSession, f"{path}.new", f"{path}.backup"
+    """Rewrites what stands at path, which df may read: written beside it, then put in its place. The first version stays as a backup, whose path comes back.
+
+    The version before is deleted only when the new one stands; after a crash in between, `recovered` or the next call puts it back. Several
+    tables that must change together are versions, see sources.versions.
+    """
+    spark, new, old, backup = df.sparkSession, f"{path}.new", f"{path}.old", f"{path}.backup"
     deleted(spark, new)
     write(df, new)
+    recovered(spark, path)
     if exists(spark, path):
-        if exists(spark, backup):
-            deleted(spark, path)
-        else:
-            renamed(spark, path, backup)
+        renamed(spark, path, old if exists(spark, backup) else backup)
     renamed(spark, new, path)
+    deleted(spark, old)
     return backup
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Puts the last version back where a crash has left nothing at path; whether it did."""
+    if exists(spark, path):
+        return False
+    for kept in (f"{path}.old", f"{path}.backup"):
+        if exists(spark, kept):
+            renamed(spark, kept, path)
+            return True
+    return False

@@ -271,6 +271,12 @@ def test_frequent_tokens_are_not_looked_up(spark):
     assert found.count() == 5 and retrieval._met(terms, own).count() > 2500
 
 
+def test_first_wins_with_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "x", "p", 2), (1, "y", "q", 1)], "k int, __key string, __RN string, o int")
+    (row,) = curation.first_wins(df, ["k"], ["o"]).collect()
+    assert row.asDict() == {"k": 1, "__key": "y", "__RN": "q", "o": 1}
+
+
 @pytest.mark.parametrize("kinds", [3, 40])
 def test_fill_venue_equals_a_plain_loop(spark, kinds):
     rng = random.Random(kinds)
@@ -510,6 +516,20 @@ def test_outputs_and_states(spark, tmp_path):
     for n in (4, 5):
         backup = sinks.replaced(spark.read.parquet(out).union(spark.range(1)), out, lambda df, path: df.write.parquet(path))
         assert spark.read.parquet(out).count() == n and spark.read.parquet(backup).count() == 3
+    real = sinks.renamed
+
+    def lost(spark_, old, new):
+        if old.endswith(".new"):
+            raise RuntimeError("lost")
+        real(spark_, old, new)
+
+    sinks.renamed = lost
+    try:
+        with pytest.raises(RuntimeError, match="lost"):  # between the two renames
+            sinks.replaced(spark.read.parquet(out).union(spark.range(1)), out, lambda df, path: df.write.parquet(path))
+    finally:
+        sinks.renamed = real
+    assert not sinks.exists(spark, out) and sinks.recovered(spark, out) and spark.read.parquet(out).count() == 5
     sinks.fresh_outputs(spark, [out], state, restart=True)
     assert not sinks.exists(spark, out) and not sinks.exists(spark, state)
     with pytest.raises(resume.ResumeError, match="gone"):
