@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from ..functions.identifiers import derived_pdf_url, link_target, without_query
 from ..functions.text import spaces
+from ..staging import written
 from .curation import first_wins
 
 #: Words in a PDF link that is not the paper, and texts that are no titles.
@@ -162,14 +163,17 @@ def papers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFram
     Layouts in order: blocks, abstract pages under CONTENT, PDF links with a title beside them, abstract pages under HASHED. Pages
     without papers have no rows; null and empty pages have none.
     """
-    found = links(pages.dropDuplicates([url]), url, source)
-    layouts = (in_blocks(found), at_derived_pdfs(found, CONTENT), beside_pdfs(found), at_derived_pdfs(found, HASHED))
-    every = None
-    for i, layout in enumerate(layouts):
-        layout = layout.withColumn("layout", F.lit(i))
-        every = layout if every is None else every.unionByName(layout)
-    best = F.min("layout").over(Window.partitionBy("page"))  # a page's papers: no more than its links
-    return every.withColumn("best", best).filter("layout = best").drop("layout", "best")
+    found = written(links(pages.dropDuplicates([url]), url, source), "links")  # pages are scanned once
+    layouts = (in_blocks, lambda x: at_derived_pdfs(x, CONTENT), beside_pdfs, lambda x: at_derived_pdfs(x, HASHED))
+    every, rest = None, found
+    for layout in layouts:
+        got = layout(rest)
+        if layout is not layouts[-1]:  # pages that it settles are looked at by no other
+            got = written(got, "listing")
+            settled = got.select(F.col("page").alias("_page")).distinct()
+            rest = rest.join(settled, F.col("page").eqNullSafe(F.col("_page")), "left_anti")
+        every = got if every is None else every.unionByName(got)
+    return every
 
 
 def listing_pages(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
