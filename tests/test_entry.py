@@ -126,7 +126,7 @@ def test_greedy_queries(spark, duck):
 
 
 def test_every_query_is_checked():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"folded_keys", "title_ratio", "reference_resolution", "diverse_sample_greedy", "holdout_disjoint"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"folded_keys", "title_ratio", "reference_resolution", "diverse_sample_greedy", "holdout_disjoint", "trajectory_observations"}
 
 
 def test_entry(spark):
