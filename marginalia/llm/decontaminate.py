@@ -34,6 +34,8 @@ from .tokens import ALNUM, buffers, inner_windows, window_hashes, word_hashes
 #: Fixed value: punctuation beyond ASCII, as a pattern.
 PUNCTUATION = "[\\x{2010}-\\x{203a}\\x{3000}-\\x{303f}\u00a0\u00a1\u00ab\u00bb\u00bf\u00b7]"
 MIN_MATCH, COVERAGE, BROADCAST_LIMIT = 5, 0.6, 32_000_000
+#: Bytes of text whose words are arrays at once, about.
+SLICE = 500_000
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +202,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, keep: list[st
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = shared.value
             for batch in batches:
-                for part in slices(batch, len(keep)):
+                for part in slices(batch, len(keep), SLICE):
                     hits = bench.matches(part.column(len(keep)), coverage)
                     rows = sorted(hits)
                     found = [[{"item_id": a, "coverage": b, "tiles": [dict(zip(("item_start", "text_start", "length"), x, strict=True)) for x in c]} for a, b, c in sorted(hits[i], key=lambda m: (m[0] is not None, m[0] or 0, m[1]))] for i in rows]
@@ -265,7 +267,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, coverage: float =
     def pass_over(docs: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, at):
+                for part in slices(batch, at, SLICE):
                     clean = np.ones(part.num_rows, bool)
                     clean[list(shared.value.matches(part.column(at), coverage))] = False
                     yield part.filter(pa.array(clean))
