@@ -15,7 +15,7 @@ from marginalia.llm.queries import vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Rows that go to a Python worker at once while the pipeline runs: documents are long, and a worker and the JVM hold a batch each.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def bounded(stage: Stage) -> Stage:
