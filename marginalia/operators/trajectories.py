@@ -21,6 +21,10 @@ SELECT, ASK = "select", "ask_for_more_context"
 BEYOND, DONE = "Max actions reached.", "A paper was already selected; stop."
 NO_QUERY, NO_ASK, UNKNOWN = "A non-empty query is required.", "Both query and paper_title are required.", "Unknown action."
 NOTHING = "No papers were found for the given search query. Please use a different query."
+NO_CONTEXT = ("No additional context was provided by the user. Paper title: ", ". Focus query: ", ". Continue using only the original excerpt.")
+ABSENT = ("Paper ", " not found in the ", ".")
+SELECTED = ("Selection recorded: ", ". Stop now.")
+PAPER_LINES = ("- Paper ID: ", "\n   Title: ", "\n   Abstract: ", "\n   Citation Count: ")
 FOUND = "array<struct<paperId:string,title:string,abstract:string,citationCount:int,externalIds:map<string,string>,url:string>>"
 MAX_ABSTRACT = 1_000
 
@@ -30,7 +34,7 @@ def shown(papers: Column) -> Column:
 
     def one(p: Column) -> Column:
         abstract = F.substring(F.coalesce(p["abstract"], F.lit("")), 1, MAX_ABSTRACT)
-        return F.concat(F.lit("- Paper ID: "), F.coalesce(p["paperId"], F.lit("")), F.lit("\n   Title: "), F.coalesce(p["title"], F.lit("")), F.lit("\n   Abstract: "), abstract, F.lit("\n   Citation Count: "), F.coalesce(p["citationCount"].cast("string"), F.lit("None")))
+        return F.concat(F.lit(PAPER_LINES[0]), F.coalesce(p["paperId"], F.lit("")), F.lit(PAPER_LINES[1]), F.coalesce(p["title"], F.lit("")), F.lit(PAPER_LINES[2]), abstract, F.lit(PAPER_LINES[3]), F.coalesce(p["citationCount"].cast("string"), F.lit("None")))
 
     return F.when(F.size(papers) == 0, F.lit(NOTHING)).otherwise(bounded(F.array_join(F.transform(papers, one), "\n\n")))
 
@@ -62,9 +66,9 @@ def told(actions: DataFrame, papers: DataFrame, max_actions: int = MAX_ACTIONS)
     state = state.withColumns({"over": over, "_reads": F.when(reads, F.col("paper_id"))})
     text = papers.select(F.col("paperId").alias("_reads"), "pdf_url", "text")
     state = state.join(text, "_reads", "left")
-    absent = lambda where: F.concat(F.lit("Paper "), F.col("paper_id"), F.lit(f" not found in the {where}."))
+    absent = lambda where: F.concat(F.lit(ABSENT[0]), F.col("paper_id"), F.lit(f"{ABSENT[1]}{where}{ABSENT[2]}"))
     ok, invalid = (lambda x: F.struct(F.lit("ok").alias("status"), x.alias("observation"))), (lambda x: F.struct(F.lit("invalid").alias("status"), x.alias("observation")))
-    no_context = F.concat(F.lit("No additional context was provided by the user. Paper title: "), "paper_title", F.lit(". Focus query: "), "query", F.lit(". Continue using only the original excerpt."))
+    no_context = F.concat(F.lit(NO_CONTEXT[0]), "paper_title", F.lit(NO_CONTEXT[1]), "query", F.lit(NO_CONTEXT[2]))
     answer = (
         F.when(F.col("over"), F.struct(F.lit("refused").alias("status"), F.lit(DONE).alias("observation")))
         .when(name.isin(*SEARCHES) & ~searched, invalid(F.lit(NO_QUERY)))
@@ -78,7 +82,7 @@ def told(actions: DataFrame, papers: DataFrame, max_actions: int = MAX_ACTIONS)
         .when(name == "read", ok(read_observation(F.col("pdf_url"), F.col("text"))))
         .when(name == "find_in_text", ok(find_observation(F.col("pdf_url"), F.col("text"), F.col("query"))))
         .when((name == SELECT) & F.col("chosen").isNull(), invalid(absent("search buffer")))
-        .when(name == SELECT, ok(F.concat(F.lit("Selection recorded: "), F.coalesce("chosen.title", F.lit("")), F.lit(". Stop now."))))
+        .when(name == SELECT, ok(F.concat(F.lit(SELECTED[0]), F.coalesce("chosen.title", F.lit("")), F.lit(SELECTED[1]))))
         .otherwise(invalid(F.lit(UNKNOWN)))
     )
     selected = F.when(F.col("place") == F.col("ends"), F.col("chosen"))
