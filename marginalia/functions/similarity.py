@@ -1,6 +1,6 @@
 """What Spark has no exact expression for: case folding, NFKC, difflib's ratio, HTML references, JSON tails.
 
-Arrow batches in, Arrow batches out; ratios are computed once for each distinct pair of a batch.
+Arrow batches in, Arrow batches out; texts are Python objects in parts of SLICE_BYTES. Ratios are computed once for each distinct pair of a batch.
 """
 
 from __future__ import annotations
@@ -9,23 +9,37 @@ import html
 import json
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
+#: Bytes of text that are Python objects at once, about; a longer text stands alone.
+SLICE_BYTES = 2_000_000
 
-@F.pandas_udf(StringType())
-def casefold(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else " ".join(s.split()).casefold())
 
+def by_slices(x: pa.Array, one: Callable[[str], str]) -> pa.Array:
+    """one of each text, null for null, so that a worker's memory beside its batch follows neither its rows nor their lengths."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(x), 0), np.int64)
+    cuts = np.nonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES, prepend=-1))[0].tolist()
+    parts = (x.slice(a, b - a) for a, b in zip(cuts, [*cuts[1:], len(x)], strict=True)) if len(x) else ()
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if s is None else one(s) for s in part.to_pylist()], pa.string()) for part in parts)])
+
+
+@F.arrow_udf(StringType())
+def casefold(x: pa.Array) -> pa.Array:
+    return by_slices(x, lambda s: " ".join(s.split()).casefold())
 
-@F.pandas_udf(StringType())
-def folded_title_key(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else re.sub("[^a-z0-9]+", " ", s.casefold()).strip())
+
+@F.arrow_udf(StringType())
+def folded_title_key(x: pa.Array) -> pa.Array:
+    return by_slices(x, lambda s: re.sub("[^a-z0-9]+", " ", s.casefold()).strip())
 
 
 def row_key(excerpt: Column, source: Column, target: Column) -> Column:
@@ -33,14 +47,14 @@ def row_key(excerpt: Column, source: Column, target: Column) -> Column:
     return F.struct(casefold(excerpt).alias("excerpt_key"), folded_title_key(source).alias("source_key"), folded_title_key(target).alias("target_key"))
 
 
-@F.pandas_udf(StringType())
-def entity_title(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", s).casefold())))
+@F.arrow_udf(StringType())
+def entity_title(x: pa.Array) -> pa.Array:
+    return by_slices(x, lambda s: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", s).casefold())))
 
 
-@F.pandas_udf(StringType())
-def unescaped(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else html.unescape(s))
+@F.arrow_udf(StringType())
+def unescaped(x: pa.Array) -> pa.Array:
+    return by_slices(x, lambda s: html.unescape(s))
 
 
 @F.pandas_udf(DoubleType())
