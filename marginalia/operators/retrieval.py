@@ -19,6 +19,8 @@ from .titles import without_similar_titles
 
 #: Tokens of all queries that go to all executors at most (a megabyte or two); more are looked up by rarity, see `candidates`.
 FEW_TERMS = 20_000
+#: Papers that a task counts hits for at most, about: its memory is that of their pairs with queries, whatever the number of papers.
+TASK_PAPERS = 5000
 #: First candidates of a query for each paper that it asks for: of more, the lower bound is closer and costs more.
 FIRST = 20
 
@@ -107,7 +109,8 @@ def search(queries: DataFrame, papers: DataFrame, limit: int = 10, fields: Seque
     terms = asked.select("query_id", "max_year", F.explode("all_tokens").alias("token"))
     n_tokens = asked.select("query_id", F.size("all_tokens").alias("n_tokens"))
     if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        shared = _met(F.broadcast(terms), own.repartition("paper_id")).withColumnRenamed("met", "shared")
+        tasks = max(-(-own.count() // TASK_PAPERS), int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        shared = _met(F.broadcast(terms), own.repartition(tasks, "paper_id")).withColumnRenamed("met", "shared")
         return _first_papers(shared, F.broadcast(n_tokens), limit)
     own, asked = written(own, "search-papers"), written(asked, "search-queries")
     terms = written(ranked_terms(asked, own), "search-terms")
