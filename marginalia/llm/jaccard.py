@@ -10,7 +10,8 @@
    more hashed bits for each element of a set gives an upper bound of the overlap from bit counts; pairs that pass it and that
    the links so far leave apart are decided by intersecting the sorted arrays.
 4. A group beyond GROUP_ROWS sets or GROUP_ELEMENTS elements goes tile by tile: first each tile's first member with all others, then all
-   pairs that these links leave in different components, a tile being dealt into blocks of rows whose pairs are the tasks.
+   pairs that these links leave in different components: in turns, BLOCK members outside the tile's largest component meet all others,
+   which are dealt into parts. A turn's rows follow the members; only a tile of more than BLOCK such members needs another.
 5. Components of the links, with a class as one vertex.
 
 Nothing is capped or sampled: the pigeonhole in 2 and the bound in 3 lose no pair.
@@ -34,7 +35,7 @@ DENSITY, BAND, SLACK = 4, 1.6, 1.15
 BROADCAST_IDS = 1_000_000
 #: Sets that a task remembers in order to emit the keys of equal sets once.
 REMEMBERED = 300_000
-#: Bounds of what one worker holds at once: sets and elements of a group, and about the members of a tile's block.
+#: Bounds of what one worker holds at once: sets and elements of a group, and about the members of a tile's part and the pivots that meet them.
 GROUP_ROWS, GROUP_ELEMENTS, BLOCK = 1024, 2_000_000, 1024
 
 
@@ -316,19 +317,17 @@ def _everywhere(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _block_pairs(percent: int):
+def _part_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All pairs of two blocks (i, j) of a tile with different labels that the bit counts allow."""
-        for group in sorted_runs(batches, 3):
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            block, ids, label, n = (group[c].to_numpy() for c in ("block", "id", "label", "n"))
+        """All pairs of a part's own rows with pivots, its own or visiting ones, with different labels that the bit counts allow."""
+        for group in sorted_runs(batches, 2):
+            own, pivot, ids, label, n = (group[c].to_numpy() for c in ("own", "pivot", "id", "label", "n"))
             bits = [np.asarray(b.values).view(np.uint64) for c in group["bits"].chunks for b in c]
             least = min(map(len, bits))
             bits = np.stack([folded(b, least) for b in bits])
-            for p in np.nonzero(block == i)[0].tolist():
-                qs = np.nonzero((block == j) & (label != label[p]) & (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])))[0]
-                if i == j:
-                    qs = qs[qs > p]
+            for p in np.nonzero(pivot)[0].tolist():
+                # two pivots meet in the part of the larger id
+                qs = np.nonzero(own & (label != label[p]) & (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])) & (~pivot | (ids > ids[p])))[0]
                 qs = qs[may_link(bits[p], n[p], bits[qs], n[qs], percent)] if len(qs) else qs
                 if len(qs):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[qs], ids[p])), pa.array(np.maximum(ids[qs], ids[p]))], names=["a", "b"])
@@ -336,6 +335,23 @@ def _block_pairs(percent: int):
     return run
 
 
+def _meetings(rest: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(tile, part, id, label, own, pivot of one turn; tile, id that are left for later turns) of rest (tile, id, label).
+
+    Tiles of one label are settled. In each other one the rows outside its most frequent label, BLOCK of them or about so many, are pivots:
+    they go to all parts of BLOCK rows of the tile and leave it after the turn. So a turn has about twice as many rows as rest, or fewer.
+    """
+    labels = rest.groupBy("tile", "label").agg(F.count("*").alias("n"))
+    tiles = labels.groupBy("tile").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    parts, turns = F.ceil(F.col("size") / BLOCK).cast("long"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("long")
+    tiles = staged(tiles.select("tile", F.col("top.label").alias("main"), parts.alias("parts"), turns.alias("turns")), "jaccard-open")
+    rows = rest.join(_everywhere(tiles), "tile").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = rows.withColumn("pivot", (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("turns")) == 0))
+    visits = rows.filter("pivot AND parts > 1").withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts") - 1))).withColumn("part", (F.col("part") + F.col("step")) % F.col("parts"))
+    sent = [x.select("tile", "part", "id", "label", F.lit(own).alias("own"), "pivot") for x, own in ((rows, True), (visits, False))]
+    return sent[0].union(sent[1]), rows.filter("turns > 1 AND NOT pivot").select("tile", "id")
+
+
 def _links_by_tiles(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """vertex, component of what the members of tiles (tile, rep, first) are linked to; sets: id, n, bits, shingles of all members."""
     small = sets.select("id", "n", "bits")
@@ -343,18 +359,24 @@ def _links_by_tiles(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFram
     links = staged(_verified(_possible(stars, small, percent), sets, percent).distinct(), "jaccard-links")
     found = staged(connected_components(links), "jaccard-found")
     # what is left of each tile without its first member, where links have not joined it
-    rest = tiles.filter("rep <> first").select("tile", F.col("rep").alias("id")).join(found.select(F.col("vertex").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-    rest = staged(rest.select("tile", "id", "label"), "jaccard-rest")
-    open_tiles = rest.groupBy("tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).filter("l0 <> l1").select("tile", "blocks")
-    rows = rest.join(open_tiles, "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.join(small, "id").select("tile", "i", "j", "block", "id", "label", "n", "bits")
-    late = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(freeing(_block_pairs(percent)), "a long, b long").distinct()
-    more = staged(_verified(late, sets, percent).distinct(), "jaccard-more")
-    if not more.isEmpty():
-        found = staged(connected_components(links.union(more)), "jaccard-found")
-    dropped(rest)
-    return found
+    left, turn = tiles.filter("rep <> first").select("tile", F.col("rep").alias("id")), 0
+    while True:
+        labels = found.select(F.col("vertex").alias("id"), "component")
+        rest = staged(left.join(labels, "id", "left").select("tile", "id", F.coalesce("component", "id").alias("label")), "jaccard-rest")
+        if turn:
+            dropped(left)
+        if rest.isEmpty():
+            dropped(rest)
+            return found
+        rows, later = _meetings(rest, turn)
+        met = rows.join(small, "id").select("tile", "part", "id", "label", "own", "pivot", "n", "bits")
+        late = met.repartition("tile", "part").sortWithinPartitions("tile", "part").mapInArrow(freeing(_part_pairs(percent)), "a long, b long").distinct()
+        more = staged(_verified(late, sets, percent).distinct(), "jaccard-more")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = staged(connected_components(links), "jaccard-found")
+        left, turn = staged(later, "jaccard-left"), turn + 1
+        dropped(rest)
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
