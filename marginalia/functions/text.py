@@ -20,7 +20,8 @@ MARKER = "[CITATION]"
 
 def spaces(x: Column) -> Column:
     """Runs of white space become one space; trimmed."""
-    return F.trim(F.regexp_replace(x, rf"(?U){WS}+", " "))
+    # a single space is no match: it is one already
+    return F.trim(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+", " "))
 
 
 def compare_text(x: Column) -> Column:
@@ -55,8 +56,9 @@ def sentences(x: Column) -> Column:
     """Array of sentences: a break stands after . ! ? before an upper-case letter, a digit, a quote or a bracket; `et al.`, in any case
     and as words of its own, does not end one."""
     guard = "<prd>"
-    kept = F.regexp_replace(x, r"(?iU)\b(et al)\.", f"$1{guard}")
-    parts = F.split(kept, rf"""(?U)(?<=[.!?]){WS}+(?=[A-Z0-9"'(\[])""")
+    # what few places have is looked for first: the letters, then the word's start; white space, then the mark before it
+    kept = F.regexp_replace(x, r"(?iU)(?=et al\.)\b(et al)\.", f"$1{guard}")
+    parts = F.split(kept, rf"""(?U){WS}(?<=[.!?]{WS}){WS}*(?=[A-Z0-9"'(\[])""")
     return F.filter(F.transform(parts, lambda s: spaces(F.replace(s, F.lit(guard), F.lit(".")))), lambda s: s != "")
 
 
@@ -68,6 +70,11 @@ def has_passage_length(x: Column, low: int = 8, high: int = 80) -> Column:
     return word_count(x).between(low, high)
 
 
+def spaced_word_count(x: Column) -> Column:
+    """word_count of a text, not empty, that `spaces` has made."""
+    return F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+
+
 def is_suspicious_reference(x: Column) -> Column:
     return (F.char_length(x) > 2000) | (word_count(x) > 320)
 
