@@ -656,7 +656,6 @@ SELECT doc_id || '/' || i AS id, CASE WHEN i % 2 = 0 OR c = 1 THEN 'ok' ELSE 'er
 def reconstruct_verify(spark, d):
     """Each sentence is a record, by index if that is even, else by fingerprint; its marker is its first character."""
     each = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_paper_url"), F.posexplode(text.sentences(text.body_text(F.col("text")))).alias("body_sentence_index", "sentence"))
-    each = written(each, "sentences")  # split once, read by both sides
     records = each.select(
         F.concat_ws("/", "source_paper_url", F.col("body_sentence_index").cast("string")).alias("id"), "source_paper_url", F.when(F.col("body_sentence_index") % 2 == 0, F.col("body_sentence_index")).alias("locator_index"), text.fingerprint(F.col("sentence")).alias("passage_sha256"), F.left("sentence", F.lit(1)).alias("citation_marker")
     )
